@@ -23,12 +23,12 @@ import hashlib
 import io
 import json
 import os
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +66,18 @@ class Folder:
                 out.write(data)
             self.fs.move(temporary, path)
 
+    def local(self, name: str) -> str | None:
+        """A path that can be mapped into memory, or None where there is no such file; other stores are copied to the worker's own folder."""
+        if self.fs is None:
+            return f"{self.root}/{name}" if os.path.exists(f"{self.root}/{name}") else None
+        from pyarrow import fs
+
+        if self.fs.get_file_info(f"{self.root}/{name}").type == fs.FileType.NotFound:
+            return None
+        with tempfile.NamedTemporaryFile(suffix=name, delete=False) as out:
+            out.write(self.read(name))
+        return out.name
+
     def read(self, name: str) -> bytes:
         if self.fs is None:
             with open(f"{self.root}/{name}", "rb") as f:
