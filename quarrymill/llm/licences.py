@@ -60,8 +60,8 @@ def _template_bigrams(text: str) -> list[str]:
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: key, n_units (lines and whole text with words), n_matches, licence, dice, licences.
 
-    n_matches: units with a template at or above the threshold; licence and dice: the best of them;
-    licences: all of them, sorted, comma-joined (empty string for none)."""
+    A unit matches its best template, if that is at or above the threshold. n_matches: matching units; licence
+    and dice: the best match; licences: all units' matches, sorted, comma-joined (empty string for none)."""
     sets = [(name, _template_bigrams(body)) for name, body in sorted(templates)]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = min(len(s) for _, s in sets) * low, max(len(s) for _, s in sets) * high
@@ -82,16 +82,20 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: li
         near = F.filter(shelf, lambda t: (F.size(unit) >= t["size"] * low) & (F.size(unit) <= t["size"] * high))
         return F.transform(near, lambda t: F.struct((F.size(F.array_intersect(unit, t["bigrams"])) * 2.0 / (F.size(unit) + t["size"])).alias("dice"), t["name"].alias("name")))
 
-    frame = frame.select("_key", "n_units", F.transform("_sets", lambda u: F.filter(scores(u), lambda s: s["dice"] >= threshold)).alias("_hits"))
-    flat = F.flatten(F.col("_hits"))
-    best = F.aggregate(flat, F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("name")), lambda a, s: F.when((s["dice"] > a["dice"]) | ((s["dice"] == a["dice"]) & (s["name"] < a["name"])), s).otherwise(a))
+    def best_of(found: Column) -> Column:
+        none = F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("name"))
+        return F.aggregate(found, none, lambda a, s: F.when((s["dice"] > a["dice"]) | ((s["dice"] == a["dice"]) & (s["name"] < a["name"])), s).otherwise(a))
+
+    frame = frame.select("_key", "n_units", F.filter(F.transform("_sets", lambda u: best_of(scores(u))), lambda s: s["dice"] >= threshold).alias("_hits"))
+    frame = frame.select("_key", "n_units", "_hits", best_of(F.col("_hits")).alias("_best"))
+    some = F.size("_hits") > 0
     return frame.select(
         F.col("_key").alias(key),
         F.col("n_units").cast("long").alias("n_units"),
-        F.size(F.filter("_hits", lambda h: F.size(h) > 0)).cast("long").alias("n_matches"),
-        F.when(F.size(flat) > 0, best["name"]).alias("licence"),
-        F.when(F.size(flat) > 0, F.round(best["dice"], 6)).alias("dice"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform(flat, lambda s: s["name"]))), ",").alias("licences"),
+        F.size("_hits").cast("long").alias("n_matches"),
+        F.when(some, F.col("_best.name")).alias("licence"),
+        F.when(some, F.round("_best.dice", 6)).alias("dice"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("_hits", lambda s: s["name"]))), ",").alias("licences"),
     )
 
 
@@ -109,8 +113,8 @@ worded AS (SELECT doc_id, list_filter(string_split({clean.format("u")}, ' '), la
 sets AS (SELECT doc_id, row_number() OVER () AS unit, {bigrams(w="w")} AS b FROM worded WHERE len(w) > 0),
 hits AS (SELECT doc_id, unit, name, 2.0::DOUBLE * len(list_intersect(s.b, t.b)) / (len(s.b) + len(t.b)) AS dice
          FROM sets s JOIN templates t ON len(s.b) >= len(t.b) * {threshold} / (2 - {threshold}) AND len(s.b) <= len(t.b) * (2 - {threshold}) / {threshold}),
-good AS (SELECT * FROM hits WHERE dice >= {threshold}),
-best AS (SELECT doc_id, count(DISTINCT unit) AS n_matches, first(name ORDER BY dice DESC, name) AS licence, max(dice) AS dice,
+good AS (SELECT doc_id, unit, max(dice) AS dice, first(name ORDER BY dice DESC, name) AS name FROM hits WHERE dice >= {threshold} GROUP BY doc_id, unit),
+best AS (SELECT doc_id, count(*) AS n_matches, first(name ORDER BY dice DESC, name) AS licence, max(dice) AS dice,
                 string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM good GROUP BY doc_id),
 counts AS (SELECT doc_id, count(*) AS n_units FROM sets GROUP BY doc_id)
 SELECT d.doc_id, coalesce(c.n_units, 0)::BIGINT AS n_units, coalesce(b.n_matches, 0)::BIGINT AS n_matches, b.licence, round(b.dice, 6) AS dice, coalesce(b.licences, '') AS licences

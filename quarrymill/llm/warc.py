@@ -36,7 +36,7 @@ from .blocks import arrow_rows, fresh_path
 
 ROLL_BYTES = 64 << 20
 MIN_REVISIT = 100
-SHARD_RECORDS = 20_000
+SHARD_RECORDS = 8_000
 _DATE = "2024-01-01T00:00:00Z"  # a fixed capture time: the tables have none, and the bytes must not change from run to run
 
 
@@ -109,12 +109,15 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def members(data: bytes) -> Iterator[bytes]:
     """The contents of the gzip members of a file, one by one."""
-    at = 0
+    at, piece = 0, 1 << 14  # fed in pieces: what a member leaves over is copied, so it has to be short
     view = memoryview(data)
     while at < len(data):
-        z = zlib.decompressobj(31)
-        yield z.decompress(view[at:]) + z.flush()
-        at = len(data) - len(z.unused_data)
+        z, out = zlib.decompressobj(31), []
+        while not z.eof and at < len(data):
+            fed = view[at : at + piece]
+            out.append(z.decompress(fed))
+            at += len(fed) - len(z.unused_data)
+        yield b"".join(out)
 
 
 def parse_record(raw: bytes) -> dict:
