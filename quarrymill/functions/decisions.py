@@ -71,7 +71,8 @@ def max_purchase_price(resale, min_net: float = 7.0, min_roi: float = 0.3, setti
 
 def days_to_sell(active, supply_months, demand) -> Column:
     """A week where nothing competes and there is demand, else thirty days a month of supply, a week at least."""
-    return F.when((col(active) == 0) & col(demand), 7.0).otherwise(F.greatest(F.lit(7.0), F.floor(col(supply_months) * 30 + 0.5).cast("double")))
+    months = col(supply_months)
+    return F.when((col(active) == 0) & col(demand), 7.0).when(months.isNotNull(), F.greatest(F.lit(7.0), F.floor(months * 30 + 0.5).cast("double")))
 
 
 def with_market(frame, units_90: str, units_365: str, units_1095: str, active: str):

@@ -31,7 +31,8 @@ def half_dollar_down(x) -> Column:
 
 
 def clamp(x, low, high) -> Column:
-    return F.least(F.greatest(col(x), F.lit(float(low))), F.lit(float(high)))
+    """x between low and high; unknown stays unknown."""
+    return F.when(col(x).isNotNull(), F.least(F.greatest(col(x), F.lit(float(low))), F.lit(float(high))))
 
 
 def scaled(x, low: float, high: float) -> Column:
@@ -74,7 +75,7 @@ def confidence(text) -> Column:
     """A number clipped to 1, or the value of high, medium and low."""
     number = known_amount(col(text).try_cast("double"))
     words = {"high": 1.0, "medium": 0.65, "low": 0.3}
-    return F.coalesce(F.least(number, F.lit(1.0)), reduce(lambda c, w: c.when(col(text) == w[0], w[1]), words.items(), F.when(F.lit(False), 0.0)), F.lit(0.0))
+    return F.coalesce(F.when(number.isNotNull(), F.least(number, F.lit(1.0))), reduce(lambda c, w: c.when(col(text) == w[0], w[1]), words.items(), F.when(F.lit(False), 0.0)), F.lit(0.0))
 
 
 # Country names and the currency taken for granted there.

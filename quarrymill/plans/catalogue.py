@@ -360,12 +360,12 @@ def max_purchase_price(spark, sf_dir):
 @query(f"""WITH {SOLD_SQL}, {_LEDGER_SQL}, u AS (SELECT item, coalesce(sum(units) FILTER (age BETWEEN 0 AND 90), 0)::DOUBLE AS u90, coalesce(sum(units) FILTER (age BETWEEN 0 AND 365), 0)::DOUBLE AS u365, coalesce(sum(units) FILTER (age BETWEEN 0 AND 1095), 0)::DOUBLE AS u1095, min(age) FILTER (units > 0) AS last_age, count(DISTINCT source) AS active FROM sold GROUP BY item),
   m AS (SELECT l.*, u.*, CASE WHEN u90 + active > 0 THEN {round_sql("(u90 / (u90 + active))", 4)} END AS st, {round_sql("(u90 / 3.0::DOUBLE)")} AS spm, {round_sql("(u1095 / 36.0::DOUBLE)")} AS ltm FROM ledger l JOIN u ON item = id),
   s AS (SELECT *, CASE WHEN spm > 0 THEN {round_sql("(active / spm)")} END AS months FROM m),
-  d AS (SELECT *, CASE WHEN active = 0 AND u90 > 0 THEN 7.0 WHEN months IS NULL THEN 7.0 ELSE greatest(7.0, floor(months * 30 + 0.5)) END AS days FROM s),
+  d AS (SELECT *, CASE WHEN active = 0 AND u90 > 0 THEN 7.0 WHEN months IS NOT NULL THEN greatest(7.0, floor(months * 30 + 0.5)) END AS days FROM s),
   e AS (SELECT *, {round_sql("(net_profit * 30 / days)")} AS pp30,
-    (u90 >= 6 AND spm >= 2 AND coalesce(last_age <= 45, false) AND st >= 0.3 AND net_profit >= 4 AND roi_ratio >= 0.2 AND days <= 45) OR (u90 >= 3 AND spm >= 1 AND coalesce(last_age <= 60, false) AND st >= 0.2 AND net_profit >= 7 AND roi_ratio >= 0.3 AND days <= 120)
-    OR (u365 >= 6 AND coalesce(last_age <= 120, false) AND ltm >= 0.15 AND net_profit >= 12 AND roi_ratio >= 0.5 AND days <= 270) AS eligible FROM d),
+    coalesce((u90 >= 6 AND spm >= 2 AND coalesce(last_age <= 45, false) AND st >= 0.3 AND net_profit >= 4 AND roi_ratio >= 0.2 AND days <= 45) OR (u90 >= 3 AND spm >= 1 AND coalesce(last_age <= 60, false) AND st >= 0.2 AND net_profit >= 7 AND roi_ratio >= 0.3 AND days <= 120)
+    OR (u365 >= 6 AND coalesce(last_age <= 120, false) AND ltm >= 0.15 AND net_profit >= 12 AND roi_ratio >= 0.5 AND days <= 270), false) AS eligible FROM d),
   p AS (SELECT *, floor(least(30.0, least(12.0, greatest(0.0, spm * 12.0 / 4.0)) + least(8.0, greatest(0.0, u365 * 8.0 / 12.0)) + least(6.0, greatest(0.0, ltm * 6.0)) + CASE WHEN last_age <= 30 THEN 4 WHEN last_age <= 60 THEN 3 WHEN last_age <= 120 THEN 2 WHEN last_age <= 365 THEN 1 ELSE 0 END)
-    + least(30.0, least(20.0, greatest(0.0, net_profit * 20.0 / 12.0)) + least(8.0, greatest(0.0, roi_ratio * 8.0 / 0.6)) + least(2.0, greatest(0.0, pp30 * 2.0 / 8.0)))
+    + least(30.0, least(20.0, greatest(0.0, net_profit * 20.0 / 12.0)) + least(8.0, greatest(0.0, roi_ratio * 8.0 / 0.6)) + CASE WHEN pp30 IS NULL THEN 0 ELSE least(2.0, greatest(0.0, pp30 * 2.0 / 8.0)) END)
     + CASE WHEN u365 <= 0 THEN 0 WHEN active = 0 THEN 20 WHEN months <= 1 THEN 20 WHEN months <= 3 THEN 17 WHEN months <= 6 THEN 13 WHEN months <= 12 THEN 8 WHEN months <= 24 THEN 3 ELSE 0 END + 0.5)::BIGINT AS score FROM e)
   SELECT id, score, CASE WHEN score >= 80 THEN 'A' WHEN score >= 65 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS band, eligible,
     CASE WHEN net_profit < 0 OR roi_ratio < 0 THEN 'REJECT' WHEN active > 50 AND days > 270 THEN 'REJECT' WHEN u365 = 0 THEN 'REVIEW' WHEN eligible AND score >= 65 THEN 'BUY' WHEN eligible AND score >= 50 THEN 'REVIEW' WHEN eligible THEN 'WATCH' WHEN net_profit >= 5 AND roi_ratio >= 0.15 AND resale >= 10 THEN 'WATCH' ELSE 'REJECT' END AS decision FROM p""")

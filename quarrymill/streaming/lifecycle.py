@@ -139,8 +139,8 @@ def apply_once(events: DataFrame, applied: DataFrame, key: str, digest: str) ->
     per_key = events.groupBy(key).agg(F.min(digest).alias("_low"), F.max(digest).alias("_high"))
     checked = events.join(per_key, key).join(applied.select(key, F.col(digest).alias("_applied")), key, "left")
     clash = (F.col("_low") != F.col("_high")) | (F.col("_applied") != F.col(digest))
-    guarded = checked.withColumn("_clash", F.when(F.coalesce(clash, F.lit(False)), F.raise_error(F.concat(F.lit("event has new content: "), F.col(key).cast("string")))))
-    fresh = guarded.where(F.col("_clash").isNull() & F.col("_applied").isNull()).drop("_clash", "_applied", "_low", "_high")
+    sound = F.when(F.coalesce(clash, F.lit(False)), F.raise_error(F.concat(F.lit("event has new content: "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.col("_applied").isNull())
+    fresh = checked.where(sound).drop("_applied", "_low", "_high")
     return fresh.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(digest))).where("_n = 1").drop("_n")
 
 
