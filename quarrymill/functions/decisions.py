@@ -194,16 +194,38 @@ def run_status(direct, catalog_coverage, productive, sale_coverage, blocked, par
     return {"status": chosen([(stop, "blocked"), (weak, "degraded")], "healthy"), "publishable": ~stop}
 
 
+def record_economics(paid, financial_refund, fulfilment_refund, quantity) -> dict[str, Column]:
+    """Refund, its share of what was paid, and the units that stay sold: none where the refund is as good as whole."""
+    p, a, b = (F.coalesce(col(c), F.lit(0.0)) for c in (paid, financial_refund, fulfilment_refund))
+    refund = F.greatest(a, b)
+    whole = (a >= p * 0.95) | ((a == 0) & (b >= p * 0.8))
+    return {"refund_amount": round_half_up(refund), "refund_rate": F.when(p > 0, round_plain(F.least(F.lit(1.0), refund / p), 4)).otherwise(0.0), "retained": F.when(whole, 0).otherwise(F.greatest(F.lit(1), F.floor(col(quantity)))).cast("long")}
+
+
 def charge_class(kind, fee_type, memo) -> Column:
-    """Class of a financial charge."""
-    text = F.lower(F.concat_ws(" ", col(fee_type), col(memo)))
-    return chosen([(text.rlike(r"\bad(?:_fee|s|vertis)|promoted"), "advertising"), (F.upper(col(kind)) == "SHIPPING_LABEL", "shipping_label"), (text.rlike("final_value|insertion|regulatory|fixed"), "selling_fee"), (F.upper(col(kind)) == "REFUND", "refund"), (F.upper(col(kind)) == "SALE", "sale")], "other")
+    """Class of a financial charge, from its type, fee type and memo."""
+    signal = F.upper(F.concat_ws(" ", col(fee_type), col(memo)))
+    # Names of fees that marketplaces charge for selling.
+    selling = "FINAL_VALUE|FIXED_PER_ORDER|INTERNATIONAL_FEE|REGULATORY_OPERATING|INSERTION_FEE|BELOW_STANDARD|HIGH_ITEM_NOT_AS_DESCRIBED"
+    return chosen([(col(kind) == "SHIPPING_LABEL", "shipping_label"), (signal.rlike(r"\bAD[_ ]FEE\b|PROMOTED|ADVERTIS"), "advertising"), (signal.rlike(selling), "selling_fee")], "other")
 
 
 def offer_type(text, percent, code) -> Column:
-    """Kind of a sale offer."""
+    """Kind of a sale offer, the first that fits."""
     t = F.lower(F.coalesce(col(text), F.lit("")))
-    return chosen([(t.rlike(r"\bbogo\b|buy\s+(?:one|1|2)\s+get"), "bogo"), (t.rlike(r"free\s+shipping"), "free_shipping"), (col(code).isNotNull(), "promo_code"), (col(percent).isNotNull(), "percent_off"), (t.rlike(r"\$\s*\d+\s+off"), "amount_off"), (t.rlike(r"clearance|closeout"), "clearance"), (t.rlike(r"\bsale\b"), "sale")], "other")
+    says = lambda p: t.rlike(p)
+    return chosen(
+        [
+            (says(r"\b(?:bogo|buy\s+(?:one|1)\s+get\s+(?:one|1)|(?:2|two)\s+for\s+(?:1|one))\b"), "bogo"),
+            (says(r"\bbuy\s+more\s+save\s+more\b|\bspend\s+\$?\d+\s+(?:get|save)\b"), "volume"),
+            (col(code).isNotNull() | says(r"\b(?:coupon|promo(?:tional)?\s+code|discount\s+code|use\s+code)\b"), "coupon"),
+            (col(percent).isNotNull(), "percent-sale"),
+            (says(r"\bgarage[- ]sale\b"), "garage-sale"),
+            (says(r"\bwarehouse[- ](?:overstock|sale)\b|\boverstock[- ]sale\b"), "warehouse-overstock"),
+            (says(r"\b(?:clearance|closeout|overstock|final\s+sale)\b"), "clearance"),
+        ],
+        "sale",
+    )
 
 
 def discount_qualifier(text, percent) -> Column:

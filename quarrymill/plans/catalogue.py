@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import decisions, money, text, urls
-from ..operators import aggregates, matching, ranking
+from ..operators import aggregates, campaigns, matching, ranking, research
 from ..sources import html as pages_html
 from ..sources import tables as files
 from ..streaming import lifecycle
@@ -268,8 +268,8 @@ def self_exclusion_anti(spark, sf_dir):
 def campaign_apply(spark, sf_dir):
     items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("source"), F.col("p_type").alias("collection"), F.col("p_retailprice").alias("price"))
     k = F.col("s_suppkey")
-    campaigns = table(spark, sf_dir, "supplier").select(k.alias("campaign_id"), (k % 50).cast("int").alias("source"), F.when(k % 2 == 0, "sitewide").otherwise("collection").alias("scope"), F.element_at(F.array(*[F.lit(x) for x in ("ECONOMY", "STANDARD", "PROMO", "LARGE")]), (k % 4 + 1).cast("int")).alias("scope_value"), (F.col("s_nationkey") + 10).alias("discount"))
-    return matching.apply_campaigns(items, campaigns, "id", "price")
+    offers = table(spark, sf_dir, "supplier").select(k.alias("campaign_id"), (k % 50).cast("int").alias("source"), F.when(k % 2 == 0, "sitewide").otherwise("collection").alias("scope"), F.element_at(F.array(*[F.lit(x) for x in ("ECONOMY", "STANDARD", "PROMO", "LARGE")]), (k % 4 + 1).cast("int")).alias("scope_value"), (F.col("s_nationkey") + 10).alias("discount"))
+    return matching.apply_campaigns(items, offers, "id", "price")
 
 
 @query("""WITH t AS (SELECT event_id AS txn_id, event_id * 3 AS order_id, (event_id % 9)::INTEGER AS line_id, event_id % 3000 AS item_id, event_type AS currency FROM events),
@@ -488,3 +488,119 @@ def exactly_once_events(spark, sf_dir):
 @query("""WITH d AS (SELECT unnest(range(0, 3)) AS k) SELECT (TIMESTAMP '2024-01-01' + k * INTERVAL 90 DAY) AS "from", least(TIMESTAMP '2024-01-01' + (k + 1) * INTERVAL 90 DAY - INTERVAL 1 MILLISECOND, TIMESTAMP '2024-07-15') AS "to" FROM d""")
 def date_slices(spark, sf_dir):
     return files.date_slices(spark, "2024-01-01", "2024-07-15", 90)
+
+
+# ---- campaigns and research --------------------------------------------------------------------------
+
+_OBS_SQL = """obs AS (SELECT event_id AS id, user_id AS base, CASE WHEN value >= 1 THEN floor(value)::BIGINT % 7 END AS discount, event_id % 5 = 0 AS verified, 'page' || event_id % 11 AS url, ts AS seen_at, 1 + event_id % 3 AS seen FROM events)"""
+
+
+def _campaign_rows(spark, sf_dir):
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select(e.alias("id"), F.col("user_id").alias("base"), F.when(F.col("value") >= 1, F.floor("value") % 7).alias("discount"), (e % 5 == 0).alias("verified"), F.concat(F.lit("page"), (e % 11).cast("string")).alias("url"), F.col("ts").alias("seen_at"), (e % 3 + 1).alias("seen"))
+
+
+_ELIGIBLE_SQL = """eligible AS (SELECT * FROM obs o WHERE verified OR NOT EXISTS (SELECT 1 FROM obs c WHERE c.verified AND c.base = o.base) OR EXISTS (SELECT 1 FROM obs c WHERE c.verified AND c.base = o.base AND c.discount IS NOT DISTINCT FROM o.discount))"""
+
+
+@query(f"WITH {_OBS_SQL}, {_ELIGIBLE_SQL} SELECT id, base, discount, verified FROM eligible")
+def conflicting_leads(spark, sf_dir):
+    return campaigns.eligible_observations(_campaign_rows(spark, sf_dir), ["base"], ["discount"]).select("id", "base", "discount", "verified")
+
+
+@query(f"""WITH {_OBS_SQL}, {_ELIGIBLE_SQL}, f AS (SELECT *, coalesce(discount, -1) AS d FROM eligible), r AS (SELECT *, row_number() OVER (PARTITION BY base, d ORDER BY (CASE WHEN verified THEN 1000000 ELSE 0 END) + length(url) DESC, id) AS n FROM f),
+  s AS (SELECT base, d, sum(seen)::BIGINT AS observations, count(DISTINCT url) AS pages, min(seen_at)::DATE::VARCHAR AS first_day, max(seen_at)::DATE::VARCHAR AS last_day FROM f GROUP BY 1, 2)
+  SELECT base, d, id, observations, pages, first_day, last_day FROM r JOIN s USING (base, d) WHERE n = 1""")
+def merged_observations(spark, sf_dir):
+    """One representative of each campaign and discount, with its observations counted."""
+    rows = campaigns.eligible_observations(_campaign_rows(spark, sf_dir), ["base"], ["discount"]).withColumn("d", F.coalesce("discount", F.lit(-1).cast("long")))
+    out = campaigns.merged_observations(rows, ["base", "d"], F.when(F.col("verified"), 1_000_000).otherwise(0) + F.length("url"), [F.col("id")])
+    day = lambda c: F.to_date(c).cast("string")
+    return out.select("base", "d", "id", "observations", "pages", day("first_seen").alias("first_day"), day("last_seen").alias("last_day"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, s_suppkey % 4 = 0 AS meaningful, s_suppkey % 7 = 0 AS failed, s_suppkey % 5 = 0 AS sale_failed, s_suppkey % 3 = 0 AS partial, s_suppkey % 2 = 0 AS reached, s_suppkey % 11 = 0 AS cat_failed, s_suppkey % 6 <> 1 AS attempted FROM supplier),
+  c AS (SELECT CASE WHEN meaningful AND (failed OR sale_failed OR partial) THEN 'degraded' WHEN meaningful THEN 'healthy' WHEN sale_failed AND reached AND NOT cat_failed THEN 'degraded' WHEN sale_failed OR failed THEN 'blocked' WHEN attempted THEN 'empty' ELSE 'not_checked' END AS state FROM s)
+  SELECT state, count(*) AS sources FROM c GROUP BY state""")
+def source_coverage(spark, sf_dir):
+    k = F.col("s_suppkey")
+    state = campaigns.source_coverage(k % 4 == 0, k % 7 == 0, k % 5 == 0, k % 3 == 0, k % 2 == 0, k % 11 == 0, k % 6 != 1)
+    return table(spark, sf_dir, "supplier").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("sources"))
+
+
+_EVIDENCE_SQL = f"""rr AS (SELECT l_partkey AS find, l_suppkey AS run, l_quantity::BIGINT AS sold, CASE WHEN l_linenumber % 4 <> 0 THEN floor(l_extendedprice) END AS price, CASE WHEN l_linenumber % 3 = 0 THEN floor(l_tax * 100) END AS shipping, l_linenumber AS score, l_shipdate::DATE::VARCHAR AS last_sold FROM lineitem),
+  ev AS (SELECT find, run, sum(sold)::BIGINT AS units, {round_sql("(sum(price * sold) / sum(sold) FILTER (price IS NOT NULL))")} AS average_price, {round_sql("(sum(shipping * sold) / sum(sold) FILTER (shipping IS NOT NULL))")} AS average_shipping, {round_sql("(sum(score * sold)::DOUBLE / sum(sold)::DOUBLE)", 4)} AS match_score, max(sold) AS largest_row, max(last_sold) AS last_sold FROM rr GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_EVIDENCE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY find ORDER BY units DESC, match_score DESC, run) AS n FROM ev) SELECT find, run, units, average_price, average_shipping, match_score, largest_row, last_sold FROM r WHERE n = 1""")
+def research_evidence(spark, sf_dir):
+    """Weighted evidence of every run of research rows, and the best run of each find."""
+    line = F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("find"), F.col("l_suppkey").alias("run"), F.col("l_quantity").cast("long").alias("sold"), F.when(line % 4 != 0, F.floor("l_extendedprice")).alias("price"), F.when(line % 3 == 0, F.floor(F.col("l_tax") * 100)).alias("shipping"), line.alias("score"), F.to_date("l_shipdate").cast("string").alias("last_sold"))
+    return research.best_run(research.run_evidence(rows, ["find", "run"]), "find", "run")
+
+
+@query("""WITH x AS (SELECT c_custkey AS find FROM customer), e AS (SELECT c_custkey AS find, c_nationkey AS entry FROM customer WHERE c_custkey % 3 = 0), f AS (SELECT c_custkey AS find, 100 + c_nationkey AS entry FROM customer WHERE c_custkey % 2 = 0)
+  SELECT find, entry, 'exact' AS match FROM e UNION ALL SELECT find, entry, 'fuzzy' FROM f WHERE find NOT IN (SELECT find FROM e)""")
+def exact_else_fuzzy(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("find"), "c_nationkey")
+    return research.exact_else_fuzzy(c, c.where("find % 3 = 0").select("find", F.col("c_nationkey").alias("entry")), c.where("find % 2 = 0").select("find", (F.col("c_nationkey") + 100).alias("entry")), "find")
+
+
+@query(f"""WITH {SOLD_SQL}, g AS (SELECT item, source, bool_and(gross <= 25 AND age IS NOT NULL) AND count(*) < 50 AND count(DISTINCT order_no) = count(*) AS sound, count(*) FILTER (age BETWEEN 0 AND 30) AS a, count(*) FILTER (age BETWEEN 0 AND 90) AS b, count(*) FILTER (age BETWEEN 0 AND 365) AS c FROM sold GROUP BY 1, 2)
+  SELECT item, source, sound, CASE WHEN sound THEN a END AS units_30, CASE WHEN sound THEN b END AS units_90, CASE WHEN sound THEN c END AS units_365 FROM g""")
+def dated_windows(spark, sf_dir):
+    rows = sold_lines(spark, sf_dir).select("item", "source", F.when(F.col("gross") <= 25, 1).otherwise(2).alias("sold"), "age", F.col("order_no").alias("listing"))
+    return research.dated_windows(rows, ["item", "source"])
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS t, [lower(p_type)] AS a, string_split(p_name || ' ' || lower(p_type), ' ') AS l FROM part), q AS (SELECT x.id, y.id AS listing, x.t, x.a, y.l FROM p x JOIN p y ON y.id BETWEEN x.id + 1 AND x.id + 3),
+  c AS (SELECT id, listing, len(list_filter(t, lambda w: list_contains(l, w))) AS hits, len(t) AS n, len(list_filter(a, lambda w: list_contains(l, w)))::DOUBLE / len(a) AS ac FROM q)
+  SELECT id, listing, """ + round_sql("(hits::DOUBLE / n::DOUBLE * 0.65 + ac * 0.2 + 0.15)", 3) + """ AS score, hits >= CASE WHEN n <= 2 THEN n ELSE greatest(2, ceil(n * 0.6)) END AND ac >= 0.5 AND hits::DOUBLE / n >= 0.6 AND """ + round_sql("(hits::DOUBLE / n::DOUBLE * 0.65 + ac * 0.2 + 0.15)", 3) + """ >= 0.8 AS matched FROM c""")
+def active_listing_match(spark, sf_dir):
+    """Each part's name against the three next parts as listings."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("t"), F.array(F.lower("p_type")).alias("a"), F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ").alias("l"))
+    pairs = p.select("id", "t", "a", F.explode(F.sequence(F.col("id") + 1, F.col("id") + 3)).alias("listing")).join(p.select(F.col("id").alias("listing"), "l"), "listing")
+    none = F.array().cast("array<string>")
+    out = research.listing_match(F.col("t"), F.col("a"), F.col("l"), none, none)
+    return pairs.select("id", "listing", out["score"].alias("score"), out["matched"].alias("matched"))
+
+
+@query(f"""WITH b AS (SELECT l_orderkey AS order_no, l_linenumber AS line_no, l_partkey AS item, l_suppkey AS source, l_extendedprice AS paid, {round_sql("l_extendedprice * l_discount")} AS fin, CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END AS ful, l_quantity AS q FROM lineitem),
+  x AS (SELECT *, greatest(fin, ful) AS refund FROM b) SELECT order_no, line_no, item, source, {round_sql("refund")} AS refund_amount, CASE WHEN paid > 0 THEN {plain_sql("least(1.0, refund / paid)", 4)} ELSE 0 END AS refund_rate,
+  (CASE WHEN fin >= paid * 0.95 OR (fin = 0 AND ful >= paid * 0.8) THEN 0 ELSE greatest(1, floor(q)) END)::BIGINT AS retained FROM x""")
+def record_economics(spark, sf_dir):
+    """Refund, refund rate and retained units of every sold line."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    b = l.select(F.col("l_orderkey").alias("order_no"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("source"), F.col("l_extendedprice").alias("paid"), money.round_half_up(F.col("l_extendedprice") * F.col("l_discount")).alias("fin"), F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).otherwise(0.0).alias("ful"), F.col("l_quantity").alias("q"))
+    out = decisions.record_economics("paid", "fin", "ful", "q")
+    return b.select("order_no", "line_no", "item", "source", *[c.alias(n) for n, c in out.items()])
+
+
+@query("""SELECT event_type, CASE WHEN event_type = 'purchase' THEN 'shipping_label' WHEN event_type || ' fee' ILIKE '%error%' THEN 'selling_fee' ELSE 'other' END AS charge, count(*) AS n FROM events GROUP BY 1, 2""")
+def charge_classes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "purchase", "SHIPPING_LABEL").otherwise("NON_SALE_CHARGE")
+    fee = F.when(F.col("event_type") == "error", "FINAL_VALUE_FEE").otherwise("")
+    return e.groupBy("event_type", decisions.charge_class(kind, fee, F.lit("")).alias("charge")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {SOLD_SQL}, p AS (SELECT item, source, order_no, CASE WHEN units = 0 THEN 1 ELSE 0 END AS gone, cents FROM sold),
+  o AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY gone, cents, order_no, source) AS r FROM p), k AS (SELECT item, source, cents FROM o WHERE r = 1), n AS (SELECT source, count(*) AS kept, min(cents) AS best FROM k GROUP BY source), a AS (SELECT source, count(*) AS seen FROM sold GROUP BY source)
+  SELECT s_suppkey AS source, coalesce(seen, 0)::BIGINT AS seen, coalesce(kept, 0)::BIGINT AS kept, best FROM supplier LEFT JOIN a ON a.source = s_suppkey LEFT JOIN n ON n.source = s_suppkey""")
+def source_yield(spark, sf_dir):
+    """Per source: rows seen, rows that are some item's best offer, the cheapest of these; sources without any stay."""
+    sold = sold_lines(spark, sf_dir)
+    best = ranking.best_per_key(sold, ["item"], [F.when(F.col("units") == 0, 1).otherwise(0), F.col("cents"), F.col("order_no"), F.col("source")])
+    sources = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"))
+    seen, kept = sold.groupBy("source").agg(F.count(F.lit(1)).alias("seen")), best.groupBy("source").agg(F.count(F.lit(1)).alias("kept"), F.min("cents").alias("best"))
+    return sources.join(seen, "source", "left").join(kept, "source", "left").select("source", F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("kept", F.lit(0)).alias("kept"), "best")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_retailprice / 40 * 1.2 AS was, p_retailprice / 40 AS price, p_retailprice / 30 AS sold, p_size FROM part) SELECT id, round(50 * 0.35 + least(20.0, floor((was - price) / was * 40 + 0.5)) + least(30.0, greatest(-20.0, floor((sold + 1 - price) * 1.5 + 0.5))) + CASE WHEN p_size > 0 THEN least(12.0, log2(1 + p_size) * 3) ELSE 0 END
+  + CASE WHEN p_size >= 20 THEN 25 WHEN p_size >= 10 THEN 20 WHEN p_size >= 5 THEN 14 WHEN p_size >= 2 THEN 7 ELSE 0 END + CASE WHEN price <= 13 THEN 12 WHEN price <= 15 THEN 9 WHEN price <= 20 THEN 5 WHEN price > 35 THEN -15 WHEN price > 25 THEN -10 ELSE -5 END, 6) AS score FROM p""")
+def quality_score(spark, sf_dir):
+    """Rank score of every part as a candidate."""
+    price = F.col("p_retailprice") / 40
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (price * 1.2).alias("was"), price.alias("price"), (F.col("p_retailprice") / 30).alias("sold"), F.lit(1.0).alias("ship"), "p_size")
+    return rows.select("id", F.round(decisions.quality_score(F.lit(50.0), F.lit(0), "was", "price", "sold", "ship", "p_size", "p_size"), 6).alias("score"))

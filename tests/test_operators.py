@@ -223,3 +223,32 @@ def test_hashes(spark):
     import hashlib
 
     assert frame.select(lifecycle.content_hash("b", "a", "c").alias("h")).first().h == hashlib.sha256(b'{"a":"x","b":1}').hexdigest()
+
+
+def test_coherent_claims(spark):
+    from quarrymill.operators.campaigns import coherent_claim
+
+    texts = ["20% off everything", "Sitewide! Take 15 % off", "20% off t-shirts and everything", "everything " + "x " * 60 + "20% off", "nice records", "Use code SAVE for all vinyl"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.c for r in frame.select(coherent_claim("t").alias("c"), "i").orderBy("i").collect()] == [True, True, False, False, False, True]
+
+
+def test_research_scores(spark):
+    from quarrymill.operators import research
+
+    words = lambda s: F.array(*[F.lit(w) for w in s.split()]) if s else F.array().cast("array<string>")
+    score = lambda t, a, r: round(spark.range(1).select(research.research_score(words(t), words(a), words(r), F.lit(r)).alias("x")).first().x, 4)
+    assert score("blue moon", "ann", "ann blue moon vinyl lp") == 0.94
+    assert score("blue moon", "ann", "ann moon blue lp") == 0 and score("blue moon", "ann", "blue moon") == 0 and score("", "ann", "x") == 0
+    entry = lambda t, g, e: round(spark.range(1).select(research.entry_score(words(t), words(g), words(e)).alias("x")).first().x, 4)
+    assert entry("blue moon", "ann blue moon", "blue moon") == 1.0 and entry("blue moon rising", "ann blue moon rising", "blue moon") == 0.92 and entry("blue moon", "blue moon", "blue sun") == 0.5
+    matched = spark.range(1).select(research.listing_match(words("blue moon 7"), words("ann"), words("ann blue moon 7 deluxe"), words("deluxe"), words("deluxe"))["matched"].alias("a"), research.listing_match(words("blue moon 7"), words("ann"), words("ann blue moon"), words(""), words(""))["matched"].alias("b"), research.listing_match(words("blue moon"), words("ann"), words("ann blue moon"), words("deluxe"), words(""))["reasons"].alias("c")).first()
+    assert (matched.a, matched.b, matched.c) == (True, False, ["edition-missing"])
+
+
+def test_page_health_and_status(spark):
+    from quarrymill.operators import campaigns
+
+    frame = spark.createDataFrame([(["u"], ["u"], "u"), (["v"], ["v"], "u"), ([], [], "u")], "c array<string>, k array<string>, u string")
+    assert [r.h for r in frame.select(campaigns.page_health("c", "k", "u", F.lit("report")).alias("h")).collect()] == ["success", "unknown", "report"]
+    assert spark.createDataFrame([("ended",), ("ongoing",), ("new",)], "s string").agg(campaigns.highest_status("s").alias("s")).first().s == "new"
