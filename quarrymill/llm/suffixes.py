@@ -436,8 +436,8 @@ def keep_rest(docs: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - {LENGTH - 1}, 0))) AS i FROM d)),
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, b[i + 1:i + {LENGTH}] AS s FROM (SELECT doc_id, b, unnest(range(0, greatest(octet_length(b) - {LENGTH - 1}, 0))) AS i FROM d)),
 first AS (SELECT s, arg_min({{'d': doc_id, 'i': i}}, {{'d': doc_id, 'i': i}}) AS f FROM w GROUP BY s HAVING count(*) > 1),
 dup AS (SELECT doc_id, i FROM w JOIN first USING (s) WHERE doc_id <> f.d OR i <> f.i),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {LENGTH})) AS p FROM dup),
