@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import decisions, money, text, urls
+from ..functions import candidates, decisions, money, text, urls
 from ..operators import aggregates, campaigns, matching, ranking, research
 from ..sources import html as pages_html
 from ..sources import tables as files
@@ -604,3 +604,14 @@ def quality_score(spark, sf_dir):
     price = F.col("p_retailprice") / 40
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (price * 1.2).alias("was"), price.alias("price"), (F.col("p_retailprice") / 30).alias("sold"), F.lit(1.0).alias("ship"), "p_size")
     return rows.select("id", F.round(decisions.quality_score(F.lit(50.0), F.lit(0), "was", "price", "sold", "ship", "p_size", "p_size"), 6).alias("score"))
+
+
+@query(f"""WITH docs AS (SELECT doc_id AS id, left(split_part(text, chr(10), 1), 60) || CASE WHEN doc_id % 3 = 0 THEN ' vinyl LP' WHEN doc_id % 3 = 1 THEN ' - Album' ELSE ' CD' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'https://shop.example.com/products/' || doc_id ELSE 'https://shop.example.com/about' END AS url FROM documents),
+  {candidates.assess_sql("title", "url", "docs").strip()}""")
+def candidate_assessment(spark, sf_dir):
+    """First reject reason or score of made-up listings whose titles are opening lines."""
+    k = F.col("doc_id")
+    kind = F.when(k % 3 == 0, " vinyl LP").when(k % 3 == 1, " - Album").otherwise(" CD")
+    d = table(spark, sf_dir, "documents").select(k.alias("id"), F.concat(F.substring(F.substring_index("text", "\n", 1), 1, 60), kind).alias("title"), F.when(k % 2 == 0, F.concat(F.lit("https://shop.example.com/products/"), k.cast("string"))).otherwise("https://shop.example.com/about").alias("url"))
+    out = candidates.assess("title", F.lit(""), F.lit(""), F.lit(""), "url", F.lit(False), F.lit(0))
+    return d.select("id", out["reject"].alias("reject"), out["score"].alias("score"))

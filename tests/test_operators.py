@@ -252,3 +252,35 @@ def test_page_health_and_status(spark):
     frame = spark.createDataFrame([(["u"], ["u"], "u"), (["v"], ["v"], "u"), ([], [], "u")], "c array<string>, k array<string>, u string")
     assert [r.h for r in frame.select(campaigns.page_health("c", "k", "u", F.lit("report")).alias("h")).collect()] == ["success", "unknown", "report"]
     assert spark.createDataFrame([("ended",), ("ongoing",), ("new",)], "s string").agg(campaigns.highest_status("s").alias("s")).first().s == "new"
+
+
+def test_shop_payload(spark):
+    from quarrymill.functions import candidates
+    from quarrymill.sources import catalogs
+
+    body = json.dumps({"products": [{"title": "Ann - Blue Moon", "handle": "blue-moon", "product_type": "Vinyl", "variants": [{"id": 7, "title": "Default Title", "price": "19.50", "compare_at_price": "25", "available": True, "barcode": " 123 ", "sku": "", "inventory_quantity": -1}, {"id": 8, "title": "CD", "price": "9", "available": True}, {"id": 9, "title": "x", "price": "9", "available": False}, {"id": 10, "title": "x", "price": "?"}]}]})
+    rows = catalogs.variant_rows(spark.createDataFrame([(1, body, "https://s.com"), (2, "broken", "o")], "page int, body string, origin string"), "page", "body", "origin").orderBy("position").collect()
+    assert [(r.title, r.price, r.compare_at, r.barcode, r.sku, r.inventory, r.url, r.variants) for r in rows] == [("Ann - Blue Moon", 19.5, 25.0, "123", None, None, "https://s.com/products/blue-moon?variant=7", 2), ("Ann - Blue Moon - CD", 9.0, None, None, None, None, "https://s.com/products/blue-moon?variant=8", 2)]
+    frame = spark.createDataFrame([tuple(rows[0][c] for c in ("title", "url", "product_type"))] + [(rows[1].title, rows[1].url, "")], "title string, url string, product_type string")
+    reject = candidates.assess("title", "product_type", F.lit(""), F.lit(""), "url", F.lit(True), F.lit(12))["reject"]
+    assert [r.title for r in catalogs.accepted(frame, reject).collect()] == ["Ann - Blue Moon"]
+    payload = json.dumps({"data": {"data": {"html": "<p>", "itemCountHtml": "3", "pageNumber": 2, "totalPages": 5}}})
+    got = spark.createDataFrame([(payload,), ("[]",), ("{}",)], "b string").select(catalogs.results_payload("b").alias("r")).collect()
+    assert [r.r and r.r.pages for r in got] == [5, None, None]
+
+
+def test_deal_pages(spark):
+    from quarrymill.sources import catalogs
+
+    feed = """<feed><entry><title>Ann - Blue Moon LP $15.99</title><link href="https://forum.com/1"/><updated>2026-01-01</updated><content>&lt;a href="https://forum.com/u"&gt;u&lt;/a&gt; &lt;a href="https://shop.com/p"&gt;link&lt;/a&gt;</content></entry>
+      <entry><title> </title></entry><entry><title>Old</title><category term="expired deal"/><content></content></entry></feed>"""
+    rows = catalogs.feed_entries(spark.createDataFrame([(1, feed)], "k int, x string"), "k", "x").collect()
+    assert [(r.title, r.price, r.discussion_url, r.deal_url, r.published, r.expired) for r in rows] == [("Ann - Blue Moon LP $15.99", 15.99, "https://forum.com/1", "https://shop.com/p", "2026-01-01", False), ("Old", None, "", None, None, True)]
+    page = "<h1>Blue <b>Moon</b></h1><p>Now $12.00</p><p>List price was a while ago set at $30.00</p> Price history $5.00"
+    d = catalogs.deal_detail(spark.createDataFrame([(1, page)], "k int, h string"), "k", "h").first()
+    assert (d.title, d.current, d.original, d.discount, d.expired) == ("Blue Moon", 12.0, 30.0, 60, False)
+    stats = spark.range(1).select(*[c.alias(n) for n, c in catalogs.sales_stats(F.lit("<b>Last Sold:</b> Jul 1, 2026 Low: $3.5 Median: 7 High: x")).items()]).first()
+    assert (stats.last_sold, stats.low, stats.median, stats.high) == ("Jul 1, 2026", 3.5, 7.0, None)
+    titles = ["[Deal] Ann - Blue Moon - $12.99 at shop", "Ann “Blue Moon” LP", "Something"]
+    got = spark.createDataFrame([(t,) for t in titles], "t string").select(catalogs.artist_title("t").alias("a")).collect()
+    assert [tuple(r.a) for r in got] == [("Ann", "Blue Moon"), ("Ann", "Blue Moon"), ("Unknown Artist", "Something")]
