@@ -284,3 +284,46 @@ def test_deal_pages(spark):
     titles = ["[Deal] Ann - Blue Moon - $12.99 at shop", "Ann “Blue Moon” LP", "Something"]
     got = spark.createDataFrame([(t,) for t in titles], "t string").select(catalogs.artist_title("t").alias("a")).collect()
     assert [tuple(r.a) for r in got] == [("Ann", "Blue Moon"), ("Ann", "Blue Moon"), ("Unknown Artist", "Something")]
+
+
+def test_listing_rules(spark):
+    from quarrymill.functions import listings as li
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    t = lambda s: F.lit(s)
+    assert [one(li.media_grade(t(a), t(b))) for a, b in (("Blue Moon Media: VG+ Sleeve: NM", ""), ("Blue Moon EX/VG", ""), ("Blue Moon near mint", ""), ("Blue Moon", "New"), ("Blue Moon", ""))] == ["VG+", "EX", "NM", "Sealed", "Unknown"]
+    assert one(li.third_party_seller(F.lit(None).cast("boolean"), t("Blue Store LLC"), t("blue.com"), t("x"))) is False
+    assert one(li.third_party_seller(F.lit(None).cast("boolean"), t("Someone"), t("blue.com"))) is True and one(li.third_party_seller(F.lit(True), t("Someone"), t("blue.com"))) is False
+    offer = lambda c, u, d: one(li.direct_new_offer(t(c), t("usd"), t("Brand New"), t(u), t(d), F.lit(None).cast("boolean"), F.lit(False), F.lit(False)))
+    assert offer("US", "https://shop.blue.com/p/1", "blue.com") and not offer("DE", "https://blue.com/p", "blue.com") and not offer("US", "https://notblue.com/p", "blue.com")
+    assert [one(li.offer_verification(t(a), t(b), t("g"), t(c), F.lit(None).cast("boolean"))) for a, b, c in (("official_api", "", ""), ("", "social-feed", ""), ("", "html", "marketplace_retailer"), ("", "html", "shop"))] == ["official_api", "discovery_lead", "discovery_lead", "direct_retailer"]
+    assert tuple(one(li.least_reference(("sales", F.lit(9.0)), ("guide", F.lit(7.0)), ("market", F.lit(7.0)), ("ten", F.lit(None)))))[::2] == (7.0, "guide")
+    assert tuple(one(li.guide_price(F.create_map(t("Near Mint (NM or M-)"), F.lit(0.0), t("Good (G)"), F.lit(3.456))))) == ("Good (G)", 3.46)
+    assert one(li.item_tokens([t("v1|123456789|0")], [t("https://x.com/itm/blue-moon/123456789?a=1"), t("https://x.com/itm/777777")])) == ["item:123456789", "item:777777"]
+    assert one(li.query_variants(t("Ann"), t("Blue Moon Original Motion Picture Soundtrack"))) == ["Ann Blue Moon Original Motion Picture Soundtrack", "Ann Blue Moon", "Ann Blue Moon Soundtrack", "Ann Blue Moon OST"]
+    assert one(li.conditional_discount(t("20% off for new customers"))) is True and one(li.strip_edition_noise(t("Blue Moon (2020) Deluxe Edition 2LP 180g Vinyl"))) == "Blue Moon"
+    assert one(li.observation_key(t(" A "), F.lit(2), F.lit(None))) == '["a","2",""]'
+
+
+def test_listing_operators(spark):
+    from quarrymill.operators import listings as lo
+
+    rows = spark.createDataFrame([("l1", "a", 5.0, 1), ("l2", "a", 4.0, 2), ("l1", "b", 90.0, 3), ("l2", "b", 95.0, 4), ("l2", "c", None, 5)], "lane string, item string, price double, id int")
+    good, bad = lo.lanes(rows, "lane", "item", "price", F.when(F.col("price") > 50, "too_dear").when(F.col("price").isNull(), "no_price"), [F.col("id")])
+    assert [(r.item, r.price, r.lanes) for r in good.collect()] == [("a", 4.0, ["l1", "l2"])]
+    assert sorted(tuple(r) for r in bad.collect()) == [("l1", "too_dear", 1), ("l2", "no_price", 1), ("l2", "too_dear", 1)]
+    assert sorted(tuple(r) for r in lo.work_queue(rows, "item", F.col("price") > 50).collect()) == [("a", 2, False, 1), ("b", 2, True, 3), ("c", 1, None, 5)]
+    ledger = spark.createDataFrame([("s", f"u{i % 6}", i) for i in range(12)], "source string, url string, seen int")
+    assert [r.url for r in lo.recheck_pages(ledger, "source", "url", F.when(F.col("url") == "u0", 1).otherwise(0), "seen").orderBy("rank").collect()] == ["u0", "u5", "u4", "u3"]
+    current = spark.createDataFrame([(1, "x", 10), (None, "y", 20), (None, "z", 30), (None, "z", 31)], "id int, title string, median int")
+    merged = lo.snapshot_merge(spark.createDataFrame([(1, "q"), (2, "y"), (3, "z")], "id int, title string"), current, "id", "title", ["median"])
+    assert {r.id: r.median for r in merged.collect()} == {1: 10, 2: 20, 3: None}
+    left, right = spark.createDataFrame([(1, "a", "u"), (2, "b", None)], "l int, k string, url string"), spark.createDataFrame([(7, "a", "u"), (8, "z", "u"), (9, "q", None)], "r int, k string, url string")
+    assert sorted(tuple(r) for r in lo.either_key(left, right, [("k", "k"), ("url", "url")], "l", "r").collect()) == [(1, 7), (1, 8)]
+    history = spark.createDataFrame([("old",), ("kept",)], "campaign string")
+    campaigns = spark.createDataFrame([("new", ["old", "new"]), ("kept", [])], "campaign string, merged array<string>")
+    assert sorted(r.campaign for r in lo.aliased(history, campaigns, "campaign", "merged").collect()) == ["kept", "new"]
+    runs = spark.createDataFrame([("draft", "3", "r3"), ("final", "2", "r2"), ("final", "1", "r1")], "phase string, created_at string, run string")
+    assert lo.latest_final(runs).first().run == "r2"
+    feedback, now = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, k string"), spark.createDataFrame([(1, "a"), (2, "x")], "id int, k string")
+    assert sorted(r.id for r in lo.prune_stale(feedback, now, "id", "k").collect()) == [1, 3]
