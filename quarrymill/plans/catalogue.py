@@ -62,11 +62,11 @@ def sold_by_condition(spark, sf_dir):
 
 @query(f"""WITH {SOLD_SQL}, m AS (SELECT item, condition, sum(units)::BIGINT AS units, sum(cents * units)::DOUBLE / nullif(sum(units), 0)::DOUBLE / 100.0::DOUBLE AS a FROM sold GROUP BY item, condition),
   grid AS (SELECT item, unnest(['new_sealed', 'used', 'unknown']) AS condition FROM (SELECT DISTINCT item FROM sold))
-  SELECT item, condition, coalesce(units, 0)::BIGINT AS units, round(a, 6) AS average FROM grid LEFT JOIN m USING (item, condition)""")
+  SELECT item, condition, coalesce(units, 0)::BIGINT AS units, {round_sql('a')} AS average FROM grid LEFT JOIN m USING (item, condition)""")
 def condition_metrics(spark, sf_dir):
     """Per item and condition, every condition present: the map flattened."""
     found = aggregates.condition_metrics(sold_lines(spark, sf_dir), ["item"], ["new_sealed", "used", "unknown"])
-    return found.select("item", F.explode("by_condition").alias("condition", "m")).select("item", "condition", F.col("m.units").alias("units"), F.round("m.average", 6).alias("average"))
+    return found.select("item", F.explode("by_condition").alias("condition", "m")).select("item", "condition", F.col("m.units").alias("units"), money.round_half_up("m.average").alias("average"))
 
 
 @query(f"""WITH {SOLD_SQL}, r AS (SELECT lower(p_brand) AS artist, p_brand AS shown, p_name, units FROM sold JOIN part ON p_partkey = item),
