@@ -143,35 +143,45 @@ def parse_record(raw: bytes) -> dict:
     }
 
 
-def mark_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html, digest and what a revisit refers to."""
+def _rows(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and digest, nulls as documented."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("large", F.octet_length("html") >= min_revisit)
-    # Only payloads that occur twice get a first record: one row per digest after the map-side part.
+    return rows.withColumn("digest", F.sha2("html", 256))
+
+
+def copied_payloads(rows: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """page_id, url, digest and the response (first_id, first_url) of the pages whose large payload occurs more than once. No payload moves."""
+    large = rows.where(F.octet_length("html") >= min_revisit).select("page_id", "url", "digest")
     order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.col("url").alias("url"))
-    firsts = rows.where("large").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("first")).where("copies > 1").select("digest", "first")
-    return rows.join(firsts, "digest", "left")
+    firsts = large.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("first")).where("copies > 1")
+    return large.join(firsts, "digest").select("page_id", "url", "digest", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url")).distinct()
 
 
 def write(pages: DataFrame, url: str, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, shard_records: int = SHARD_RECORDS) -> DataFrame:
     """Write the archive of `pages` under `url`; one row per shard: its manifest's name, files and records."""
     spark = pages.sparkSession
     arrow_rows(spark, 256)
-    rows = mark_revisits(pages, min_revisit)
+    rows = _rows(pages)
+    copied = copied_payloads(rows, min_revisit)
     total = pages.count()
     shards = max(1, -(-total // shard_records))
     # Splitters: a bounded bottom-k sample by hash of the id. Evenly spaced ids of the sample cut the range.
     sample = sorted(r[0] for r in pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("id")).orderBy(F.xxhash64("id"), "id").limit(min(20 * shards, 100_000)).collect())
     cuts = sorted({sample[len(sample) * k // shards] for k in range(1, shards)}) if sample else []
-    # The shard of a row: by binary search among the cuts, in a literal array.
-    shard = F.lit(0) if not cuts else F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("page_id"))), F.lit(0)) if len(cuts) <= 64 else None
-    if shard is None:
-        edges = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None], strict=True))], "shard int, lo long, hi long")
-        rows = rows.join(F.broadcast(edges), (F.col("lo").isNull() | (F.col("page_id") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("page_id") < F.col("hi"))) | (F.col("page_id").isNull() & F.col("lo").isNull()))
-    else:
-        rows = rows.withColumn("shard", shard.cast("int"))
-    columns = ["shard", "page_id", "url", "html", "digest", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"), F.col("first").isNotNull().alias("copied")]
-    ordered = rows.select(*columns).repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    edges = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None], strict=True))], "shard int, lo long, hi long")
+    id_, lo, hi = F.col("page_id"), F.col("lo"), F.col("hi")
+
+    def sharded(frame: DataFrame) -> DataFrame:
+        if len(cuts) <= 256:
+            return frame.withColumn("shard", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>"), lambda c: c <= F.coalesce(id_, F.lit(-(1 << 63))))).cast("int"))
+        # one row a shard: at most `total / shard_records` rows are broadcast, 24 bytes each
+        inside = (lo.isNull() | (id_ >= lo)) & (hi.isNull() | (id_ < hi)) | (id_.isNull() & lo.isNull())
+        return frame.join(F.broadcast(edges), inside).drop("lo", "hi")
+
+    # Payloads move once, to their shard; the notes on copies (kind 0) meet them there and come before their page.
+    notes = sharded(copied).select("shard", "page_id", "digest", "url", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("html"), "first_id", "first_url")
+    bodies = sharded(rows).select("shard", "page_id", "digest", "url", F.lit(1).alias("kind"), "html", F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url"))
+    ordered = bodies.unionByName(notes).repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "url", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder, state = Folder(url), None
@@ -195,13 +205,20 @@ def write(pages: DataFrame, url: str, roll_bytes: int = ROLL_BYTES, min_revisit:
                 if state is None or state["shard"] != r["shard"]:
                     if state:
                         yield finish()
-                    state = {"shard": r["shard"], "files": [], "out": io.BytesIO(), "n": 0, "led": set()}
-                refers = None
-                if r["copied"] and not (r["page_id"] == r["first_id"] and r["url"] == r["first_url"] and r["digest"] not in state["led"]):
-                    refers = r["first_id"]
-                elif r["copied"]:
-                    state["led"].add(r["digest"])
-                raw = record(r["page_id"], r["url"], r["html"].encode(), r["digest"], refers, r["first_url"])
+                    state = {"shard": r["shard"], "files": [], "out": io.BytesIO(), "n": 0, "note": None, "led": None}
+                key = (r["page_id"], r["digest"], r["url"])
+                if r["kind"] == 0:
+                    state["note"] = (key, r["first_id"], r["first_url"])
+                    continue
+                refers, first_url = None, None
+                if state["note"] and state["note"][0] == key:
+                    _, first, first_url = state["note"]
+                    # Of equal rows with the least id, which stand together here, the first one leads.
+                    if (r["page_id"], r["url"]) == (first, first_url) and state["led"] != key:
+                        state["led"] = key
+                    else:
+                        refers = first
+                raw = record(r["page_id"], r["url"], r["html"].encode(), r["digest"], refers, first_url)
                 state["out"].write(gzip.compress(raw, 6, mtime=0))
                 state["n"] += 1
                 if state["out"].tell() >= roll_bytes:
