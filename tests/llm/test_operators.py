@@ -193,6 +193,31 @@ def test_jaccard_near_the_threshold(spark):
     assert got == jaccard_truth(rows)
 
 
+@pytest.mark.parametrize("large", [2, 8])
+def test_jaccard_groups_without_their_base(spark, monkeypatch, large):
+    """Near copies with one to six edits each, their base missing, of several lengths, some edits and passages shared between groups."""
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    rng = random.Random(large)
+    rows = []
+    common = [f"c{i}" for i in range(25)]
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(rng.choice((40, 60, 90, 140)))] + common
+        for _ in range(28):
+            words = list(base)
+            for _ in range(rng.randint(1, 6)):
+                at = rng.randrange(len(words))
+                kind = rng.random()
+                if kind < 0.5:
+                    words[at] = f"e{rng.randint(0, 10)}"
+                elif kind < 0.75:
+                    del words[at]
+                else:
+                    words.insert(at, f"e{rng.randint(0, 10)}")
+            rows.append((len(rows), " ".join(words)))
+    got = Counter(tuple(r) for r in jaccard.classify(table(spark, rows)).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == jaccard_truth(rows)
+
+
 def test_keep_one_keeps_columns(spark, corpus):
     frame = table(spark, corpus)
     kept = jaccard.keep_one(frame)
