@@ -35,7 +35,7 @@ from .warc import Folder
 
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
 SALT = 8
-_FLUSH = 1 << 21  # pairs held by a counting task before it packs them
+_FLUSH = 3 << 19  # pairs held by a counting task before it packs them
 _BLOCK = "part int, a binary, b binary, n binary"
 _BLOCK_ARROW = pa.schema([("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())])
 
@@ -107,9 +107,10 @@ def _parts(batches):
 
 
 def _save(folder: Folder, name: str, **arrays: np.ndarray) -> None:
+    """Arrays as files; counts in 32 bits where they fit."""
     for key, array in arrays.items():
         out = io.BytesIO()
-        np.save(out, array)
+        np.save(out, array.astype(np.uint32) if key != "key" and array.max(initial=0) < 2**32 else array)
         folder.write(f"{name}.{key}.npy", out.getvalue())
 
 
@@ -151,14 +152,16 @@ def train(docs: DataFrame, url: str | None = None, parts: int | None = None) ->
         held, size = [], 0
 
         def pack():
-            keys, n = grouped(tuple(np.concatenate([h[k] for h in held]) for k in (0, 1)), np.concatenate([h[2] for h in held]))
+            u, w, n = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2))
+            held.clear()
+            keys, n = grouped((u, w), n)
             for a in range(0, len(n), _FLUSH // 2):
                 u, w = keys[0][a : a + _FLUSH // 2], keys[1][a : a + _FLUSH // 2]
                 yield from _packed(part_of(u, w, parts), u, w, n[a : a + _FLUSH // 2].astype(np.uint32))
 
         for batch in slices(batches):
             w, u, _ = tokens(batch.column("text"))
-            (u, w), n = grouped((u, w), np.ones(len(w), np.int64))
+            (u, w), n = grouped((u, w), np.ones(len(w), np.uint32))
             held.append((u, w, n))
             size += len(n)
             if size >= _FLUSH:
@@ -175,10 +178,10 @@ def train(docs: DataFrame, url: str | None = None, parts: int | None = None) ->
             (u, w), c = grouped((u, w), np.concatenate([np.frombuffer(b[2], np.uint32) for b in blocks]).astype(np.int64))
             g = gram(u, w)
             order = np.argsort(g)
-            _save(folder, f"bigram-{part}", key=g[order], count=np.minimum(c[order], 2**32 - 1).astype(np.uint32))
+            _save(folder, f"bigram-{part}", key=g[order], count=c[order])
             # contexts: total, followers seen once, twice, more often
             (cu,), stats = grouped((u,), np.stack([c, c == 1, c == 2, c > 2], axis=1).astype(np.int64))
-            yield from _packed(word_part(cu, parts), cu, None, stats.astype(np.uint32 if stats.max() < 2**32 else np.int64).astype(np.int64), 1)
+            yield from _packed(word_part(cu, parts), cu, None, stats, 1)
             # words: distinct words before, occurrences
             (cw,), stats = grouped((w,), np.stack([np.ones_like(c), c], axis=1))
             yield from _packed(word_part(cw, parts), cw, None, stats, 2)
