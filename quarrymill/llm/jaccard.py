@@ -12,8 +12,10 @@ out what cannot reach the threshold:
    common >= 4 (n1 + n2) / 9 and at most max(n1 - p1, n2 - p2) of them lie behind the prefixes.
 4. The rest is verified with whole sets. First every row with its best partner; what these links already join
    needs no more comparison. Then all remaining pairs of different components. A shingle with more than
-   `LARGE` rows gives only pairs with one row of it at first, and pairs across components in the second round,
-   so a group of copies is compared with its hub and not with itself.
+   `LARGE` rows gives only pairs with its hub at first: the row with fewest rarer shingles before it, so the text
+   that others were edited from. In the second round it gives pairs across components, and of these only such as
+   can share enough: two rows share no more prefix shingles than either has in common with any row at all.
+   So a group of copies is compared with its hub and not with itself.
 5. Connected components of the verified links.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of fewer than five words is one shingle. Shingles
@@ -34,7 +36,7 @@ from .blocks import SPACE, arrow_rows, lower, mix, prefix_hash, slices, span_has
 from .components import connected_components
 
 WIDTH = 5
-LARGE = 64
+LARGE = 8
 _BUCKET_BITS = 20
 _ROWS_OF_COUNTS = 64
 _POSTING = np.dtype([("h", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("at", "<u4")])
@@ -123,7 +125,7 @@ def frequency_levels(described: DataFrame) -> np.ndarray:
 
 _PAIRS_SQL = "kind int, x long, y long, nx long, ny long, votes long, h long"
 _PAIRS = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("nx", pa.int64()), ("ny", pa.int64()), ("votes", pa.int64()), ("h", pa.int64())])
-_PAIR, _STAR, _LARGE_ROW = 0, 1, 2
+_PAIR, _STAR, _LARGE_ROW, _SHARED = 0, 1, 2, 3
 
 
 def _summed(x, y, nx, ny, votes, kind):
@@ -197,14 +199,18 @@ def meet_prefixes(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
         if xs:
             x, y = np.concatenate(xs), np.concatenate(ys)
             yield from _summed(sig[x], sig[y], n[x], n[y], np.ones(len(x), np.int64), _PAIR)
+        shared, times = np.unique(sig[np.repeat(m > 1, m)], return_counts=True)
+        c = len(shared)
+        if c:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(c, _SHARED, np.int32)), pa.array(shared), *[pa.nulls(c, pa.int64())] * 3, pa.array(times), pa.nulls(c, pa.int64())], schema=_PAIRS)
         xs, ys = [], []
         for k in np.flatnonzero(m > LARGE).tolist():
             own = np.arange(head[k], head[k] + m[k])
-            hub = own[np.argmin(mix(sig[own].view(np.uint64)))]
+            hub = own[np.lexsort((mix(sig[own].view(np.uint64)), r["at"][own]))[0]]
             near = own[(own != hub) & _near_sizes(n[own], n[hub])]
             xs.append(near), ys.append(np.full(len(near), hub))
             c = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(c, _LARGE_ROW, np.int32)), pa.array(sig[own]), pa.nulls(c, pa.int64()), pa.array(n[own]), pa.nulls(c, pa.int64()), pa.nulls(c, pa.int64()), pa.array(r["h"][own].view(np.int64))], schema=_PAIRS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(c, _LARGE_ROW, np.int32)), pa.array(sig[own]), pa.array(np.full(c, sig[hub])), pa.array(n[own]), pa.nulls(c, pa.int64()), pa.nulls(c, pa.int64()), pa.array(r["h"][own].view(np.int64))], schema=_PAIRS)
         if xs:
             x, y = np.concatenate(xs), np.concatenate(ys)
             yield from _summed(sig[x], sig[y], n[x], n[y], np.ones(len(x), np.int64), _STAR)
@@ -226,15 +232,22 @@ def meet_prefixes(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
 
 
 def across_components(rows: DataFrame, parts: int) -> DataFrame:
-    """Pairs of rows (h, sig, n, label) of a large shingle that are in different components, with shared shingles counted."""
+    """Pairs of rows (h, sig, n, label, shared, hub, main, under) of a large shingle that are in different components, with shared shingles counted.
 
-    def settle(sig, n, label):
+    shared: how many prefix shingles a row has in common with any other row; hub: the shingle's; main: the hub under which the row
+    stands most often, `under` times. Two rows with one main hub share at most the lesser `under` there. Where that isn't enough they
+    have to meet under another hub or a small shingle too, so they aren't paired here (and `under` is added to what is counted there)."""
+
+    def settle(sig, n, label, shared, hub, main, under):
         if label[0] == label[-1]:  # sorted by label
             return
+        behind = n - prefix_size(n)
+        home = main == hub
         for i in range(len(sig)):
             first = np.searchsorted(label, label[i], side="right")
             j = np.arange(first, len(sig))
-            j = j[_near_sizes(n[i], n[j])]
+            bound = required(n[i], n[j]) - np.maximum(behind[i], behind[j])
+            j = j[_near_sizes(n[i], n[j]) & (np.minimum(shared[i], shared[j]) >= bound) & (~(home[i] & home[j]) | (np.minimum(under[i], under[j]) >= bound))]
             if len(j):
                 yield np.full(len(j), sig[i]), sig[j], np.full(len(j), n[i]), n[j]
 
@@ -243,7 +256,7 @@ def across_components(rows: DataFrame, parts: int) -> DataFrame:
 
         def flush():
             table = pa.Table.from_batches(held)
-            yield from settle(*(table.column(c).to_numpy() for c in ("sig", "n", "label")))
+            yield from settle(*(table.column(c).to_numpy() for c in ("sig", "n", "label", "shared", "hub", "main", "under")))
 
         def give():
             x, y, nx, ny = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -270,10 +283,14 @@ def across_components(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "h").sortWithinPartitions("h", "label").mapInArrow(run, _PAIRS_SQL)
 
 
-def _possible(pairs: DataFrame) -> DataFrame:
-    """Pairs whose shared prefix shingles are enough for their sizes."""
+def _possible(pairs: DataFrame, mains: DataFrame | None = None) -> DataFrame:
+    """Pairs whose shared prefix shingles are enough for their sizes; mains (sig, main, under) adds what pairs may share under a hub."""
     total = pairs.groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.sum("votes").alias("votes"), F.max("kind").alias("kind"))
     behind = lambda n: F.expr(f"(4 * {n} + 4) div 5 - 1")  # noqa: E731  n - prefix_size(n)
+    if mains is not None:
+        left, right = (mains.select(F.col("sig").alias(c), F.col("main").alias(f"_m{c}"), F.col("under").alias(f"_u{c}")) for c in ("x", "y"))
+        more = F.when(F.col("_mx") == F.col("_my"), F.least("_ux", "_uy")).otherwise(0)
+        total = total.join(left, "x", "left").join(right, "y", "left").withColumn("votes", F.col("votes") + F.coalesce(more, F.lit(0))).select("x", "y", "nx", "ny", "votes", "kind")
     return total.where((F.col("kind") == _STAR) | (F.col("votes") >= F.expr("(4 * (nx + ny) + 8) div 9") - F.greatest(behind("nx"), behind("ny"))))
 
 
@@ -330,7 +347,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([out.column("x"), out.column("y")], names=["a", "b"])
 
     sets = docs.mapInArrow(take, "sig long, items binary")
-    sets = stored(sets.join(wanted, "sig", "left_semi").dropDuplicates(["sig"]), "wanted-sets")
+    sets = sets.groupBy("sig").agg(F.first("items").alias("items"))  # copies in several tasks send equal sets
     both = pairs.select("x", "y").join(sets.select(F.col("sig").alias("x"), F.col("items").alias("left")), "x").join(sets.select(F.col("sig").alias("y"), F.col("items").alias("right")), "y")
     return stored(both.mapInArrow(compare, "a long, b long"), "links")
 
@@ -343,20 +360,23 @@ def classify(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = describe(docs)
     found = meet_prefixes(docs, frequency_levels(described), parts)
-    pairs = stored(_possible(found.where(F.col("kind") != _LARGE_ROW)), "possible-pairs")
-    # Round one: every row with the partner that shares most of its prefix.
-    each = pairs.select(F.col("x").alias("v"), "x", "y", "votes").unionByName(pairs.select(F.col("y").alias("v"), "x", "y", "votes"))
-    best = each.groupBy("v").agg(F.max_by(F.struct("x", "y"), F.struct("votes", "x", "y")).alias("p")).select("p.x", "p.y").distinct()
+    pairs = stored(_possible(found.where(F.col("kind").isin(_PAIR, _STAR))), "possible-pairs")
+    # Round one: every row with the hub, or else the partner, that shares most of its prefix.
+    each = pairs.select(F.col("x").alias("v"), "kind", "x", "y", "votes").unionByName(pairs.select(F.col("y").alias("v"), "kind", "x", "y", "votes"))
+    best = each.groupBy("v").agg(F.max_by(F.struct("x", "y"), F.struct("kind", "votes", "x", "y")).alias("p")).select("p.x", "p.y").distinct()
     best = stored(best, "best-pairs")
     links = verify(docs, best)
     labels = connected_components(links)
     # Round two: what is still apart.
     x_label, y_label = labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), labels.select(F.col("node").alias("y"), F.col("label").alias("ly"))
-    large = found.where(F.col("kind") == _LARGE_ROW).select("h", F.col("x").alias("sig"), F.col("nx").alias("n"))
-    large = large.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("h", "sig", "n", F.coalesce("label", "sig").alias("label"))
+    large = found.where(F.col("kind") == _LARGE_ROW).select("h", F.col("x").alias("sig"), F.col("nx").alias("n"), F.col("y").alias("hub"))
+    mains = large.groupBy("sig", "hub").agg(F.count(F.lit(1)).alias("under")).groupBy("sig").agg(F.max_by(F.struct("hub", "under"), F.struct("under", "hub")).alias("m")).select("sig", F.col("m.hub").alias("main"), F.col("m.under").alias("under"))
+    mains = stored(mains, "main-hubs")
+    shared = found.where(F.col("kind") == _SHARED).groupBy(F.col("x").alias("sig")).agg(F.sum("votes").alias("shared"))
+    large = large.join(shared, "sig").join(mains, "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("h", "sig", "n", F.coalesce("label", "sig").alias("label"), "shared", "hub", "main", "under")
     columns = ["kind", "x", "y", "nx", "ny", "votes"]
     rest = found.where(F.col("kind") == _PAIR).select(columns).unionByName(across_components(large, parts).select(columns))
-    rest = _possible(rest).join(x_label, "x", "left").join(y_label, "y", "left").where(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y").join(best, ["x", "y"], "left_anti")
+    rest = _possible(rest, mains).join(x_label, "x", "left").join(y_label, "y", "left").where(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y").join(best, ["x", "y"], "left_anti")
     rest = stored(rest, "remaining-pairs")
     if not rest.isEmpty():
         labels = connected_components(links.unionByName(verify(docs, rest)))
