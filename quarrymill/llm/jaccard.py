@@ -210,7 +210,7 @@ def meet_prefixes(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
             near = own[(own != hub) & _near_sizes(n[own], n[hub])]
             xs.append(near), ys.append(np.full(len(near), hub))
             c = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(c, _LARGE_ROW, np.int32)), pa.array(sig[own]), pa.array(np.full(c, sig[hub])), pa.array(n[own]), pa.nulls(c, pa.int64()), pa.nulls(c, pa.int64()), pa.array(r["h"][own].view(np.int64))], schema=_PAIRS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(c, _LARGE_ROW, np.int32)), pa.array(sig[own]), pa.array(np.full(c, sig[hub])), pa.array(n[own]), pa.array(r["at"][own].astype(np.int64)), pa.nulls(c, pa.int64()), pa.array(r["h"][own].view(np.int64))], schema=_PAIRS)
         if xs:
             x, y = np.concatenate(xs), np.concatenate(ys)
             yield from _summed(sig[x], sig[y], n[x], n[y], np.ones(len(x), np.int64), _STAR)
@@ -232,13 +232,15 @@ def meet_prefixes(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
 
 
 def across_components(rows: DataFrame, parts: int) -> DataFrame:
-    """Pairs of rows (h, sig, n, label, shared, hub, main, under) of a large shingle that are in different components, with shared shingles counted.
+    """Pairs of rows (h, sig, n, at, label, shared, hub, main, under) of a large shingle that are in different components, with shared shingles counted.
 
     shared: how many prefix shingles a row has in common with any other row; hub: the shingle's; main: the hub under which the row
     stands most often, `under` times. Two rows with one main hub share at most the lesser `under` there. Where that isn't enough they
-    have to meet under another hub or a small shingle too, so they aren't paired here (and `under` is added to what is counted there)."""
+    have to meet under another hub or a small shingle too, so they aren't paired here (and `under` is added to what is counted there).
+    at: the shingle's place in the row's order. What two rows share before it is in both prefixes, so no more than the lesser `shared`;
+    from it on they share no more than the shorter rest."""
 
-    def settle(sig, n, label, shared, hub, main, under):
+    def settle(sig, n, at, label, shared, hub, main, under):
         if label[0] == label[-1]:  # sorted by label
             return
         behind = n - prefix_size(n)
@@ -247,7 +249,8 @@ def across_components(rows: DataFrame, parts: int) -> DataFrame:
             first = np.searchsorted(label, label[i], side="right")
             j = np.arange(first, len(sig))
             bound = required(n[i], n[j]) - np.maximum(behind[i], behind[j])
-            j = j[_near_sizes(n[i], n[j]) & (np.minimum(shared[i], shared[j]) >= bound) & (~(home[i] & home[j]) | (np.minimum(under[i], under[j]) >= bound))]
+            reach = np.minimum(shared[i], shared[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+            j = j[_near_sizes(n[i], n[j]) & (reach >= required(n[i], n[j])) & (np.minimum(shared[i], shared[j]) >= bound) & (~(home[i] & home[j]) | (np.minimum(under[i], under[j]) >= bound))]
             if len(j):
                 yield np.full(len(j), sig[i]), sig[j], np.full(len(j), n[i]), n[j]
 
@@ -256,7 +259,7 @@ def across_components(rows: DataFrame, parts: int) -> DataFrame:
 
         def flush():
             table = pa.Table.from_batches(held)
-            yield from settle(*(table.column(c).to_numpy() for c in ("sig", "n", "label", "shared", "hub", "main", "under")))
+            yield from settle(*(table.column(c).to_numpy() for c in ("sig", "n", "at", "label", "shared", "hub", "main", "under")))
 
         def give():
             x, y, nx, ny = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -280,7 +283,8 @@ def across_components(rows: DataFrame, parts: int) -> DataFrame:
         if out:
             yield from give()
 
-    return rows.repartition(parts, "h").sortWithinPartitions("h", "label").mapInArrow(run, _PAIRS_SQL)
+    # Shingles of one hub mostly hold the same rows: in two places for each hub their pairs are added up before they move.
+    return rows.repartition(parts, "hub", F.col("h") % 2).sortWithinPartitions("hub", "h", "label").mapInArrow(run, _PAIRS_SQL)
 
 
 def _possible(pairs: DataFrame, mains: DataFrame | None = None) -> DataFrame:
@@ -369,11 +373,11 @@ def classify(docs: DataFrame) -> DataFrame:
     labels = connected_components(links)
     # Round two: what is still apart.
     x_label, y_label = labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), labels.select(F.col("node").alias("y"), F.col("label").alias("ly"))
-    large = found.where(F.col("kind") == _LARGE_ROW).select("h", F.col("x").alias("sig"), F.col("nx").alias("n"), F.col("y").alias("hub"))
+    large = found.where(F.col("kind") == _LARGE_ROW).select("h", F.col("x").alias("sig"), F.col("nx").alias("n"), F.col("y").alias("hub"), F.col("ny").alias("at"))
     mains = large.groupBy("sig", "hub").agg(F.count(F.lit(1)).alias("under")).groupBy("sig").agg(F.max_by(F.struct("hub", "under"), F.struct("under", "hub")).alias("m")).select("sig", F.col("m.hub").alias("main"), F.col("m.under").alias("under"))
     mains = stored(mains, "main-hubs")
     shared = found.where(F.col("kind") == _SHARED).groupBy(F.col("x").alias("sig")).agg(F.sum("votes").alias("shared"))
-    large = large.join(shared, "sig").join(mains, "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("h", "sig", "n", F.coalesce("label", "sig").alias("label"), "shared", "hub", "main", "under")
+    large = large.join(shared, "sig").join(mains, "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("h", "sig", "n", "at", F.coalesce("label", "sig").alias("label"), "shared", "hub", "main", "under")
     columns = ["kind", "x", "y", "nx", "ny", "votes"]
     rest = found.where(F.col("kind") == _PAIR).select(columns).unionByName(across_components(large, parts).select(columns))
     rest = _possible(rest, mains).join(x_label, "x", "left").join(y_label, "y", "left").where(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y").join(best, ["x", "y"], "left_anti")
