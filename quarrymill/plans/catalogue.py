@@ -150,6 +150,19 @@ def expansion_tokens(spark, sf_dir):
     return per.where("docs >= 2").orderBy(F.desc("docs"), "first_pos", "token").limit(5).select("token", "docs", "first_pos")
 
 
+@query("""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '' AND x NOT IN ('the','a','an','lp','vinyl','record','records','album','used')) AS w FROM documents),
+  e AS (SELECT doc_id, unnest(w) AS token, unnest(range(0, len(w))) AS pos FROM t), c AS (SELECT token, count(DISTINCT doc_id) AS docs, min(pos) AS first_pos FROM e GROUP BY token)
+  SELECT token, docs, first_pos FROM c WHERE docs >= 2 ORDER BY docs DESC, first_pos, token LIMIT 5""")
+def expansion_tokens_whole(spark, sf_dir):
+    """The five words in most documents, every word of every text counted. doc_id is the key of documents, so distinct words of
+    a text need no shuffle by document: only sums of words move."""
+    words = table(spark, sf_dir, "documents").select(text.word_list("text").alias("w"))
+    first = words.select(F.posexplode("w").alias("pos", "token")).groupBy("token").agg(F.lit(0).cast("long").alias("docs"), F.min("pos").alias("pos"))
+    docs = words.select(F.explode(F.array_distinct("w")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.lit(None).cast("int").alias("pos"))
+    per = first.unionByName(docs).groupBy("token").agg(F.sum("docs").alias("docs"), F.min("pos").alias("first_pos"))
+    return per.where("docs >= 2").orderBy(F.desc("docs"), "first_pos", "token").limit(5)
+
+
 _KEYWORDS_SQL = ", ".join("('{}')".format(k.replace("'", "''")) for k in text.RISK_KEYWORDS)
 
 
@@ -606,12 +619,23 @@ def quality_score(spark, sf_dir):
     return rows.select("id", F.round(decisions.quality_score(F.lit(50.0), F.lit(0), "was", "price", "sold", "ship", "p_size", "p_size"), 6).alias("score"))
 
 
-@query(f"""WITH docs AS (SELECT doc_id AS id, left(split_part(text, chr(10), 1), 60) || CASE WHEN doc_id % 3 = 0 THEN ' vinyl LP' WHEN doc_id % 3 = 1 THEN ' - Album' ELSE ' CD' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'https://shop.example.com/products/' || doc_id ELSE 'https://shop.example.com/about' END AS url FROM documents),
-  {candidates.assess_sql("title", "url", "docs").strip()}""")
-def candidate_assessment(spark, sf_dir):
-    """First reject reason or score of made-up listings whose titles are opening lines."""
+def _assessed(spark, sf_dir, opening):
     k = F.col("doc_id")
     kind = F.when(k % 3 == 0, " vinyl LP").when(k % 3 == 1, " - Album").otherwise(" CD")
-    d = table(spark, sf_dir, "documents").select(k.alias("id"), F.concat(F.substring(F.substring_index("text", "\n", 1), 1, 60), kind).alias("title"), F.when(k % 2 == 0, F.concat(F.lit("https://shop.example.com/products/"), k.cast("string"))).otherwise("https://shop.example.com/about").alias("url"))
+    d = table(spark, sf_dir, "documents").select(k.alias("id"), F.concat(opening, kind).alias("title"), F.when(k % 2 == 0, F.concat(F.lit("https://shop.example.com/products/"), k.cast("string"))).otherwise("https://shop.example.com/about").alias("url"))
     out = candidates.assess("title", F.lit(""), F.lit(""), F.lit(""), "url", F.lit(False), F.lit(0))
     return d.select("id", out["reject"].alias("reject"), out["score"].alias("score"))
+
+
+@query(f"""WITH docs AS (SELECT doc_id AS id, left(split_part(text, chr(10), 1), 60) || CASE WHEN doc_id % 3 = 0 THEN ' vinyl LP' WHEN doc_id % 3 = 1 THEN ' - Album' ELSE ' CD' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'https://shop.example.com/products/' || doc_id ELSE 'https://shop.example.com/about' END AS url FROM documents),
+  {candidates.assess_sql("title", "url", "docs").strip()}""")
+def candidate_assessment(spark, sf_dir):
+    """First reject reason or score of made-up listings whose titles are opening lines."""
+    return _assessed(spark, sf_dir, F.substring(F.substring_index("text", "\n", 1), 1, 60))
+
+
+@query(f"""WITH docs AS (SELECT doc_id AS id, split_part(text, chr(10), 1) || CASE WHEN doc_id % 3 = 0 THEN ' vinyl LP' WHEN doc_id % 3 = 1 THEN ' - Album' ELSE ' CD' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'https://shop.example.com/products/' || doc_id ELSE 'https://shop.example.com/about' END AS url FROM documents),
+  {candidates.assess_sql("title", "url", "docs").strip()}""")
+def candidate_assessment_whole(spark, sf_dir):
+    """The same of whole opening lines, however long."""
+    return _assessed(spark, sf_dir, F.substring_index("text", "\n", 1))
