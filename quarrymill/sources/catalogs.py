@@ -50,11 +50,12 @@ def feed_entries(feeds: DataFrame, key: str, xml: str) -> DataFrame:
 
 
 def deal_detail(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Title, current and original price, discount and expiry of a deal page: prices between its heading and the price history."""
+    """Title, current and original price, discount and expiry of a deal page: prices between its heading and the price history; 5,000 characters where a page has none."""
     heading = r"(?is)<h1\b[^>]*>(.*?)</h1>"
-    region = F.regexp_extract(F.col(html), r"(?is)</h1>(.{0,5000}?)(?:price\s+history|related\s+deals|$)", 1)
+    ended, opened = r"(?is)</h1>(.*?)(?:price\s+history|related\s+deals)", r"(?is)</h1>(.{0,5000})"
+    region = F.when(F.col(html).rlike(ended), F.regexp_extract(F.col(html), ended, 1)).otherwise(F.regexp_extract(F.col(html), opened, 1))
     out = pages.select(key, plain_text(F.regexp_extract(html, heading, 1)).alias("title"), prices(plain_text(region)).alias("_p"), plain_text(html).rlike(r"(?i)\bdrop\s+expired\b").alias("expired"))
-    out = out.withColumn("current", F.get("_p", F.lit(0))).withColumn("original", F.get(F.filter(F.slice("_p", 2, 1000), lambda p: p > F.get("_p", F.lit(0))), F.lit(0)))
+    out = out.withColumn("current", F.get("_p", F.lit(0))).withColumn("original", F.get(F.filter(F.slice("_p", 2, F.greatest(F.size("_p"), F.lit(1))), lambda p: p > F.get("_p", F.lit(0))), F.lit(0)))
     return out.withColumn("discount", F.floor((F.col("original") - F.col("current")) / F.col("original") * 100 + 0.5)).drop("_p")
 
 

@@ -11,7 +11,12 @@ from ..functions.urls import host
 ANCHOR = r"(?is)<a\s[^>]*href=[\"']([^\"'>]+)[\"'][^>]*>(.{0,500}?)</a>"
 # Named entities that occur in shop pages.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&rsquo;": "’", "&lsquo;": "‘", "&ldquo;": "“", "&rdquo;": "”", "&amp;": "&"}
-SHIPPING = r"(?i)(shipping|delivery|coupon|gift card|per (?:oz|lb|unit)|off orders?|spend|orders? over)"
+# What may stand between a word and an amount, the words that make an amount before them or after them no price.
+_GAP = r"[\s:-]{0,4}(?:&nbsp;|<[^<>]{0,300}>)?" * 4 + r"[\s:-]{0,4}"
+NOT_AFTER = rf"\b(?:delivery|shipping|save|savings|coupon|gift card|spend|orders?\s{{1,4}}over|(?:shipping|delivery)\s{{1,4}}(?:on|over)){_GAP}"
+NOT_BEFORE = rf"{_GAP}(?:(?:delivery|shipping|coupon|gift card|off\s+(?:coupon|orders?))\b|(?:/\s*|per\s+)(?:ea(?:ch)?|unit|item|lb|oz|fl\.?\s*oz|kg|g|100g|ct|count)\b)"
+# One amount: its context is looked at and not consumed, its digits are never given back.
+AMOUNT = rf"(?is)(?:\$|\bUSD\b)(?<!{NOT_AFTER}(?:\$|USD))\s*+(\d[\d,]*+(?:\.\d{{2}})?+)(?!{NOT_BEFORE})"
 
 
 def decode_entities(text) -> Column:
@@ -36,10 +41,9 @@ def anchors(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 
 def prices(text) -> Column:
-    """Dollar amounts of a text that no word about shipping, coupons or units stands next to (28 characters)."""
-    spots = F.regexp_extract_all(col(text), F.lit(r"(?s).{0,28}\$\s?\d[\d,]*(?:\.\d{2})?.{0,28}"), F.lit(0))
-    good = F.filter(spots, lambda s: ~s.rlike(SHIPPING))
-    return F.transform(good, lambda s: F.replace(F.regexp_extract(s, r"\$\s?(\d[\d,]*(?:\.\d{2})?)", 1), F.lit(","), F.lit("")).try_cast("double"))
+    """Dollar amounts of a text, each judged alone: none that a word about shipping, coupons or savings stands right before, or one about shipping, coupons or units right after."""
+    amounts = F.regexp_extract_all(col(text), F.lit(AMOUNT), F.lit(1))
+    return F.transform(amounts, lambda a: F.replace(a, F.lit(","), F.lit("")).try_cast("double"))
 
 
 def scored_links(pages: DataFrame, key: str, url: str, rules: list[tuple[str, str, int]], least: int, k: int) -> DataFrame:

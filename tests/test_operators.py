@@ -286,6 +286,26 @@ def test_deal_pages(spark):
     assert [tuple(r.a) for r in got] == [("Ann", "Blue Moon"), ("Ann", "Blue Moon"), ("Unknown Artist", "Something")]
 
 
+def test_every_amount_is_judged_alone(spark):
+    from quarrymill.sources import catalogs
+
+    want = {
+        "$20.00 now, was $35.00 and so it goes on for a while. free shipping over $99.00 as always": [20.0, 35.0],
+        "Was $30.00 now $20.00": [30.0, 20.0],
+        "<span>$30.00</span><span>$20.00</span>": [30.0, 20.0],
+        "a $1.00 b $2.00 c $3.00 d $4.00": [1.0, 2.0, 3.0, 4.0],
+        "Shipping: $5.00 $20.00 $1,234.50": [20.0, 1234.5],
+        "Shipping: <b>$5.00</b> <i>$20.00</i>": [20.0],
+        "$5.00 shipping, $21.00": [21.0],
+        "$3.99 / oz USD 12.00 save $4.00 $8.00 off coupon, now $15": [12.0, 15.0],
+    }
+    got = spark.createDataFrame([(t,) for t in want], "t string").select("t", html.prices("t").alias("p")).collect()
+    assert {r.t: r.p for r in got} == want
+    pages = [(1, "<h1>A</h1><p>Was $30.00 now $20.00 or $40.00</p> Price history $5.00"), (2, "<h1>B</h1>" + "x" * 6000 + "$12.00 $18.00 related deals $1.00"), (3, "<h1>C</h1>$9.00 $11.00" + " y" * 4000)]
+    found = catalogs.deal_detail(spark.createDataFrame(pages, "k int, h string"), "k", "h").orderBy("k").collect()
+    assert [(r.current, r.original, r.discount) for r in found] == [(30.0, 40.0, 25), (12.0, 18.0, 33), (9.0, 11.0, 18)]
+
+
 def test_listing_rules(spark):
     from quarrymill.functions import listings as li
 
