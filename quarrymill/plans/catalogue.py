@@ -249,16 +249,27 @@ def highest_count_key(spark, sf_dir):
 _WORDS_SQL = "list_sort(list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda x: x <> '')))"
 
 
+def _title_words(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.filter(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "), lambda w: w != "").alias("words"))
+
+
 @query(f"""WITH p AS (SELECT p_partkey, {_WORDS_SQL} AS w FROM part), q AS (SELECT * FROM p WHERE p_partkey % 7 = 0),
   s AS (SELECT q.p_partkey AS query_id, p.p_partkey AS item_id, len(list_intersect(q.w, p.w)) / greatest(len(q.w), len(p.w))::DOUBLE AS score FROM q, p WHERE q.p_partkey <> p.p_partkey),
   r AS (SELECT query_id, item_id, {round_sql("score", 4)} AS score FROM s WHERE score >= 0.65), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM r)
   SELECT query_id, item_id, score, rank::INTEGER AS rank FROM k WHERE rank <= 3""")
 def token_comp_match(spark, sf_dir):
     """The three best items by shared title words for a stated set of queries (keys divisible by seven)."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.filter(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "), lambda w: w != "").alias("words"))
+    p = _title_words(spark, sf_dir)
     return matching.token_match(p.where("p_partkey % 7 = 0").withColumnRenamed("p_partkey", "query_id"), p.withColumnRenamed("p_partkey", "item_id"), "query_id", "item_id", "words")
 
 
+@query()
+def token_comp_match_all(spark, sf_dir):
+    """The three best items of every part by shared title words (every part crossed with every part is too slow in SQL: none)."""
+    p = _title_words(spark, sf_dir)
+    return matching.token_match(p.withColumnRenamed("p_partkey", "query_id"), p.withColumnRenamed("p_partkey", "item_id"), "query_id", "item_id", "words")
+
+
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'O')""")
 def artist_confirm_semi(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_linestatus")

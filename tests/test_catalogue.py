@@ -68,6 +68,20 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_every_part_is_matched(spark, sf_dir):
+    import math
+
+    parts = {r.p_partkey: frozenset(w for w in f"{r.p_name} {r.p_type}".lower().split(" ") if w) for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    want = []
+    for q, a in parts.items():
+        scores = [(len(a & b) / max(len(a), len(b)), i) for i, b in parts.items() if i != q] if len(a) > 1 else []
+        best = sorted((-math.floor(s * 1e4 + 0.5) / 1e4, i) for s, i in scores if s >= 0.65)[:3]
+        want += [(q, i, -s, n + 1) for n, (s, i) in enumerate(best)]
+    got = catalogue.QUERIES["token_comp_match_all"](spark, sf_dir).select("query_id", "item_id", "score", "rank").collect()
+    assert clean([tuple(r) for r in got]) == clean(want)
+    assert any(q % 7 for q, *_ in want)
+
+
 def test_every_word_of_a_text_and_of_an_opening_line_counts(spark, tmp_path):
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(30)) + " late Digital poster\nsecond line") for i in (1, 2, 4)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
