@@ -30,7 +30,7 @@ from .blocks import arrow_rows
 
 K = 20
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 2048
-DEPTHS = (0.5, 0.8)
+DEPTHS = (0.5, 0.8, 0.9, 0.95, 0.99)
 _PILOT = 16
 
 
@@ -63,22 +63,26 @@ def _bounds(up: np.ndarray, down: np.ndarray, c: np.ndarray, lists: np.ndarray,
     return lower, upper
 
 
+def survivors(q: np.ndarray, c: np.ndarray, lists: np.ndarray, k: int) -> np.ndarray | None:
+    """Candidates (columns) of each query that can still be among its k best, at the first depth that leaves the pilot few; None where none does."""
+    n = len(c)
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    few = lambda low, high: high >= np.partition(low, n - k - 1, axis=1)[:, n - k - 1, None]  # noqa: E731  one more than k: the query's own row may be among them
+    for share in DEPTHS:
+        depth = max(1, int(n * share))
+        if few(*_bounds(up[:_PILOT], down[:_PILOT], c, lists, depth)).mean() <= 0.2:
+            return few(*_bounds(up, down, c, lists, depth))
+    return None
+
+
 def block_topk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, candidate id, score) of the k best candidates of each query in one block."""
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
     lists = np.sort(c, axis=0)
     n = len(c)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    alive = None
     exact_float = max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(c).max(initial=0)) * q.shape[1] * (n + 1) < 2**53
-    for share in DEPTHS if n > 4 * k and exact_float else ():
-        depth = max(1, int(n * share))
-        few = lambda low, high: high >= np.partition(low, n - k - 1, axis=1)[:, n - k - 1, None]  # noqa: E731  one more than k: the query's own row may be among them
-        if few(*_bounds(up[:_PILOT], down[:_PILOT], c, lists, depth)).mean() > 0.2:
-            continue
-        alive = few(*_bounds(up, down, c, lists, depth))
-        break
+    alive = survivors(q, c, lists, k) if n > 4 * k and exact_float else None
     own = q_ids[:, None] == c_ids[None, :] if n * len(q) <= 1 << 16 else None
     if alive is None:
         scores = q @ c.T if exact_float else (q.astype(np.int64) @ c.astype(np.int64).T)

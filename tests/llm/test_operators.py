@@ -127,6 +127,20 @@ def test_topk_against_brute_force(spark):
     assert topk.search_every_20th(frame.limit(0)).count() == 0
 
 
+def test_topk_bounds_decide_on_gaussian_vectors():
+    rng = np.random.default_rng(3)
+    c, q = np.floor(64 * rng.standard_normal((2000, 64))), np.floor(64 * rng.standard_normal((40, 64)))
+    alive = topk.survivors(q, c, np.sort(c, axis=0), 20)
+    assert alive is not None and alive.mean() < 0.2
+    scores = q @ c.T
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :20]
+    assert np.take_along_axis(alive, best, 1).all()
+    ids, found, s = topk.block_topk(np.arange(40) + 10_000, q, np.arange(2000), c, 20)
+    for i in range(40):
+        mine = ids == i + 10_000
+        assert set(zip(found[mine].tolist(), s[mine].tolist(), strict=True)) == {(int(j), int(scores[i, j])) for j in best[i]}
+
+
 def test_topk_stops_early_with_exact_results():
     rng = np.random.default_rng(4)
     c = np.zeros((3000, 6))
