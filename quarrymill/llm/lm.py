@@ -6,8 +6,8 @@ hash arrays. A bigram's part comes from its first word and one of `SALT` salts o
 starts a third of all bigrams is spread over several parts. Continuation counts and context totals are merged
 the same way. The model is a folder of arrays sorted by hash below spark.checkpoint.dir; scoring workers map
 the files into memory and look up by binary search. Files are written under temporary names and renamed, so a
-retried task leaves the same bytes under the same names. Order two, because the distinct trigrams of this
-corpus do not fit the disk limit (see the README).
+retried task leaves the same bytes under the same names. Order two; whether trigrams fit the disk limit is not
+measured (see the README).
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, known by 64-bit hashes; one end token follows each text
 and one start context precedes it. With D1, D2, D3+ from the counts of counts:
