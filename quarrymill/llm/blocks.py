@@ -6,41 +6,34 @@ the slice and the longest single text, never the partition.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import shared_folder
 
 SLICE_BYTES = 2 << 20
+ARROW_ROWS = 512
+PART_BYTES = 64 << 20
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_CODE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        import tempfile
-
-        path = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    import uuid
-
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -48,12 +41,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of at most `rows` rows from here on: texts are long, workers are small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that `stored` wrote, once nothing that is still to run reads them."""
+    for frame in frames:
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+        path.getFileSystem(frame.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def arrow_rows(spark: SparkSession) -> None:
+    """Arrow batches of at most 512 rows in this session: texts are long, workers are small. One value for all operators; a smaller one of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
+def parts_for(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> int:
+    """Number of partitions for shuffles of what is derived from texts: the session's, or more where a part would stand for over `part_bytes` of text."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    return max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int | str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -138,15 +148,29 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans; equal spans have equal hashes wherever they stand."""
+    """Cheap 64-bit hashes of spans, for choosing places; what decides whether texts are equal uses word_hash."""
     top = int(starts.max()) + 1 if len(starts) else 1
     return mix((prefix[ends] - prefix[starts]) * powers(top, _BASE_INV)[starts] + (ends - starts).astype(np.uint64))
 
 
-def hash_of(text: bytes) -> int:
-    """span_hash of one whole text."""
-    data = np.frombuffer(text, np.uint8)
-    return int(span_hash(prefix_hash(data), np.array([0]), np.array([len(data)]))[0])
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: int = 64) -> np.ndarray:
+    """64-bit hashes of spans: eight bytes a round, every round mixed into the next; spans over `long` bytes by BLAKE2b.
+
+    Unlike span_hash it is no sum over positions, so strings of regular structure (Thue-Morse strings, say) don't collide."""
+    size = (ends - starts).astype(np.int64)
+    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    live, done = np.flatnonzero((size > 0) & (size <= long)), 0
+    while len(live):
+        left = size[live] - done
+        block = eight[starts[live] + done] & _LOW_BYTES[np.minimum(left, 8)]
+        out[live] = mix(out[live] ^ (block * np.uint64(0xD6E8FEB86659FD93)))
+        done += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > long).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def window_hash(items: np.ndarray, width: int) -> np.ndarray:

@@ -121,24 +121,24 @@ def test_topk_against_brute_force(spark):
         want |= {(a, k + 1, b, -s) for k, (s, b) in enumerate(scored)}
     rows = frame.where("vec_id is not null").unionByName(frame.where("vec_id is null"))
     assert {tuple(r) for r in topk.search_every_20th(rows).collect()} == want
-    small = rows.where("vec_id is not null").select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("vec")).where(topk.usable(F.col("vec")))
+    small = rows.where(F.col("vec_id").isNotNull() & topk.usable(F.col("embedding"))).select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("vec"))
     many = topk.topk(small.where("id % 20 = 0"), small, candidate_block=50, query_block=5)
     assert {tuple(r) for r in many.collect()} == want
     assert topk.search_every_20th(frame.limit(0)).count() == 0
 
 
-def test_topk_bounds_decide_on_gaussian_vectors():
+def block_truth(q, c, k):
+    scores = q @ c.T
+    return {(i, int(j), int(scores[i, j])) for i in range(len(q)) for j in sorted(range(len(c)), key=lambda j: (-scores[i, j], j))[:k]}
+
+
+def test_topk_stops_for_each_query_alone():
     rng = np.random.default_rng(3)
     c, q = np.floor(64 * rng.standard_normal((2000, 64))), np.floor(64 * rng.standard_normal((40, 64)))
-    alive = topk.survivors(q, c, np.sort(c, axis=0), 20)
-    assert alive is not None and alive.mean() < 0.2
-    scores = q @ c.T
-    best = np.argsort(-scores, axis=1, kind="stable")[:, :20]
-    assert np.take_along_axis(alive, best, 1).all()
-    ids, found, s = topk.block_topk(np.arange(40) + 10_000, q, np.arange(2000), c, 20)
-    for i in range(40):
-        mine = ids == i + 10_000
-        assert set(zip(found[mine].tolist(), s[mine].tolist(), strict=True)) == {(int(j), int(scores[i, j])) for j in best[i]}
+    q[:5, 2:] = 0  # two lists decide these
+    ids, found, scores, depth = topk.block_topk(np.arange(40) + 10_000, q, np.arange(2000), c, 20)
+    assert set(zip((ids - 10_000).tolist(), found.tolist(), scores.tolist(), strict=True)) == block_truth(q, c, 20)
+    assert depth[ids < 10_005].max() <= 0.5 < depth[ids >= 10_005].min() and depth.max() < 1
 
 
 def test_topk_stops_early_with_exact_results():
@@ -147,11 +147,32 @@ def test_topk_stops_early_with_exact_results():
     c[np.arange(3000), rng.integers(0, 6, 3000)] = rng.integers(0, 5, 3000)
     c[:30] = rng.integers(40, 60, (30, 6))
     q = np.abs(rng.integers(0, 9, (20, 6))).astype(float)
-    a, b, s = topk.block_topk(np.arange(20) + 10_000, q, np.arange(3000), c, 5)
-    for i in range(20):
-        scores = c @ q[i]
-        want = sorted(zip(-scores, range(3000), strict=True))[:5]
-        assert sorted(zip(-s[a == 10_000 + i], b[a == 10_000 + i], strict=True)) == want
+    a, b, s, depth = topk.block_topk(np.arange(20) + 10_000, q, np.arange(3000), c, 5)
+    assert set(zip((a - 10_000).tolist(), b.tolist(), s.tolist(), strict=True)) == block_truth(q, c, 5) and depth.max() < 0.1
+
+
+def test_topk_of_ties_huge_numbers_and_own_rows():
+    rng = np.random.default_rng(5)
+    c = rng.integers(-2, 3, (500, 3)).astype(float)
+    a, b, s, _ = topk.block_topk(np.arange(500), c, np.arange(500), c, 4)
+    scores = c @ c.T
+    want = {(i, j, int(scores[i, j])) for i in range(500) for j in sorted((j for j in range(500) if j != i), key=lambda j: (-scores[i, j], j))[:4]}
+    assert set(zip(a.tolist(), b.tolist(), s.tolist(), strict=True)) == want
+    big = np.array([[2.0**27 + 1, 3], [2.0**27, 5], [1, 1]])
+    _, b, s, _ = topk.block_topk(np.array([9]), big[:1], np.arange(3), big, 2)
+    assert b.tolist() == [0, 1] and s.tolist() == [(2**27 + 1) ** 2 + 9, 2**27 * (2**27 + 1) + 15]
+
+
+def test_topk_on_the_table(spark, sf_dir):
+    """Every row comes out of the loop of steps, at a depth that is reported."""
+    rows = topk.search_every_20th(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), with_depth=True).collect()
+    assert rows and all(0 < r.depth <= 1 for r in rows)
+
+
+def test_repeated_query_ids_find_their_rows_once(spark):
+    rows = spark.createDataFrame([(20, [9]), (20, [1]), (1, [2]), (2, [3])], "id long, vec array<long>")
+    got = topk.topk(rows.where("id = 20"), rows, k=5).collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(20, 1, 2, 3), (20, 2, 1, 2)]
 
 
 # ---- 3: n-gram Jaccard -------------------------------------------------------------------------------
@@ -443,22 +464,56 @@ def test_quality_edge_cases(spark, corpus):
 
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>" + "page " * 50
-    rows = [(5, "http://a/", long), (3, "http://b/\r\nX", long), (9, None, long), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (None, "n", long), (6, "u", ""), (7, "ü", "é" * 60), (8, "v", "é" * 60), (7, "ü", "é" * 60)]
-    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, shard int")
+    rows = [(5, "http://a/", long), (3, "http://b/\r\nX", long), (9, None, long), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (None, "n", long), (6, "u", ""), (7, "ü", "é" * 60), (8, "v", "é" * 60), (7, "ü", "é" * 60), (10, "w", "z" * 3_000_000)]
+    rows += [(1, "u", "short")] * 2
+    pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, shard int, digest string")
     url = f"file://{tmp_path}/a"
-    back = warc.round_trip(pages, url, shard_records=3, roll_bytes=700).collect()
+    back = warc.round_trip(pages, url, shards=5, roll_bytes=700).collect()
     assert Counter((r.page_id, r.payload_digest) for r in back) == Counter((i, hashlib.sha256((h or "").encode()).hexdigest()) for i, _, h in rows)
     kinds = {(r.page_id, r.record_type, r.refers_to) for r in back}
     assert {(3, "response", None), (5, "revisit", 3), (9, "revisit", 3), (None, "revisit", 3), (1, "response", None), (2, "response", None), (8, "revisit", 7)} <= kinds
     assert sum(r.record_type == "response" for r in back if r.page_id == 7) == 1
     assert all(r.payload == h for r in back for i, _, h in rows if r.page_id == i and r.record_type == "response" and h)
-    files = lambda p: {f.name: f.read_bytes() for f in p.iterdir() if f.name.startswith(("shard", "manifest"))}
-    warc.write(pages.repartition(3), f"file://{tmp_path}/b", shard_records=3, roll_bytes=700).collect()
-    assert files(tmp_path / "a") == files(tmp_path / "b") and len(files(tmp_path / "a")) > 4
-    assert not [f for f in (tmp_path / "a").iterdir() if "_temporary" in f.name]
+    # every record has an id of its own, and revisits name the record of the response
+    ids = {r.record_id: r for r in back}
+    assert len(ids) == len(back)
+    assert all(ids[r.refers_to_record].page_id == r.refers_to and ids[r.refers_to_record].record_type == "response" for r in back if r.record_type == "revisit")
+    # a reader needs the URL alone
+    assert warc.read(spark, url).count() == len(rows)
+    files = lambda p: {f.name: f.read_bytes() for f in p.iterdir() if not f.name.startswith(("_", "."))}
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "_temporary.dead.shard-000000-00000.warc.gz").write_bytes(b"left by a dead attempt")
+    warc.write(pages.repartition(3), f"file://{tmp_path}/b", shards=5, roll_bytes=700)
+    assert files(tmp_path / "a") == files(tmp_path / "b") and len(files(tmp_path / "a")) > 6
+    assert not [f for f in (tmp_path / "b").iterdir() if "_temporary" in f.name]
     assert warc.round_trip(pages.limit(0), f"file://{tmp_path}/c").count() == 0
 
 
+def test_warc_refuses_damaged_and_unfinished_archives(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 30) for i in range(20)], "page_id long, url string, html string")
+    url = f"file://{tmp_path}/a"
+    warc.write(pages, url, shards=3)
+    one = next(f for f in (tmp_path / "a").iterdir() if f.name.endswith(".gz"))
+    one.write_bytes(one.read_bytes()[:-1] + b"!")
+    with pytest.raises(Exception, match="not what its manifest says"):
+        warc.read(spark, url).collect()
+    (tmp_path / "a" / warc.ARCHIVE).unlink()
+    with pytest.raises(FileNotFoundError):
+        warc.read(spark, url)
+
+
+def test_warc_shards_have_a_task_each(spark, tmp_path):
+    """Rows of one id, or without an id, are cut by digest; no task reads or writes two shards."""
+    rows = [(None if i % 3 else 7, f"u{i}", f"page {i} " * 40) for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    done = warc.write(pages, f"file://{tmp_path}/a", shards=9)
+    assert len(done["shards"]) >= 7 and done["records"] == 600
+    back = warc.read(spark, f"file://{tmp_path}/a")
+    assert back.rdd.getNumPartitions() == len(done["shards"])
+    sizes = [r["count"] for r in back.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == len(done["shards"]) and max(sizes) < 200
+
+
 # ---- 9: chat -----------------------------------------------------------------------------------------
 
 
