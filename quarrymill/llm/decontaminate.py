@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NOT_ALNUM, arrow_rows, lower, prefix_hash, slices, span_hash, spread, stored, utf8, words
+from .blocks import NOT_ALNUM, arrow_rows, lower, slices, spread, stored, utf8, word_hash, words
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -41,7 +41,7 @@ def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = utf8(column)
     data = lower(data)
     starts, ends, first = words(data, offsets, NOT_ALNUM)
-    return span_hash(prefix_hash(data), starts, ends), first
+    return word_hash(data, starts, ends), first
 
 
 class Windows:

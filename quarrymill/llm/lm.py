@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SPACE, arrow_rows, fresh_path, lower, mix, prefix_hash, slices, span_hash, utf8, words
-from .warc import Folder
+from .blocks import SPACE, arrow_rows, fresh_path, lower, mix, slices, utf8, word_hash, words
+from .store import Folder
 
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
 SALT = 8
@@ -49,7 +49,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = utf8(column)
     data = lower(data)
     starts, ends, first = words(data, offsets, SPACE)
-    h = np.insert(span_hash(prefix_hash(data), starts, ends), first[1:], END)
+    h = np.insert(word_hash(data, starts, ends), first[1:], END)
     first = first + np.arange(len(first))
     before = np.empty_like(h)
     before[1:] = h[:-1]
@@ -223,8 +223,7 @@ class Lookup:
 
     def array(self, name: str) -> np.ndarray | None:
         if name not in self.open:
-            path = self.folder.local(name)
-            self.open[name] = np.load(path, mmap_mode="r") if path else None
+            self.open[name] = self.folder.array(name)
         return self.open[name]
 
     def find(self, kind: str, value: str, part: np.ndarray, key: np.ndarray, columns: int | None) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SPACE, arrow_rows, prefix_hash, slices, span_hash, utf8, words
+from .blocks import SPACE, arrow_rows, slices, utf8, word_hash, words
 
 TRAIN_DOCS, TRAIN_BYTES = 4000, 20_000
 THRESHOLD = 0.7
@@ -64,7 +64,7 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         np.cumsum(flag(data), out=running[1:])
         own[:, k] = (running[ends] - running[starts]) / of
     w_starts, w_ends, _ = words(data, np.append(starts, len(data)), SPACE)
-    h = span_hash(prefix_hash(data), w_starts, w_ends)
+    h = word_hash(data, w_starts, w_ends)
     a, b = np.searchsorted(w_starts, starts), np.searchsorted(w_starts, ends)
     n = b - a
     same = np.zeros(len(h) + 1, np.int32)

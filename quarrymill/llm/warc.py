@@ -1,19 +1,24 @@
 r"""WARC: a deterministic sharded writer and a reader.
 
-Records are range-sorted by page_id with splitters from a bounded deterministic sample (the ids with the
-smallest hashes), so the same table gives the same shards on any cluster. A shard rolls to its next file when
-the compressed file passes `roll_bytes`. Each record is one gzip member with regenerated headers and SHA-256
-digests. Every file is first written under a temporary name of its task attempt and renamed; what a shard
-wrote is listed in its manifest, again renamed into place, and readers open only files that a manifest
-lists. A retried or speculative task writes the same bytes to the same names, so losing an executor is harmless.
+Records are range-sorted by page_id, and within one id by payload digest. The number of shards follows from the bytes
+of the table; splitters are the keys of a sample chosen by hash (about `SAMPLE` keys a shard), so the same table gives
+the same shards on any cluster. Rows find their shard by binary search of the splitters and travel by shard number, one
+task a shard. A shard rolls to its next file when the compressed file passes `roll_bytes`; each file starts with a
+warcinfo record. Each record is one gzip member with regenerated headers and SHA-256 digests. Every file is first
+written under a temporary name of its task attempt and renamed; what a shard wrote is listed in its manifest, and when
+all shards are done archive.json, again renamed into place, lists the shards and their records: an archive without it is
+not complete, and a reader needs nothing else than the archive's URL. A retried or speculative task writes the same
+bytes to the same names, so losing an executor is harmless; what dead attempts leave under temporary names goes at the
+end.
 
 Of records with equal payloads of at least `min_revisit` bytes the one with the smallest page_id is the
-response, the others are revisits that name it; smaller payloads are always responses.
+response, the others are revisits that name its record; smaller payloads are always responses. Record ids are UUIDs of a
+digest of page, URL, payload, type and the number among equal rows, so no two records of an archive share one.
 
 Cases: null html is an empty payload; null url an empty target; a null page_id sorts first, and loses to any
 other page_id as the response of its payload; rows with equal page_id are ordered by payload digest and url
 and each gets a record (of equal rows with the smallest id, one is the response). An empty table gives an
-empty archive. Other columns are ignored.
+archive without shards. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,89 +27,70 @@ import gzip
 import hashlib
 import io
 import json
+import math
 import os
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import arrow_rows, fresh_path
+from .blocks import arrow_rows, fresh_path, slices
+from .store import Folder
 
 ROLL_BYTES = 64 << 20
 MIN_REVISIT = 100
-SHARD_RECORDS = 8_000
+SAMPLE = 16
+LEAST_SHARD, MOST_SHARD = 16 << 20, 1 << 30
 _DATE = "2024-01-01T00:00:00Z"  # a fixed capture time: the tables have none, and the bytes must not change from run to run
+_NO_ID = -(1 << 63)
 
 
-class Folder:
-    """Files under a URL that all executors reach: a mounted folder for file: URLs, else a pyarrow file system."""
-
-    def __init__(self, url: str):
-        if url.startswith("file:") or "://" not in url:
-            self.fs, self.root = None, "/" + url.removeprefix("file:").lstrip("/")
-        else:
-            from pyarrow import fs
-
-            self.fs, self.root = fs.FileSystem.from_uri(url)
-
-    def write(self, name: str, data: bytes) -> None:
-        """Write under a temporary name, then rename."""
-        path, temporary = f"{self.root}/{name}", f"{self.root}/_temporary.{uuid.uuid4().hex}.{name}"
-        if self.fs is None:
-            os.makedirs(self.root, exist_ok=True)
-            with open(temporary, "wb") as out:
-                out.write(data)
-                out.flush()
-                os.fsync(out.fileno())
-            os.replace(temporary, path)
-        else:
-            with self.fs.open_output_stream(temporary) as out:
-                out.write(data)
-            self.fs.move(temporary, path)
-
-    def local(self, name: str) -> str | None:
-        """A path that can be mapped into memory, or None where there is no such file; other stores are copied to the worker's own folder."""
-        if self.fs is None:
-            return f"{self.root}/{name}" if os.path.exists(f"{self.root}/{name}") else None
-        from pyarrow import fs
-
-        if self.fs.get_file_info(f"{self.root}/{name}").type == fs.FileType.NotFound:
-            return None
-        with tempfile.NamedTemporaryFile(suffix=name, delete=False) as out:
-            out.write(self.read(name))
-        return out.name
-
-    def read(self, name: str) -> bytes:
-        if self.fs is None:
-            with open(f"{self.root}/{name}", "rb") as f:
-                return f.read()
-        with self.fs.open_input_stream(f"{self.root}/{name}") as f:
-            return f.read()
-
-
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
-    """The uncompressed bytes of one WARC record; a revisit carries no payload, only its digest and length."""
-    revisit = refers_to is not None
-    name = "" if page_id is None else str(page_id)
+def record_id(page_id: int | None, url: str | None, digest: str, kind: str, nth: int = 0) -> str:
+    """The URI of a record; nth tells equal rows of one page apart."""
+    key = json.dumps([page_id, url or "", digest, kind, nth])
+    return f"<urn:uuid:{uuid.UUID(hashlib.sha256(key.encode()).hexdigest()[:32])}>"
+
+
+def _one_line(url: str | None) -> str:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def _packed(head: dict[str, str], block: bytes) -> bytes:
+    head |= {"WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}", "Content-Length": str(len(block))}
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def info_record(name: str) -> bytes:
+    """The warcinfo record at the head of a file."""
+    head = {"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(None, name, "", "warcinfo"), "WARC-Date": _DATE, "WARC-Filename": name, "Content-Type": "application/warc-fields"}
+    return _packed(head, b"software: quarrymill\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None, refers_url: str | None = None, nth: int = 0, revisit: bool = False) -> bytes:
+    """The uncompressed bytes of one WARC record; a revisit carries no payload, only its digest, length and the response's record."""
+    kind = "revisit" if revisit else "response"
     head = {
-        "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.UUID(hashlib.sha256(f'{name} {url} {digest}'.encode()).hexdigest()[:32])}>",
+        "WARC-Type": kind,
+        "WARC-Record-ID": record_id(page_id, url, digest, kind, nth),
         "WARC-Date": _DATE,
-        "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"),
+        "WARC-Target-URI": _one_line(url),
         "WARC-Payload-Digest": f"sha256:{digest}",
-        "WARC-Page-ID": name,
+        "WARC-Page-ID": "" if page_id is None else str(page_id),
     }
-    block = b"" if revisit else payload
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if revisit:
-        head |= {"WARC-Refers-To": str(refers_to), "WARC-Refers-To-Target-URI": (refers_url or "").replace("\r", "%0D").replace("\n", "%0A"), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-    block = http + block
-    head |= {"WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+        head |= {
+            "WARC-Refers-To": record_id(refers_to, refers_url, digest, "response"),
+            "WARC-Refers-To-Page-ID": "" if refers_to is None else str(refers_to),
+            "WARC-Refers-To-Target-URI": _one_line(refers_url),
+            "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+        }
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    return _packed(head | {"Content-Type": "application/http; msgtype=response"}, http + (b"" if revisit else payload))
 
 
 def members(data: bytes) -> Iterator[bytes]:
@@ -120,14 +106,16 @@ def members(data: bytes) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-def parse_record(raw: bytes) -> dict:
-    """Headers and payload of a record; raises where a digest or a length doesn't hold."""
+def parse_record(raw: bytes) -> dict | None:
+    """Headers and payload of a record, None for a warcinfo record; raises where a digest or a length doesn't hold."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     version, *lines = head.decode().split("\r\n")
     fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
     block = rest[: int(fields["Content-Length"])]
     if version != "WARC/1.1" or fields["WARC-Block-Digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}" or rest[len(block) :] != b"\r\n\r\n":
         raise ValueError(f"damaged record {fields.get('WARC-Record-ID')}")
+    if fields["WARC-Type"] == "warcinfo":
+        return None
     http, _, payload = block.partition(b"\r\n\r\n")
     length = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
     if fields["WARC-Type"] == "response" and (length != len(payload) or fields["WARC-Payload-Digest"] != f"sha256:{hashlib.sha256(payload).hexdigest()}"):
@@ -139,7 +127,9 @@ def parse_record(raw: bytes) -> dict:
         "payload_bytes": length,
         "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"),
         "record_type": fields["WARC-Type"],
-        "refers_to": int(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None,
+        "record_id": fields["WARC-Record-ID"],
+        "refers_to": int(fields["WARC-Refers-To-Page-ID"]) if fields.get("WARC-Refers-To-Page-ID") else None,
+        "refers_to_record": fields.get("WARC-Refers-To"),
     }
 
 
@@ -157,68 +147,98 @@ def copied_payloads(rows: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFram
     return large.join(firsts, "digest").select("page_id", "url", "digest", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url")).distinct()
 
 
-def write(pages: DataFrame, url: str, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, shard_records: int = SHARD_RECORDS) -> DataFrame:
-    """Write the archive of `pages` under `url`; one row per shard: its manifest's name, files and records."""
+def shard_bytes(total: int) -> int:
+    """Bytes a shard stands for: a 4,096th of the table, between 16 MB and 1 GB."""
+    return min(MOST_SHARD, max(LEAST_SHARD, total // 4096))
+
+
+_KEY = np.dtype([("id", "<i8"), ("digest", "S64")])
+
+
+def splitters(rows: DataFrame, shards: int, total: int) -> np.ndarray:
+    """Sorted keys (id, digest) that cut the table into `shards` ranges, evenly spaced in a sample chosen by hash: about SAMPLE keys a shard reach the driver, whatever the table's size."""
+    if shards < 2:
+        return np.zeros(0, _KEY)
+    share = min(1.0, SAMPLE * shards / max(total, 1))
+    picked = F.pmod(F.xxhash64("page_id", "digest"), F.lit(1 << 32)) < F.lit(int(math.ceil(share * (1 << 32))))
+    sample = rows.where(picked).select(F.coalesce("page_id", F.lit(_NO_ID)).alias("id"), "digest").distinct().toPandas()
+    keys = np.sort(np.array(list(zip(sample["id"], sample["digest"], strict=True)), _KEY))
+    return np.unique(keys[[len(keys) * k // shards for k in range(1, shards)]]) if len(keys) else keys
+
+
+def _shard_column(cuts: np.ndarray):
+    """A column function: the number of splitters at or before (page_id, digest), by binary search."""
+
+    @F.pandas_udf("int")
+    def shard(page_id: pd.Series, digest: pd.Series) -> pd.Series:
+        key = np.empty(len(page_id), _KEY)
+        key["id"], key["digest"] = page_id.to_numpy(), digest.to_numpy().astype("S64")
+        return pd.Series(np.searchsorted(cuts, key, side="right").astype(np.int32))
+
+    return shard(F.coalesce("page_id", F.lit(_NO_ID)), F.col("digest"))
+
+
+def write(pages: DataFrame, url: str, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, shards: int | None = None) -> dict:
+    """Write the archive of `pages` under `url` and commit it; what archive.json says: records, files, bytes and the shards that have any.
+
+    Only counts of each shard reach the driver."""
     spark = pages.sparkSession
-    arrow_rows(spark, 256)
+    arrow_rows(spark)
     rows = _rows(pages)
     copied = copied_payloads(rows, min_revisit)
-    total = pages.count()
-    shards = max(1, -(-total // shard_records))
-    # Splitters: a bounded bottom-k sample by hash of the id. Evenly spaced ids of the sample cut the range.
-    sample = sorted(r[0] for r in pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("id")).orderBy(F.xxhash64("id"), "id").limit(min(20 * shards, 100_000)).collect())
-    cuts = sorted({sample[len(sample) * k // shards] for k in range(1, shards)}) if sample else []
-    edges = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None], strict=True))], "shard int, lo long, hi long")
-    id_, lo, hi = F.col("page_id"), F.col("lo"), F.col("hi")
-
-    def sharded(frame: DataFrame) -> DataFrame:
-        if len(cuts) <= 256:
-            return frame.withColumn("shard", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>"), lambda c: c <= F.coalesce(id_, F.lit(-(1 << 63))))).cast("int"))
-        # one row a shard: at most `total / shard_records` rows are broadcast, 24 bytes each
-        inside = (lo.isNull() | (id_ >= lo)) & (hi.isNull() | (id_ < hi)) | (id_.isNull() & lo.isNull())
-        return frame.join(F.broadcast(edges), inside).drop("lo", "hi")
+    size = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col("html").cast("string"))).alias("bytes")).first()
+    shards = shards or max(1, -(-(size["bytes"] or 0) // shard_bytes(size["bytes"] or 0)))
+    cuts = splitters(rows, shards, size["n"])
+    shards = len(cuts) + 1
 
     # Payloads move once, to their shard; the notes on copies (kind 0) meet them there and come before their page.
-    notes = sharded(copied).select("shard", "page_id", "digest", "url", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("html"), "first_id", "first_url")
-    bodies = sharded(rows).select("shard", "page_id", "digest", "url", F.lit(1).alias("kind"), "html", F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url"))
-    ordered = bodies.unionByName(notes).repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "url", "kind")
+    notes = copied.select(_shard_column(cuts).alias("shard"), "page_id", "digest", "url", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("html"), "first_id", "first_url")
+    bodies = rows.select(_shard_column(cuts).alias("shard"), "page_id", "digest", "url", F.lit(1).alias("kind"), "html", F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url"))
+    ordered = bodies.unionByName(notes).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "url", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder, state = Folder(url), None
 
+        def start():
+            state["out"], state["n"] = io.BytesIO(), 0
+            state["name"] = f"shard-{state['shard']:06d}-{len(state['files']):05d}.warc.gz"
+            state["out"].write(gzip.compress(info_record(state["name"]), 6, mtime=0))
+
         def roll():
-            name = f"shard-{state['shard']:06d}-{len(state['files']):05d}.warc.gz"
             data = state["out"].getvalue()
-            folder.write(name, data)
-            state["files"].append({"name": name, "bytes": len(data), "records": state["n"], "sha256": hashlib.sha256(data).hexdigest()})
-            state["out"], state["n"] = io.BytesIO(), 0
+            folder.write(state["name"], data)
+            state["files"].append({"name": state["name"], "bytes": len(data), "records": state["n"], "sha256": hashlib.sha256(data).hexdigest()})
+            start()
 
         def finish():
             if state["n"]:
                 roll()
-            name = f"manifest-{state['shard']:06d}.json"
-            folder.write(name, json.dumps(state["files"], sort_keys=True).encode())
-            return pa.RecordBatch.from_pylist([{"shard": state["shard"], "manifest": name, "files": len(state["files"]), "records": sum(f["records"] for f in state["files"])}], schema=_SHARD)
+            folder.write(_manifest(state["shard"]), json.dumps(state["files"], sort_keys=True).encode())
+            sums = [sum(f[k] for f in state["files"]) for k in ("records", "bytes")]
+            return pa.RecordBatch.from_pylist([{"shard": state["shard"], "files": len(state["files"]), "records": sums[0], "bytes": sums[1]}], schema=_SHARD)
 
-        for batch in batches:
+        for batch in slices(batches, "html"):
             for r in batch.to_pylist():
                 if state is None or state["shard"] != r["shard"]:
                     if state:
                         yield finish()
-                    state = {"shard": r["shard"], "files": [], "out": io.BytesIO(), "n": 0, "note": None, "led": None}
+                    state = {"shard": r["shard"], "files": [], "note": None, "led": None, "key": None, "nth": 0}
+                    start()
                 key = (r["page_id"], r["digest"], r["url"])
                 if r["kind"] == 0:
                     state["note"] = (key, r["first_id"], r["first_url"])
                     continue
-                refers, first_url = None, None
+                state["nth"] = state["nth"] + 1 if key == state["key"] else 0
+                state["key"] = key
+                refers, first_url, revisit = None, None, False
                 if state["note"] and state["note"][0] == key:
                     _, first, first_url = state["note"]
                     # Of equal rows with the least id, which stand together here, the first one leads.
                     if (r["page_id"], r["url"]) == (first, first_url) and state["led"] != key:
                         state["led"] = key
                     else:
-                        refers = first
-                raw = record(r["page_id"], r["url"], r["html"].encode(), r["digest"], refers, first_url)
+                        refers, revisit = first, True
+                raw = record(r["page_id"], r["url"], r["html"].encode(), r["digest"], refers, first_url, state["nth"], revisit)
                 state["out"].write(gzip.compress(raw, 6, mtime=0))
                 state["n"] += 1
                 if state["out"].tell() >= roll_bytes:
@@ -226,50 +246,62 @@ def write(pages: DataFrame, url: str, roll_bytes: int = ROLL_BYTES, min_revisit:
         if state:
             yield finish()
 
-    return ordered.mapInArrow(run, "shard int, manifest string, files long, records long")
+    done = sorted((r.asDict() for r in ordered.mapInArrow(run, "shard int, files long, records long, bytes long").collect()), key=lambda r: r["shard"])
+    archive = {"records": sum(r["records"] for r in done), "files": sum(r["files"] for r in done), "bytes": sum(r["bytes"] for r in done), "shards": [r["shard"] for r in done]}
+    if archive["records"] != size["n"]:
+        raise RuntimeError(f"{archive['records']} records of {size['n']} pages written to {url}")
+    folder = Folder(url)
+    folder.write(ARCHIVE, json.dumps(archive, sort_keys=True).encode())
+    folder.sweep()
+    return archive
 
 
-_SHARD = pa.schema([("shard", pa.int32()), ("manifest", pa.string()), ("files", pa.int64()), ("records", pa.int64())])
-_READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+ARCHIVE = "archive.json"
 
 
-def read(spark: SparkSession, url: str, manifests: DataFrame) -> DataFrame:
-    """The records of the archive under `url`, from the files its manifests list."""
+def _manifest(shard: int) -> str:
+    return f"manifest-{shard:06d}.json"
 
-    def listed(batches):
-        folder = Folder(url)
-        for batch in batches:
-            names = [f for m in batch.column("manifest").to_pylist() for f in json.loads(folder.read(m))]
-            yield pa.RecordBatch.from_pylist([{"name": f["name"], "sha256": f["sha256"]} for f in names], schema=pa.schema([("name", pa.string()), ("sha256", pa.string())]))
+
+_SHARD = pa.schema([("shard", pa.int32()), ("files", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64())])
+_READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.int64()), ("refers_to_record", pa.string())])
+_READ_SQL = "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, record_id string, refers_to long, refers_to_record string"
+
+
+def read(spark: SparkSession, url: str, batch_bytes: int = 4 << 20) -> DataFrame:
+    """The records of the archive under `url`, one task a shard; raises where the archive isn't complete or a file isn't what its manifest says."""
+    archive = json.loads(Folder(url).read(ARCHIVE))
+    shards = archive["shards"]
 
     def opened(batches):
         folder = Folder(url)
         for batch in batches:
-            for name, sha in zip(batch.column("name").to_pylist(), batch.column("sha256").to_pylist(), strict=True):
-                data = folder.read(name)
-                if hashlib.sha256(data).hexdigest() != sha:
-                    raise ValueError(f"{name} is not what its manifest says")
-                held = []
-                for raw in members(data):
-                    found = parse_record(raw)
-                    held.append(found | {"payload": found["payload"].decode() if found["record_type"] == "response" else None})
-                    if len(held) >= 256:
-                        yield pa.RecordBatch.from_pylist(held, schema=_READ)
-                        held = []
+            for at in batch.column("id").to_pylist():
+                held, size = [], 0
+                for f in json.loads(folder.read(_manifest(shards[at]))):
+                    data = folder.read(f["name"])
+                    if hashlib.sha256(data).hexdigest() != f["sha256"]:
+                        raise ValueError(f"{f['name']} is not what its manifest says")
+                    for raw in members(data):
+                        found = parse_record(raw)
+                        if found is None:
+                            continue
+                        held.append(found | {"payload": found["payload"].decode() if found["record_type"] == "response" else None})
+                        size += len(raw)
+                        if size >= batch_bytes:
+                            yield pa.RecordBatch.from_pylist(held, schema=_READ)
+                            held, size = [], 0
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=_READ)
 
-    files = manifests.mapInArrow(listed, "name string, sha256 string").repartition("name")
-    return files.mapInArrow(opened, "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spark.range(0, len(shards), 1, max(1, len(shards))).mapInArrow(opened, _READ_SQL)
 
 
 def round_trip(pages: DataFrame, url: str | None = None, **options) -> DataFrame:
     """Write the archive, commit it, and read every record back."""
-    spark = pages.sparkSession
-    url = url or fresh_path(spark, "warc")
-    done = write(pages, url, **options)
-    manifests = spark.createDataFrame(done.select("shard", "manifest").collect(), "shard int, manifest string")  # one row a shard
-    return read(spark, url, manifests)
+    url = url or fresh_path(pages.sparkSession, "warc")
+    write(pages, url, **options)
+    return read(pages.sparkSession, url)
 
 
 ORACLE_SQL = f"""
