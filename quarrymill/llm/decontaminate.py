@@ -1,14 +1,16 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-`build_index` turns documents into segments: for a slice of documents the sorted positions of every
-vocabulary term (the terms that occur in the benchmark; no other term can take part in a match), stored as
-Parquet in the shared folder. `exact_matches` takes every window of consecutive benchmark words, starts from
-the postings of its rarest term in the segment, and intersects them with the other terms' postings, rarest
-first, each list shifted by the term's offset in the window. `proximity_matches` finds places where all terms
-of a window stand within `slop` words of its rarest term, in any order.
-
-The benchmark is processed in blocks of at most `BLOCK_WORDS` words, so what is sent to workers has a fixed
-bound however large the benchmark is; hits of several blocks are merged per document.
+`build_index` turns documents into segments: for a slice of documents the sorted positions of every term, stored as
+Parquet in the shared folder. It knows nothing of any benchmark, so one index serves all of a benchmark's blocks and
+any later benchmark. `exact_matches` starts from a segment's own terms: windows of consecutive benchmark words are
+listed under their rarest test term, so only windows whose rarest term the segment has are looked at. Their terms'
+postings are intersected, rarest in the segment first, each list shifted by the term's offset in the window.
+`proximity_matches` finds places where all terms of a window, repeated ones as often as the window has them, stand
+within `slop` words of its rarest term, in any order.
+
+The benchmark is processed in blocks of at most `BLOCK_WORDS` words, so what is broadcast (8 bytes a word, 16 bytes a
+window) has a fixed bound however large the benchmark is; hits of several blocks are merged by the segment and row of
+the one stored index.
 
 Words: A-Z lower-cased, then runs of bytes other than \\x00-\\x2F, \\x3A-\\x60, \\x7B-\\x7F. A document may be
 longer than a slice: it is then a segment of its own. Matches never cross documents. Cases: null or empty
@@ -45,21 +47,40 @@ def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Windows:
-    """Windows of benchmark words: term hashes by offset (0 where shorter), widths and item ids."""
+    """Windows of benchmark words: where each starts in the list of word hashes, its width and item, listed under its rarest term."""
 
     def __init__(self, rows: list[tuple[str | None, str]], width: int):
         self.width = width
         self.items = [r[0] for r in rows]
-        hashes, first = term_hashes(pa.array([r[1] for r in rows], pa.string()))
+        self.hashes, first = term_hashes(pa.array([r[1] for r in rows], pa.string()))
         counts = np.diff(first)
         n = np.where(counts == 0, 0, np.maximum(counts - width + 1, 1))
-        self.item = np.repeat(np.arange(len(rows)), n)
-        starts = spread(first[:-1], n)
-        self.size = np.minimum(counts, width)[self.item]
-        at = starts[:, None] + np.arange(width)
-        inside = np.arange(width) < self.size[:, None]
-        self.terms = np.where(inside, hashes[np.minimum(at, max(len(hashes) - 1, 0))] if len(hashes) else np.uint64(0), np.uint64(0)).astype(np.uint64)
-        self.vocabulary = np.unique(hashes)
+        self.item = np.repeat(np.arange(len(rows)), n).astype(np.int32)
+        self.start = spread(first[:-1], n)
+        self.size = np.minimum(counts, width)[self.item].astype(np.int32)
+        names, which, df = np.unique(self.hashes, return_inverse=True, return_counts=True)
+        rarest = np.full(len(self.start), -1)
+        for k in range(width):
+            at = np.minimum(self.start + k, max(len(which) - 1, 0))
+            term = which[at] if len(which) else at
+            rarest = np.where((k < self.size) & ((rarest < 0) | (df[term] < df[rarest])), term, rarest) if len(which) else rarest
+        order = np.argsort(rarest, kind="stable")
+        self.listed = order.astype(np.int32)
+        present = np.unique(rarest)
+        self.keys = names[present] if len(names) else names
+        self.edges = np.append(np.searchsorted(rarest[order], present), len(order))
+
+    def terms(self, window: np.ndarray) -> np.ndarray:
+        """Term hashes of windows by offset (whatever follows beyond a window's size)."""
+        return self.hashes[np.minimum(self.start[window][:, None] + np.arange(self.width), len(self.hashes) - 1)]
+
+    def under(self, terms: np.ndarray) -> np.ndarray:
+        """The windows listed under any of the (sorted, distinct) terms."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, terms), len(self.keys) - 1)
+        at = at[self.keys[at] == terms]
+        return self.listed[spread(self.edges[at], np.diff(self.edges)[at])].astype(np.int64)
 
 
 def benchmark_blocks(benchmark: DataFrame, width: int, block_words: int) -> Iterator[Windows]:
@@ -76,8 +97,8 @@ def benchmark_blocks(benchmark: DataFrame, width: int, block_words: int) -> Iter
         yield Windows(held, width)
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int = WINDOW) -> DataFrame:
-    """Segments of the positional index over the given term hashes, stored in the shared folder.
+def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
+    """Segments of the positional index of all words, stored in the shared folder.
 
     Positions number the words of a segment; `gap` free positions between documents keep matches inside one."""
     arrow_rows(docs.sparkSession)
@@ -88,11 +109,8 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int = WINDOW) -> D
             hashes, first = term_hashes(batch.column("text"))
             counts = np.diff(first)
             position = np.arange(len(hashes)) + np.repeat(np.arange(len(counts)) * gap, counts)
-            slot = np.searchsorted(vocabulary, hashes)
-            slot[slot == len(vocabulary)] = 0
-            known = np.flatnonzero(vocabulary[slot] == hashes) if len(vocabulary) else np.zeros(0, np.int64)
-            order = known[np.argsort(slot[known], kind="stable")]
-            terms, df = np.unique(slot[order], return_counts=True)
+            order = np.argsort(hashes, kind="stable")
+            terms, df = np.unique(hashes[order], return_counts=True)
             gaps = np.diff(position[order], prepend=0)
             heads = np.cumsum(df) - df
             gaps[heads] = position[order][heads]  # every list starts afresh
@@ -101,7 +119,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int = WINDOW) -> D
                     pa.array([f"{task}-{n}"]),
                     pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                     pa.array([counts.tolist()], pa.list_(pa.int64())),
-                    pa.array([vocabulary[terms].tobytes()], pa.binary()),
+                    pa.array([terms.tobytes()], pa.binary()),
                     pa.array([df.astype(np.uint32).tobytes()], pa.binary()),
                     pa.array([gaps.astype(np.uint32).tobytes()], pa.binary()),
                 ],
@@ -135,11 +153,14 @@ class Segment:
 
     def rarest_first(self, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows all of whose terms the segment has: index, slots and offsets of their terms, rarest first."""
-        slots = self.slots(w.terms)
-        used = np.arange(w.width) < w.size[:, None]
-        alive = np.flatnonzero(((slots >= 0) | ~used).all(axis=1))
-        slots, used = slots[alive], used[alive]
-        df = np.where(used, self.df[np.maximum(slots, 0)] if len(self.df) else 0, np.iinfo(np.int64).max)
+        alive = w.under(self.terms)
+        if not len(alive):
+            return alive, np.zeros((0, w.width), np.int64), np.zeros((0, w.width), np.int64)
+        slots = self.slots(w.terms(alive))
+        used = np.arange(w.width) < w.size[alive][:, None]
+        whole = ((slots >= 0) | ~used).all(axis=1)
+        alive, slots, used = alive[whole], slots[whole], used[whole]
+        df = np.where(used, self.df[np.maximum(slots, 0)], np.iinfo(np.int64).max)
         order = np.argsort(df, axis=1, kind="stable")
         return alive, np.take_along_axis(slots, order, 1), order
 
@@ -169,16 +190,17 @@ class Segment:
         return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
 
     def near(self, w: Windows, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, position of its rarest term) where every term of the window is within `slop` words."""
+        """(window, position of its rarest term) where every term of the window stands within `slop` words, as often as the window has it."""
         alive, slots, _ = self.rarest_first(w)
         if not len(alive):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        used = np.arange(w.width) < w.size[alive][:, None]
+        times = ((slots[:, :, None] == slots[:, None, :]) & used[:, None, :]).sum(axis=2)
         of, at = self._first_lists(slots)
-        for k in range(1, w.width):
-            used = k < w.size[alive[of]]
-            low = (slots[of, k] << 40) + np.maximum(at - slop, 0)
-            spot = np.searchsorted(self.keys, low)
-            keep = ~used | (self.keys[np.minimum(spot, len(self.keys) - 1)] <= (slots[of, k] << 40) + at + slop) & (spot < len(self.keys))
+        for k in range(w.width):
+            low = np.searchsorted(self.keys, (slots[of, k] << 40) + np.maximum(at - slop, 0))
+            high = np.searchsorted(self.keys, (slots[of, k] << 40) + at + slop, side="right")
+            keep = ~used[of, k] | (high - low >= times[of, k])
             of, at = of[keep], at[keep]
         return alive[of], at
 
@@ -189,8 +211,10 @@ _MATCH_SQL = "segment string, row long, doc_id long, n_words long, spans array<s
 
 def _matches(index: DataFrame, w: Windows | None, gap: int, slop: int | None) -> DataFrame:
     """A row per document: the spans of words in matches (word numbers in the document) and the items matched."""
+    shared = index.sparkSession.sparkContext.broadcast(w)
 
     def run(batches):
+        w = shared.value
         for batch in batches:
             for row in batch.to_pylist():
                 counts = np.array(row["n_words"], np.int64)
@@ -203,10 +227,8 @@ def _matches(index: DataFrame, w: Windows | None, gap: int, slop: int | None) ->
                     window, at = segment.exact(w) if slop is None else segment.near(w, slop)
                     doc = np.searchsorted(base, at, side="right") - 1
                     # A document without words shares its base position with none: gap > 0 keeps bases distinct.
-                    if slop is None:
-                        first, last = at - base[doc], at - base[doc] + w.size[window]
-                    else:
-                        first, last = at - base[doc], at - base[doc] + 1
+                    first = at - base[doc]
+                    last = first + (w.size[window] if slop is None else 1)
                     order = np.lexsort((last, first, doc))
                     for d, a, b in zip(doc[order].tolist(), first[order].tolist(), last[order].tolist(), strict=True):
                         held = spans.setdefault(d, [])
@@ -219,27 +241,37 @@ def _matches(index: DataFrame, w: Windows | None, gap: int, slop: int | None) ->
                         if (name := w.items[p % len(w.items)]) is not None:
                             items.setdefault(p // len(w.items), []).append(name)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["segment"]] * n), pa.array(range(n), pa.int64()), pa.array(row["doc_ids"], pa.int64()), pa.array(counts), pa.array([spans.get(d, []) for d in range(n)], _MATCH.field("spans").type), pa.array([sorted(set(items.get(d, []))) for d in range(n)], pa.list_(pa.string()))],
+                    [
+                        pa.array([row["segment"]] * n),
+                        pa.array(range(n), pa.int64()),
+                        pa.array(row["doc_ids"], pa.int64()),
+                        pa.array(counts),
+                        pa.array([spans.get(d, []) for d in range(n)], _MATCH.field("spans").type),
+                        pa.array([sorted(set(items.get(d, []))) for d in range(n)], pa.list_(pa.string())),
+                    ],
                     schema=_MATCH,
                 )
 
     return index.mapInArrow(run, _MATCH_SQL)
 
 
+def search(index: DataFrame, benchmark: DataFrame, gap: int, width: int = WINDOW, block_words: int = BLOCK_WORDS, slop: int | None = None) -> DataFrame:
+    """The matches of a benchmark in a stored index that was built with this gap: a row per document (segment, row)."""
+    blocks = [_matches(index, w, gap, slop) for w in benchmark_blocks(benchmark, width, block_words)] or [_matches(index, None, gap, slop)]
+    if len(blocks) == 1:
+        return blocks[0]
+    hits = [b.where(F.size("spans") > 0).select("segment", "row", "spans", "items") for b in blocks[1:]]
+    whole = blocks[0]
+    for h in hits:  # documents come from the first block, the others add what they hit
+        whole = whole.unionByName(h, allowMissingColumns=True)
+    return whole.groupBy("segment", "row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    )
+
+
 def _search(docs: DataFrame, benchmark: DataFrame, width: int, block_words: int, slop: int | None) -> DataFrame:
     gap = max(width, slop or 0) + 1
-    parts = []
-    for w in benchmark_blocks(benchmark, width, block_words):
-        parts.append(_matches(build_index(docs, w.vocabulary, gap), w, gap, slop))
-    if not parts:
-        return _matches(build_index(docs, np.zeros(0, np.uint64), gap), None, gap, slop)
-    if len(parts) == 1:
-        return parts[0]
-    # Segments of all blocks cut the same documents alike only within one index, so blocks are merged by row of the table.
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return search(build_index(docs, gap), benchmark, gap, width, block_words, slop)
 
 
 def exact_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

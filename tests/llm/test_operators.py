@@ -67,23 +67,50 @@ def best_path(v, scores, text):
     return out[::-1]
 
 
-def test_pieces_match_plain_viterbi_and_round_trip():
+@pytest.mark.parametrize("chunk", [16, 17, 40, 1024])
+def test_pieces_match_plain_viterbi_and_round_trip(chunk):
     from sentencepiece import SentencePieceProcessor
 
     proto = pieces._proto(None)
     sp, v = SentencePieceProcessor(model_proto=proto), pieces.Vocabulary(proto)
+    v.chunk = chunk
     scores = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
     rng = random.Random(2)
     texts = ["the quick brown fox", "x" * 200, "".join(rng.choice("abcdehilnorst") for _ in range(900)), "  two  spaces ", "tab\tand\nline", "emoji 😀 日本語", "a" * 63, "a" * 64, "a" * 65, " " * 150]
     texts += ["".join(rng.choice("etaoin shrdlu") for _ in range(rng.randint(1, 300))) for _ in range(60)]
-    ids, first = v.encode(pa.array(texts))
-    data, offsets = v.decode(ids, first)
-    for i, text in enumerate(texts):
-        assert data[offsets[i] : offsets[i + 1]].tobytes().decode() == text
-        want = []
-        for name in best_path(v, scores, text):
-            want += [sp.piece_to_id(name)] if name in scores else [sp.piece_to_id(f"<0x{b:02X}>") for b in name.encode()]
-        assert ids[first[i] : first[i + 1]].tolist() == want, text[:40]
+    for _ in range(2):  # the second time from what is remembered
+        ids, first = v.encode(pa.array(texts))
+        data, offsets = v.decode(ids, first)
+        for i, text in enumerate(texts):
+            assert data[offsets[i] : offsets[i + 1]].tobytes().decode() == text
+            want = []
+            for name in best_path(v, scores, text):
+                want += [sp.piece_to_id(name)] if name in scores else [sp.piece_to_id(f"<0x{b:02X}>") for b in name.encode()]
+            assert ids[first[i] : first[i + 1]].tolist() == want, text[:40]
+    assert v.matrices > 10
+
+
+def test_documents_go_through_transfer_matrices(sf_dir):
+    """On the table itself: every chunk of a slice has a matrix in the scan, and the ids are those of the plain path."""
+    import pyarrow.parquet as pq
+
+    proto = pieces._proto(None)
+    v, whole = pieces.Vocabulary(proto), pieces.Vocabulary(proto)
+    whole.chunk = 1 << 40  # no chunk ends: stretches alone
+    texts = pq.read_table(f"{sf_dir}/documents.parquet").column("text").combine_chunks()
+    ids, first = v.encode(texts)
+    plain, plain_first = whole.encode(texts)
+    assert v.matrices > 300 and whole.matrices == 0
+    assert (ids == plain).all() and (first == plain_first).all()
+
+
+def test_equal_hashes_of_unlike_stretches_are_told_apart(monkeypatch):
+    proto = pieces._proto(None)
+    v, plain = pieces.Vocabulary(proto), pieces.Vocabulary(proto)
+    texts = pa.array(["one two three four", "three one", "fives six"])
+    want = plain.encode(texts)[0].tolist()
+    monkeypatch.setattr(pieces, "word_hash", lambda data, starts, ends: (ends - starts).astype(np.uint64) // np.uint64(12))
+    assert v.encode(texts)[0].tolist() == want and v.encode(texts)[0].tolist() == want
 
 
 def test_transfer_matrices_are_associative():
@@ -368,7 +395,48 @@ def test_decontaminate_against_brute_force(spark):
     assert decontaminate.report(table(spark, rows), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_blocks_of_a_benchmark_share_one_index(spark):
+    """Many blocks over a source that is dealt anew between jobs: rows of different documents are never merged."""
+    rng = random.Random(10)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(12))) for k in range(20)]
+    rows = [(i, (prose(rng, 30) + " " + items[i % 20][1] if i % 3 else prose(rng, 30))) for i in range(200)]
+    docs = table(spark, rows).orderBy(F.rand()).repartition(7)  # another order each time it is read
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.exact_matches(docs, bench, block_words=40).select("doc_id", "items", decontaminate.n_hit().alias("n")).collect()
+    assert {(r.doc_id, tuple(r["items"]), r.n) for r in got} == {(i, (str(i % 20),) if i % 3 else (), 12 if i % 3 else 0) for i in range(200)} and len(got) == 200
+
+
+def test_windows_are_looked_up_by_the_segments_terms():
+    """Cost follows the segment: of a large benchmark only windows under a term of the segment are touched."""
+    rng = random.Random(3)
+    words = [f"b{rng.randint(0, 10**9)}" for _ in range(50_000)]
+    w = decontaminate.Windows([(str(k), " ".join(words[k * 50 : k * 50 + 50])) for k in range(1000)], 10)
+    own, _ = decontaminate.term_hashes(pa.array([" ".join(words[100:115]) + " and some other words"]))
+    assert 0 < len(w.under(np.unique(own))) <= 30 < len(w.item) == 41_000
+
+
+def test_span_hash_structure_is_not_in_word_hashes(spark):
+    """Thue-Morse strings over two letters: equal sums of powers modulo 2 ** 64, but different words."""
+    a = "a"
+    for _ in range(12):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    for n in (1024, 2048, 4096):
+        pair = pa.array([a[:n], b[:n]])
+        assert decontaminate.term_hashes(pair)[0][0] != decontaminate.term_hashes(pair)[0][1]
+        assert lm.tokens(pair)[0][0] != lm.tokens(pair)[0][2]
+        x, y = jaccard.shingle_sets(pair)
+        assert x[0] != y[0]
+    rows = [(1, a), (2, b), (3, a)]
+    assert {(r.doc_id, r.component_id) for r in jaccard.classify(table(spark, rows)).collect()} == {(1, 1), (2, 2), (3, 1)}
+    bench = spark.createDataFrame([(1, b)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.report(table(spark, rows), bench).where("contaminated").collect()} == {2}
+
+
 def test_proximity_matches(spark):
+    twice = spark.createDataFrame([(1, "the lamp the mill")], "item_id long, text string")
+    found = decontaminate.proximity_matches(table(spark, [(1, "lamp the mill"), (2, "mill the the lamp")]), twice, slop=5).collect()
+    assert {r.doc_id: bool(r.spans) for r in found} == {1: False, 2: True}
     bench = spark.createDataFrame([(1, "copper lamp mill")], "item_id long, text string")
     docs = table(spark, [(1, "a mill near the copper lamp"), (2, "copper lamp " + "x " * 20 + "mill"), (3, "lamp mill")])
     got = {r.doc_id: len(r.spans) for r in decontaminate.proximity_matches(docs, bench, slop=5).collect()}
