@@ -1,18 +1,24 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
 The best segmentation of a text maximises the sum of piece scores: a path in a lattice of character positions.
-Positions no piece can cross (a space marker after another character, a character in no piece) cut it for free:
-their transfer matrix has one live state. Between such cuts, equal stretches of a slice are solved once.
-Stretches longer than `CHUNK` characters are split into chunks. A chunk's transfer matrix T[a, b] is the best
-score from "a characters already taken by a piece of the chunk before" to "a piece reaches b characters into
+The texts of a slice are cut into chunks of `CHUNK` characters wherever that falls. A chunk's transfer matrix T[a, b] is
+the best score from "a characters already taken by a piece of the chunk before" to "a piece reaches b characters into
 the next chunk"; matrices are combined associatively by a max-plus prefix scan, which gives every chunk the
-scores of its entry states, and then each chunk is backtraced on its own from all its exit states. All chunks
-or stretches advance in lockstep, as array operations.
+scores of its entry states, and then each chunk is backtraced on its own from all its exit states. Scores are whole
+multiples of 2 ** -16, so sums are the same in any order and the path doesn't depend on where chunks end.
+
+Positions no piece can cross (a space marker after another character, a character in no piece, a text's end) make a
+matrix one of few numbers: what lies before the first such cut of a chunk depends on the entry state only, what lies
+behind the last on the exit state only, and the stretches between cuts inside a chunk on neither. So the matrix is
+the outer sum of both ends and the score of the middle, and equal stretches of the middle are solved once (a stretch
+is looked up by hash and compared character by character). A chunk without a cut has its matrix computed in full. All
+chunks or stretches advance in lockstep, as array operations.
 
 At each end position the longest of equally good last pieces wins; a character in no piece costs the least score
-less 10 and becomes its UTF-8 bytes; a space is put before a text, as the unigram model of the format has it. A vocabulary file of type BPE has
-merge ranks as scores; its best path is by those scores and isn't the merge order of a BPE encoder. Decoding an
-encoded text always gives the text back; a literal U+2581 is encoded as bytes, so that it isn't read as a space.
+less 10 and becomes its UTF-8 bytes; a space is put before a text, as the unigram model of the format has it. A
+vocabulary file of type BPE has merge ranks as scores; its best path is by those scores and isn't the merge order of a
+BPE encoder. Decoding an encoded text always gives the text back; a literal U+2581 is encoded as bytes, so that it
+isn't read as a space.
 
 Cases: null and empty texts have no pieces and decode to the empty text; repeated rows are encoded each; texts
 of any length work, in memory that follows the longest single text. Other columns are ignored or kept.
@@ -28,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import _BASE_INV, arrow_rows, mix, powers, slices, spread, utf8
+from .blocks import _BASE_INV, arrow_rows, mix, powers, slices, spread, utf8, word_hash
 
-CHUNK = 64
+CHUNK = 1024
 MARK, LITERAL_MARK = 0x2581, 0x110000
 UNKNOWN_PENALTY = 10.0
 MODEL = "piece_bpe_32k.model"
@@ -73,15 +79,20 @@ class Vocabulary:
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_size = np.array([len(r) for r in raw], np.int64)
         self.raw_first = np.cumsum(self.raw_size) - self.raw_size
-        scores = np.array([sp.get_score(i) for i in range(n)])
+        scores = np.round(np.array([sp.get_score(i) for i in range(n)]) * 65536) / 65536
         self.longest = max(len(names[i]) for i in normal)
         self.unknown = float(scores[normal].min()) - UNKNOWN_PENALTY
         self.alphabet = np.array(sorted({ord(c) for i in normal for c in names[i]}), np.uint32)
         self.marks_cut = not any(a != "▁" and b == "▁" for i in normal for a, b in zip(names[i], names[i][1:], strict=False))
         self.tables = [None] + [self._table([i for i in normal if len(names[i]) == size], names, scores) for size in range(1, self.longest + 1)]
-        self.seen = np.zeros(0, np.uint64)  # hashes of solved stretches, sorted, and where their ids stand in `pool`
-        self.seen_at = np.zeros((0, 2), np.int64)
-        self.pool = np.zeros(0, np.int32)
+        self.chunk = max(CHUNK, self.longest)
+        self.matrices = 0  # transfer matrices combined so far
+        self._forget()
+
+    def _forget(self) -> None:
+        """Hashes of solved stretches, sorted; where their ids stand in `pool` and their characters in `text`; their scores."""
+        self.seen, self.seen_at, self.seen_score = np.zeros(0, np.uint64), np.zeros((0, 4), np.int64), np.zeros(0)
+        self.pool, self.text = np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     @staticmethod
     def _table(ids, names, scores):
@@ -128,8 +139,8 @@ class Vocabulary:
 
     # ---- paths ----------------------------------------------------------------------------------
 
-    def short_paths(self, score: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Piece lengths at piece starts (0 elsewhere) for stretches of at most CHUNK characters, in lockstep."""
+    def short_paths(self, score: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece lengths at piece starts (0 elsewhere) for stretches that stand alone, in lockstep, and the paths' scores."""
         taken = np.zeros(score.shape[1], np.int8)
         order = np.argsort(-sizes, kind="stable")
         starts, sizes = starts[order], sizes[order]
@@ -146,6 +157,8 @@ class Vocabulary:
                 most[better] = value[better]
                 via[better] = size
             best[e, :live], back[e, :live] = most, via
+        total = np.empty(m)
+        total[order] = best[sizes, np.arange(m)]
         left = sizes.copy()
         rows = np.arange(m)
         while len(rows):
@@ -153,75 +166,129 @@ class Vocabulary:
             left[rows] -= size
             taken[starts[rows] + left[rows]] = size
             rows = rows[left[rows] > 0]
-        return taken
-
-    def transfer(self, score: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Transfer matrices T[chunk, a, b]; the last chunk of a stretch exits at its end only (b = 0)."""
-        L, n = self.longest, score.shape[1]
-        best = np.full((len(starts), L, CHUNK + L), -np.inf)
-        best[:, np.arange(L), np.arange(L)] = 0
-        for s in range(CHUNK):
-            inside = np.flatnonzero(sizes > s)
+        return taken, total
+
+    def _advance(self, score: np.ndarray, first: np.ndarray, sizes: np.ndarray, entry: np.ndarray, back: np.ndarray | None = None) -> np.ndarray:
+        """Best scores of the nodes of parts, from the scores of their entry nodes: entry and the result are (part, way in, node).
+
+        Parts are sorted by size, longest first. back takes the length of the last piece of each node (0: it came from the part before)."""
+        L, top = self.longest, int(sizes.max())
+        best = np.full((*entry.shape[:2], top + L), -np.inf)
+        best[:, :, :L] = entry
+        for s in range(top):
+            live = int(np.searchsorted(-sizes, -s, side="left"))
             for size in range(1, L + 1):
-                step = score[size, np.minimum(starts[inside] + s, n - 1)]
-                best[inside, :, s + size] = np.maximum(best[inside, :, s + size], best[inside, :, s] + step[:, None])
-        out = best[:, :, CHUNK:].copy()
-        for c in np.flatnonzero(sizes < CHUNK):
-            out[c] = -np.inf
-            out[c, :, 0] = best[c, :, sizes[c]]
-        return out
-
-    def long_path(self, score: np.ndarray, start: int, size: int) -> np.ndarray:
-        """As short_paths for one long stretch, by the scan over its chunks; marks relative to its start."""
-        L, n = self.longest, score.shape[1]
-        starts = np.arange(start, start + size, CHUNK)
-        sizes = np.minimum(start + size - starts, CHUNK)
-        C = len(starts)
-        T_ = np.concatenate([self.transfer(score, starts[a : a + 512], sizes[a : a + 512]) for a in range(0, C, 512)])
-        prefix = max_plus_scan(T_)
-        entry = np.full((C, L), -np.inf)
-        entry[0, 0] = 0
-        entry[1:] = prefix[:-1, 0, :]
-        # Forward within every chunk from its entry scores; 0 marks "came from the chunk before".
-        best = np.full((CHUNK + L, C), -np.inf)
-        back = np.zeros((CHUNK + L, C), np.int8)
-        best[:L] = entry.T
-        for p in range(1, CHUNK + L):
-            for length in range(min(L, p), 0, -1):
-                s = p - length
-                if s >= CHUNK:
+                piece = score[size, first[:live] + s]
+                if not np.isfinite(piece).any():
                     continue
-                value = np.where(s < sizes, best[s] + score[length, np.minimum(starts + s, n - 1)], -np.inf)
-                better = value > best[p]
-                best[p, better] = value[better]
-                back[p, better] = length
-        exits = np.where(sizes < CHUNK, sizes, CHUNK)[None, :] + np.arange(L)[:, None]  # nodes, by (b, chunk)
-        at = np.minimum(exits, CHUNK + L - 1).copy()
-        columns = np.broadcast_to(np.arange(C), at.shape)
-        while True:  # every chunk from every exit, independently
-            step = back[at, columns]
-            if not step.any():
-                break
-            at -= step
-        chosen = np.zeros(C, np.int64)
-        b = 0
-        for c in range(C - 1, -1, -1):
-            chosen[c] = b
-            b = int(at[b, c])
-        taken = np.zeros(size, np.int8)
-        node, live = exits[chosen, np.arange(C)].copy(), np.arange(C)
-        while len(live):
-            step = back[node[live], live]
-            live, step = live[step > 0], step[step > 0]
-            node[live] -= step
-            taken[live * CHUNK + node[live]] = step
-        return taken
+                value, node = best[:live, :, s] + piece[:, None], best[:live, :, s + size]
+                better = value > node
+                np.copyto(node, value, where=better)
+                if back is not None:
+                    np.copyto(back[:live, s + size], size, where=better[:, 0])
+        return best
+
+    def _groups(self, sizes: np.ndarray):
+        """Parts by size, longest first, some at a time."""
+        order, a = np.argsort(-sizes, kind="stable"), 0
+        while a < len(order):
+            b = a + max(1, (1 << 20) // (int(sizes[order[a]]) + self.longest))
+            yield order[a:b]
+            a = b
+
+    def _part_scores(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores and ids of the pieces that start in parts (and may reach beyond them, but not beyond `stops`), and each part's first column."""
+        reach = np.minimum(sizes + self.longest - 1, stops - starts)
+        ends = np.cumsum(reach)
+        score, ids = self.matches(codes[spread(starts, reach)], np.repeat(ends, reach))
+        return score, ids, ends - reach
+
+    def across(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces (place, length, id) of the stretches that cross the ends of chunks, by the scan over all chunks' matrices.
+
+        middle: each chunk's score of the stretches that lie inside it."""
+        L, K = self.longest, self.chunk
+        C = len(middle)
+        # A stretch's parts: one for each chunk it stands in.
+        n = (starts + sizes - 1) // K - starts // K + 1
+        of = np.repeat(np.arange(len(starts)), n)
+        nth = spread(np.zeros(len(starts), np.int64), n)
+        chunk = starts[of] // K + nth
+        head = np.maximum(starts[of], chunk * K)
+        size = np.minimum(starts[of] + sizes[of], (chunk + 1) * K) - head
+        stop = starts[of] + sizes[of]
+        enters, leaves = nth > 0, nth < n[of] - 1
+        none = np.full(L, -np.inf)
+        none[0] = 0
+        ins, outs = np.tile(none, (C, 1)), np.tile(none, (C, 1))
+        full: dict[int, np.ndarray] = {}
+        for g in self._groups(size):
+            score, _, first = self._part_scores(codes, head[g], size[g], stop[g])
+            entry = np.full((len(g), L, L), -np.inf)
+            entry[:, np.arange(L), np.arange(L)] = 0
+            best = self._advance(score, first, size[g], entry)
+            exits = np.where(leaves[g], L, 1)
+            for k, p in enumerate(g.tolist()):
+                t = best[k, :, size[p] : size[p] + exits[k]]
+                if enters[p] and leaves[p]:
+                    full[int(chunk[p])] = t
+                elif leaves[p]:
+                    outs[chunk[p]] = t[0]
+                else:
+                    ins[chunk[p]] = t[:, 0]
+        matrices = ins[:, :, None] + middle[:, None, None] + outs[:, None, :]
+        for c, t in full.items():
+            matrices[c] = t
+        self.matrices += C
+        prefix = max_plus_scan(matrices)
+        entries = np.tile(none, (C, 1))
+        entries[1:] = prefix[:-1, 0, :]
+        # Every chunk from every exit, independently; then exits are chosen from the last part of a stretch to its first.
+        came = np.zeros((len(of), L), np.int64)
+        held = []
+        for g in self._groups(size):
+            score, ids, first = self._part_scores(codes, head[g], size[g], stop[g])
+            back = np.zeros((len(g), int(size[g].max()) + L), np.int8)
+            self._advance(score, first, size[g], np.where(enters[g, None], entries[chunk[g]], none)[:, None, :], back)
+            at = size[g, None] + np.where(leaves[g, None], np.arange(L), 0)
+            row = np.arange(len(g))[:, None]
+            while (step := back[row, at]).any():
+                at -= step
+            came[g] = at
+            held.append((g, back, ids, first))
+        chosen = np.zeros(len(of), np.int64)
+        for p in range(len(of) - 2, -1, -1):
+            if leaves[p]:
+                chosen[p] = came[p + 1, chosen[p + 1]]
+        found = []
+        for g, back, ids, first in held:
+            node, live = size[g] + chosen[g], np.arange(len(g))
+            while len(live):
+                step = back[live, node[live]].astype(np.int64)
+                live, step = live[step > 0], step[step > 0]
+                node[live] -= step
+                found.append((head[g[live]] + node[live], step, ids[step, first[live] + node[live]]))
+        place, length, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.argsort(place)
+        return place[by], length[by], ids[by]
 
     # ---- stretches and texts --------------------------------------------------------------------
 
-    def _solve(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the stretches, one after another, and their numbers."""
-        all_ids, counts = [], np.zeros(len(starts), np.int64)
+    def _spell(self, codes: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and how many each has: one, or the bytes of the character (codes) of an unknown one."""
+        code = np.where(codes == LITERAL_MARK, MARK, codes).astype(np.int64)
+        width = np.where(found >= 0, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+        piece = np.repeat(np.arange(len(codes)), width)
+        nth = np.arange(len(piece)) - np.repeat(np.cumsum(width) - width, width)
+        c, w = code[piece], width[piece]
+        later = 0x80 | ((c >> (6 * np.maximum(w - 1 - nth, 0))) & 0x3F)
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[w] | (c >> (6 * (w - 1)))
+        out = np.where(found[piece] >= 0, found[piece], self.byte_id[np.where(nth == 0, lead, later) & 0xFF])
+        return out.astype(np.int32), width
+
+    def _solve(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of stretches inside chunks, one after another, their numbers and the stretches' scores."""
+        all_ids, counts, scores = [], np.zeros(len(starts), np.int64), np.zeros(len(starts))
         ends = np.cumsum(sizes)
         a = 0
         while a < len(starts):
@@ -231,26 +298,47 @@ class Vocabulary:
             stop = np.cumsum(size)
             first = stop - size
             score, ids = self.matches(own, np.repeat(stop, size))
-            short = size <= CHUNK
-            taken = self.short_paths(score, first[short], size[short]) if short.any() else np.zeros(len(own), np.int8)
-            for k in np.flatnonzero(~short):
-                taken[first[k] : stop[k]] = self.long_path(score, int(first[k]), int(size[k]))
+            taken, scores[a:b] = self.short_paths(score, first, size)
             at = np.flatnonzero(taken)
-            found = ids[taken[at], at]
-            code = np.where(own[at] == LITERAL_MARK, MARK, own[at]).astype(np.int64)
-            width = np.where(found >= 0, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
-            piece = np.repeat(np.arange(len(at)), width)
-            nth = np.arange(len(piece)) - np.repeat(np.cumsum(width) - width, width)
-            c, w = code[piece], width[piece]
-            later = 0x80 | ((c >> (6 * np.maximum(w - 1 - nth, 0))) & 0x3F)
-            lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[w] | (c >> (6 * (w - 1)))
-            out = np.where(found[piece] >= 0, found[piece], self.byte_id[np.where(nth == 0, lead, later) & 0xFF])
-            all_ids.append(out.astype(np.int32))
+            out, width = self._spell(own[at], ids[taken[at], at])
+            all_ids.append(out)
             run = np.concatenate([[0], np.cumsum(width)])
             edges = run[np.searchsorted(at, np.concatenate([first, stop[-1:]]))]
             counts[a:b] = np.diff(edges)
             a = b
-        return np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32), counts
+        return np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32), counts, scores
+
+    def _remembered(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, number) of the ids of stretches in `pool`, and scores; those not yet seen are solved."""
+        raw = codes.view(np.uint8)
+        h = word_hash(raw, 4 * starts, 4 * (starts + sizes))
+        unique, sample, which = np.unique(h, return_index=True, return_inverse=True)
+        spot = np.minimum(np.searchsorted(self.seen, unique), max(len(self.seen) - 1, 0))
+        fresh = np.flatnonzero(self.seen[spot] != unique) if len(self.seen) else np.arange(len(unique))
+        if len(self.seen) + len(fresh) > _CACHE_ENTRIES:
+            self._forget()
+            fresh = np.arange(len(unique))
+        if len(fresh):
+            at, size = starts[sample[fresh]], sizes[sample[fresh]]
+            ids, counts, scores = self._solve(codes, at, size)
+            place = np.stack([np.cumsum(counts) - counts + len(self.pool), counts, np.cumsum(size) - size + len(self.text), size], axis=1)
+            into = np.searchsorted(self.seen, unique[fresh])
+            self.seen, self.seen_at, self.seen_score = np.insert(self.seen, into, unique[fresh]), np.insert(self.seen_at, into, place, axis=0), np.insert(self.seen_score, into, scores)
+            self.pool, self.text = np.concatenate([self.pool, ids]), np.concatenate([self.text, codes[spread(at, size)]])
+        entry = np.searchsorted(self.seen, unique)[which]
+        place, score = self.seen_at[entry], self.seen_score[entry]
+        # A hash only finds a stretch; its characters decide.
+        wrong = place[:, 3] != sizes
+        like = np.flatnonzero(~wrong)
+        differ = codes[spread(starts[like], sizes[like])] != self.text[spread(place[like, 2], sizes[like])]
+        if differ.any():
+            wrong[like] = np.add.reduceat(differ.astype(np.int64), np.cumsum(sizes[like]) - sizes[like]) > 0
+        if wrong.any():
+            ids, counts, score[wrong] = self._solve(codes, starts[wrong], sizes[wrong])
+            place = place.copy()
+            place[wrong, 0], place[wrong, 1] = np.cumsum(counts) - counts + len(self.pool), counts
+            self.pool = np.concatenate([self.pool, ids])
+        return place[:, 0], place[:, 1], score
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and each text's first (one more entry than texts)."""
@@ -273,21 +361,23 @@ class Vocabulary:
         cut[-1] = False
         starts = np.flatnonzero(cut)
         sizes = np.diff(np.append(starts, len(codes)))
-        prefix = _hashes(codes)
-        h = mix((prefix[starts + sizes] - prefix[starts]) * powers(len(codes), _BASE_INV)[starts] + sizes.astype(np.uint64))
-        unique, sample, which = np.unique(h, return_index=True, return_inverse=True)
-        spot = np.minimum(np.searchsorted(self.seen, unique), max(len(self.seen) - 1, 0))
-        fresh = np.flatnonzero(self.seen[spot] != unique) if len(self.seen) else np.arange(len(unique))
-        if len(fresh):
-            if len(self.seen) + len(fresh) > _CACHE_ENTRIES:
-                self.seen, self.seen_at, self.pool, fresh = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), np.zeros(0, np.int32), np.arange(len(unique))
-            ids, counts = self._solve(codes, starts[sample[fresh]], sizes[sample[fresh]])
-            place = np.stack([np.cumsum(counts) - counts + len(self.pool), counts], axis=1)
-            into = np.searchsorted(self.seen, unique[fresh])
-            self.seen, self.seen_at, self.pool = np.insert(self.seen, into, unique[fresh]), np.insert(self.seen_at, into, place, axis=0), np.concatenate([self.pool, ids])
-        place = self.seen_at[np.searchsorted(self.seen, unique)][which]
-        out = self.pool[spread(place[:, 0], place[:, 1])]
-        run = np.concatenate([[0], np.cumsum(place[:, 1])])
+        chunks = -(-len(codes) // self.chunk)
+        inside = starts // self.chunk == (starts + sizes - 1) // self.chunk
+        place, count, score = self._remembered(codes, starts[inside], sizes[inside]) if inside.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        where, number = np.zeros((2, len(starts)), np.int64)
+        where[inside], number[inside] = place, count
+        pool = self.pool
+        if not inside.all():
+            middle = np.bincount(starts[inside] // self.chunk, weights=score, minlength=chunks)
+            crossing = np.flatnonzero(~inside)
+            at, _, found = self.across(codes, starts[crossing], sizes[crossing], middle)
+            ids, width = self._spell(codes[at], found)
+            run = np.concatenate([[0], np.cumsum(width)])
+            where[crossing] = run[np.searchsorted(at, starts[crossing])] + len(pool)
+            number[crossing] = run[np.searchsorted(at, starts[crossing] + sizes[crossing])] + len(pool) - where[crossing]
+            pool = np.concatenate([pool, ids])
+        out = pool[spread(where, number)]
+        run = np.concatenate([[0], np.cumsum(number)])
         return out, run[np.searchsorted(starts, head)]
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
