@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import stored
+from .blocks import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     now = stored(edges.where("a <> b").select("a", "b").distinct(), "components")
     seen = None
     for _ in range(rounds):
-        now = stored(_small_star(_large_star(now)), "components")
+        was, now = now, stored(_small_star(_large_star(now)), "components")
+        discard(was)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == seen:
             break

@@ -18,6 +18,12 @@ out what cannot reach the threshold:
    So a group of copies is compared with its hub and not with itself.
 5. Connected components of the verified links.
 
+No shingle, hub or group of copies has to fit a task. The postings of a shingle in a bucket with more than a fair
+share of all shingles are salted by set, and the hubs of its salts meet afterwards; there are at most as many such
+buckets as partitions. In the second round, rows whose shingle stands in one component only are dropped before they move;
+a hub with more than a fair share of the rows is dealt by shingle to as many places, a shingle with more by pairs of
+blocks of its rows. The number of partitions follows the number of shingles.
+
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of fewer than five words is one shingle. Shingles
 and sets are known by 64-bit hashes. Cases: null text and text without words have an empty set and are linked
 with nothing; repeated rows have equal sets and are linked; a null doc_id takes part but is never the least
@@ -32,14 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SPACE, arrow_rows, lower, mix, prefix_hash, slices, span_hash, stored, utf8, window_hash, words
+from .blocks import SPACE, arrow_rows, discard, lower, mix, slices, stored, utf8, window_hash, word_hash, words
 from .components import connected_components
 
 WIDTH = 5
 LARGE = 8
+FAIR = 1.0  # times an even share of a partition, beyond which a shingle, hub or bucket is split
+SHINGLES = 8 << 20  # a partition stands for at most so many shingles of documents
 _BUCKET_BITS = 20
 _ROWS_OF_COUNTS = 64
-_POSTING = np.dtype([("h", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("at", "<u4")])
+_POSTING = np.dtype([("h", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("at", "<u4"), ("salt", "<u4")])  # salt: 0 for none
 
 
 def required(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
@@ -56,7 +64,7 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     data, offsets = utf8(column)
     data = lower(data)
     starts, ends, first = words(data, offsets, SPACE)
-    h = span_hash(prefix_hash(data), starts, ends)
+    h = word_hash(data, starts, ends)
     all_shingles = window_hash(h, width)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -102,8 +110,8 @@ def describe(docs: DataFrame) -> DataFrame:
     return stored(docs.mapInArrow(run, "doc_id long, n long, sig long, row int, counts binary"), "shingle-sets")
 
 
-def frequency_levels(described: DataFrame) -> np.ndarray:
-    """Level of every bucket: 0 up to twice the mean count, then half powers of two. 2 ** 20 numbers at any input size."""
+def frequencies(described: DataFrame) -> np.ndarray:
+    """Distinct sets (a task's copies count once) of every hash bucket: 2 ** 20 numbers at any input size."""
 
     def add(batches):
         total = {}
@@ -118,14 +126,23 @@ def frequency_levels(described: DataFrame) -> np.ndarray:
     counts = np.zeros((_ROWS_OF_COUNTS, (1 << _BUCKET_BITS) // _ROWS_OF_COUNTS), np.int64)
     for r in summed.collect():
         counts[r.row] += np.frombuffer(r.counts, np.int64)
-    counts = counts.ravel()
+    return counts.ravel()
+
+
+def frequency_levels(counts: np.ndarray) -> np.ndarray:
+    """Level of every bucket: 0 up to twice the mean count, then half powers of two."""
     share = counts / max(counts.mean(), 1e-9)
     return np.where(share < 2, 0, np.minimum(np.floor(np.log2(np.maximum(share, 1)) * 2) - 1, 15)).astype(np.uint8)
 
 
+def salts_of(counts: np.ndarray, parts: int) -> np.ndarray:
+    """Into how many salts the postings of each bucket go: one, or as many as it has even shares of a partition."""
+    return np.ceil(np.maximum(counts / max(counts.sum() / parts * FAIR, 1), 1)).astype(np.uint32)
+
+
 _PAIRS_SQL = "kind int, x long, y long, nx long, ny long, votes long, h long"
 _PAIRS = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("nx", pa.int64()), ("ny", pa.int64()), ("votes", pa.int64()), ("h", pa.int64())])
-_PAIR, _STAR, _LARGE_ROW, _SHARED = 0, 1, 2, 3
+_PAIR, _STAR, _LARGE_ROW, _SHARED, _SALTED_ROW = 0, 1, 2, 3, 4
 
 
 def _summed(x, y, nx, ny, votes, kind):
@@ -145,15 +162,19 @@ def _near_sizes(a, b):
     return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
 
 
-def meet_prefixes(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
-    """Candidate pairs with their shared prefix shingles, pairs with the hub of a large shingle, and the rows of large shingles."""
+def meet_prefixes(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
+    """Candidate pairs with their shared prefix shingles, pairs with the hub of a large shingle, and the rows of large shingles.
+
+    A salted shingle counts as large; its rows (kind _SALTED_ROW) have the hub of their salt."""
+    tables = docs.sparkSession.sparkContext.broadcast((frequency_levels(counts), salts_of(counts, parts)))
 
     def post(batches):
         held, size, seen = [], 0, set()
+        levels, salts = tables.value
 
         def pack():
             records = np.concatenate(held)
-            part = ((records["h"] >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+            part = (((records["h"] >> np.uint64(8)) + mix(records["salt"].astype(np.uint64))) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             part, records = part[order], records[order]
             edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
@@ -167,11 +188,16 @@ def meet_prefixes(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
                     continue
                 seen.add(sig)
                 # 4 bits of level, then 60 of hash: one number is both the order and the name of a shingle
-                key = (levels[_buckets(s)].astype(np.uint64) << np.uint64(60)) | (mix(s) >> np.uint64(4))
+                buckets = _buckets(s)
+                key = (levels[buckets].astype(np.uint64) << np.uint64(60)) | (mix(s) >> np.uint64(4))
                 p = prefix_size(n)
-                key = np.sort(np.partition(key, p - 1)[:p]) if p < n else np.sort(key)[:p]
-                out = np.empty(len(key), _POSTING)
-                out["h"], out["sig"], out["n"], out["at"] = key, sig, n, np.arange(len(key))
+                first = np.argpartition(key, p - 1)[:p] if p < n else np.arange(n)[:p]
+                first = first[np.argsort(key[first])]
+                out = np.empty(len(first), _POSTING)
+                out["h"], out["sig"], out["n"], out["at"] = key[first], sig, n, np.arange(len(first))
+                many = salts[buckets[first]]
+                own = int(mix(np.array([sig % (1 << 64)], np.uint64))[0] >> np.uint64(32))
+                out["salt"] = np.where(many > 1, 1 + own % many, 0)
                 held.append(out)
                 size += len(out)
             if size >= 1 << 20:
@@ -182,14 +208,15 @@ def meet_prefixes(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
 
     def settle(blocks):
         r = np.concatenate([np.frombuffer(b, _POSTING) for b in blocks])
-        r = r[np.lexsort((r["sig"], r["h"]))]
+        r = r[np.lexsort((r["sig"], r["salt"], r["h"]))]
         r = r[np.append(True, (r["h"][1:] != r["h"][:-1]) | (r["sig"][1:] != r["sig"][:-1]))]
-        head = np.flatnonzero(np.append(True, r["h"][1:] != r["h"][:-1]))
+        head = np.flatnonzero(np.append(True, (r["h"][1:] != r["h"][:-1]) | (r["salt"][1:] != r["salt"][:-1])))
         m = np.diff(np.append(head, len(r)))
+        salted = r["salt"][head] > 0
         sig, n = r["sig"], r["n"].astype(np.int64)
         xs, ys = [], []
-        for size in np.unique(m[(m > 1) & (m <= LARGE)]).tolist():
-            base = head[m == size]
+        for size in np.unique(m[(m > 1) & (m <= LARGE) & ~salted]).tolist():
+            base = head[(m == size) & ~salted]
             i, j = np.triu_indices(size, 1)
             for a in range(0, len(base), max(1, (1 << 19) // len(i))):
                 b = base[a : a + max(1, (1 << 19) // len(i)), None]
@@ -199,18 +226,18 @@ def meet_prefixes(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
         if xs:
             x, y = np.concatenate(xs), np.concatenate(ys)
             yield from _summed(sig[x], sig[y], n[x], n[y], np.ones(len(x), np.int64), _PAIR)
-        shared, times = np.unique(sig[np.repeat(m > 1, m)], return_counts=True)
+        shared, times = np.unique(sig[np.repeat((m > 1) | salted, m)], return_counts=True)
         c = len(shared)
         if c:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(c, _SHARED, np.int32)), pa.array(shared), *[pa.nulls(c, pa.int64())] * 3, pa.array(times), pa.nulls(c, pa.int64())], schema=_PAIRS)
         xs, ys = [], []
-        for k in np.flatnonzero(m > LARGE).tolist():
+        for k in np.flatnonzero((m > LARGE) | salted).tolist():
             own = np.arange(head[k], head[k] + m[k])
             hub = own[np.lexsort((mix(sig[own].view(np.uint64)), r["at"][own]))[0]]
             near = own[(own != hub) & _near_sizes(n[own], n[hub])]
             xs.append(near), ys.append(np.full(len(near), hub))
             c = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(c, _LARGE_ROW, np.int32)), pa.array(sig[own]), pa.array(np.full(c, sig[hub])), pa.array(n[own]), pa.array(r["at"][own].astype(np.int64)), pa.nulls(c, pa.int64()), pa.array(r["h"][own].view(np.int64))], schema=_PAIRS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(c, _SALTED_ROW if salted[k] else _LARGE_ROW, np.int32)), pa.array(sig[own]), pa.array(np.full(c, sig[hub])), pa.array(n[own]), pa.array(r["at"][own].astype(np.int64)), pa.nulls(c, pa.int64()), pa.array(r["h"][own].view(np.int64))], schema=_PAIRS)
         if xs:
             x, y = np.concatenate(xs), np.concatenate(ys)
             yield from _summed(sig[x], sig[y], n[x], n[y], np.ones(len(x), np.int64), _STAR)
@@ -231,8 +258,38 @@ def meet_prefixes(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
     return stored(posted.mapInArrow(match, _PAIRS_SQL), "candidate-pairs")
 
 
+def with_hubs(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (h, sig, n, at, hub) of large shingles with one hub a shingle, and pairs of the salts' hubs with it.
+
+    Only a bucket with over a fair share of all shingles is salted and all its shingles' salts have a hub, so what the join broadcasts is at most a few rows for each salt of such a bucket."""
+    columns = [F.col("h"), F.col("x").alias("sig"), F.col("nx").alias("n"), F.col("ny").alias("at"), F.col("y").alias("hub")]
+    plain, salted = (found.where(F.col("kind") == k).select(columns) for k in (_LARGE_ROW, _SALTED_ROW))
+    hubs = salted.where("sig = hub").select("h", "sig", "n", "at")
+    best = hubs.groupBy("h").agg(F.min_by(F.struct("sig", "n"), F.struct("at", F.xxhash64("sig"), "sig")).alias("b")).select("h", F.col("b.sig").alias("best"), F.col("b.n").alias("nb"))
+    stars = hubs.join(best, "h").where("sig <> best").select(F.lit(_STAR).alias("kind"), F.least("sig", "best").alias("x"), F.greatest("sig", "best").alias("y"), F.when(F.col("sig") < F.col("best"), F.col("n")).otherwise(F.col("nb")).alias("nx"), F.when(F.col("sig") < F.col("best"), F.col("nb")).otherwise(F.col("n")).alias("ny"), F.lit(1).cast("long").alias("votes"))
+    whole = salted.drop("hub").join(best.select("h", F.col("best").alias("hub")), "h")
+    return plain.unionByName(whole), stars
+
+
+def places(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows of shingles that stand in several components, with a place each: hub and number, and for a hot shingle a pair of blocks (low, high) and the row's own one."""
+    mixed = rows.groupBy("h").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("h")
+    rows = stored(rows.join(mixed, "h", "left_semi"), "large-rows")
+    fair = max(1.0, rows.count() / parts * FAIR)
+    # More than an even share have at most parts / FAIR hubs, and as many shingles: that bounds what is broadcast.
+    hot = lambda c: rows.groupBy(c).agg((F.count(F.lit(1)) / fair).alias("_share")).where("_share > 1")
+    hubs = hot("hub").select("hub", F.ceil("_share").alias("_spread"))
+    shingles = hot("h").select("h", F.ceil(F.sqrt("_share")).alias("_blocks"))
+    out = rows.join(F.broadcast(hubs), "hub", "left").join(F.broadcast(shingles), "h", "left")
+    out = out.withColumn("place", F.pmod(F.xxhash64("h"), F.coalesce("_spread", F.lit(1)))).withColumn("own", F.pmod(F.xxhash64("sig"), F.coalesce("_blocks", F.lit(1))))
+    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_blocks", F.lit(1)).cast("long") - 1)))
+    placed = out.withColumn("low", F.least("own", "_other")).withColumn("high", F.greatest("own", "_other")).drop("_spread", "_blocks", "_other")
+    placed.stored_at = rows.stored_at
+    return placed
+
+
 def across_components(rows: DataFrame, parts: int) -> DataFrame:
-    """Pairs of rows (h, sig, n, at, label, shared, hub, main, under) of a large shingle that are in different components, with shared shingles counted.
+    """Pairs of rows (h, sig, n, at, label, shared, hub, main, under and a place) of a large shingle that are in different components, with shared shingles counted.
 
     shared: how many prefix shingles a row has in common with any other row; hub: the shingle's; main: the hub under which the row
     stands most often, `under` times. Two rows with one main hub share at most the lesser `under` there. Where that isn't enough they
@@ -240,51 +297,61 @@ def across_components(rows: DataFrame, parts: int) -> DataFrame:
     at: the shingle's place in the row's order. What two rows share before it is in both prefixes, so no more than the lesser `shared`;
     from it on they share no more than the shorter rest."""
 
-    def settle(sig, n, at, label, shared, hub, main, under):
+    def settle(sig, n, at, label, shared, hub, main, under, own, low, high):
         if label[0] == label[-1]:  # sorted by label
             return
         behind = n - prefix_size(n)
         home = main == hub
-        for i in range(len(sig)):
-            first = np.searchsorted(label, label[i], side="right")
-            j = np.arange(first, len(sig))
+        step = max(1, (1 << 20) // len(sig))
+        for a in range(0, len(sig), step):
+            i, j = np.arange(a, min(a + step, len(sig)))[:, None], np.arange(a, len(sig))[None, :]
+            good = (label[i] != label[j]) & (j > i) & _near_sizes(n[i], n[j])
+            if low[0] != high[0]:
+                good &= own[i] != own[j]
+            i, j = np.nonzero(good)
+            i, j = i + a, j + a
             bound = required(n[i], n[j]) - np.maximum(behind[i], behind[j])
-            reach = np.minimum(shared[i], shared[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
-            j = j[_near_sizes(n[i], n[j]) & (reach >= required(n[i], n[j])) & (np.minimum(shared[i], shared[j]) >= bound) & (~(home[i] & home[j]) | (np.minimum(under[i], under[j]) >= bound))]
-            if len(j):
-                yield np.full(len(j), sig[i]), sig[j], np.full(len(j), n[i]), n[j]
+            least = np.minimum(shared[i], shared[j])
+            reach = least + np.minimum(n[i] - at[i], n[j] - at[j])
+            keep = (reach >= required(n[i], n[j])) & (least >= bound) & (~(home[i] & home[j]) | (np.minimum(under[i], under[j]) >= bound))
+            i, j = i[keep], j[keep]
+            if len(i):
+                yield sig[i], sig[j], n[i], n[j]
 
     def run(batches):
-        held, now, out = [], None, []
+        held, now, out, size = [], None, [], 0
+        names = ("sig", "n", "at", "label", "shared", "hub", "main", "under", "own", "low", "high")
 
         def flush():
             table = pa.Table.from_batches(held)
-            yield from settle(*(table.column(c).to_numpy() for c in ("sig", "n", "at", "label", "shared", "hub", "main", "under")))
+            return settle(*(table.column(c).to_numpy() for c in names))
 
         def give():
             x, y, nx, ny = (np.concatenate(c) for c in zip(*out, strict=True))
             yield from _summed(x, y, nx, ny, np.ones(len(x), np.int64), _PAIR)
 
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(h)) + 1).tolist(), len(h)]
+            keys = np.stack([batch.column(c).to_numpy() for c in ("h", "low", "high")])
+            edges = [0, *(np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if b > a:
-                    if h[a] != now and held:
-                        out += flush()
+                    if held and (keys[:, a] != now).any():
+                        for found in flush():
+                            out.append(found)
+                            size += len(found[0])
+                            if size > 1 << 20:
+                                yield from give()
+                                out, size = [], 0
                         held = []
-                    now = h[a]
+                    now = keys[:, a]
                     held.append(batch.slice(a, b - a))
-            if sum(len(o[0]) for o in out) > 1 << 20:
-                yield from give()
-                out = []
         if held:
             out += flush()
         if out:
             yield from give()
 
-    # Shingles of one hub mostly hold the same rows: in two places for each hub their pairs are added up before they move.
-    return rows.repartition(parts, "hub", F.col("h") % 2).sortWithinPartitions("hub", "h", "label").mapInArrow(run, _PAIRS_SQL)
+    # Shingles of one hub mostly hold the same rows: in one place for each hub their pairs are added up before they move.
+    return rows.repartition(parts, "hub", "place", "low", "high").sortWithinPartitions("hub", "h", "low", "high", "label").mapInArrow(run, _PAIRS_SQL)
 
 
 def _possible(pairs: DataFrame, mains: DataFrame | None = None) -> DataFrame:
@@ -360,11 +427,14 @@ def classify(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = describe(docs)
-    found = meet_prefixes(docs, frequency_levels(described), parts)
-    pairs = stored(_possible(found.where(F.col("kind").isin(_PAIR, _STAR))), "possible-pairs")
+    total = described.agg(F.sum("n")).first()[0] or 0
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHINGLES))
+    found = meet_prefixes(docs, frequencies(described), parts)
+    large, stars = with_hubs(found)
+    columns = ["kind", "x", "y", "nx", "ny", "votes"]
+    pairs = stored(_possible(found.where(F.col("kind").isin(_PAIR, _STAR)).select(columns).unionByName(stars)), "possible-pairs")
     # Round one: every row with the hub, or else the partner, that shares most of its prefix.
     each = pairs.select(F.col("x").alias("v"), "kind", "x", "y", "votes").unionByName(pairs.select(F.col("y").alias("v"), "kind", "x", "y", "votes"))
     best = each.groupBy("v").agg(F.max_by(F.struct("x", "y"), F.struct("kind", "votes", "x", "y")).alias("p")).select("p.x", "p.y").distinct()
@@ -372,22 +442,28 @@ def classify(docs: DataFrame) -> DataFrame:
     links = verify(docs, best)
     labels = connected_components(links)
     # Round two: what is still apart.
-    x_label, y_label = labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), labels.select(F.col("node").alias("y"), F.col("label").alias("ly"))
-    large = found.where(F.col("kind") == _LARGE_ROW).select("h", F.col("x").alias("sig"), F.col("nx").alias("n"), F.col("y").alias("hub"), F.col("ny").alias("at"))
-    mains = large.groupBy("sig", "hub").agg(F.count(F.lit(1)).alias("under")).groupBy("sig").agg(F.max_by(F.struct("hub", "under"), F.struct("under", "hub")).alias("m")).select("sig", F.col("m.hub").alias("main"), F.col("m.under").alias("under"))
+    label_of = lambda c, name: labels.select(F.col("node").alias(c), F.col("label").alias(name))
+    under = large.groupBy("sig", "hub").agg(F.count(F.lit(1)).alias("under"))
+    mains = under.groupBy("sig").agg(F.max_by(F.struct("hub", "under"), F.struct("under", "hub")).alias("m")).select("sig", F.col("m.hub").alias("main"), F.col("m.under").alias("under"))
     mains = stored(mains, "main-hubs")
     shared = found.where(F.col("kind") == _SHARED).groupBy(F.col("x").alias("sig")).agg(F.sum("votes").alias("shared"))
-    large = large.join(shared, "sig").join(mains, "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("h", "sig", "n", "at", F.coalesce("label", "sig").alias("label"), "shared", "hub", "main", "under")
-    columns = ["kind", "x", "y", "nx", "ny", "votes"]
-    rest = found.where(F.col("kind") == _PAIR).select(columns).unionByName(across_components(large, parts).select(columns))
-    rest = _possible(rest, mains).join(x_label, "x", "left").join(y_label, "y", "left").where(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y").join(best, ["x", "y"], "left_anti")
+    large = large.join(shared, "sig").join(mains, "sig").join(label_of("sig", "label"), "sig", "left")
+    placed = places(large.select("h", "sig", "n", "at", F.coalesce("label", "sig").alias("label"), "shared", "hub", "main", "under"), parts)
+    rest = found.where(F.col("kind") == _PAIR).select(columns).unionByName(across_components(placed, parts).select(columns))
+    rest = _possible(rest, mains).join(label_of("x", "lx"), "x", "left").join(label_of("y", "ly"), "y", "left")
+    rest = rest.where(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y").join(best, ["x", "y"], "left_anti")
     rest = stored(rest, "remaining-pairs")
+    discard(found, pairs, best, mains, placed)
     if not rest.isEmpty():
-        labels = connected_components(links.unionByName(verify(docs, rest)))
+        more = verify(docs, rest)
+        labels = connected_components(links.unionByName(more))
+        discard(more)
+    discard(rest, links)
     rows = described.where("row is null").select("doc_id", "n", "sig")
     rows = rows.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "n", F.coalesce("label", "sig").alias("class"))
     least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return rows.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
