@@ -14,13 +14,17 @@ hundred times, so suffixes are pruned first, without loss:
    them by multikey quicksort, eight bytes a key, equal keys going on to the next one. Neighbours that agree in
    LENGTH bytes are equal windows, and all but the earliest are removed. Equal leads never straddle a splitter;
    a lead with more than `HOT` contexts is cut into blocks by window offset (windows of different offsets can't
-   be equal), so the boundary of its blocks needs no comparison either, and goes to several buckets.
+   be equal), and in a block the lead is the digest of all the bytes that its windows have in common, 97 of 100, so
+   contexts stay together only where they agree in these. So the boundary of blocks needs no comparison either, and
+   a hot lead goes to as many buckets as it has texts around it. (The multikey quicksort runs breadth first: a round
+   sorts all groups by their next eight bytes.)
 4. Spans meet their documents again by id and the remaining bytes are read off.
 
 Cases: null and empty texts and texts shorter than LENGTH lose nothing; a null doc_id counts as the smallest;
 rows that share a doc_id are told apart by their text, and of windows that start at the same offset of the
 same doc_id none is earlier, so that exact repeats of a row are all judged alike. Documents of any length are
-whole. Other columns are ignored (dedup) or kept (keep_rest).
+whole. Other columns are ignored (dedup) or kept (keep_rest). Rows are dealt by id and text together, so rows without
+an id, or many with one, don't meet in one task. The number of partitions follows the bytes of the texts.
 """
 
 from __future__ import annotations
@@ -30,11 +34,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import _BASE_INV, arrow_rows, covered, mix, powers, prefix_hash, slices, span_hash, spread, stored, utf8
+from .blocks import _BASE_INV, arrow_rows, covered, mix, parts_for, powers, prefix_hash, slices, spread, stored, utf8, word_hash
 
 LENGTH, K = 100, 32
 HOT, HOT_OFFSETS = 1000, 4
@@ -84,7 +89,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     head = np.flatnonzero(np.diff(at, prepend=-1))
     tail = np.append(head[1:], len(at)) - 1
     at, first, last = at[head], starts[head], starts[tail]
-    context = mix(span_hash(prefix, first, last + LENGTH) + ((at - first) * 256 + (at - last)).astype(np.uint64))
+    context = mix(word_hash(data, first, last + LENGTH, long=2 * LENGTH) + ((at - first) * 256 + (at - last)).astype(np.uint64))
     return doc[head], at, first, last, h[at], context
 
 
@@ -122,13 +127,23 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return out
 
 
+_TEXT_SEED = 42  # the seed of Spark's xxhash64, so that both sides compute one number
+
+
 def _tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """32 bits that tell rows with one doc_id apart by their text."""
-    return (span_hash(prefix_hash(data), offsets[:-1], offsets[1:]) >> np.uint64(32)).astype(np.uint32)
+    raw = memoryview(np.ascontiguousarray(data))
+    return np.array([xxhash.xxh64_intdigest(raw[a:b], _TEXT_SEED) >> 32 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint32)
+
 
+def _doc_part(doc: np.ndarray, tag: np.ndarray, parts: int) -> np.ndarray:
+    return (doc + tag.astype(np.int64)) % parts
 
-def _doc_part(doc: np.ndarray, parts: int) -> np.ndarray:
-    return (doc % parts).astype(np.int64)
+
+def _part_column(parts: int) -> Column:
+    """_doc_part of a row of documents."""
+    tag = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 32)
+    return F.pmod(F.expr(f"coalesce(doc_id, {_NO_ID + 1}L - 1L)") + tag, F.lit(parts)).cast("int")
 
 
 def find_anchors(docs: DataFrame, parts: int) -> DataFrame:
@@ -142,7 +157,7 @@ def find_anchors(docs: DataFrame, parts: int) -> DataFrame:
             yield from _spans_out(_later_spans(a, head), parts)
             # anchors equal in id and place stand for repeats of one row; one of them is enough
             a = a[first]
-            yield from _blocks(ANCHORS, ((a["ctx"] * 0 + a["f"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64), a)
+            yield from _blocks(ANCHORS, a["f"].astype(np.int64) % parts, a)
 
         for batch in slices(batches):
             data, offsets = utf8(batch.column("text"))
@@ -164,7 +179,7 @@ def find_anchors(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _spans_out(spans: np.ndarray, parts: int):
-    yield from _blocks(SPANS, _doc_part(spans["doc"], parts), spans)
+    yield from _blocks(SPANS, _doc_part(spans["doc"], spans["tag"], parts), spans)
 
 
 def match_anchors(blocks: DataFrame, parts: int) -> DataFrame:
@@ -193,7 +208,7 @@ def match_anchors(blocks: DataFrame, parts: int) -> DataFrame:
             out["lo"] = np.concatenate([plain["lo"], np.minimum(parted["lo"][row], block * HOT_OFFSETS + HOT_OFFSETS - 1).astype(np.uint8)])
             out["hi"] = np.concatenate([plain["hi"], np.maximum(parted["hi"][row], block * HOT_OFFSETS).astype(np.uint8)])
             out["block"] = np.concatenate([np.zeros(len(plain), np.uint8), (block + 1).astype(np.uint8)])
-            yield from _blocks(REQUESTS, _doc_part(out["doc"], parts), out)
+            yield from _blocks(REQUESTS, _doc_part(out["doc"], out["tag"], parts), out)
 
         for batch in batches:
             for kind, part, block in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -213,8 +228,7 @@ def match_anchors(blocks: DataFrame, parts: int) -> DataFrame:
 
 def meet(docs: DataFrame, blocks: DataFrame, parts: int, record: np.dtype, each: Callable, schema, extra: tuple[str, ...] = ()) -> DataFrame:
     """Bring packed records to their documents: calls each(batch, records of the part sorted by doc and tag) for slices of documents."""
-    part = F.pmod(F.coalesce(F.col("doc_id"), F.lit(_NO_ID)), F.lit(parts)).cast("int")
-    left = docs.select(part.alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("block"), "doc_id", "text", *extra)
+    left = docs.select(_part_column(parts).alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("block"), "doc_id", "text", *extra)
     right = blocks.select("part", F.lit(0).alias("kind"), "block")
     both = left.unionByName(right, allowMissingColumns=True).repartition(parts, "part").sortWithinPartitions("part", "kind")
 
@@ -275,7 +289,7 @@ def fetch_contexts(docs: DataFrame, requests: DataFrame, parts: int) -> DataFram
         if len(r):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([raw[p : p + K] for p in base.tolist()], pa.binary()),
+                    pa.array([raw[p : p + K] if not b else _hot_lead(raw, p, b - 1) for p, b in zip(base.tolist(), r["block"].tolist(), strict=True)], pa.binary()),
                     pa.array(r["block"].astype(np.int32)),
                     pa.array(r["doc"]),
                     pa.array(r["tag"].astype(np.int64)),
@@ -290,6 +304,11 @@ def fetch_contexts(docs: DataFrame, requests: DataFrame, parts: int) -> DataFram
     return meet(docs, requests, parts, _REQUEST, each, _CONTEXT_SQL)
 
 
+def _hot_lead(raw: bytes, at: int, block: int) -> bytes:
+    """K bytes for what all windows of a block of offsets cover around an anchor at `at`."""
+    return hashlib.blake2b(raw[at - block * HOT_OFFSETS : at - block * HOT_OFFSETS - (HOT_OFFSETS - 1) + LENGTH], digest_size=K).digest()
+
+
 def multikey_quicksort(pool: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Sort strings of `length` bytes inside groups, eight bytes a key; returns (order, class) of the strings
     that have an equal in their group. Strings alone under a key are done and drop out of the next round."""
@@ -385,7 +404,7 @@ def removed_spans(docs: DataFrame, parts: int) -> DataFrame:
 
 def _prepared(docs: DataFrame, *extra: str) -> tuple[DataFrame, int]:
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra), max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra), parts_for(docs)
 
 
 def _gone(batch: pa.RecordBatch, records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -595,10 +595,23 @@ def test_template_language():
     assert rendered("{{ 'y' if n and not f else 'n' }}", n=1, f=False) == "y"
     assert chat.fold(chat.parse("{% if 'a' == 'a' %}{{ 'b' + 'c' }}d{% endif %}"), {}) == ("block", (("text", "bcd"),))
     assert list(chat.compile_template("a{% generation %}b{% endgeneration %}")({})) == [("a", False), ("b", True)]
-    for bad in ("{% for x %}{% endfor %}", "{% if a %}", "{{ a. }}", "{{ f() }}", "{% import os %}", "{{ a|nope }}", "{{ 1 1 }}"):
-        with pytest.raises(chat.TemplateError):
-            chat.compile_template(bad)
     assert rendered("{{ x.__class__ }}{{ s.upper }}", x=chat, s="t") == ""  # no attributes
+    assert rendered("a  {%- if 1 -%}  b  {%- endif -%}  c") == "abc" and rendered("{{- 'x' -}}  y") == "xy"
+    assert rendered("{% set n = 2 * 3 - 1 %}{{ n }}{{ n // 2 }}{{ n % 2 }}{{ -n }}{{ 7 / 2 }}{{ 'a' ~ 1 }}") == "521-53.5a1"
+    assert rendered("{% for m in ms %}{{ m }}{% if not loop.last %}, {% endif %}{% set q = m %}{% endfor %}{{ q }}", ms=iter("abc")) == "a, b, c"
+    assert rendered("{{ 1 < 2 }}{{ 'b' >= 'a' }}{{ 1 < 'a' }}{{ 'a' in none }}{{ 'a' not in 'bc' }}{{ 1 in 'a1' }}") == "truetruefalsefalsetruefalse"
+    assert rendered("{{ a is defined }}{{ m.k is defined }}{{ m.z is not defined }}{{ m.k is none }}{{ m.s is string }}{{ 3 is number }}", m={"k": None, "s": ""}) == "falsetruetruetruetruetrue"
+    assert rendered("{{ m|tojson }}{{ l[1] }}{{ l|length }}{{ x|default('d') }}{{ l[9] }}", m={"a": ["é"]}, l=["p", "q"]) == '{"a": ["é"]}q2d'
+
+
+@pytest.mark.parametrize(
+    "bad",
+    ["{% for x %}{% endfor %}", "{% if a %}", "{{ a. }}", "{{ f() }}", "{% import os %}", "{{ a|nope }}", "{{ 1 1 }}", "{{ messages[0]['role'] }}", "{{ messages[0].role == 'system' }}", "{{ messages|length }}", "{% if messages %}{% endif %}"]
+    + ["{{ a[1:] }}", "{% for m in messages[1:] %}{% endfor %}", "{{ loop.length }}", "{{ a is odd }}", "{{ 1 is defined }}", "{% set messages = 1 %}", "{% set a %}", "{% macro m() %}{% endmacro %}", "{{ raise_exception('x') }}", "{{ a|default }}", "{{ a|upper('x') }}", "{% set x = messages %}"],
+)
+def test_what_the_language_lacks_is_an_error_when_compiled(bad):
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template(bad)
 
 
 def test_escapes_are_reversible():
@@ -635,17 +648,53 @@ def test_licences(spark):
     assert not [c for c in ("Python", "Pandas", "Arrow") if c in licences.scan(table(spark, rows))._jdf.queryExecution().toString()]
 
 
+def licence_text(name):
+    return max((b for n, b in licences.TEMPLATES if n == name), key=len)
+
+
+def test_licence_texts_inside_documents(spark):
+    """Real bodies: wrapped, in several paragraphs, behind a title and a copyright line, with code after them."""
+    import textwrap
+
+    wrap = lambda t: "\n".join(textwrap.wrap(t, 72))
+    mit = licence_text("MIT").replace("The above copyright", "\n\nThe above copyright").replace("THE SOFTWARE IS PROVIDED", "\n\nTHE SOFTWARE IS PROVIDED")
+    mit = "\n\n".join(wrap(p) for p in mit.split("\n\n"))
+    bsd = licence_text("BSD-3-Clause").replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. ").replace("THIS SOFTWARE IS", "\n\nTHIS SOFTWARE IS")
+    code = "\n\n".join(f"def f{i}(x):\n    return x + {i}" for i in range(9))
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + mit + "\n\n" + code),
+        (2, "Copyright 2001 The Authors. All rights reserved.\n\n" + bsd),
+        (3, wrap(licence_text("Apache-2.0")) + "\n\nimport os"),
+        (4, "# " + wrap(licence_text("GPL-3.0")).replace("\n", "\n# ")),
+        (5, code),
+        (6, "title\n\n" + wrap(licence_text("Zlib")) + "\n\n" + wrap(licence_text("ISC"))),
+    ]
+    got = {r.doc_id: r.licences for r in licences.scan(table(spark, rows)).collect()}
+    assert got[1] == "MIT" and got[2] == "BSD-3-Clause" and got[3] == "Apache-2.0" and "GPL" in got[4] and got[5] == "" and got[6] == "ISC,Zlib"
+
+
+def test_markers_lose_no_match():
+    """Any unit at the threshold holds a marker, whichever bigrams it lacks."""
+    sets = [licences._template_bigrams(b) for _, b in licences.TEMPLATES]
+    low = licences.THRESHOLD / (2 - licences.THRESHOLD)
+    chosen = set(licences.markers(sets, low))
+    for s in sets:
+        covered = [b for b in s if chosen & set(b.split())]
+        assert len(covered) > len(s) * (1 - low)
+    assert not chosen & {"the", "and", "of", "to", "in", "a", "is", "or"}
+
+
 def test_dice_against_brute_force(spark):
     rng = random.Random(4)
     shelf = [(n, b) for n, b in licences.TEMPLATES]
     rows = []
     for i in range(80):
         w = rng.choice(shelf)[1].split()
-        for _ in range(rng.randint(0, 3)):
+        for _ in range(rng.randint(0, 3 if len(w) < 30 else len(w) // 6)):
             w[rng.randrange(len(w))] = rng.choice(WORDS)
         rows.append((i, " ".join(w)))
     grams = lambda t: set(itertools.pairwise(re.sub("[^a-z0-9]+", " ", t.lower()).split()))
     got = {r.doc_id: r for r in licences.scan(table(spark, rows)).collect()}
     for i, t in rows:
-        best = min(((-2 * len(grams(t) & grams(b)) / (len(grams(t)) + len(grams(b))), n) for n, b in shelf), default=(0, ""))
+        best = min(((-2 * len(grams(t) & grams(b)) / (len(grams(t)) + len(grams(b)) or 1), n) for n, b in shelf), default=(0, ""))
         assert (got[i].licence, got[i].dice) == ((best[1], round(-best[0], 6)) if -best[0] >= 0.8 else (None, None))
