@@ -3,13 +3,14 @@
 Every line is good or bad. A line's features are shares of kinds of characters and words, its length, and the
 same of the lines before and after it; transitions tie neighbouring labels. The field is trained by gradient
 ascent on the conditional likelihood of a bounded sample (`TRAIN_DOCS` labelled documents of at most
-`TRAIN_BYTES` bytes, the ones with the smallest hashes of their id), each line carrying its document's label.
+`TRAIN_BYTES` bytes and `TRAIN_LINES` lines, the ones with the smallest hashes of their id), each line carrying its
+document's label. So the driver holds at most TRAIN_DOCS * TRAIN_LINES lines.
 A document's score is the length-weighted mean of its lines' forward-backward marginals of "good".
 
 Labels, language, source and id are never inputs of a score. Cases: null and empty text is one empty line and
 gets a score from its features; a document of any length is scored whole (all documents of a slice advance in
 lockstep, so the cost is per line); repeated rows are scored each; labels that are null are ignored and of
-several labels of one document the least counts; with no labels, or of one kind only, the score is 0.5 for
+several labels of one document the least counts, of several texts under one id the least is learned from; with no labels, or of one kind only, the score is 0.5 for
 every document. A null doc_id is not held out. Other columns are ignored.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .blocks import SPACE, arrow_rows, slices, utf8, word_hash, words
 
-TRAIN_DOCS, TRAIN_BYTES = 4000, 20_000
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_LINES = 4000, 20_000, 500
 THRESHOLD = 0.7
 _FLAGS = {
     "upper": lambda b: (b >= 65) & (b <= 90),
@@ -143,20 +144,22 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, docs_limit: int = TRAIN_DOCS, bytes_limit: int = TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, docs_limit: int = TRAIN_DOCS, bytes_limit: int = TRAIN_BYTES, lines_limit: int = TRAIN_LINES) -> tuple[np.ndarray, np.ndarray]:
     """Fit the field on the bounded sample; only ids of `docs_limit` labels and those documents' features reach the driver."""
     spark = docs.sparkSession
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(docs_limit).collect()
     sample = F.broadcast(spark.createDataFrame(chosen, "id long, quality int"))  # docs_limit rows at most
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(sample, "id").where(F.octet_length("text") <= bytes_limit).select("id", "quality", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(sample, "id")
+    lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    source = texts.where((F.octet_length("text") <= bytes_limit) & (lines <= lines_limit)).groupBy("id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
 
     def run(batches):
         for batch in slices(batches):
             x, _, first = line_features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("quality"), pa.array([x[a:b].astype(np.float16).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["id", "quality", "x"])
 
-    rows = source.mapInArrow(run, "id long, quality int, x binary").dropDuplicates(["id"]).collect()
+    rows = source.mapInArrow(run, "id long, quality int, x binary").collect()
     rows.sort(key=lambda r: r.id)
     parts = [np.frombuffer(r.x, np.float16).reshape(-1, N_FEATURES) for r in rows]
     if not parts:
