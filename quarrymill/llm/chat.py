@@ -3,8 +3,13 @@
 `compile_template` parses a template into a syntax tree, folds constants and turns the tree into Python
 closures. A compiled template renders a stream of (text, generated) pieces, where `generated` marks what
 stands between {% generation %} and {% endgeneration %}: the loss mask. The language has literals, names,
-`a.b` and `a['b']` on dictionaries, + == != and or not, conditional expressions, filters, for, if/elif/else
-and generation. Nothing else can be reached from a template: no Python attributes, calls or imports.
+`a.b` and `a['b']` on dictionaries, `a[0]` on lists, + - * / // % ~, comparisons, in, is (not) defined, none, string,
+number, and or not, conditional expressions, filters (trim, upper, lower, length, default, tojson and the caller's), for
+with loop.index, index0, first and last, if/elif/else, set, generation, and white space control by `{%-` and `-%}`. A set in
+a loop ends with its turn. Nothing else can be reached from a template: no Python attributes, calls or imports. What the
+language doesn't have is a TemplateError when a template is compiled, not an empty text when it is rendered: calls,
+slices, other tags, tests and fields of loop, and any use of `messages` but as what a for runs over, because messages are
+a stream of turns. Values of unlike kinds are unequal, and neither is less than, nor in, the other.
 
 `format_conversations` sorts the rows of a conversation by turn and renders them as a stream, one turn at a
 time, so a conversation of any length needs the memory of one turn. Cases: null text is empty, null role is
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -34,8 +40,11 @@ class TemplateError(ValueError):
 # ---- syntax tree: tuples (kind, ...) ---------------------------------------------------------------
 
 _TAG = re.compile(r"(\{\{-?.*?-?\}\}|\{%-?.*?-?%\}|\{#.*?#\})", re.S)
-_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[-+().\[\]|,]))")
-_WORDS = {"and", "or", "not", "in", "if", "else"}
+_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|//|[-+*/%~<>().\[\]|,]))", re.S)
+_WORDS = {"and", "or", "not", "in", "is", "if", "else"}
+STREAMS = {"messages"}
+_LOOP_FIELDS = {"index", "index0", "first", "last"}
+_TESTS: dict[str, Callable] = {"none": lambda v: v is None, "string": lambda v: isinstance(v, str), "number": lambda v: isinstance(v, int | float) and not isinstance(v, bool)}
 _CONSTANTS = {"true": True, "false": False, "none": None}
 _SLASHES = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -99,22 +108,57 @@ class _Expression:
 
     def compared(self):
         value = self.summed()
-        while self.peek() in ("==", "!=", "in"):
-            value = (self.take(), value, self.summed())
+        while (sign := self.peek()) in ("==", "!=", "<", "<=", ">", ">=", "in", "not", "is"):
+            self.take()
+            if sign == "is":
+                turned = self.peek() == "not" and bool(self.take())
+                name = self.take()
+                if name == "defined":
+                    if value[0] not in ("name", "get"):
+                        raise TemplateError("only names and fields can be tested for being defined")
+                    test = ("defined", value)
+                elif name in _TESTS:
+                    test = ("test", name, value)
+                else:
+                    raise TemplateError(f"unknown test {name!r}")
+                value = ("not", test) if turned else test
+            elif sign == "not":
+                self.take("in")
+                value = ("not", ("in", value, self.summed()))
+            else:
+                value = (sign, value, self.summed())
         return value
 
     def summed(self):
-        value = self.filtered()
-        while self.peek() == "+":
-            self.take()
-            value = ("+", value, self.filtered())
+        value = self.multiplied()
+        while self.peek() in ("+", "-", "~"):
+            value = (self.take(), value, self.multiplied())
         return value
 
+    def multiplied(self):
+        value = self.signed()
+        while self.peek() in ("*", "/", "//", "%"):
+            value = (self.take(), value, self.signed())
+        return value
+
+    def signed(self):
+        if self.peek() == "-":
+            self.take()
+            return ("-", ("const", 0), self.signed())
+        return self.filtered()
+
     def filtered(self):
         value = self.reached()
         while self.peek() == "|":
             self.take()
-            value = ("filter", self.take(), value)
+            name, given = self.take(), None
+            if self.peek() == "(":
+                self.take()
+                given = self.whole()
+                self.take(")")
+            if (given is not None) != (name == "default"):
+                raise TemplateError(f"filter {name!r} {'takes a value' if given is None else 'takes no value'}")
+            value = ("default", value, given) if name == "default" else ("filter", name, value)
         return value
 
     def reached(self):
@@ -125,6 +169,8 @@ class _Expression:
             else:
                 value = ("get", value, self.whole())
                 self.take("]")
+            if value[1] == ("name", "loop") and (value[2][0] != "const" or value[2][1] not in _LOOP_FIELDS):
+                raise TemplateError(f"unknown field of loop: {value[2]!r}")
         return value
 
     def atom(self):
@@ -148,6 +194,11 @@ class _Expression:
 def parse(source: str) -> tuple:
     """The template's syntax tree."""
     parts = _TAG.split(source)
+    for i in range(1, len(parts), 2):  # text stands at even places
+        if parts[i][2] == "-" and parts[i][1] != "#":
+            parts[i - 1] = parts[i - 1].rstrip()
+        if parts[i][-3] == "-" and parts[i][1] != "#" and len(parts[i]) > 5:
+            parts[i + 1] = parts[i + 1].lstrip()
     at = 0
 
     def expression(text: str) -> tuple:
@@ -179,6 +230,8 @@ def parse(source: str) -> tuple:
                 m = re.fullmatch(r"([A-Za-z_]\w*)\s+in\s+(.+)", rest.strip(), re.S)
                 if not m:
                     raise TemplateError(f"bad for: {rest!r}")
+                if m[1] in _WORDS | STREAMS | {"loop"}:
+                    raise TemplateError(f"bad for: {rest!r}")
                 inside, _ = body(("endfor",))
                 out.append(("for", m[1], expression(m[2]), inside))
             elif word == "if":
@@ -188,6 +241,11 @@ def parse(source: str) -> tuple:
                     branches.append((test, inside))
                     test = expression(ended[5:]) if ended.startswith("elif ") else None
                 out.append(("if", tuple(branches)))
+            elif word == "set":
+                m = re.fullmatch(r"([A-Za-z_]\w*)\s*=(?!=)\s*(.+)", rest.strip(), re.S)
+                if not m or m[1] in STREAMS | {"loop"}:
+                    raise TemplateError(f"bad set: {rest!r}")
+                out.append(("set", m[1], expression(m[2])))
             elif word == "generation":
                 inside, _ = body(("endgeneration",))
                 out.append(("generation", inside))
@@ -202,11 +260,90 @@ def parse(source: str) -> tuple:
 
 # ---- constant folding ------------------------------------------------------------------------------
 
-_OPERATORS: dict[str, Callable] = {"+": lambda a, b: a + b if isinstance(a, int) and isinstance(b, int) else _text(a) + _text(b), "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "in": lambda a, b: a in b}
+def _plus(a, b):
+    return a + b if _number(a) and _number(b) else _text(a) + _text(b)
+
+
+def _number(v) -> bool:
+    return isinstance(v, int | float) and not isinstance(v, bool)
+
+
+def _arithmetic(run: Callable) -> Callable:
+    def apply(a, b):
+        if not (_number(a) and _number(b)):
+            raise TemplateError(f"no arithmetic on {a!r} and {b!r}")
+        if b == 0 and run in (_divide, _whole, _rest):
+            raise TemplateError("division by zero")
+        return run(a, b)
+
+    return apply
+
+
+def _divide(a, b):
+    return a / b
+
+
+def _whole(a, b):
+    return a // b
+
+
+def _rest(a, b):
+    return a % b
+
+
+def _ordered(run: Callable) -> Callable:
+    return lambda a, b: (_number(a) and _number(b) or isinstance(a, str) and isinstance(b, str)) and run(a, b)
+
+
+def _within(a, b) -> bool:
+    return isinstance(a, str) and a in b if isinstance(b, str) else a in b if isinstance(b, list | tuple | dict) and not isinstance(a, list | dict) else False
+
+
+_OPERATORS: dict[str, Callable] = {
+    "+": _plus,
+    "~": lambda a, b: _text(a) + _text(b),
+    "-": _arithmetic(lambda a, b: a - b),
+    "*": _arithmetic(lambda a, b: a * b),
+    "/": _arithmetic(_divide),
+    "//": _arithmetic(_whole),
+    "%": _arithmetic(_rest),
+    "==": lambda a, b: a == b,
+    "!=": lambda a, b: a != b,
+    "<": _ordered(lambda a, b: a < b),
+    "<=": _ordered(lambda a, b: a <= b),
+    ">": _ordered(lambda a, b: a > b),
+    ">=": _ordered(lambda a, b: a >= b),
+    "in": _within,
+}
+_ABSENT = object()
 
 
 def _text(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else str(value)
+    return "" if value is None else value if isinstance(value, str) else str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def checked(tree: tuple, streamed: bool = False) -> None:
+    """Raise where a stream is used as anything but what a for runs over."""
+    if tree[0] == "name" and tree[1] in STREAMS and not streamed:
+        raise TemplateError(f"{tree[1]} is a stream: only a for can run over it")
+    if tree[0] == "const":
+        return
+    if tree[0] == "if":
+        for test, inside in tree[1]:
+            if test is not None:
+                checked(test)
+            checked(inside)
+        return
+    for k, part in enumerate(tree[1:]):
+        if isinstance(part, tuple) and part and isinstance(part[0], str):
+            checked(part, tree[0] == "for" and k == 1)
+        elif isinstance(part, tuple):
+            for x in part:
+                checked(x)
+
+
+def _uses(tree, wanted: tuple) -> bool:
+    return tree == wanted or isinstance(tree, tuple) and any(_uses(t, wanted) for t in tree)
 
 
 def fold(tree: tuple, filters: dict[str, Callable]) -> tuple:
@@ -230,7 +367,16 @@ def fold(tree: tuple, filters: dict[str, Callable]) -> tuple:
         if tree[1] not in filters:
             raise TemplateError(f"unknown filter {tree[1]!r}")
         a = fold(tree[2], filters)
-        return ("const", filters[tree[1]](_text(a[1]))) if a[0] == "const" else ("filter", tree[1], a)
+        return ("const", _applied(filters, tree[1])(a[1])) if a[0] == "const" else ("filter", tree[1], a)
+    if kind == "default":
+        return ("default", fold(tree[1], filters), fold(tree[2], filters))
+    if kind == "defined":
+        return ("defined", fold(tree[1], filters))
+    if kind == "test":
+        a = fold(tree[2], filters)
+        return ("const", _TESTS[tree[1]](a[1])) if a[0] == "const" else ("test", tree[1], a)
+    if kind == "set":
+        return ("set", tree[1], fold(tree[2], filters))
     if kind == "get":
         return ("get", fold(tree[1], filters), fold(tree[2], filters))
     if kind == "print":
@@ -265,8 +411,41 @@ def fold(tree: tuple, filters: dict[str, Callable]) -> tuple:
 # ---- closures --------------------------------------------------------------------------------------
 
 
+_WHOLE_VALUES: dict[str, Callable] = {"tojson": lambda v: json.dumps(v, ensure_ascii=False), "length": lambda v: len(v) if isinstance(v, str | list | tuple | dict) else 0}
+
+
+def _applied(filters: dict[str, Callable], name: str) -> Callable:
+    """A filter as a function of any value: most see it as a text."""
+    if name in _WHOLE_VALUES:
+        return _WHOLE_VALUES[name]
+    apply = filters[name]
+    return lambda v: apply(_text(v))
+
+
+def _member(holder, key, otherwise=None):
+    if isinstance(holder, dict):
+        return holder.get(key, otherwise) if isinstance(key, str | int) else otherwise
+    if isinstance(holder, list | tuple) and isinstance(key, int) and -len(holder) <= key < len(holder):
+        return holder[key]
+    return otherwise
+
+
 def _value(tree: tuple, filters: dict[str, Callable]) -> Callable[[dict], object]:
     kind = tree[0]
+    if kind == "test":
+        check, inner = _TESTS[tree[1]], _value(tree[2], filters)
+        return lambda scope: check(inner(scope))
+    if kind == "defined":
+        if tree[1][0] == "name":
+            wanted = tree[1][1]
+            return lambda scope: wanted in scope
+        if tree[1][0] != "get":
+            return lambda scope: True
+        holder, key = _value(tree[1][1], filters), _value(tree[1][2], filters)
+        return lambda scope: _member(holder(scope), key(scope), _ABSENT) is not _ABSENT
+    if kind == "default":
+        inner, instead = _value(tree[1], filters), _value(tree[2], filters)
+        return lambda scope: instead(scope) if (v := inner(scope)) is None else v
     if kind == "const":
         constant = tree[1]
         return lambda scope: constant
@@ -274,8 +453,8 @@ def _value(tree: tuple, filters: dict[str, Callable]) -> Callable[[dict], object
         name = tree[1]
         return lambda scope: scope.get(name)
     if kind == "filter":
-        apply, inner = filters[tree[1]], _value(tree[2], filters)
-        return lambda scope: apply(_text(inner(scope)))
+        apply, inner = _applied(filters, tree[1]), _value(tree[2], filters)
+        return lambda scope: apply(inner(scope))
     if kind == "not":
         inner = _value(tree[1], filters)
         return lambda scope: not inner(scope)
@@ -288,12 +467,7 @@ def _value(tree: tuple, filters: dict[str, Callable]) -> Callable[[dict], object
         c = _value(tree[3], filters)
         return lambda scope: b(scope) if a(scope) else c(scope)
     if kind == "get":
-
-        def get(scope: dict):
-            holder = a(scope)
-            return holder.get(b(scope)) if isinstance(holder, dict) else None
-
-        return get
+        return lambda scope: _member(a(scope), b(scope))
     operator = _OPERATORS[kind]
     return lambda scope: operator(a(scope), b(scope))
 
@@ -306,15 +480,31 @@ def _printer(tree: tuple, filters: dict[str, Callable]) -> Callable[[dict, bool]
     if kind == "print":
         value = _value(tree[1], filters)
         return lambda scope, generated: iter(((_text(value(scope)), generated),))
+    if kind == "set":
+        target, given = tree[1], _value(tree[2], filters)
+
+        def assign(scope: dict, generated: bool) -> Pieces:
+            scope[target] = given(scope)
+            return iter(())
+
+        return assign
     if kind == "generation":
         inner = _printer(tree[1], filters)
         return lambda scope, generated: inner(scope, True)
     if kind == "for":
         name, items, inside = tree[1], _value(tree[2], filters), _printer(tree[3], filters)
 
+        ahead = _uses(tree[3], ("get", ("name", "loop"), ("const", "last")))  # only then a turn waits for the one after it
+
         def loop(scope: dict, generated: bool) -> Pieces:
-            for index, item in enumerate(items(scope) or ()):
-                yield from inside(scope | {name: item, "loop": {"index0": index, "index": index + 1, "first": index == 0}}, generated)
+            found = items(scope)
+            rest = iter(found if found is not None else ())
+            item = next(rest, _ABSENT)
+            index = 0
+            while item is not _ABSENT:
+                after = next(rest, _ABSENT) if ahead else None
+                yield from inside(scope | {name: item, "loop": {"index0": index, "index": index + 1, "first": index == 0, "last": after is _ABSENT}}, generated)
+                item, index = after if ahead else next(rest, _ABSENT), index + 1
 
         return loop
     if kind == "if":
@@ -338,8 +528,10 @@ def _printer(tree: tuple, filters: dict[str, Callable]) -> Callable[[dict, bool]
 
 def compile_template(source: str, filters: dict[str, Callable[[str], str]] | None = None) -> Callable[[dict], Pieces]:
     """A function from the template's variables to the stream of (text, generated) pieces."""
-    filters = {"trim": str.strip, "upper": str.upper, "lower": str.lower} | (filters or {})
-    run = _printer(fold(parse(source), filters), filters)
+    filters = {"trim": str.strip, "upper": str.upper, "lower": str.lower, **dict.fromkeys(_WHOLE_VALUES, str)} | (filters or {})
+    tree = parse(source)
+    checked(tree)
+    run = _printer(fold(tree, filters), filters)
     return lambda variables: run(dict(variables), False)
 
 
