@@ -6,7 +6,8 @@ the list head. A query reads the lists of its positive weights from the top and
 from the bottom, step by step and never out of order. For each candidate the sum of what has been read is kept; the
 frontier values (nothing unread lies beyond them) make an upper bound of its score, the heads a lower bound. After
 each step every query tests for itself whether to stop: when at most `RESOLVE` * k candidates have an upper bound
-that reaches the k-th best lower bound, no outsider can qualify, and the scores of those few are resolved. A query
+that reaches the k-th best lower bound, no outsider can qualify, and the scores of those few are resolved. (As long as
+the frontier of every query stands above a quarter of its lists' heads no test is made, and two steps are read as one.) A query
 that can't stop reads on, at the end to the whole lists, where both bounds are the score. All queries of a batch
 read one step together: what a step reads is a masked matrix, and its product with the weights is added to the
 sums. All of it is exact: integers below 2 ** 53 as doubles, or 64-bit integers beyond, which scores have to fit.
@@ -101,7 +102,11 @@ def block_topk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
     sums = np.zeros((n, len(q)), c.dtype)
     out: list[tuple[np.ndarray, ...]] = []
     was = 0
+    opened = up @ lists.greatest + down @ lists.least
     for now in depths(n):
+        frontier = up @ lists.values[n - now] + down @ lists.values[now - 1]
+        if now < n and n > RESOLVE * k and (frontier * 4 > opened[live]).all():
+            continue  # what is unread still reaches too far: the next step reads on from here
         top, bottom = lists.read(was, now)
         sums += top @ up.T + bottom @ down.T
         was = now
