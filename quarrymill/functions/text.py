@@ -5,10 +5,8 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .money import col
 
@@ -87,20 +85,18 @@ def sold_key(title) -> Column:
     return F.concat_ws("::", artist, normalise_sold(F.coalesce(both["release"], col(title))))
 
 
-@F.pandas_udf(T.StringType())
-def fold_accents_udf(texts: pd.Series) -> pd.Series:
-    """NFKD without combining marks, for scripts that `translate` can't list."""
-    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not "̀" <= c <= "ͯ"))
-
-
 _LATIN = "".join(chr(c) for c in range(0xC0, 0x180) if len(unicodedata.normalize("NFKD", chr(c))) > 1 and unicodedata.normalize("NFKD", chr(c))[0].isascii())
 _PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in _LATIN)
 
 
+def fold_latin(text) -> Column:
+    """Latin letters without their marks."""
+    return F.translate(F.regexp_replace(text, r"[̀-ͯ]", ""), _LATIN, _PLAIN)
+
+
 def identity_text(text) -> Column:
     """Lower-case ASCII words of a name; Latin letters lose their marks, apostrophes go."""
-    folded = F.translate(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"[̀-ͯ]", ""), _LATIN, _PLAIN)
-    plain = F.regexp_replace(F.replace(F.lower(folded), F.lit("&"), F.lit(" and ")), r"['’]", "")
+    plain = F.regexp_replace(F.replace(F.lower(fold_latin(F.coalesce(col(text), F.lit("")))), F.lit("&"), F.lit(" and ")), r"['’]", "")
     return F.trim(F.regexp_replace(plain, r"[^a-z0-9]+", " "))
 
 

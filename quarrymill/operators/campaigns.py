@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.candidates import ascii_words, folded, says
 from ..functions.decisions import chosen
 from ..functions.money import col
 
@@ -68,15 +69,32 @@ def page_health(checked_urls, known_urls, url, report) -> Column:
     return F.when(F.array_contains(col(checked_urls), col(url)), "success").when(F.size(col(known_urls)) > 0, "unknown").otherwise(col(report))
 
 
-_OFFER = r"(?i)\b(?:[1-9]\d?\s*(?:%|percent)\s*off|bogo|buy\s+(?:one|1)\s+get\s+(?:one|1)|promo\s+code|coupon\s+code|use\s+code)\b"
-_CLAIM = r"(?i)\b(?:sitewide|site-wide|storewide|store-wide|entire\s+(?:site|store)|everything|all\s+(?:vinyl|records|lps|music)|vinyl\s+(?:sale|discount|deals?))\b"
-_OTHER_GOODS = r"(?i)\b(?:apparel|clothing|t-?shirts?|hoodies?|merch(?:andise)?|accessories|cds?|cassettes?|tapes?|books?|posters?|homeware)\b"
+# What is an offer, how far it reaches, and goods that are no records.
+OFFER = r"\b(?:[1-9]\d?\s*(?:%|percent)\s*off|bogo|buy\s+(?:one|1)\s+get\s+(?:one|1)|promo\s+code|coupon\s+code|use\s+code)\b"
+CLAIMS = {
+    "sitewide": r"\b(?:sitewide|site-wide|storewide|store-wide|entire\s+(?:site|store)|everything)\b",
+    "vinyl-wide": r"\b(?:all\s+(?:vinyl|records|lps|music)|vinyl\s+(?:sale|discount|deals?))\b",
+    "any": r"\b(?:sitewide|site-wide|storewide|store-wide|entire\s+(?:site|store)|everything|all\s+(?:vinyl|records|lps|music)|vinyl\s+(?:sale|discount|deals?))\b",
+}
+OTHER_GOODS = r"\b(?:apparel|clothing|t-?shirts?|hoodies?|merch(?:andise)?|accessories|cds?|cassettes?|tapes?|books?|posters?|homeware)\b"
 
 
-def coherent_claim(text) -> Column:
-    """Whether an offer and a claim about its reach stand within 64 characters with no other goods between.
+def places(text: Column, pattern: str) -> Column:
+    """array<struct<start, end>> of the matches of a pattern, from 1, ends past the last character: the lengths of what stands between them add up."""
+    found, between = F.regexp_extract_all(text, F.lit(ascii_words(pattern)), F.lit(0)), F.split(text, ascii_words(pattern), -1)
+    upto = lambda parts, n: F.length(F.array_join(F.slice(parts, 1, n), ""))
+    one = lambda i: F.struct((upto(between, i) + upto(found, i - 1) + 1).alias("start"), (upto(between, i) + upto(found, i) + 1).alias("end"))
+    none = F.array().cast("array<struct<start: int, end: int>>")
+    return F.when(F.size(found) > 0, F.transform(F.sequence(F.lit(1), F.size(found)), one)).otherwise(none)
 
-    Offers and claims are joined by their distance: every stretch that runs from one to the other is a match of one of two patterns."""
-    stretch = lambda a, b: rf"(?is){a.removeprefix('(?i)')}.{{0,64}}?{b.removeprefix('(?i)')}"
-    spans = F.concat(F.regexp_extract_all(col(text), F.lit(stretch(_OFFER, _CLAIM)), F.lit(0)), F.regexp_extract_all(col(text), F.lit(stretch(_CLAIM, _OFFER)), F.lit(0)))
-    return F.exists(spans, lambda s: ~s.rlike(_OTHER_GOODS))
+
+def coherent_claim(text, scope: str = "any") -> Column:
+    """Whether any offer and any claim about its reach (of this scope) stand within 64 characters of each other, with no other goods named in the stretch of both."""
+    value = folded(F.coalesce(col(text), F.lit("")))
+
+    def together(offer: Column, claim: Column) -> Column:
+        first, last = F.least(offer["start"], claim["start"]), F.greatest(offer["end"], claim["end"])
+        gap = F.greatest(offer["start"], claim["start"]) - F.least(offer["end"], claim["end"])
+        return (gap <= 64) & ~says(F.substring(value, first, last - first), OTHER_GOODS)
+
+    return F.exists(places(value, OFFER), lambda offer: F.exists(places(value, CLAIMS[scope]), lambda claim: together(offer, claim)))

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quarrymill.plans import catalogue
+from quarrymill.plans import catalogue, evaluation  # noqa: F401
 
 
 def clean(rows):

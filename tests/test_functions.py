@@ -46,7 +46,6 @@ def test_titles(spark):
     assert one(spark, text.has_all_words("q", "t"), q=["a"], t=["a", "b"]) is True
     assert one(spark, text.source_family("g", "r", "c", "k", "s"), g="US Shops", r=None, c="html", k="html", s="x") == "group:us shops|crawl:html"
     assert [one(spark, text.availability("t"), t=t) for t in ("https://schema.org/InStock", "Sold Out", "Pre-order", "?")] == ["in_stock", "out_of_stock", "preorder", "unknown"]
-    assert one(spark, text.fold_accents_udf("t"), t="é") == "e"
 
 
 def test_urls(spark):

@@ -228,9 +228,60 @@ def test_hashes(spark):
 def test_coherent_claims(spark):
     from quarrymill.operators.campaigns import coherent_claim
 
-    texts = ["20% off everything", "Sitewide! Take 15 % off", "20% off t-shirts and everything", "everything " + "x " * 60 + "20% off", "nice records", "Use code SAVE for all vinyl"]
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    assert [r.c for r in frame.select(coherent_claim("t").alias("c"), "i").orderBy("i").collect()] == [True, True, False, False, False, True]
+    texts = {
+        "20% off all vinyl": (True, False, True),
+        "sitewide sale: 15% off": (True, True, False),
+        "20% off apparel sitewide": (False, False, False),
+        "20% off apparel. 30% off sitewide": (True, True, False),
+        "all vinyl " + "x" * 90 + " 20% off": (False, False, False),
+        "15 percent off vinyl sale": (True, False, True),
+        "Everything! " + "y" * 58 + " BOGO": (True, True, False),
+        "use code A, hoodies, everything; use code B everything": (True, True, False),
+        "everything": (False, False, False),
+        "": (False, False, False),
+    }
+    frame = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = frame.select("t", *[coherent_claim("t", s) for s in ("any", "sitewide", "vinyl-wide")]).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == texts | {None: (False, False, False)}
+
+
+def test_candidate_gate(spark):
+    """Titles that must not pass, each with its reason, and records that must."""
+    from quarrymill.functions import candidates
+
+    shop, item = "https://shop.example.com/about", "https://shop.example.com/products/1"
+    cases = [
+        ("Album Koozie", item, {}, "non_vinyl_format"), ("Pink Floyd - Guitar Picks", item, {}, "non_vinyl_format"), ("Album Necklace", item, {}, "non_vinyl_format"),
+        ("Best of Shampoo - Edition", item, {}, "non_music_retail_category"), ('Miles Davis - Kind of Blue 12"', item, {}, None), ("Kind of Blue LP", item, {"type": "marketplace_retailer"}, None),
+        ("Kind of Blue - Album", item, {"type": "marketplace_retailer"}, "marketplace_requires_explicit_vinyl"), ("Kind of Blue - Album", item, {"name": "Walmart"}, "marketplace_requires_explicit_vinyl"),
+        ("Some Book vinyl", "https://b.example/p/?ean=9781234567890", {}, "isbn_book_listing"), ("Records under $20", item, {"id": "cheap-vinyl"}, "deal_category_navigation"),
+        ("Plain words", item, {"id": "cheap-vinyl"}, "deal_aggregator_requires_record_title"), ("An Album", "https://s.example/products/x-digital-album", {}, "digital_only_product"),
+        ("Vinyl wall clock", item, {}, "record_accessory"), ("Coasters made from recycled vinyl records", item, {}, "record_accessory"), ("Used vinyl", item, {}, "non_new_condition"),
+        ("An Album flac", item, {}, "non_vinyl_format"), ("Free shipping today", item, {}, "promotion_label"), ("Some Name", shop, {}, "no_product_or_format_signal"), ("Some Name", item, {}, "weak_record_signal"),
+        ("Some Name", item, {"name": "Vinyl Record Shop"}, None), ("Shop", item, {}, "navigation_label"), ("ab", item, {}, "title_too_short"), (None, None, {}, "title_too_short"),
+        ("Décal - Édition", item, {}, None),
+    ]
+    for title, url, source, reason in cases:
+        row = spark.createDataFrame([(title, url)], "t string, u string").select(candidates.assess("t", F.lit(""), F.lit(""), F.lit(""), "u", {k: F.lit(v) for k, v in source.items()})["reject"]).first()
+        assert row[0] == reason, (title, row[0], reason)
+    context = spark.createDataFrame([("Plain words", item)], "t string, u string").select(candidates.assess("t", F.lit(""), F.lit(""), F.lit("shoes and toys"), "u")["reject"]).first()
+    assert context[0] == "non_music_retail_context"
+
+
+def test_high_signal_finds(spark):
+    from quarrymill.functions import candidates
+
+    base = {"source_id": "shop", "source_name": "Shop", "source_url": "https://s.example/p/1", "listing_title": "x", "price": 12.0}
+    cases = [
+        ({}, False), ({"source_name": "Clearance Shop"}, True), ({"source_name": "Clearance Shop", "price": 60.0}, False), ({"source_name": "Clearance Shop", "discovery_only": True}, False),
+        ({"listing_title": "final sale"}, True), ({"discount_percent": 40.0, "threshold": 0.35, "price": 90.0}, True), ({"discount_percent": 40.0, "threshold": 0.35, "price": 90.0, "noise": "high"}, False),
+        ({"original_price": 20.0, "quality": 80.0}, True), ({"original_price": 20.0, "quality": 60.0}, False), ({"verified_direct_us": True, "price": 19.0}, True), ({"verified_direct_us": True, "price": 19.0, "stock": "sold out"}, False),
+        ({"listing_title": "clearance", "sold_price": 14.0}, False), ({"listing_title": "clearance", "sold_price": 25.0}, True), ({"listing_title": "clearance", "sold_price": 18.0, "sold_count": 2}, True),
+        ({"source_name": "Walmart clearance", "sold_by_source": False}, False), ({"source_url": "https://s.example/bogo/deals"}, False),
+    ]
+    for change, want in cases:
+        find = {k: F.lit(v) for k, v in (base | change).items()}
+        assert spark.range(1).select(candidates.high_signal(find)).first()[0] is want, change
 
 
 def test_research_scores(spark):
@@ -262,7 +313,7 @@ def test_shop_payload(spark):
     rows = catalogs.variant_rows(spark.createDataFrame([(1, body, "https://s.com"), (2, "broken", "o")], "page int, body string, origin string"), "page", "body", "origin").orderBy("position").collect()
     assert [(r.title, r.price, r.compare_at, r.barcode, r.sku, r.inventory, r.url, r.variants) for r in rows] == [("Ann - Blue Moon", 19.5, 25.0, "123", None, None, "https://s.com/products/blue-moon?variant=7", 2), ("Ann - Blue Moon - CD", 9.0, None, None, None, None, "https://s.com/products/blue-moon?variant=8", 2)]
     frame = spark.createDataFrame([tuple(rows[0][c] for c in ("title", "url", "product_type"))] + [(rows[1].title, rows[1].url, "")], "title string, url string, product_type string")
-    reject = candidates.assess("title", "product_type", F.lit(""), F.lit(""), "url", F.lit(True), F.lit(12))["reject"]
+    reject = candidates.assess("title", "product_type", F.lit(""), F.lit(""), "url", {"name": F.lit("Vinyl shop"), "priority": F.lit(2)})["reject"]
     assert [r.title for r in catalogs.accepted(frame, reject).collect()] == ["Ann - Blue Moon"]
     payload = json.dumps({"data": {"data": {"html": "<p>", "itemCountHtml": "3", "pageNumber": 2, "totalPages": 5}}})
     got = spark.createDataFrame([(payload,), ("[]",), ("{}",)], "b string").select(catalogs.results_payload("b").alias("r")).collect()
