@@ -460,17 +460,37 @@ def classify(docs: DataFrame) -> DataFrame:
         discard(more)
     discard(rest, links)
     rows = described.where("row is null").select("doc_id", "n", "sig")
-    rows = rows.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "n", F.coalesce("label", "sig").alias("class"))
+    fair = max(1.0, rows.count() / parts * FAIR)
+    rows = looked_up(rows, "sig", labels.select(F.col("node").alias("sig"), "label"), "label", fair).select("doc_id", "n", F.coalesce("label", "sig").alias("class"))
+    rows = stored(rows, "classes")
     least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return rows.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return looked_up(rows, "class", least, "least", fair).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, fair: float) -> DataFrame:
+    """rows with the value that table (a row for each key) has for their key, null for none.
+
+    Keys with more than `fair` rows are at most rows / fair, so their values are broadcast; their rows, and those without a key, are dealt by hash of the row."""
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > fair).select(key)
+    frequent = F.broadcast(hot.join(table, key).select(F.col(key).alias("_hot"), F.col(value).alias("_value")))
+    marked = rows.join(frequent, rows[key] == F.col("_hot"), "left")
+    dealt = F.when(F.col(key).isNotNull() & F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns))
+    found = marked.withColumn("_key", dealt).join(table.select(F.col(key).alias("_at"), F.col(value).alias(value)), F.col("_key") == F.col("_at"), "left")
+    own = F.when(F.col("_hot").isNotNull(), F.col("_value")).when(F.col("_at") == F.col(key), F.col(value))
+    return found.select(*rows.columns, own.alias(value))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is the least of its component; rows without an id stay."""
-    kept = classify(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    """The rows of docs, with all their columns, whose doc_id is the least of its component; rows without an id stay.
+
+    Rows that share an id are kept or dropped together; of those kept, rows with the same text too are one row."""
+    kept = classify(docs).where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_times"))
+    kept = stored(kept, "kept-ids")
     marked = docs.join(kept, docs["doc_id"] == kept["_kept"], "left")
-    return marked.where(docs["doc_id"].isNull() | F.col("_kept").isNotNull()).drop("_kept")
+    once = marked.where(docs["doc_id"].isNull() | (F.col("_times") == 1)).select(*docs.columns)
+    again = marked.where(F.col("_times") > 1).select(*docs.columns)
+    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 ORACLE_SQL = r"""

@@ -255,10 +255,11 @@ def test_jaccard_near_the_threshold(spark):
     assert got == jaccard_truth(rows)
 
 
-@pytest.mark.parametrize("large", [2, 8])
-def test_jaccard_groups_without_their_base(spark, monkeypatch, large):
-    """Near copies with one to six edits each, their base missing, of several lengths, some edits and passages shared between groups."""
+@pytest.mark.parametrize("large, fair", [(2, 1.0), (8, 1.0), (2, 0.003), (8, 0.05)])
+def test_jaccard_groups_without_their_base(spark, monkeypatch, large, fair):
+    """A low FAIR salts shingles, deals hubs to many places and cuts shingles into blocks. Near copies with one to six edits each, their base missing, of several lengths, some edits and passages shared between groups."""
     monkeypatch.setattr(jaccard, "LARGE", large)
+    monkeypatch.setattr(jaccard, "FAIR", fair)
     rng = random.Random(large)
     rows = []
     common = [f"c{i}" for i in range(25)]
@@ -288,6 +289,13 @@ def test_keep_one_keeps_columns(spark, corpus):
     assert 100 in ids and 101 not in ids and 300 not in ids and 2 in ids and None in ids
 
 
+def test_repeated_ids_in_keep_one(spark):
+    """Exact repeats under one id are one row; rows without an id and unlike texts under one id stay."""
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b + " more words at the end here"), (None, a), (4, None), (4, None)]
+    assert Counter((r.doc_id, r.text) for r in jaccard.keep_one(table(spark, rows)).collect()) == Counter([(1, a), (3, b), (3, b + " more words at the end here"), (None, a), (4, None)])
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 180)] + [(5, 5)]
     got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
