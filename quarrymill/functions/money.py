@@ -57,9 +57,10 @@ def positive_amount(x) -> Column:
 
 
 def parse_price(text) -> Column:
-    """Number in a price text: everything but digits, dots, commas and minus goes, commas go, a numeric prefix counts; at least 0."""
+    """Number in a price text: everything but digits, dots, commas and minus goes, commas go, a numeric prefix counts; at least 0, null without one."""
     clean = F.regexp_replace(F.regexp_replace(col(text), r"[^0-9.,\-]", ""), ",", "")
-    return F.greatest(F.lit(0.0), F.regexp_extract(clean, r"^-?(\d+\.?\d*|\.\d+)", 0).try_cast("double"))
+    number = F.regexp_extract(clean, r"^-?(\d+\.?\d*|\.\d+)", 0).try_cast("double")
+    return F.when(number.isNotNull(), F.greatest(F.lit(0.0), number))
 
 
 def first_amount(text) -> Column:
@@ -101,13 +102,13 @@ def currency_code(text) -> Column:
 
 def age_in_days(moment, now) -> Column:
     """Whole days from moment to now; null when it lies more than five minutes ahead, else at least 0."""
-    elapsed = F.unix_millis(col(now)) - F.unix_millis(col(moment))
+    elapsed = F.unix_millis(col(now).cast("timestamp")) - F.unix_millis(col(moment).cast("timestamp"))
     return F.when(elapsed >= -300_000, F.greatest(F.floor(elapsed / DAY_MS), F.lit(0)))
 
 
 def date_age(day, as_of) -> Column:
     """Whole days from the day's UTC midnight to as_of; null when negative."""
-    age = F.floor((F.unix_millis(col(as_of)) - F.unix_millis(col(day).cast("date").cast("timestamp"))) / DAY_MS)
+    age = F.floor((F.unix_millis(col(as_of).cast("timestamp")) - F.unix_millis(col(day).cast("date").cast("timestamp"))) / DAY_MS)
     return F.when(age >= 0, age)
 
 

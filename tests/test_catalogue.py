@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quarrymill.plans import catalogue, evaluation  # noqa: F401
+from quarrymill.plans import catalogue, evaluation, survey  # noqa: F401  the latter two add their queries to the catalogue
 
 
 def clean(rows):
