@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import col, round_half_up
+from .ranking import top_per_key
 
 
 def weighted_average(value, weight) -> Column:
@@ -112,3 +113,18 @@ def economics(records: DataFrame, by: str) -> DataFrame:
 def nearest_rank(values: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Unweighted nearest-rank percentiles."""
     return weighted_percentiles(values.withColumn("_one", F.lit(1)), keys, value, "_one", shares)
+
+
+def expansion_tokens(listings: DataFrame, search: str, words: str, order: list[Column], excluded: str | None = None, first: int = 25, k: int = 5, least: int = 2) -> DataFrame:
+    """Words that widen a search: of its first listings the k words in most titles, then nearest the start.
+
+    words: a listing's words in order; excluded: words of the search itself. Columns: search, token, listings, first_pos. Searches with
+    fewer than two such words have none."""
+    some = top_per_key(listings, [search], order, first, "_n")
+    out = some.select(search, *([excluded] if excluded else []), "_n", F.posexplode(words).alias("pos", "token"))
+    if excluded:
+        out = out.where(~F.array_contains(excluded, F.col("token")))
+    per = out.groupBy(search, "token").agg(F.count(F.lit(1)).alias("listings"), F.min("pos").alias("first_pos")).where(F.col("listings") >= least)
+    best = top_per_key(per, [search], [F.desc("listings"), F.col("first_pos"), F.col("token")], k, "_rank")
+    enough = best.groupBy(search).agg(F.count(F.lit(1)).alias("_c")).where("_c >= 2").select(search)
+    return best.join(enough, search, "left_semi").drop("_rank")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import round_half_up
+from .components import connected_components
 from .ranking import best_per_key
 
 
@@ -92,31 +91,17 @@ def carried_over(current: DataFrame, incoming: DataFrame, key: str, guard: str,
     return incoming.join(old, key, "left").withColumn(state, F.when(F.col("_guard").eqNullSafe(F.col(guard)), F.col("_state"))).drop("_guard", "_state")
 
 
-def transitive_groups(rows: DataFrame, row_id: str, keys: list[str], rounds: int = 30) -> DataFrame:
-    """row_id and group (least row_id): rows that share any key value, transitively. Least labels travel over row-key edges;
-    each round is stored in the shared checkpoint folder, and labels jump to their label's label, so chains settle in few rounds."""
-    spark = rows.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/quarrymill").rstrip("/")
-
-    def stored(frame: DataFrame) -> DataFrame:
-        path = f"{folder}/groups-{uuid.uuid4().hex}"
-        frame.write.parquet(path)
-        return spark.read.parquet(path)
+def transitive_groups(rows: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
+    """row_id and group (least row_id): rows that share any key value, transitively; null keys join nothing.
 
+    Each row is linked with the least row of each of its key values, so a value that a million rows share gives a million links and no
+    pairs; the links' connected components are the groups."""
     named = F.explode(F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(k).cast("string"))) for i, k in enumerate(keys)])))
-    edges = stored(rows.select(F.col(row_id).alias("r"), named.alias("k")).distinct())
-    labels = stored(rows.select(F.col(row_id).alias("r"), F.col(row_id).alias("l")).distinct())
-    for _ in range(rounds):
-        by_key = edges.join(labels, "r").groupBy("k").agg(F.min("l").alias("m"))
-        lower = edges.join(by_key, "k").groupBy("r").agg(F.min("m").alias("m"))
-        step = labels.join(lower, "r", "left").select("r", F.least("l", F.coalesce("m", "l")).alias("l"), F.col("l").alias("was"))
-        jump = step.select(F.col("r").alias("l"), F.col("l").alias("j"))
-        after = stored(step.join(jump, "l", "left").select("r", F.least("l", F.coalesce("j", "l")).alias("l"), "was"))
-        changed = after.where("l <> was").limit(1).count()
-        labels = after.select("r", "l")
-        if not changed:
-            return labels.select(F.col("r").alias(row_id), F.col("l").alias("group"))
-    raise RuntimeError(f"groups didn't settle in {rounds} rounds")
+    held = rows.select(F.col(row_id).cast("long").alias("a"), named.alias("k"))
+    least = held.groupBy("k").agg(F.min("a").alias("b"))
+    labels = connected_components(held.join(least, "k").select("a", "b"))
+    out = rows.select(row_id).distinct().join(labels, F.col(row_id) == F.col("node"), "left")
+    return out.select(row_id, F.coalesce("label", F.col(row_id).cast("long")).alias("group"))
 
 
 def merge_products(rows: DataFrame, group: str = "group") -> DataFrame:

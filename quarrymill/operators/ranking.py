@@ -52,7 +52,8 @@ def diversity_select(rows: DataFrame, limit: int, source: str = "source", family
 
     Each pick depends on the counts before it, so the picking is one sequential pass. Only rows that it could take
     reach it: at most `per_source` rows of every source, by rank. That is exact, because the source cap holds in
-    every pass and a row further down its source is never taken before one above it."""
+    every pass and a row further down its source is never taken before one above it; which rows stand among the
+    first `keep_share` of the limit, and so are protected, is told from all rows."""
     order = [F.desc(score), F.col(tie)]
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(source).alias("s"), F.count_distinct(family).alias("f")).first()
     limit = min(limit, stats.n)
@@ -62,6 +63,7 @@ def diversity_select(rows: DataFrame, limit: int, source: str = "source", family
     if limit == stats.n:
         return rows.withColumn("phase", F.lit("ranked_fill"))
     ranked = top_per_key(rows, [source], order, source_cap, "_in_source")
+    protected = {r[0] for r in rows.orderBy(*order).limit(keep).select(tie).collect()}  # a fifth of the limit
     schema = rows.schema.simpleString()[7:-1] + ",phase:string"
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
@@ -80,8 +82,10 @@ def diversity_select(rows: DataFrame, limit: int, source: str = "source", family
             return True
 
         everyone = range(len(frame))
-        for i in everyone[:keep]:
-            add(i, "protected_quality", True)
+        ties = frame[tie].tolist()
+        for i in everyone:
+            if ties[i] in protected:
+                add(i, "protected_quality", True)
         for i in everyone:
             if families[i] not in by_family:
                 add(i, "family_representation", True)

@@ -140,14 +140,17 @@ def triage_decision(spark, sf_dir):
     return p.select("item", out["decision"].alias("decision"), F.round(out["confidence"], 6).alias("confidence"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '' AND x NOT IN ('the','a','an','lp','vinyl','record','records','album','used')) AS w FROM documents),
-  e AS (SELECT doc_id, unnest(w[1:25]) AS token, unnest(range(0, least(len(w), 25))) AS pos FROM t), c AS (SELECT token, count(DISTINCT doc_id) AS docs, min(pos) AS first_pos FROM e GROUP BY token)
-  SELECT token, docs, first_pos FROM c WHERE docs >= 2 ORDER BY docs DESC, first_pos, token LIMIT 5""")
+_TITLE_WORDS_SQL = "list_filter(regexp_split_to_array(regexp_replace(replace(lower({}), '&', ' and '), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '' AND x NOT IN ('the','a','an','lp','vinyl','record','records','album','used'))"
+
+
+@query(f"""WITH l AS (SELECT p_brand AS search, {_TITLE_WORDS_SQL.format("p_brand")} AS own, {_TITLE_WORDS_SQL.format("p_name || ' ' || p_brand || ' ' || p_type")} AS w, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part),
+  e AS (SELECT search, own, unnest(w) AS token, unnest(range(0, len(w))) AS pos FROM l WHERE r <= 25), c AS (SELECT search, token, count(*) AS listings, min(pos)::INTEGER AS first_pos FROM e WHERE NOT list_contains(own, token) GROUP BY ALL HAVING count(*) >= 2),
+  k AS (SELECT *, row_number() OVER (PARTITION BY search ORDER BY listings DESC, first_pos, token) AS rank FROM c), b AS (SELECT * FROM k WHERE rank <= 5)
+  SELECT search, token, listings, first_pos FROM b WHERE search IN (SELECT search FROM b GROUP BY 1 HAVING count(*) >= 2)""")
 def expansion_tokens(spark, sf_dir):
-    """The five words in most opening lines: words that widen a query."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(text.word_list("text"), 1, 25)).alias("pos", "token"))
-    per = words.groupBy("token", "doc_id").agg(F.min("pos").alias("pos")).groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min("pos").alias("first_pos"))
-    return per.where("docs >= 2").orderBy(F.desc("docs"), "first_pos", "token").limit(5).select("token", "docs", "first_pos")
+    """The words that widen each search: of its first 25 listings, without the words of the search itself."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("search"), "p_partkey", text.word_list("p_brand").alias("own"), text.word_list(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("words"))
+    return aggregates.expansion_tokens(p, "search", "words", [F.col("p_partkey")], "own")
 
 
 @query("""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '' AND x NOT IN ('the','a','an','lp','vinyl','record','records','album','used')) AS w FROM documents),
@@ -253,21 +256,23 @@ def _title_words(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.filter(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "), lambda w: w != "").alias("words"))
 
 
-@query(f"""WITH p AS (SELECT p_partkey, {_WORDS_SQL} AS w FROM part), q AS (SELECT * FROM p WHERE p_partkey % 7 = 0),
-  s AS (SELECT q.p_partkey AS query_id, p.p_partkey AS item_id, len(list_intersect(q.w, p.w)) / greatest(len(q.w), len(p.w))::DOUBLE AS score FROM q, p WHERE q.p_partkey <> p.p_partkey),
-  r AS (SELECT query_id, item_id, {round_sql("score", 4)} AS score FROM s WHERE score >= 0.65), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM r)
-  SELECT query_id, item_id, score, rank::INTEGER AS rank FROM k WHERE rank <= 3""")
+_COMPS_SQL = f"""WITH p AS (SELECT p_partkey, {_WORDS_SQL} AS w FROM part), d AS (SELECT DISTINCT w FROM p),
+  s AS (SELECT a.w AS qw, b.w AS cw, {round_sql("len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w))::DOUBLE", 4)} AS score FROM d a, d b WHERE len(a.w) > 1 AND len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w))::DOUBLE >= 0.65),
+  r AS (SELECT q.p_partkey AS query_id, p.p_partkey AS item_id, score FROM s JOIN p q ON q.w = qw JOIN p ON p.w = cw WHERE q.p_partkey <> p.p_partkey), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM r)
+  SELECT query_id, item_id, score, rank::INTEGER AS rank FROM k WHERE rank <= 3"""
+
+
+@query(_COMPS_SQL)
 def token_comp_match(spark, sf_dir):
-    """The three best items by shared title words for a stated set of queries (keys divisible by seven)."""
+    """The three best items of every part by shared title words."""
     p = _title_words(spark, sf_dir)
-    return matching.token_match(p.where("p_partkey % 7 = 0").withColumnRenamed("p_partkey", "query_id"), p.withColumnRenamed("p_partkey", "item_id"), "query_id", "item_id", "words")
+    return matching.token_match(p.withColumnRenamed("p_partkey", "query_id"), p.withColumnRenamed("p_partkey", "item_id"), "query_id", "item_id", "words")
 
 
-@query()
+@query(_COMPS_SQL)
 def token_comp_match_all(spark, sf_dir):
-    """The three best items of every part by shared title words (every part crossed with every part is too slow in SQL: none)."""
-    p = _title_words(spark, sf_dir)
-    return matching.token_match(p.withColumnRenamed("p_partkey", "query_id"), p.withColumnRenamed("p_partkey", "item_id"), "query_id", "item_id", "words")
+    """The same under the name that it has had."""
+    return token_comp_match(spark, sf_dir)
 
 
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'O')""")
@@ -374,9 +379,12 @@ def cost_ledger(spark, sf_dir):
     return _priced(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH i AS (SELECT p_partkey AS id, {plain_sql("p_retailprice / 100 * (1 + p_size / 25.0::DOUBLE)")} AS resale FROM part),
+  c AS (SELECT id, resale, unnest(range(0, floor(resale * 100)::BIGINT + 1)) / 100.0::DOUBLE AS p FROM i), l AS (SELECT *, {round_sql(f"p + {round_sql('p * (9.5::DOUBLE / 100)')} + 5")} AS landed FROM c),
+  g AS (SELECT *, {round_sql(f"resale - {round_sql(f'landed + {round_sql(chr(40) + round_sql(chr(40) + 'resale * 0.15::DOUBLE + 0.3::DOUBLE' + chr(41)) + ' + ' + round_sql('resale * 0.02::DOUBLE') + ' + 6 + 1 + ' + round_sql('resale * 0.03::DOUBLE') + chr(41))}')}")} AS net FROM l),
+  t AS (SELECT id, max(p) AS top FROM g WHERE net >= 7 AND {round_sql("net / landed", 4)} >= 0.3 GROUP BY id) SELECT id, resale, coalesce(top, 0)::DOUBLE AS max_price FROM i LEFT JOIN t USING (id)""")
 def max_purchase_price(spark, sf_dir):
-    """Highest price at which profit and return still hold, by bisection over the ledger; tests compare it with a scan of all cents."""
+    """Highest price at which profit and return still hold, by bisection over the ledger; the SQL scans all cents."""
     p = F.col("p_retailprice") / 100
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), money.round_plain(p * (1 + F.col("p_size") / 25.0)).alias("resale")).withColumn("max_price", decisions.max_purchase_price("resale"))
 
@@ -494,11 +502,21 @@ def _observations(spark, sf_dir):
     return first.select(F.col("user_id").cast("string").alias("campaign"), "run", F.col("event_type").alias("content"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT *, strftime(ts, '%Y-%m-%d') AS run, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY event_id) AS r FROM events),
+  runs AS (SELECT run, row_number() OVER (ORDER BY run) AS n FROM (SELECT DISTINCT run FROM d)), o AS (SELECT user_id, n, event_type AS content FROM d JOIN runs USING (run) WHERE r = 1),
+  s AS (SELECT user_id, n, content, 'new' AS status, 1 AS scans, 1 AS consecutive, 0 AS misses FROM (SELECT *, min(n) OVER (PARTITION BY user_id) AS f FROM o) WHERE n = f
+    UNION ALL SELECT s.user_id, s.n + 1, coalesce(o.content, s.content),
+      CASE WHEN o.content IS NOT NULL AND s.status = 'ended' THEN 'new' WHEN o.content IS NOT NULL AND o.content <> s.content THEN 'changed' WHEN o.content IS NOT NULL AND s.misses = 0 AND s.consecutive >= 4 THEN 'evergreen'
+        WHEN o.content IS NOT NULL THEN 'ongoing' WHEN s.status = 'ended' OR s.misses >= 1 THEN 'ended' WHEN s.scans >= 5 OR s.status = 'evergreen' THEN 'evergreen' ELSE 'ongoing' END,
+      s.scans + CASE WHEN o.content IS NULL THEN 0 ELSE 1 END, CASE WHEN o.content IS NULL THEN s.consecutive WHEN s.status = 'ended' OR s.misses > 0 THEN 1 ELSE s.consecutive + 1 END,
+      CASE WHEN o.content IS NOT NULL THEN 0 WHEN s.status = 'ended' THEN s.misses ELSE s.misses + 1 END
+    FROM s LEFT JOIN o ON o.user_id = s.user_id AND o.n = s.n + 1 WHERE s.n < (SELECT max(n) FROM runs))
+  SELECT user_id::VARCHAR AS campaign, run, status, scans, consecutive, misses FROM s JOIN runs USING (n)""")
 def campaign_lifecycle(spark, sf_dir):
-    """Users as campaigns and days as runs: every campaign's status after every run; a state machine, so no SQL."""
-    runs = [f"2024-01-{d:02d}" for d in range(1, 31)]
-    return lifecycle.replay(_observations(spark, sf_dir).where(F.col("run").isin(runs)), runs)
+    """Users as campaigns and days as runs: every campaign's status after every run of the table."""
+    seen = _observations(spark, sf_dir)
+    runs = [r.run for r in seen.select("run").distinct().orderBy("run").collect()]  # the days of the table
+    return lifecycle.replay(seen, runs)
 
 
 @query("""SELECT event_id, user_id, sha256(event_type || '|' || user_id) AS digest FROM events WHERE event_id % 4 <> 0""")

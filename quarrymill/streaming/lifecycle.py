@@ -20,7 +20,8 @@ def content_hash(*columns: str) -> Column:
 
 
 def campaign_id(*columns: str) -> Column:
-    return F.concat(F.lit("campaign-"), F.substring(F.sha2(F.concat_ws("|", *columns), 256), 1, 20))
+    """Id of a campaign from its terms: hashed as a JSON array, so neither a separator in a term nor a missing one makes two campaigns equal."""
+    return F.concat(F.lit("campaign-"), F.substring(F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in columns])), 256), 1, 20))
 
 
 def reconcile(ledger: DataFrame, seen: DataFrame, health: DataFrame | None = None, run: str | None = None) -> DataFrame:
@@ -89,24 +90,40 @@ def advance(state: tuple | None, content: str | None, run: str) -> tuple:
     return (content, status, scans + 1, streak, 0, 0, run)
 
 
-_REPLAYED = "campaign string, run string, status string, scans int, consecutive int, misses int"
-
-
 def replay(observations: DataFrame, runs: list[str]) -> DataFrame:
-    """Status of every campaign after every run from its first sighting on. observations: campaign, run, content. A campaign's runs are a
-    bounded list (the given runs), so one campaign fits a task whatever the number of campaigns."""
-
-    def each(key, frame: pd.DataFrame) -> pd.DataFrame:
-        by_run = dict(zip(frame["run"], frame["content"], strict=True))
-        out, state = [], None
-        for run in runs:
-            if state is None and run not in by_run:
-                continue
-            state = advance(state, by_run.get(run), run)
-            out.append((key[0], run, state[1], state[2], state[3], state[4]))
-        return pd.DataFrame(out, columns=["campaign", "run", "status", "scans", "consecutive", "misses"])
-
-    return observations.groupBy("campaign").applyInPandas(each, _REPLAYED)
+    """Status of every campaign after every run from its first sighting on: `advance` as a fold over the runs, inside the JVM.
+
+    observations: campaign, run, content (one row each). A campaign's runs are a bounded list (the given runs), so one campaign fits a task."""
+    start = F.struct(F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("status"), *[F.lit(0).alias(c) for c in ("scans", "consecutive", "misses")], F.array().cast("array<struct<run: string, status: string, scans: int, consecutive: int, misses: int>>").alias("out"))
+
+    def step(a: Column, run: Column) -> Column:
+        content = F.try_element_at(F.col("_seen"), run)
+        now, fresh = content.isNotNull(), a["status"].isNull()
+        reopened = fresh | (a["status"] == "ended")
+        over = ~now & (a["status"] == "ended")
+        streak = F.when(reopened, 1).when(a["misses"] == 0, a["consecutive"] + 1).otherwise(1)
+        missed = a["misses"] + 1
+        status = chosen(
+            [
+                (~now & fresh, None),
+                (now & reopened, "new"),
+                (now & (a["content"] != content), "changed"),
+                (now & (streak >= EVERGREEN_AFTER), "evergreen"),
+                (now, "ongoing"),
+                (over | (missed >= END_AFTER), "ended"),
+                ((a["scans"] >= EVERGREEN_AFTER) | (a["status"] == "evergreen"), "evergreen"),
+            ],
+            "ongoing",
+        )
+        scans, consecutive = a["scans"] + F.when(now, 1).otherwise(0), F.when(now, streak).otherwise(a["consecutive"])
+        misses = F.when(now | fresh, 0).when(over, a["misses"]).otherwise(missed)
+        row = F.struct(run.alias("run"), status.alias("status"), scans.alias("scans"), consecutive.alias("consecutive"), misses.alias("misses"))
+        return F.struct(F.coalesce(content, a["content"]).alias("content"), status.alias("status"), scans.alias("scans"), consecutive.alias("consecutive"), misses.alias("misses"), F.concat(a["out"], F.array(row)).alias("out"))
+
+    given = F.array(*[F.lit(r) for r in runs]) if runs else F.array().cast("array<string>")
+    seen = observations.where(F.col("run").isin(runs)).groupBy("campaign").agg(F.map_from_entries(F.collect_list(F.struct("run", "content"))).alias("_seen"))
+    states = seen.select("campaign", F.explode(F.aggregate(given, start, step, lambda a: a["out"])).alias("s"))
+    return states.where("s.status IS NOT NULL").select("campaign", "s.run", "s.status", "s.scans", "s.consecutive", "s.misses")
 
 
 def replay_stream(observations: DataFrame) -> DataFrame:
