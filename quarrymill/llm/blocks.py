@@ -7,7 +7,6 @@ the slice and the longest single text, never the partition.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..operators.storage import discard, fresh_path, stored  # noqa: F401  used by the operators of this folder
 
 SLICE_BYTES = 2 << 20
 ARROW_ROWS = 512
@@ -31,28 +30,6 @@ _LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables that `stored` wrote, once nothing that is still to run reads them."""
-    for frame in frames:
-        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
-        path.getFileSystem(frame.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def arrow_rows(spark: SparkSession) -> None:
     """Arrow batches of at most 512 rows in this session: texts are long, workers are small. One value for all operators; a smaller one of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .blocks import SPACE, arrow_rows, discard, lower, mix, slices, stored, utf8, window_hash, word_hash, words
-from .components import connected_components
 
 WIDTH = 5
 LARGE = 8

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrymill.llm import chat, components, decontaminate, jaccard, licences, lm, pieces, quality, suffixes, topk, warc
+from quarrymill.llm import chat, decontaminate, jaccard, licences, lm, pieces, quality, suffixes, topk, warc
 
 WORDS = "the of and to in ore tin salt quarry mill stone water lamp road field".split()
 DOCS = "doc_id long, text string, lang string, part int, kind string"
@@ -298,7 +298,9 @@ def test_repeated_ids_in_keep_one(spark):
 
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 180)] + [(5, 5)]
-    got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    from quarrymill.operators.components import connected_components
+
+    got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {k: 100 for k in range(100, 180)}
 
 
