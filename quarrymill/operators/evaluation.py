@@ -272,7 +272,7 @@ def with_priority(f: DataFrame) -> DataFrame:
 def with_ceiling(f: DataFrame, s: dict) -> DataFrame:
     """The highest price in cents at which a strategy that has demand, or is watched, still holds: null where the resale price is withheld.
 
-    The ledger falls with the price, so forty halvings of [0, resale] find it."""
+    What is left falls with the price, so halving the cents up to the resale price finds it."""
     known = lambda name: known_amount(f"costs.{name}")
     amount = lambda name: round_half_up(F.coalesce(known(name), F.lit(s[name])))
     fixed = amount("inbound_shipping") + amount("duty") + amount("fx_fees") + amount("other_acquisition")
@@ -285,11 +285,14 @@ def with_ceiling(f: DataFrame, s: dict) -> DataFrame:
 
     def ceiling(k: str) -> Column:
         def halve(a: Column, _: Column) -> Column:
-            middle = (a["low"] + a["high"]) / 2
-            return F.when(passes(middle, k), F.struct(middle.alias("low"), a["high"].alias("high"))).otherwise(F.struct(a["low"].alias("low"), middle.alias("high")))
-
-        start = F.struct(F.lit(0.0).alias("low"), F.col("_resale").alias("high"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, halve, lambda a: F.floor(a["low"] * 100) / 100.0)
+            middle = F.floor((a["low"] + a["high"]) / 2)
+            good = passes(middle / 100.0, k)
+            return F.struct(F.when(good, middle).otherwise(a["low"]).alias("low"), F.when(good, a["high"]).otherwise(middle).alias("high"))
+
+        most = F.floor(F.col("_resale") * 100) + 1
+        start = F.struct(F.lit(0).cast("long").alias("low"), most.alias("high"))
+        halvings = F.sequence(F.lit(1), F.ceil(F.log2(most.cast("double"))).cast("int") + 1)
+        return F.aggregate(halvings, start, halve, lambda a: a["low"] / 100.0)
 
     f = f.withColumns({f"_top_{k}": F.when(F.col("_resale").isNotNull() & (F.col(f"{k}.demand") | F.col(f"{k}.watch")), ceiling(k)) for k in STRATEGIES})
     best = F.greatest(F.lit(0.0), *[F.when(passes(F.col(f"_top_{k}"), k), F.col(f"_top_{k}")) for k in STRATEGIES])
