@@ -1,19 +1,21 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model.
+"""Language-model scoring: an interpolated modified Kneser-Ney n-gram model of any order from two on.
 
-Counting runs in Spark over all training documents. Each task counts the bigrams of its texts, packs the
-counts by part and shuffles packed blocks; a part's task merges them and writes the part's bigrams as sorted
-hash arrays. A bigram's part comes from its first word and one of `SALT` salts of its second, so a word that
-starts a third of all bigrams is spread over several parts. Continuation counts and context totals are merged
-the same way. The model is a folder of arrays sorted by hash below spark.checkpoint.dir; scoring workers map
-the files into memory and look up by binary search. Files are written under temporary names and renamed, so a
-retried task leaves the same bytes under the same names. Order two; whether trigrams fit the disk limit is not
-measured (see the README).
+Counting runs in Spark over all training documents. Each task counts the grams of its texts, packs the counts by part
+and shuffles packed blocks; a part's task merges them and writes the part's grams as sorted hash arrays. A gram's part
+comes from the hash of all its words, so no word, however frequent, makes a large part. A merged level gives the
+counts of the next lower one (of each gram without its first word: how many words stand before it) and the totals of
+its contexts, which are merged the same way, level by level. The model is a folder of arrays sorted by hash below
+spark.checkpoint.dir; scoring workers map the files into memory and look up by binary search. Files are written
+under temporary names and renamed, so a retried task leaves the same bytes under the same names. The number of parts
+follows the bytes of the texts.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, known by 64-bit hashes; one end token follows each text
-and one start context precedes it. With D1, D2, D3+ from the counts of counts:
-  p(w | u) = max(c(u w) - D, 0) / c(u) + gamma(u) p(w),   p(w) = max(n(w) - D', 0) / n + gamma' / (V + 1),
-n(w) the number of distinct words before w; an unseen context gives p(w). The probabilities of the V training
-tokens and of one unknown token sum to 1 in every context.
+and start tokens precede it. With c the count of the highest level, and below it the number of distinct words before a
+gram, and D1, D2, D3+ of each level from its counts of counts:
+  p_k(w | u) = max(c(u w) - D, 0) / c(u .) + gamma(u) p_{k-1}(w | u without its first word),
+  p_1(w) = max(n(w) - D', 0) / n + gamma' / (V + 1);
+an unseen context gives the level below. The probabilities of the V training tokens and of one unknown token sum to 1 in
+every context.
 
 Cases: null and empty text is the end token alone; a null doc_id is in the training part; repeated rows count
 and are scored each; with an empty training part every token has probability 1 / (V + 1). Other columns are
@@ -30,87 +32,104 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SPACE, arrow_rows, fresh_path, lower, mix, slices, utf8, word_hash, words
+from .blocks import SPACE, arrow_rows, fresh_path, lower, mix, parts_for, slices, utf8, word_hash, words
 from .store import Folder
 
+ORDER = 2
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
-SALT = 8
-_FLUSH = 3 << 19  # pairs held by a counting task before it packs them
-_BLOCK = "part int, a binary, b binary, n binary"
-_BLOCK_ARROW = pa.schema([("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())])
+_FLUSH = 3 << 19  # grams held by a counting task before it packs them
+_KEPT_ARRAYS = 64  # of a model that can't be mapped, in a worker's memory
+_WORD, _CONTEXT = 1, 16  # kinds of blocks: 1 words, k grams of k words, 16 + k contexts of grams of k words
+_BLOCK = "part int, a binary, n binary"
+_BLOCK_ARROW = pa.schema([("part", pa.int32()), ("a", pa.binary()), ("n", pa.binary())])
 
 
 def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of all texts (words, then the end), the token before each, and each text's first token."""
+def tokens(column: pa.Array, order: int = 2) -> tuple[list[np.ndarray], np.ndarray]:
+    """Token hashes of all texts (words, then the end) under the last of `order` columns, the tokens before each under the others, and each text's first token."""
     data, offsets = utf8(column)
     data = lower(data)
     starts, ends, first = words(data, offsets, SPACE)
     h = np.insert(word_hash(data, starts, ends), first[1:], END)
     first = first + np.arange(len(first))
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[first[:-1]] = START
-    return h, before, first
+    place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+    columns = [h]
+    for back in range(1, order):
+        before = np.full_like(h, START)
+        before[back:] = h[:-back]
+        before[place < back] = START
+        columns.insert(0, before)
+    return columns, first
 
 
-def part_of(u: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
-    return ((mix(u + (w & np.uint64(SALT - 1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+def gram(columns: list[np.ndarray]) -> np.ndarray:
+    """Hashes of grams, from the first word to the last: the hash of a gram without its last word is that of its context."""
+    out = columns[0]
+    for c in columns[1:]:
+        out = mix(out * np.uint64(0xD6E8FEB86659FD93) + c)
+    return out
 
 
-def word_part(w: np.ndarray, parts: int) -> np.ndarray:
-    return ((mix(w) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(key) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
 
 
-def gram(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(u * np.uint64(0xD6E8FEB86659FD93) + w)
-
-
-def grouped(keys: tuple[np.ndarray, ...], values: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+def grouped(keys: list[np.ndarray], values: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct keys, sorted, and the sums of their values (one column or several)."""
     if not len(keys[0]):
         return keys, values
     order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    keys, values = tuple(k[order] for k in keys), values[order]
+    keys, values = [k[order] for k in keys], values[order]
     fresh = np.ones(len(order), bool)
     fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
     at = np.flatnonzero(fresh)
-    return tuple(k[at] for k in keys), np.add.reduceat(values, at, axis=0)
+    return [k[at] for k in keys], np.add.reduceat(values, at, axis=0)
 
 
-def _packed(part: np.ndarray, a: np.ndarray, b: np.ndarray | None, n: np.ndarray, kind: int = 0):
+def _packed(keys: list[np.ndarray], n: np.ndarray, kind: int, parts: int):
     """Blocks of rows by part. Parts of kind k are numbered from k << 24."""
+    part = part_of(gram(keys), parts)
     order = np.argsort(part, kind="stable")
-    part, a, n = part[order], a[order], n[order]
-    b = b[order] if b is not None else None
+    part, keys, n = part[order], [k[order] for k in keys], n[order]
     edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(part) else [0]
-    rows = [(int(part[i]) + (kind << 24), a[i:j].tobytes(), b[i:j].tobytes() if b is not None else b"", n[i:j].tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    rows = [(int(part[i]) + (kind << 24), b"".join(k[i:j].tobytes() for k in keys), n[i:j].tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _BLOCK_ARROW.types, strict=True)], schema=_BLOCK_ARROW)
 
 
 def _parts(batches):
-    """(part, blocks) of consecutive rows with the same part."""
+    """(kind, part, blocks) of consecutive rows with the same part."""
     held, now = [], None
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             if row[0] != now:
                 if held:
-                    yield now, held
+                    yield now >> 24, now & 0xFFFFFF, held
                 held, now = [], row[0]
             held.append(row[1:])
     if held:
-        yield now, held
+        yield now >> 24, now & 0xFFFFFF, held
+
+
+def _merged(blocks: list, width: int, dtype, columns: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows of all blocks, added up by key."""
+    keys = [[] for _ in range(width)]
+    for a, _ in blocks:
+        for held, k in zip(keys, np.frombuffer(a, np.uint64).reshape(width, -1), strict=True):
+            held.append(k)
+    n = np.concatenate([np.frombuffer(b, dtype) for _, b in blocks]).astype(np.int64)
+    return grouped([np.concatenate(k) for k in keys], n.reshape(-1, columns) if columns > 1 else n)
 
 
 def _save(folder: Folder, name: str, **arrays: np.ndarray) -> None:
-    """Arrays as files; counts in 32 bits where they fit."""
+    """Arrays as files; counts in as few bits as hold them."""
     for key, array in arrays.items():
         out = io.BytesIO()
-        np.save(out, array.astype(np.uint32) if key != "key" and array.max(initial=0) < 2**32 else array)
+        most = array.max(initial=0) if key != "key" else 0
+        np.save(out, array if key == "key" else array.astype(np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.uint32 if most < 2**32 else np.int64))
         folder.write(f"{name}.{key}.npy", out.getvalue())
 
 
@@ -120,11 +139,11 @@ class Model:
 
     url: str
     parts: int
+    order: int
     train_tokens: int
     distinct_tokens: int
-    distinct_bigrams: int
-    discounts: tuple[float, float, float]
-    lower_discounts: tuple[float, float, float]
+    distinct_grams: dict[int, int]
+    discounts: dict[int, tuple[float, float, float]]
     lower_gamma: float
 
 
@@ -141,78 +160,86 @@ def _with(d: tuple[float, float, float], counts: np.ndarray) -> np.ndarray:
     return np.asarray([0.0, *d])[np.minimum(counts, 3).astype(np.int64)]
 
 
-def train(docs: DataFrame, url: str | None = None, parts: int | None = None) -> Model:
-    """Count the bigrams of all rows of docs (column text) and write the model."""
+def train(docs: DataFrame, url: str | None = None, parts: int | None = None, order: int = ORDER) -> Model:
+    """Count the grams of `order` words of all rows of docs (column text) and write the model."""
+    if not 2 <= order < _CONTEXT:
+        raise ValueError("order has to be 2 to 15")
     spark = docs.sparkSession
     arrow_rows(spark)
     url = url or fresh_path(spark, "lm")
-    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or parts_for(docs, part_bytes=32 << 20)
 
     def count(batches):
         held, size = [], 0
 
         def pack():
-            u, w, n = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2))
+            keys, n = grouped([np.concatenate([h[0][k] for h in held]) for k in range(order)], np.concatenate([h[1] for h in held]))
             held.clear()
-            keys, n = grouped((u, w), n)
             for a in range(0, len(n), _FLUSH // 2):
-                u, w = keys[0][a : a + _FLUSH // 2], keys[1][a : a + _FLUSH // 2]
-                yield from _packed(part_of(u, w, parts), u, w, n[a : a + _FLUSH // 2].astype(np.uint32))
+                yield from _packed([k[a : a + _FLUSH // 2] for k in keys], n[a : a + _FLUSH // 2].astype(np.uint32), order, parts)
 
         for batch in slices(batches):
-            w, u, _ = tokens(batch.column("text"))
-            (u, w), n = grouped((u, w), np.ones(len(w), np.uint32))
-            held.append((u, w, n))
-            size += len(n)
+            columns, _ = tokens(batch.column("text"), order)
+            held.append(grouped(columns, np.ones(len(columns[-1]), np.uint32)))
+            size += len(held[-1][1])
             if size >= _FLUSH:
                 yield from pack()
-                held, size = [], 0
+                size = 0
         if held:
             yield from pack()
 
-    def merge_bigrams(batches):
-        folder = Folder(url)
-        for part, blocks in _parts(batches):
-            u = np.concatenate([np.frombuffer(b[0], np.uint64) for b in blocks])
-            w = np.concatenate([np.frombuffer(b[1], np.uint64) for b in blocks])
-            (u, w), c = grouped((u, w), np.concatenate([np.frombuffer(b[2], np.uint32) for b in blocks]).astype(np.int64))
-            g = gram(u, w)
-            order = np.argsort(g)
-            _save(folder, f"bigram-{part}", key=g[order], count=c[order])
-            # contexts: total, followers seen once, twice, more often
-            (cu,), stats = grouped((u,), np.stack([c, c == 1, c == 2, c > 2], axis=1).astype(np.int64))
-            yield from _packed(word_part(cu, parts), cu, None, stats, 1)
-            # words: distinct words before, occurrences
-            (cw,), stats = grouped((w,), np.stack([np.ones_like(c), c], axis=1))
-            yield from _packed(word_part(cw, parts), cw, None, stats, 2)
-            tally = [int((c == k).sum()) for k in (1, 2, 3, 4)] + [len(c)]
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array(tally, np.int64).tobytes()], pa.binary()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], schema=_BLOCK_ARROW)
-
-    def merge_words(batches):
-        folder = Folder(url)
-        for part, blocks in _parts(batches):
-            if part < 0:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.sum([np.frombuffer(b[0], np.int64) for b in blocks], axis=0).tobytes()], pa.binary())], names=["kind", "tally"])
-                continue
-            kind, number = part >> 24, part & 0xFFFFFF
-            columns = 4 if kind == 1 else 2
-            key = np.concatenate([np.frombuffer(b[0], np.uint64) for b in blocks])
-            (key,), stats = grouped((key,), np.concatenate([np.frombuffer(b[2], np.int64).reshape(-1, columns) for b in blocks]))
-            _save(folder, f"{'context' if kind == 1 else 'word'}-{number}", key=key, stats=stats)
-            if kind == 2:
-                n, c = stats[:, 0], stats[:, 1]
-                tally = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(key), int(c.sum()), int((n > 2).sum())]
-                yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([np.array(tally, np.int64).tobytes()], pa.binary())], names=["kind", "tally"])
-
-    source = docs.select(F.col("text").cast("string").alias("text"))
-    pairs = source.mapInArrow(count, _BLOCK).repartition(parts, "part").sortWithinPartitions("part")
-    stats = pairs.mapInArrow(merge_bigrams, _BLOCK).repartition(parts, "part").sortWithinPartitions("part")
-    tallies = stats.mapInArrow(merge_words, "kind int, tally binary").collect()  # a few numbers for each part
-    total = lambda kind, size: np.sum([np.frombuffer(r.tally, np.int64) for r in tallies if r.kind == kind] or [np.zeros(size, np.int64)], axis=0).tolist()
-    grams, uni = total(0, 5), total(2, 7)
-    lower_d = _discounts(uni[:4])
-    gamma = (lower_d[0] * uni[0] + lower_d[1] * uni[1] + lower_d[2] * uni[6]) / grams[4] if grams[4] else 1.0
-    return Model(url, parts, uni[5], uni[4], grams[4], _discounts(grams[:4]), lower_d, gamma)
+    def merge(level: int):
+        """A task that merges grams of `level` words (words themselves at 1), and what the level above gave: contexts and words."""
+
+        def run(batches):
+            folder = Folder(url)
+            for kind, part, blocks in _parts(batches):
+                if kind >= _CONTEXT:
+                    (key,), stats = _merged(blocks, 1, np.int64, 4)
+                    _save(folder, f"context-{kind - _CONTEXT}-{part}", key=key, stats=stats)
+                elif kind == _WORD:
+                    (key,), stats = _merged(blocks, 1, np.int64, 2)
+                    if level > 1:  # more of each word comes from lower levels
+                        yield from _packed([key], stats, _WORD, parts)
+                        continue
+                    _save(folder, f"word-{part}", key=key, stats=stats)
+                    n, c = stats[:, 0], stats[:, 1]
+                    yield _tally(1, [*((n == k).sum() for k in (1, 2, 3, 4)), len(key), c.sum(), (n > 2).sum()])
+                elif kind == 0:
+                    for a, n in blocks:
+                        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([a], pa.binary()), pa.array([n], pa.binary())], schema=_BLOCK_ARROW)
+                else:
+                    keys, c = _merged(blocks, level, np.uint32, 1)
+                    g = gram(keys)
+                    by = np.argsort(g)
+                    _save(folder, f"gram-{level}-{part}", key=g[by], count=c[by])
+                    # contexts: total, followers seen once, twice, more often
+                    (context,), stats = grouped([gram(keys[:-1])], np.stack([c, c == 1, c == 2, c > 2], axis=1).astype(np.int64))
+                    yield from _packed([context], stats, _CONTEXT + level, parts)
+                    if level > 2:
+                        shorter, n = grouped(keys[1:], np.ones(len(c), np.uint32))
+                        yield from _packed(shorter, n.astype(np.uint32), level - 1, parts)
+                    # words: distinct words before (of grams of two), occurrences (of the longest grams)
+                    if level in (2, order):
+                        (word,), stats = grouped([keys[-1]], np.stack([np.full(len(c), level == 2), c if level == order else np.zeros_like(c)], axis=1).astype(np.int64))
+                        yield from _packed([word], stats, _WORD, parts)
+                    yield _tally(level, [*((c == k).sum() for k in (1, 2, 3, 4)), len(c), 0, 0])
+
+        return run
+
+    def _tally(level: int, numbers: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.array([level], np.int64).tobytes()], pa.binary()), pa.array([np.array(numbers, np.int64).tobytes()], pa.binary())], schema=_BLOCK_ARROW)
+
+    blocks = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, _BLOCK)
+    for level in range(order, 0, -1):
+        blocks = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge(level), _BLOCK)
+    sums: dict[int, np.ndarray] = {k: np.zeros(7, np.int64) for k in range(1, order + 1)}
+    for r in blocks.collect():  # a few numbers for each part
+        sums[int(np.frombuffer(r.a, np.int64)[0])] += np.frombuffer(r.n, np.int64)
+    discounts = {k: _discounts(v[:4].tolist()) for k, v in sums.items()}
+    grams, word = int(sums[2][4]), sums[1].tolist()
+    gamma = float(np.dot(discounts[1], (word[0], word[1], word[6])) / grams) if grams else 1.0
+    return Model(url, parts, order, word[5], word[4], {k: int(v[4]) for k, v in sums.items()}, discounts, gamma)
 
 
 class Lookup:
@@ -223,6 +250,8 @@ class Lookup:
 
     def array(self, name: str) -> np.ndarray | None:
         if name not in self.open:
+            if self.folder.fs is not None and len(self.open) >= _KEPT_ARRAYS:
+                self.open.pop(next(iter(self.open)))
             self.open[name] = self.folder.array(name)
         return self.open[name]
 
@@ -240,27 +269,33 @@ class Lookup:
             out[edges[p] + hit] = self.array(f"{kind}-{p}.{value}.npy")[at[hit]]
         return out
 
-    def _distinct(self, kind: str, value: str, part: np.ndarray, key: np.ndarray, columns: int | None) -> np.ndarray:
+    def values(self, kind: str, value: str, key: np.ndarray, columns: int | None = None) -> np.ndarray:
+        """Values of any keys: each distinct one is looked up once, by part and in order."""
+        part = part_of(key, self.m.parts)
         order = np.lexsort((key, part))
         fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[order][1:] != key[order][:-1]) | (part[order][1:] != part[order][:-1])
+        fresh[1:] = key[order][1:] != key[order][:-1]
         at = order[np.flatnonzero(fresh)]
         found = self.find(kind, value, part[at], key[at], columns)
         out = np.empty((len(key), *found.shape[1:]), np.int64)
         out[order] = found[np.cumsum(fresh) - 1]
         return out
 
-    def probabilities(self, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """p(w | u) and the training count of w."""
+    def probabilities(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """p(last | the words before it) and the training count of the last."""
         m = self.m
-        word = self._distinct("word", "stats", word_part(w, m.parts), w, 2)
+        word = self.values("word", "stats", columns[-1], 2)
         n, c = word[:, 0], word[:, 1]
-        low = m.lower_gamma / (m.distinct_tokens + 1) + (np.maximum(n - _with(m.lower_discounts, n), 0) / m.distinct_bigrams if m.distinct_bigrams else 0)
-        context = self._distinct("context", "stats", word_part(u, m.parts), u, 4)
-        pair = self._distinct("bigram", "count", part_of(u, w, m.parts), gram(u, w), None)
-        total = np.maximum(context[:, 0], 1)
-        gamma = np.where(context[:, 0] > 0, context[:, 1:] @ np.asarray(m.discounts) / total, 1.0)
-        return np.maximum(pair - _with(m.discounts, pair), 0) / total + gamma * low, c
+        grams = m.distinct_grams[2]
+        p = m.lower_gamma / (m.distinct_tokens + 1) + (np.maximum(n - _with(m.discounts[1], n), 0) / grams if grams else 0)
+        for level in range(2, m.order + 1):
+            own = columns[-level:]
+            context = self.values(f"context-{level}", "stats", gram(own[:-1]), 4)
+            count = self.values(f"gram-{level}", "count", gram(own))
+            total = np.maximum(context[:, 0], 1)
+            gamma = np.where(context[:, 0] > 0, context[:, 1:] @ np.asarray(m.discounts[level]) / total, 1.0)
+            p = np.maximum(count - _with(m.discounts[level], count), 0) / total + gamma * p
+        return p, c
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -271,8 +306,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         look = Lookup(model)
         n, v = model.train_tokens, model.distinct_tokens
         for batch in slices(batches):
-            w, u, first = tokens(batch.column("text"))
-            p, c = look.probabilities(u, w)
+            columns, first = tokens(batch.column("text"), model.order)
+            p, c = look.probabilities(columns)
             base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
             sums = [np.add.reduceat(x, first[:-1]) for x in (base, np.log10(p), (c > 0).astype(np.int64))]
             size = batch.num_rows
@@ -288,7 +323,7 @@ def perplexity(scored: DataFrame) -> DataFrame:
     return scored.agg(each("score").alias("perplexity"), each("base_score").alias("base_perplexity"))
 
 
-def train_and_score(docs: DataFrame) -> DataFrame:
+def train_and_score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Train on the rows that aren't held out and score all rows."""
-    model = train(docs.where(~held_out(F.col("doc_id"))))
+    model = train(docs.where(~held_out(F.col("doc_id"))), order=order)
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

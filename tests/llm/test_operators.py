@@ -434,7 +434,7 @@ def test_span_hash_structure_is_not_in_word_hashes(spark):
     for n in (1024, 2048, 4096):
         pair = pa.array([a[:n], b[:n]])
         assert decontaminate.term_hashes(pair)[0][0] != decontaminate.term_hashes(pair)[0][1]
-        assert lm.tokens(pair)[0][0] != lm.tokens(pair)[0][2]
+        assert lm.tokens(pair)[0][-1][0] != lm.tokens(pair)[0][-1][2]
         x, y = jaccard.shingle_sets(pair)
         assert x[0] != y[0]
     rows = [(1, a), (2, b), (3, a)]
@@ -456,45 +456,49 @@ def test_proximity_matches(spark):
 # ---- 6: language model -------------------------------------------------------------------------------
 
 
-def test_lm_against_brute_force(spark, corpus):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_against_brute_force(spark, corpus, order):
     frame = table(spark, corpus)
-    got = lm.train_and_score(frame).collect()
+    got = lm.train_and_score(frame, order).collect()
     token = lambda t: [w for w in re.split("[ \t-\r]+", lower(t)) if w] + [1]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
-    big, uni = Counter(), Counter()
+    counts = {order: Counter()}
+    uni = Counter()
     for i, t in corpus:
         if not held(i):
-            before = 0
-            for w in token(t):
-                big[before, w] += 1
-                uni[w] += 1
-                before = w
+            w = [0] * (order - 1) + token(t)
+            counts[order].update(tuple(w[k : k + order]) for k in range(len(w) - order + 1))
+            uni.update(token(t))
+    for k in range(order - 1, 0, -1):  # distinct words before each shorter gram
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
     total, v = sum(uni.values()), len(uni)
-    context, cont, kinds = Counter(), Counter(), defaultdict(Counter)
-    for (u, w), c in big.items():
-        context[u] += c
-        cont[w] += 1
-        kinds[u][min(c, 3)] += 1
-    d = lm._discounts([sum(c == k for c in big.values()) for k in (1, 2, 3, 4)])
-    d2 = lm._discounts([sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)])
-    low_gamma = sum(d2[min(c, 3) - 1] for c in cont.values()) / len(big)
-
-    def p(u, w):
-        low = (cont[w] - d2[min(cont[w], 3) - 1] if cont[w] else 0) / len(big) + low_gamma / (v + 1)
-        if not context[u]:
-            return low
-        c = big[u, w]
-        return (c - d[min(c, 3) - 1] if c else 0) / context[u] + sum(d[k - 1] * n for k, n in kinds[u].items()) / context[u] * low
-
-    assert abs(sum(p(0, w) for w in uni) + p(0, "unseen") - 1) < 1e-9
+    d = {k: lm._discounts([sum(c == j for c in counts[k].values()) for j in (1, 2, 3, 4)]) for k in counts}
+    context, kinds = defaultdict(Counter), defaultdict(Counter)
+    for k in range(2, order + 1):
+        for g, c in counts[k].items():
+            context[k][g[:-1]] += c
+            kinds[k, g[:-1]][min(c, 3)] += 1
+    low_gamma = sum(d[1][min(c, 3) - 1] for c in counts[1].values()) / len(counts[2])
+
+    def p(g):
+        k = len(g)
+        if k == 1:
+            n = counts[1][g]
+            return (n - d[1][min(n, 3) - 1] if n else 0) / len(counts[2]) + low_gamma / (v + 1)
+        all_ = context[k][g[:-1]]
+        if not all_:
+            return p(g[1:])
+        c = counts[k][g]
+        return (c - d[k][min(c, 3) - 1] if c else 0) / all_ + sum(d[k][j - 1] * n for j, n in kinds[k, g[:-1]].items()) / all_ * p(g[1:])
+
+    for start in ([0] * (order - 1), ["the"] + [0] * (order - 2), ["of"] * (order - 1)):
+        assert abs(sum(p((*start, w)) for w in uni) + p((*start, "unseen")) - 1) < 1e-9
     want = Counter()
     for i, t in corpus:
-        s, base, before = 0.0, 0.0, 0
-        for w in token(t):
-            s += math.log10(p(before, w))
-            base += math.log10((uni[w] + 0.1) / (total + 0.1 * (v + 1)))
-            before = w
-        want[i, held(i), len(token(t)), sum(uni[w] > 0 for w in token(t)), total, round(base, 6), round(s, 6)] += 1
+        w = [0] * (order - 1) + token(t)
+        s = sum(math.log10(p(tuple(w[k : k + order]))) for k in range(len(w) - order + 1))
+        base = sum(math.log10((uni[x] + 0.1) / (total + 0.1 * (v + 1))) for x in token(t))
+        want[i, held(i), len(token(t)), sum(uni[x] > 0 for x in token(t)), total, round(base, 6), round(s, 6)] += 1
     assert Counter((*r[:5], round(r.base_score, 6), round(r.score, 6)) for r in got) == want
 
 
