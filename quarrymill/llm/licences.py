@@ -168,15 +168,31 @@ def markers(sets: list[list[str]], low: float) -> list[str]:
     return sorted(chosen)
 
 
-def units_of(body: Column) -> Column:
-    """Lines, runs of paragraphs and the whole text."""
-    lines = F.split(body, "\n")
-    paragraphs = F.filter(F.split(body, _BLANK), lambda p: p.rlike(_WORD))
+def any_of(words: list[str]) -> str:
+    """A pattern for any of some words that shares their beginnings, so a text is searched once and not once for each word."""
+    tails: dict[str, list[str]] = {}
+    for w in words:
+        tails.setdefault(w[:1], []).append(w[1:])
+    branches = [first + any_of(rest) for first, rest in sorted(tails.items()) if first]
+    joined = "|".join(branches)
+    return (f"(?:{joined})?" if "" in tails else f"(?:{joined})") if branches else ""
+
+
+def runs_of(paragraphs: Column) -> Column:
+    """Runs of one to RUN paragraphs of a text that has several; a run of one line is that line already."""
     count = F.size(paragraphs)
     starts = F.when(count > 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
     runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), count - i + 1)), lambda n: F.array_join(F.slice(paragraphs, i, n), "\n"))))
-    runs = F.filter(runs, lambda r: r.contains("\n"))
-    return F.when(F.size(lines) > 1, F.concat(lines, runs, F.array(body))).otherwise(lines)
+    return F.filter(runs, lambda r: r.contains("\n"))
+
+
+def count_units(lines: Column, paragraphs: Column, body: Column) -> Column:
+    """Number of units with words, without building the runs: all runs of two and more, and those of one that have several lines."""
+    count = F.size(paragraphs)
+    each = F.transform(paragraphs, lambda p, i: F.least(F.lit(RUN), count - i) - F.when(p.contains("\n"), 0).otherwise(1))
+    runs = F.when(count > 1, F.aggregate(each, F.lit(0), lambda a, n: a + n)).otherwise(0)
+    whole = F.when((F.size(lines) > 1) & body.rlike(_WORD), 1).otherwise(0)
+    return F.size(F.filter(lines, lambda u: u.rlike(_WORD))) + runs + whole
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -189,13 +205,18 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: li
     least, most = min(len(s) for _, s in sets) * low, max(len(s) for _, s in sets) * high
     # struct<name, size, bigrams> of the templates, as one literal array
     shelf = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(len(s)).alias("size"), F.array(*[F.lit(b) for b in s]).alias("bigrams")) for n, s in sets])
-    marked = rf"(?i)(?<![0-9a-z])(?:{'|'.join(markers([s for _, s in sets], low))})(?![0-9a-z])"
+    marked = rf"(?i)(?:^|[^0-9a-z]){any_of(markers([s for _, s in sets], low))}(?![0-9a-z])"
 
-    frame = docs.select(F.col(key).alias("_key"), F.filter(units_of(F.coalesce(F.col(text).cast("string"), F.lit(""))), lambda u: u.rlike(_WORD)).alias("_units"))
+    # One step after another, so that no text is split or searched twice.
+    frame = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_body"))
+    has_word = lambda p: p.rlike(_WORD)
+    frame = frame.select("_key", "_body", F.split("_body", "\n").alias("_lines"), F.filter(F.split("_body", _BLANK), has_word).alias("_paragraphs"), F.col("_body").rlike(marked).alias("_marked"))
+    several = F.when(F.size("_lines") > 1, F.concat("_lines", runs_of(F.col("_paragraphs")), F.array("_body"))).otherwise(F.col("_lines"))
     # Distinct bigrams are at most words - 1, so fewer words than the lower bound cannot match. Longer units need their sets.
-    words = F.transform(F.filter("_units", lambda u: (F.length(u) > 2 * least) & u.rlike(marked)), unit_words)
-    sized = F.filter(F.transform(F.filter(words, lambda w: F.size(w) - 1 >= least), word_bigrams), lambda b: F.size(b) <= most)
-    frame = frame.select("_key", F.size("_units").alias("n_units"), sized.alias("_sets"))
+    units = F.filter(F.when(F.col("_marked"), several).otherwise(F.array().cast("array<string>")), lambda u: (F.length(u) > 2 * least) & u.rlike(marked))
+    frame = frame.select("_key", count_units(F.col("_lines"), F.col("_paragraphs"), F.col("_body")).alias("n_units"), F.transform(units, unit_words).alias("_words"))
+    sized = F.filter(F.transform(F.filter("_words", lambda w: F.size(w) - 1 >= least), word_bigrams), lambda b: F.size(b) <= most)
+    frame = frame.select("_key", "n_units", sized.alias("_sets"))
 
     def scores(unit: Column) -> Column:
         near = F.filter(shelf, lambda t: (F.size(unit) >= t["size"] * low) & (F.size(unit) <= t["size"] * high))

@@ -696,6 +696,8 @@ def test_markers_lose_no_match():
         covered = [b for b in s if chosen & set(b.split())]
         assert len(covered) > len(s) * (1 - low)
     assert not chosen & {"the", "and", "of", "to", "in", "a", "is", "or"}
+    pattern = re.compile(licences.any_of(sorted(chosen)))
+    assert all(pattern.fullmatch(w) for w in chosen) and not any(pattern.fullmatch(w[:-1]) for w in chosen if w[:-1] not in chosen)
 
 
 def test_dice_against_brute_force(spark):
