@@ -2,7 +2,8 @@
 
 Counting runs in Spark over all training documents. Each task counts the grams of its texts, packs the counts by part
 and shuffles packed blocks; a part's task merges them and writes the part's grams as sorted hash arrays. A gram's part
-comes from the hash of all its words, so no word, however frequent, makes a large part. A merged level gives the
+comes from its context and one of `SALT` salts of its last word, so grams of a context share few parts, and a word that
+starts a third of all grams is spread over several. A merged level gives the
 counts of the next lower one (of each gram without its first word: how many words stand before it) and the totals of
 its contexts, which are merged the same way, level by level. The model is a folder of arrays sorted by hash below
 spark.checkpoint.dir; scoring workers map the files into memory and look up by binary search. Files are written
@@ -36,6 +37,7 @@ from .blocks import SPACE, arrow_rows, fresh_path, lower, mix, parts_for, slices
 from .store import Folder
 
 ORDER = 2
+SALT = 8
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
 _FLUSH = 3 << 19  # grams held by a counting task before it packs them
 _KEPT_ARRAYS = 64  # of a model that can't be mapped, in a worker's memory
@@ -73,7 +75,9 @@ def gram(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+def part_of(columns: list[np.ndarray], parts: int) -> np.ndarray:
+    """Part of a gram: from its context, salted by its last word; of a single hash from that."""
+    key = columns[0] if len(columns) == 1 else gram(columns[:-1]) + (columns[-1] & np.uint64(SALT - 1)) * np.uint64(0x9E3779B97F4A7C15)
     return ((mix(key) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
 
 
@@ -91,7 +95,7 @@ def grouped(keys: list[np.ndarray], values: np.ndarray) -> tuple[list[np.ndarray
 
 def _packed(keys: list[np.ndarray], n: np.ndarray, kind: int, parts: int):
     """Blocks of rows by part. Parts of kind k are numbered from k << 24."""
-    part = part_of(gram(keys), parts)
+    part = part_of(keys, parts)
     order = np.argsort(part, kind="stable")
     part, keys, n = part[order], [k[order] for k in keys], n[order]
     edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(part) else [0]
@@ -167,7 +171,7 @@ def train(docs: DataFrame, url: str | None = None, parts: int | None = None, ord
     spark = docs.sparkSession
     arrow_rows(spark)
     url = url or fresh_path(spark, "lm")
-    parts = parts or parts_for(docs, part_bytes=32 << 20)
+    parts = parts or parts_for(docs)
 
     def count(batches):
         held, size = [], 0
@@ -269,9 +273,9 @@ class Lookup:
             out[edges[p] + hit] = self.array(f"{kind}-{p}.{value}.npy")[at[hit]]
         return out
 
-    def values(self, kind: str, value: str, key: np.ndarray, columns: int | None = None) -> np.ndarray:
-        """Values of any keys: each distinct one is looked up once, by part and in order."""
-        part = part_of(key, self.m.parts)
+    def values(self, kind: str, value: str, keys: list[np.ndarray], columns: int | None = None) -> np.ndarray:
+        """Values of any grams: each distinct one is looked up once, by part and in order."""
+        part, key = part_of(keys, self.m.parts), gram(keys)
         order = np.lexsort((key, part))
         fresh = np.ones(len(key), bool)
         fresh[1:] = key[order][1:] != key[order][:-1]
@@ -284,14 +288,14 @@ class Lookup:
     def probabilities(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """p(last | the words before it) and the training count of the last."""
         m = self.m
-        word = self.values("word", "stats", columns[-1], 2)
+        word = self.values("word", "stats", columns[-1:], 2)
         n, c = word[:, 0], word[:, 1]
         grams = m.distinct_grams[2]
         p = m.lower_gamma / (m.distinct_tokens + 1) + (np.maximum(n - _with(m.discounts[1], n), 0) / grams if grams else 0)
         for level in range(2, m.order + 1):
             own = columns[-level:]
-            context = self.values(f"context-{level}", "stats", gram(own[:-1]), 4)
-            count = self.values(f"gram-{level}", "count", gram(own))
+            context = self.values(f"context-{level}", "stats", [gram(own[:-1])], 4)
+            count = self.values(f"gram-{level}", "count", own)
             total = np.maximum(context[:, 0], 1)
             gamma = np.where(context[:, 0] > 0, context[:, 1:] @ np.asarray(m.discounts[level]) / total, 1.0)
             p = np.maximum(count - _with(m.discounts[level], count), 0) / total + gamma * p
