@@ -485,14 +485,23 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is the least of its component; rows without an id stay.
 
     Rows that share an id are kept or dropped together; of those kept, rows with the same text too are one row."""
-    kept = classify(docs).where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_times"))
+    name, times = (_free(docs, n) for n in ("_kept", "_times"))
+    kept = classify(docs).where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias(times))
     kept = stored(kept, "kept-ids")
-    marked = docs.join(kept, docs["doc_id"] == kept["_kept"], "left")
-    once = marked.where(docs["doc_id"].isNull() | (F.col("_times") == 1)).select(*docs.columns)
-    again = marked.where(F.col("_times") > 1).select(*docs.columns)
+    marked = docs.join(kept, docs["doc_id"] == kept[name], "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = marked.where(docs["doc_id"].isNull() | (F.col(times) == 1)).select(columns)
+    again = marked.where(F.col(times) > 1).select(columns)
     return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
+def _free(frame: DataFrame, name: str) -> str:
+    """A name that no column of the frame has."""
+    while name in frame.columns:
+        name += "_"
+    return name
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
