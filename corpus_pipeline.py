@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir), where docs is what the stage before it kept, and returns a DataFrame; all
 but the last return the columns of documents. The stages work on whole texts and on all rows.
+
+Cases: an empty table passes through all stages; a null or empty text is judged like any other by the classifier, and after it
+is linked with nothing, loses nothing, hits nothing and has no pieces. Rows without an id stay. Rows that share an id: the
+near-copy stage keeps one of those with the same text, the decontamination stage drops all rows of an id that is hit.
 """
 
 from __future__ import annotations
