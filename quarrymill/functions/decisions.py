@@ -205,7 +205,7 @@ def record_economics(paid, financial_refund, fulfilment_refund, quantity) -> dic
 def charge_class(kind, fee_type, memo) -> Column:
     """Class of a financial charge, from its type, fee type and memo."""
     signal = F.upper(F.concat_ws(" ", col(fee_type), col(memo)))
-    # Names of fees that marketplaces charge for selling.
+    # Names of fees that marketplaces charge for selling and for advertising.
     selling = "FINAL_VALUE|FIXED_PER_ORDER|INTERNATIONAL_FEE|REGULATORY_OPERATING|INSERTION_FEE|BELOW_STANDARD|HIGH_ITEM_NOT_AS_DESCRIBED"
     return chosen([(col(kind) == "SHIPPING_LABEL", "shipping_label"), (signal.rlike(r"\bAD[_ ]FEE\b|PROMOTED|ADVERTIS"), "advertising"), (signal.rlike(selling), "selling_fee")], "other")
 
@@ -214,6 +214,7 @@ def offer_type(text, percent, code) -> Column:
     """Kind of a sale offer, the first that fits."""
     t = F.lower(F.coalesce(col(text), F.lit("")))
     says = lambda p: t.rlike(p)
+    # The words of each kind of offer.
     return chosen(
         [
             (says(r"\b(?:bogo|buy\s+(?:one|1)\s+get\s+(?:one|1)|(?:2|two)\s+for\s+(?:1|one))\b"), "bogo"),

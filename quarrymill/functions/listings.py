@@ -14,6 +14,7 @@ from .urls import host
 
 # Grade names as they are written and their short forms.
 GRADES = {"ex": "EX", "ex+": "EX+", "fair": "Fair", "g": "G", "g+": "G+", "g-": "G-", "m": "M", "mint": "M", "near": "NM", "near mint": "NM", "nm": "NM", "nm+": "NM+", "nm-": "NM-", "poor": "Poor", "sealed": "Sealed", "vg": "VG", "vg+": "VG+", "vg++": "VG++", "vg-": "VG-"}
+# Grade names as they stand in titles, longer ones first.
 _NAMES = r"near mint|mint|nm\+|nm-|nm|vg\+\+|vg\+|vg-|vg|ex\+|ex|g\+|g-|g|fair|poor"
 _AFTER = r"(?=\s|[),/;-]|$)"
 # Requirements that make a discount conditional.
@@ -56,11 +57,13 @@ def third_party_seller(sold_by_source, seller, *sources) -> Column:
 
 def discovery_only(*families) -> Column:
     """The source only points at offers of others."""
+    # Families of such sources.
     return F.concat_ws(" ", *families).rlike(r"(?i)\b(?:deal[-_\s]?aggregator|discovery[-_\s]?lead|discovery\s+sources?|distributor[-_\s]?discovery|social[-_\s]?feed)\b")
 
 
 def direct_new_offer(country, currency, condition, url, domain, sold_by_source, lead, third_party) -> Column:
     """A new item, in US dollars, sold by the source itself on its own host."""
+    # Names of the country.
     home = F.coalesce(F.trim(col(country)).rlike(r"(?i)^(?:us|usa|united states|united states of america)$"), F.lit(False))
     shop, own = host(url), host(F.when(col(domain).rlike("(?i)^https?://"), col(domain)).otherwise(F.concat(F.lit("https://"), col(domain))))
     direct = F.coalesce((shop == own) | F.endswith(shop, F.concat(F.lit("."), own)), F.lit(False))
@@ -102,6 +105,7 @@ def item_tokens(ids: list, urls: list) -> Column:
 def query_variants(artist, title) -> Column:
     """Distinct search texts of a find: artist and title, and for soundtracks the title with its usual names."""
     a, t = F.trim(F.coalesce(col(artist), F.lit(""))), F.trim(col(title))
+    # Words for soundtracks.
     core = F.trim(F.regexp_replace(F.regexp_replace(t, r"(?i)\b(?:original\s+)?(?:motion\s+picture\s+)?(?:soundtrack|ost)\b", " "), r"\s+", " "))
     plain = F.trim(F.concat_ws(" ", F.nullif(a, F.lit("")), t))
     more = [F.trim(F.concat_ws(" ", F.nullif(a, F.lit("")), core, F.lit(tail) if tail else None)) if tail else F.trim(F.concat_ws(" ", F.nullif(a, F.lit("")), core)) for tail in ("", "Soundtrack", "OST")]

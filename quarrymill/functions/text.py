@@ -124,6 +124,7 @@ def edition_signals(text) -> Column:
     every = lambda pattern, form: F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), form)
     dated = every(r"\b(\d{1,3})(?:st|nd|rd|th)? anniversary\b", lambda x: F.concat(F.lit("anniversary-"), x))
     one = lambda condition, label: F.when(condition, F.array(F.lit(label))).otherwise(F.array().cast("array<string>"))
+    # Shops with exclusive editions, and patterns of anniversaries, numbers of discs and weights.
     shop = F.regexp_extract(t, r"\b(target|walmart|amazon|indie|urban outfitters|barnes and noble|barnes noble|b and n)\s+exclusive\b", 1)
     parts = [
         dated,

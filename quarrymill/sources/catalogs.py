@@ -68,6 +68,7 @@ def sales_stats(text) -> dict[str, Column]:
 
 def artist_title(raw) -> Column:
     """struct<artist, title> of a deal headline: tags, prices and trailing dashes go, then the first spaced dash or a quoted title."""
+    # What stands before and after the name in a headline, and how artist and title are set apart.
     t = F.regexp_replace(col(raw), r"^(?:(?:\[[^\]]+\]|\([^)]*\))\s*)+", "")
     t = F.regexp_replace(F.regexp_replace(t, r"(?i)\s+(?:@|[-–—])?\s*\$\s*[0-9][0-9,.]*(?:\s.*)?$", ""), r"\s+[-–—]\s*$", "")
     t = F.trim(F.regexp_replace(t, r"(?i)\s*\|\s*direct\b.*$", ""))
