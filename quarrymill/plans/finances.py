@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import economics
+from ..sources import orders
 from .adapters import table
 from .catalogue import query
 
@@ -65,3 +66,42 @@ def record_net(spark, sf_dir):
     """What is left of each record's payments after all that was dealt to it, in cents."""
     records = _records(spark, sf_dir)
     return economics.net_economics(records, economics.attribute(_transactions(spark, sf_dir), records)[0])
+
+
+@query("""WITH i AS (SELECT l_orderkey AS o, count(*) FILTER (l_linenumber % 3 <> 0) AS n, sum(l_quantity::BIGINT) FILTER (l_linenumber % 3 <> 0) AS q, sum(floor(l_extendedprice)::BIGINT * 100 + 25) FILTER (l_linenumber % 3 <> 0) AS c FROM lineitem GROUP BY 1)
+SELECT 'O-' || o_orderkey AS order_id, o_orderdate::DATE::VARCHAR AS day, CASE WHEN o_orderkey % 4 = 0 THEN 'CANCELED' END AS cancel_state, n AS items, q::BIGINT AS quantity, c::BIGINT AS cents FROM orders JOIN i ON o = o_orderkey WHERE o_orderkey % 5 <> 0 AND n > 0""")
+def sanitised_orders(spark, sf_dir):
+    """Orders of a raw API payload without a buyer's data, damaged ids and line items without a title."""
+    n = F.col("l_linenumber")
+    cost = F.struct(F.concat(F.floor("l_extendedprice").cast("long").cast("string"), F.lit(".25")).alias("value"), F.lit("usd").alias("currency"))
+    item = F.struct(F.concat(F.lit("L"), n.cast("string")).alias("lineItemId"), F.when(n % 3 != 0, F.concat(F.lit(" part "), F.col("l_partkey").cast("string"))).otherwise(" ").alias("title"), F.col("l_quantity").cast("int").alias("quantity"), cost.alias("lineItemCost"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("lineItems"))
+    k = F.col("o_orderkey")
+    raw = table(spark, sf_dir, "orders").join(lines, k == F.col("l_orderkey")).select(
+        F.to_json(F.struct(F.when(k % 5 == 0, "bad id!?<>").otherwise(F.concat(F.lit("O-"), k.cast("string"))).alias("orderId"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("creationDate"), F.struct(F.when(k % 4 == 0, "canceled").alias("cancelState")).alias("cancelStatus"), F.struct(F.lit("a@b.example").alias("email")).alias("buyer"), "lineItems")).alias("body")
+    )
+    o = orders.sanitised_orders(raw, "body")
+    total = lambda f: F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i[f])
+    return o.select("order_id", F.to_date("created").cast("string").alias("day"), "cancel_state", F.size("items").cast("long").alias("items"), total("quantity").alias("quantity"), total("cost_cents").alias("cents"))
+
+
+@query("""SELECT 'T' || o_orderkey AS txn_id, CASE o_orderkey % 3 WHEN 0 THEN 'SALE' WHEN 1 THEN 'SHIPPING_LABEL' ELSE 'NON_SALE_CHARGE' END AS kind, CASE WHEN o_orderkey % 2 = 0 THEN 'O' || o_orderkey ELSE 'R' || o_orderkey END AS order_id, 'I' || o_custkey AS item_id, floor(o_totalprice)::BIGINT * 100 + 50 AS cents,
+  CASE o_orderkey % 3 WHEN 1 THEN 'shipping_label' WHEN 2 THEN 'advertising' ELSE 'selling_fee' END AS category, 1 AS fees FROM orders WHERE o_orderkey % 7 <> 0""")
+def sanitised_transactions(spark, sf_dir):
+    """Transactions of a raw API payload: references name what they belong to, fees without a type go, memos stay behind."""
+    k = F.col("o_orderkey")
+    s = k.cast("string")
+    money = lambda v: F.struct(v.alias("value"), F.lit("USD").alias("currency"))
+    fees = F.array(F.struct(money(F.lit("1.25")).alias("amount"), F.lit("ad_fee").alias("feeType")), F.struct(money(F.lit("oops")).alias("amount"), F.lit("X").alias("feeType")), F.struct(money(F.lit("2")).alias("amount"), F.lit("").alias("feeType")))
+    reference = lambda i, t: F.struct(i.alias("referenceId"), F.lit(t).alias("referenceType"))
+    raw = table(spark, sf_dir, "orders").select(
+        F.to_json(
+            F.struct(
+                F.concat(F.lit("T"), s).alias("transactionId"), F.when(k % 3 == 0, "sale").when(k % 3 == 1, "SHIPPING_LABEL").otherwise("NON_SALE_CHARGE").alias("transactionType"), F.when(k % 7 != 0, "2024-01-02T03:04:05Z").otherwise("soon").alias("transactionDate"), F.when(k % 2 == 0, F.concat(F.lit("O"), s)).alias("orderId"),
+                F.when(k % 3 == 0, "FINAL_VALUE_FEE").alias("feeType"), F.when(k % 3 == 2, "Promoted listing for a buyer").alias("transactionMemo"), money(F.concat(F.floor("o_totalprice").cast("long").cast("string"), F.lit(".50"))).alias("amount"),
+                F.array(F.struct(F.lit("1").alias("lineItemId"), fees.alias("marketplaceFees"))).alias("orderLineItems"), F.array(reference(F.concat(F.lit("R"), s), "ORDER_ID"), reference(F.lit("L1"), "LINE_ITEM_ID"), reference(F.concat(F.lit("I"), F.col("o_custkey").cast("string")), "ITEM_ID")).alias("references"),
+            )
+        ).alias("body")
+    )
+    t = orders.sanitised_transactions(raw, "body")
+    return t.select("txn_id", "kind", "order_id", "item_id", "cents", "category", F.size(F.flatten("items.fees")).alias("fees"))
