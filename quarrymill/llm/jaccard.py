@@ -20,9 +20,8 @@ out what cannot reach the threshold:
 
 No shingle, hub or group of copies has to fit a task. The postings of a shingle in a bucket with more than a fair
 share of all shingles are salted by set, and the hubs of its salts meet afterwards; there are at most as many such
-buckets as partitions. In the second round, rows whose shingle stands in one component only are dropped before they move;
-a hub with more than a fair share of the rows is dealt by shingle to as many places, a shingle with more by pairs of
-blocks of its rows. The number of partitions follows the number of shingles.
+buckets as partitions. In the second round a hub with more than a fair share of the rows is dealt by shingle to as many
+places, a shingle with more by pairs of blocks of its rows. The number of partitions follows the number of shingles.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of fewer than five words is one shingle. Shingles
 and sets are known by 64-bit hashes. Cases: null text and text without words have an empty set and are linked
@@ -271,21 +270,19 @@ def with_hubs(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return plain.unionByName(whole), stars
 
 
-def places(rows: DataFrame, parts: int) -> DataFrame:
-    """The rows of shingles that stand in several components, with a place each: hub and number, and for a hot shingle a pair of blocks (low, high) and the row's own one."""
-    mixed = rows.groupBy("h").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("h")
-    rows = stored(rows.join(mixed, "h", "left_semi"), "large-rows")
-    fair = max(1.0, rows.count() / parts * FAIR)
-    # More than an even share have at most parts / FAIR hubs, and as many shingles: that bounds what is broadcast.
-    hot = lambda c: rows.groupBy(c).agg((F.count(F.lit(1)) / fair).alias("_share")).where("_share > 1")
-    hubs = hot("hub").select("hub", F.ceil("_share").alias("_spread"))
-    shingles = hot("h").select("h", F.ceil(F.sqrt("_share")).alias("_blocks"))
+def places(rows: DataFrame, large: DataFrame, parts: int) -> DataFrame:
+    """rows with a place each: hub and number, and for a hot shingle a pair of blocks (low, high) and the row's own one.
+
+    large: the same rows as they were found. More than an even share of them have at most parts / FAIR hubs, and as many shingles: that bounds
+    what is broadcast. A hot shingle's hub is hot too, so only rows of hot hubs are counted by shingle."""
+    fair = max(1.0, large.count() / parts * FAIR)
+    hot = lambda frame, c: frame.groupBy(c).agg((F.count(F.lit(1)) / fair).alias("_share")).where("_share > 1")
+    hubs = hot(large, "hub").select("hub", F.ceil("_share").alias("_spread"))
+    shingles = hot(large.join(F.broadcast(hubs.select("hub")), "hub", "left_semi"), "h").select("h", F.ceil(F.sqrt("_share")).alias("_blocks"))
     out = rows.join(F.broadcast(hubs), "hub", "left").join(F.broadcast(shingles), "h", "left")
     out = out.withColumn("place", F.pmod(F.xxhash64("h"), F.coalesce("_spread", F.lit(1)))).withColumn("own", F.pmod(F.xxhash64("sig"), F.coalesce("_blocks", F.lit(1))))
     out = out.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_blocks", F.lit(1)).cast("long") - 1)))
-    placed = out.withColumn("low", F.least("own", "_other")).withColumn("high", F.greatest("own", "_other")).drop("_spread", "_blocks", "_other")
-    placed.stored_at = rows.stored_at
-    return placed
+    return out.withColumn("low", F.least("own", "_other")).withColumn("high", F.greatest("own", "_other")).drop("_spread", "_blocks", "_other")
 
 
 def across_components(rows: DataFrame, parts: int) -> DataFrame:
@@ -447,13 +444,13 @@ def classify(docs: DataFrame) -> DataFrame:
     mains = under.groupBy("sig").agg(F.max_by(F.struct("hub", "under"), F.struct("under", "hub")).alias("m")).select("sig", F.col("m.hub").alias("main"), F.col("m.under").alias("under"))
     mains = stored(mains, "main-hubs")
     shared = found.where(F.col("kind") == _SHARED).groupBy(F.col("x").alias("sig")).agg(F.sum("votes").alias("shared"))
-    large = large.join(shared, "sig").join(mains, "sig").join(label_of("sig", "label"), "sig", "left")
-    placed = places(large.select("h", "sig", "n", "at", F.coalesce("label", "sig").alias("label"), "shared", "hub", "main", "under"), parts)
+    known = large.join(shared, "sig").join(mains, "sig").join(label_of("sig", "label"), "sig", "left")
+    placed = places(known.select("h", "sig", "n", "at", F.coalesce("label", "sig").alias("label"), "shared", "hub", "main", "under"), large, parts)
     rest = found.where(F.col("kind") == _PAIR).select(columns).unionByName(across_components(placed, parts).select(columns))
     rest = _possible(rest, mains).join(label_of("x", "lx"), "x", "left").join(label_of("y", "ly"), "y", "left")
     rest = rest.where(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y").join(best, ["x", "y"], "left_anti")
     rest = stored(rest, "remaining-pairs")
-    discard(found, pairs, best, mains, placed)
+    discard(found, pairs, best, mains)
     if not rest.isEmpty():
         more = verify(docs, rest)
         labels = connected_components(links.unionByName(more))
