@@ -216,7 +216,8 @@ def _matches(index: DataFrame, w: Windows | None, gap: int, slop: int | None) ->
     def run(batches):
         w = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # a segment at a time: each is a few megabytes
+                row = batch.slice(k, 1).to_pylist()[0]
                 counts = np.array(row["n_words"], np.int64)
                 n = len(counts)
                 base = np.concatenate([[0], np.cumsum(counts)])[:-1] + np.arange(n) * gap
