@@ -398,3 +398,42 @@ def test_listing_operators(spark):
     assert lo.latest_final(runs).first().run == "r2"
     feedback, now = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, k string"), spark.createDataFrame([(1, "a"), (2, "x")], "id int, k string")
     assert sorted(r.id for r in lo.prune_stale(feedback, now, "id", "k").collect()) == [1, 3]
+
+
+def test_find_evaluation_fixtures(spark):
+    """A find that clears every gate is bought; each missing piece of evidence is named and stops that."""
+    import datetime as dt
+
+    from quarrymill.operators import evaluation
+
+    at = lambda h: dt.datetime(2026, 7, 15, h)
+    sold = {"captured_at": at(10), "condition": "new_sealed", "resale_price": 40.0, "latest_sale": dt.date(2026, 7, 12), "match_confidence": "high", "source": "local-own-sales-history", "status": "validated", "units_30": 5.0, "units_90": 12.0, "units_365": 30.0}
+    active = {"captured_at": at(10), "exact_count": 3.0, "match_confidence": "high", "complete": True, "status": "available"}
+    base = {"artist": "Test Artist", "condition": "new/sealed", "purchase_price": 10.0, "source_currency": "USD", "captured_at": at(9), "offer_verification": "direct_retailer", "costs": {"inbound_shipping": 0.0}, "sold": sold, "active": active}
+    changes = [
+        ({}, "BUY", "ADAPTIVE_STRATEGY_PASSED,STRATEGY_FAST_TURN"),
+        ({"offer_verification": "campaign_advertised"}, "REVIEW", "ACQUISITION_OFFER_UNVERIFIED"),
+        ({"offer_verification": "discovery_lead"}, "REVIEW", "ACQUISITION_OFFER_UNVERIFIED"),
+        ({"offer_verification": None}, "REVIEW", "ACQUISITION_OFFER_UNVERIFIED"),
+        ({"offer_verification": "direct-retailer"}, "REVIEW", "ACQUISITION_OFFER_UNVERIFIED"),
+        ({"captured_at": dt.datetime(2026, 7, 12)}, "REVIEW", "OFFER_STALE_OR_UNDATED"),
+        ({"captured_at": dt.datetime(2026, 7, 16)}, "REVIEW", "OFFER_STALE_OR_UNDATED"),
+        ({"source_currency": "EUR"}, "REVIEW", "SOURCE_CURRENCY_UNCONVERTED"),
+        ({"source_currency": None}, "REVIEW", "SOURCE_CURRENCY_UNKNOWN"),
+        ({"condition": "VG+"}, "REVIEW", "SOLD_EVIDENCE_INCOMPLETE,SOLD_CONDITION_MISMATCH"),
+        ({"sold": {**sold, "source": "research"}}, "REVIEW", "SOLD_EVIDENCE_INCOMPLETE,SOLD_VELOCITY_UNVALIDATED"),
+        ({"sold": {**sold, "match_confidence": "low"}}, "REJECT", "SOLD_MATCH_CONFIDENCE_LOW"),
+        ({"active": {**active, "complete": False}}, "REVIEW", "ACTIVE_EVIDENCE_INCOMPLETE"),
+        ({"active": None}, "REVIEW", "ACTIVE_EVIDENCE_INCOMPLETE,EVIDENCE_STALE_OR_UNDATED,ACTIVE_MATCH_CONFIDENCE_LOW"),
+        ({"purchase_price": 39.0}, "REJECT", "ECONOMICS_HARD_FAIL"),
+        ({"lowest_active_price": 9.0}, "REJECT", "ACTIVE_MARKET_BELOW_BUY_COST"),
+        ({"preference": "avoid"}, "REJECT", "USER_AVOID_PREFERENCE"),
+        ({"purchase_price": 19.0}, "WATCH", "ECONOMICS_GATE_FAILED,PRICE_TARGET_WATCH"),
+    ]
+    rows = spark.createDataFrame([base | c | {"id": i} for i, (c, _, _) in enumerate(changes)], evaluation.find_schema())
+    got = {r.id: r for r in evaluation.evaluate(rows, "2026-07-15 12:00:00").collect()}
+    assert [(got[i].decision, got[i].reason_codes) for i in range(len(changes))] == [c[1:] for c in changes]
+    first = got[0]
+    assert (first.net_profit, first.roi, first.sell_through, first.supply_months) == (13.75, 1.2557, 0.8, 0.75)
+    assert all(first[g] for g in ("active_evidence", "demand", "economics", "confident", "market_fresh", "offer_fresh", "offer_verified", "sold_evidence", "supply"))
+    assert got[7].net_profit is None and got[7].max_price is None
