@@ -485,11 +485,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     name, times = (_free(docs, n) for n in ("_kept", "_times"))
     kept = classify(docs).where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias(times))
     kept = stored(kept, "kept-ids")
-    marked = docs.join(kept, docs["doc_id"] == kept[name], "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = marked.where(docs["doc_id"].isNull() | (F.col(times) == 1)).select(columns)
-    again = marked.where(F.col(times) > 1).select(columns)
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    nameless = docs.where(docs["doc_id"].isNull())
+    repeated = kept.where(F.col(times) > 1).select(name)
+    # Texts move once: ids that stand for several rows are looked at apart, and only where there are any.
+    single = kept.where(F.col(times) == 1).select(name)
+    out = docs.join(single, docs["doc_id"] == single[name], "left_semi").select(columns).unionByName(nameless.select(columns))
+    if repeated.isEmpty():
+        return out
+    again = docs.join(repeated, docs["doc_id"] == repeated[name], "left_semi").select(columns)
+    return out.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def _free(frame: DataFrame, name: str) -> str:
