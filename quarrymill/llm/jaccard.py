@@ -489,7 +489,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     nameless = docs.where(docs["doc_id"].isNull())
     repeated = kept.where(F.col(times) > 1).select(name)
     # Texts move once: ids that stand for several rows are looked at apart, and only where there are any.
-    single = kept.where(F.col(times) == 1).select(name)
+    single = kept.where(F.col(times) == 1).select(name).hint("merge")  # the ids grow with the table: never broadcast
     out = docs.join(single, docs["doc_id"] == single[name], "left_semi").select(columns).unionByName(nameless.select(columns))
     if repeated.isEmpty():
         return out
