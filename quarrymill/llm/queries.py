@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, licences, lm, pieces, quality, suffixes, topk, warc
+from . import centroids, chat, decontaminate, jaccard, licences, lm, pieces, quality, suffixes, topk, toxicity, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_topk_search, op3_ngram_jaccard, op4_suffix_dedup, op5_decontaminate, op6_lm_score, op7_quality, op8_warc_write, op9_chat_format, op10_license_scan)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_topk_search, op3_ngram_jaccard, op4_suffix_dedup, op5_decontaminate, op6_lm_score, op7_quality, op8_warc_write, op9_chat_format, op10_license_scan, op11_whitening, op12_toxicity, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": topk.ORACLE_SQL, "op3_ngram_jaccard": jaccard.ORACLE_SQL, "op4_suffix_dedup": suffixes.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op8_warc_write": warc.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL, "op10_license_scan": licences.oracle_sql()}
+    return {"op2_topk_search": topk.ORACLE_SQL, "op3_ngram_jaccard": jaccard.ORACLE_SQL, "op4_suffix_dedup": suffixes.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op8_warc_write": warc.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL, "op10_license_scan": licences.oracle_sql(), "op13_centroids": centroids.ORACLE_SQL}
