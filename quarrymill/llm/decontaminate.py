@@ -9,8 +9,13 @@ postings are intersected, rarest in the segment first, each list shifted by the
 within `slop` words of its rarest term, in any order.
 
 The benchmark is processed in blocks of at most `BLOCK_WORDS` words, so what is broadcast (8 bytes a word, 16 bytes a
-window) has a fixed bound however large the benchmark is; hits of several blocks are merged by the segment and row of
-the one stored index.
+window) has a fixed bound however large the benchmark is. Of several blocks one is held at a time: its hits are stored,
+its broadcast is destroyed, and hits are merged by the segment and row of the one stored index.
+
+Equal windows are one window with several items, so a word repeated a thousand times is looked up once. A segment takes
+windows in steps of at most `STEP_WINDOWS`, and positions of their rarest terms in steps of about `STEP_POSITIONS`; of a
+step's occurrences only flags of hit words and distinct pairs of document and item are kept. So memory follows the
+segment, not the number of occurrences.
 
 Words: A-Z lower-cased, then runs of bytes other than \\x00-\\x2F, \\x3A-\\x60, \\x7B-\\x7F. A document may be
 longer than a slice: it is then a segment of its own. Matches never cross documents. Cases: null or empty
@@ -27,13 +32,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NOT_ALNUM, arrow_rows, lower, slices, spread, stored, utf8, word_hash, words
+from .blocks import NOT_ALNUM, arrow_rows, lower, mix, slices, spread, stored, utf8, word_hash, words
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
+STEP_WINDOWS, STEP_POSITIONS = 1 << 15, 1 << 19
 _SEGMENT = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.binary()), ("counts", pa.binary()), ("gaps", pa.binary())])
 _SEGMENT_SQL = "segment string, doc_ids array<long>, n_words array<long>, terms binary, counts binary, gaps binary"
 
@@ -47,7 +54,7 @@ def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Windows:
-    """Windows of benchmark words: where each starts in the list of word hashes, its width and item, listed under its rarest term."""
+    """Distinct windows of benchmark words: where each starts in the list of word hashes, its width and items, listed under its rarest term."""
 
     def __init__(self, rows: list[tuple[str | None, str]], width: int):
         self.width = width
@@ -55,9 +62,15 @@ class Windows:
         self.hashes, first = term_hashes(pa.array([r[1] for r in rows], pa.string()))
         counts = np.diff(first)
         n = np.where(counts == 0, 0, np.maximum(counts - width + 1, 1))
-        self.item = np.repeat(np.arange(len(rows)), n).astype(np.int32)
-        self.start = spread(first[:-1], n)
-        self.size = np.minimum(counts, width)[self.item].astype(np.int32)
+        owner = np.repeat(np.arange(len(rows)), n)
+        start, size = spread(first[:-1], n), np.minimum(counts, width)[owner].astype(np.int32)
+        same = self._same(start, size)
+        # One window stands for all equal ones; the items of window w are item[item_edges[w] : item_edges[w + 1]].
+        pairs = np.unique(same * max(len(rows), 1) + owner)
+        kept, of = np.unique(same, return_index=True)
+        self.start, self.size = start[of], size[of]
+        self.item = (pairs % max(len(rows), 1)).astype(np.int32)
+        self.item_edges = np.append(np.searchsorted(pairs // max(len(rows), 1), kept), len(pairs))
         names, which, df = np.unique(self.hashes, return_inverse=True, return_counts=True)
         rarest = np.full(len(self.start), -1)
         for k in range(width):
@@ -70,6 +83,23 @@ class Windows:
         self.keys = names[present] if len(names) else names
         self.edges = np.append(np.searchsorted(rarest[order], present), len(order))
 
+    def _same(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The index of the first window with the same words, for every window: by hash, all words compared."""
+        at = lambda k: self.hashes[np.minimum(start + k, len(self.hashes) - 1)]
+        digest = size.astype(np.uint64)
+        for k in range(self.width if len(start) else 0):
+            digest = np.where(k < size, mix(digest * np.uint64(0xD6E8FEB86659FD93) + at(k)), digest)
+        out, left = np.arange(len(start)), np.arange(len(start))
+        while len(left):  # windows of one hash but other words are looked at again
+            _, first, of = np.unique(digest[left], return_index=True, return_inverse=True)
+            lead = left[first][of]
+            equal = size[lead] == size[left]
+            for k in range(self.width):
+                equal &= (k >= size[left]) | (self.hashes[np.minimum(start[lead] + k, len(self.hashes) - 1)] == self.hashes[np.minimum(start[left] + k, len(self.hashes) - 1)])
+            out[left[equal]] = lead[equal]
+            left = left[~equal]
+        return out
+
     def terms(self, window: np.ndarray) -> np.ndarray:
         """Term hashes of windows by offset (whatever follows beyond a window's size)."""
         return self.hashes[np.minimum(self.start[window][:, None] + np.arange(self.width), len(self.hashes) - 1)]
@@ -151,67 +181,88 @@ class Segment:
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         return np.where(self.terms[at] == terms, at, -1)
 
-    def rarest_first(self, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows all of whose terms the segment has: index, slots and offsets of their terms, rarest first."""
-        alive = w.under(self.terms)
-        if not len(alive):
-            return alive, np.zeros((0, w.width), np.int64), np.zeros((0, w.width), np.int64)
-        slots = self.slots(w.terms(alive))
-        used = np.arange(w.width) < w.size[alive][:, None]
+    def rarest_first(self, w: Windows, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of these windows the ones all of whose terms the segment has: index, slots and offsets of their terms, rarest first."""
+        slots = self.slots(w.terms(listed))
+        used = np.arange(w.width) < w.size[listed][:, None]
         whole = ((slots >= 0) | ~used).all(axis=1)
-        alive, slots, used = alive[whole], slots[whole], used[whole]
+        alive, slots, used = listed[whole], slots[whole], used[whole]
         df = np.where(used, self.df[np.maximum(slots, 0)], np.iinfo(np.int64).max)
         order = np.argsort(df, axis=1, kind="stable")
         return alive, np.take_along_axis(slots, order, 1), order
 
-    def _first_lists(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = self.df[slots[:, 0]]
-        return np.repeat(np.arange(len(slots)), n), self.positions[spread(self.first[slots[:, 0]], n)]
-
-    def exact(self, w: Windows, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-        """(window, first position) of every occurrence of a window."""
-        alive, slots, offsets = self.rarest_first(w)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for a in range(0, len(alive), chunk):
-            s, o, size = slots[a : a + chunk], offsets[a : a + chunk], w.size[alive[a : a + chunk]]
-            of, at = self._first_lists(s)
-            at = at - o[of, 0]
+    def places(self, w: Windows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Steps of bounded size: windows, slots and offsets of their terms, and (index of the window in the step, position) of every place of its rarest term."""
+        listed = w.under(self.terms)
+        for a in range(0, len(listed), STEP_WINDOWS):
+            alive, slots, offsets = self.rarest_first(w, listed[a : a + STEP_WINDOWS])
+            if not len(alive):
+                continue
+            n = self.df[slots[:, 0]]
+            ends = np.cumsum(n)
+            for low in range(0, int(ends[-1]), STEP_POSITIONS):
+                high = min(low + STEP_POSITIONS, int(ends[-1]))
+                first, last = np.searchsorted(ends, low, side="right"), np.searchsorted(ends, high, side="left")  # a long list is cut too
+                at = np.arange(first, last + 1)
+                begin = np.maximum(low, ends[at] - n[at])
+                size = np.minimum(high, ends[at]) - begin
+                yield alive, slots, offsets, np.repeat(at, size), self.positions[spread(self.first[slots[at, 0]] + begin - (ends[at] - n[at]), size)]
+
+    def exact(self, w: Windows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, first position) of every occurrence of a window, step by step."""
+        for alive, slots, offsets, of, at in self.places(w):
+            at = at - offsets[of, 0]
             keep = at >= 0
-            of, at = of[keep], at[keep]
+            of, at, size = of[keep], at[keep], w.size[alive]
             for k in range(1, w.width):
                 if not len(of):
                     break
-                used = k < size[of]
-                key = (s[of, k] << 40) + at + o[of, k]
+                key = (slots[of, k] << 40) + at + offsets[of, k]
                 spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                keep = ~used | (self.keys[spot] == key)
+                keep = (k >= size[of]) | (self.keys[spot] == key)
+                of, at = of[keep], at[keep]
+            yield alive[of], at
+
+    def near(self, w: Windows, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, position of its rarest term) where every term of the window stands within `slop` words, as often as the window has it, step by step."""
+        for alive, slots, _, of, at in self.places(w):
+            used = np.arange(w.width) < w.size[alive][:, None]
+            for k in range(w.width):
+                low = np.searchsorted(self.keys, (slots[of, k] << 40) + np.maximum(at - slop, 0))
+                high = np.searchsorted(self.keys, (slots[of, k] << 40) + at + slop, side="right")
+                times = ((slots[of] == slots[of, k][:, None]) & used[of]).sum(axis=1)
+                keep = ~used[of, k] | (high - low >= times)
                 of, at = of[keep], at[keep]
-            found.append((alive[a + of], at))
-        return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
-
-    def near(self, w: Windows, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, position of its rarest term) where every term of the window stands within `slop` words, as often as the window has it."""
-        alive, slots, _ = self.rarest_first(w)
-        if not len(alive):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        used = np.arange(w.width) < w.size[alive][:, None]
-        times = ((slots[:, :, None] == slots[:, None, :]) & used[:, None, :]).sum(axis=2)
-        of, at = self._first_lists(slots)
-        for k in range(w.width):
-            low = np.searchsorted(self.keys, (slots[of, k] << 40) + np.maximum(at - slop, 0))
-            high = np.searchsorted(self.keys, (slots[of, k] << 40) + at + slop, side="right")
-            keep = ~used[of, k] | (high - low >= times[of, k])
-            of, at = of[keep], at[keep]
-        return alive[of], at
+            yield alive[of], at
+
+
+def _hits(segment: Segment, w: Windows, base: np.ndarray, length: int, slop: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last hit positions of maximal runs, and the sorted distinct pairs document * items + item."""
+    steps = np.zeros(length + 1, np.int32)
+    pairs = np.zeros(0, np.int64)
+    for window, at in segment.exact(w) if slop is None else segment.near(w, slop):
+        if not len(at):
+            continue
+        # Starts and ends by position; a place counts once for each width.
+        for size in np.unique(w.size[window]).tolist() if slop is None else [1]:
+            places = np.unique(at[w.size[window] == size] if slop is None else at)
+            steps[places] += 1
+            steps[places + size] -= 1
+        doc = np.searchsorted(base, at, side="right") - 1  # gap > 0 keeps the bases of documents apart
+        once = np.unique(doc * len(w.start) + window)
+        window = once % len(w.start)
+        n = np.diff(w.item_edges)[window]
+        pairs = np.union1d(pairs, np.repeat(once // len(w.start), n) * len(w.items) + w.item[spread(w.item_edges[window], n)])
+    hit = np.concatenate([[False], np.cumsum(steps[:-1]) > 0, [False]])
+    return np.flatnonzero(hit[1:] & ~hit[:-1]), np.flatnonzero(hit[:-1] & ~hit[1:]), pairs
 
 
 _MATCH = pa.schema([("segment", pa.string()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 _MATCH_SQL = "segment string, row long, doc_id long, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
 
 
-def _matches(index: DataFrame, w: Windows | None, gap: int, slop: int | None) -> DataFrame:
+def _matches(index: DataFrame, shared: Broadcast, gap: int, slop: int | None) -> DataFrame:
     """A row per document: the spans of words in matches (word numbers in the document) and the items matched."""
-    shared = index.sparkSession.sparkContext.broadcast(w)
 
     def run(batches):
         w = shared.value
@@ -223,21 +274,11 @@ def _matches(index: DataFrame, w: Windows | None, gap: int, slop: int | None) ->
                 base = np.concatenate([[0], np.cumsum(counts)])[:-1] + np.arange(n) * gap
                 spans: dict[int, list] = {}
                 items: dict[int, list] = {}
-                if w is not None and len(w.item):
-                    segment = Segment(row)
-                    window, at = segment.exact(w) if slop is None else segment.near(w, slop)
-                    doc = np.searchsorted(base, at, side="right") - 1
-                    # A document without words shares its base position with none: gap > 0 keeps bases distinct.
-                    first = at - base[doc]
-                    last = first + (w.size[window] if slop is None else 1)
-                    order = np.lexsort((last, first, doc))
-                    for d, a, b in zip(doc[order].tolist(), first[order].tolist(), last[order].tolist(), strict=True):
-                        held = spans.setdefault(d, [])
-                        if held and a <= held[-1]["end"]:
-                            held[-1]["end"] = max(held[-1]["end"], b)
-                        else:
-                            held.append({"start": a, "end": b})
-                    pairs = np.unique(doc * len(w.items) + w.item[window]) if len(doc) else np.zeros(0, np.int64)
+                if w is not None and len(w.start) and n:
+                    first, last, pairs = _hits(Segment(row), w, base, int(base[-1] + counts[-1]) + w.width, slop)
+                    doc = np.searchsorted(base, first, side="right") - 1
+                    for d, a, b in zip(doc.tolist(), (first - base[doc]).tolist(), (last - base[doc]).tolist(), strict=True):
+                        spans.setdefault(d, []).append({"start": a, "end": b})
                     for p in pairs.tolist():
                         if (name := w.items[p % len(w.items)]) is not None:
                             items.setdefault(p // len(w.items), []).append(name)
@@ -258,13 +299,20 @@ def _matches(index: DataFrame, w: Windows | None, gap: int, slop: int | None) ->
 
 def search(index: DataFrame, benchmark: DataFrame, gap: int, width: int = WINDOW, block_words: int = BLOCK_WORDS, slop: int | None = None) -> DataFrame:
     """The matches of a benchmark in a stored index that was built with this gap: a row per document (segment, row)."""
-    blocks = [_matches(index, w, gap, slop) for w in benchmark_blocks(benchmark, width, block_words)] or [_matches(index, None, gap, slop)]
-    if len(blocks) == 1:
-        return blocks[0]
-    hits = [b.where(F.size("spans") > 0).select("segment", "row", "spans", "items") for b in blocks[1:]]
-    whole = blocks[0]
-    for h in hits:  # documents come from the first block, the others add what they hit
-        whole = whole.unionByName(h, allowMissingColumns=True)
+    context = index.sparkSession.sparkContext
+    blocks = benchmark_blocks(benchmark, width, block_words)
+    held, after = next(blocks, None), next(blocks, None)
+    if after is None:
+        return _matches(index, context.broadcast(held), gap, slop)
+    hits = []
+    while held is not None:  # one block at a time: the driver holds it and the one being read
+        shared = context.broadcast(held)
+        hits.append(stored(_matches(index, shared, gap, slop).where(F.size("spans") > 0), "benchmark-hits"))
+        shared.destroy()
+        held, after = after, next(blocks, None)
+    whole = _matches(index, context.broadcast(None), gap, slop)
+    for h in hits:
+        whole = whole.unionByName(h)
     return whole.groupBy("segment", "row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
     )
