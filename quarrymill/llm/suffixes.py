@@ -43,7 +43,7 @@ from .blocks import _BASE_INV, arrow_rows, covered, mix, parts_for, powers, pref
 
 LENGTH, K = 100, 32
 HOT, HOT_OFFSETS = 1000, 4
-_FLUSH = 1 << 20
+_FLUSH, _PIECE = 1 << 19, 1 << 19
 _ANCHOR = np.dtype([("f", "<u4"), ("ctx", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1")])
 _SPAN = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("end", "<u4")])
 _REQUEST = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("block", "u1")])
@@ -74,10 +74,25 @@ def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - have)], out[width - have :]) if have < width else out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document index, anchor position, first and last served window start, hash, context hash); positions in data."""
+def anchors(data: np.ndarray, offsets: np.ndarray, piece: int = _PIECE) -> tuple[np.ndarray, ...]:
+    """(document index, anchor position, first and last served window start, hash, context hash); positions in data.
+
+    A piece of window starts at a time, so memory follows the piece and not the longest text; a run of windows that a piece's
+    end cuts is two runs."""
+    out = []
+    for a in range(0, len(data), piece):
+        stop = min(a + piece + LENGTH - 1, len(data))
+        first = int(np.searchsorted(offsets, a, side="right")) - 1
+        last = int(np.searchsorted(offsets, stop, side="left"))
+        found = _anchors(data[a:stop], np.clip(offsets[first : last + 1], a, stop) - a)
+        out.append((found[0] + first, *(x + a for x in found[1:4]), *found[4:]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else _anchors(data, offsets)
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """anchors of one piece."""
     n = len(data)
-    if n < LENGTH:
+    if n < LENGTH or np.diff(offsets).max() < LENGTH:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
     prefix = prefix_hash(data)
     h = mix((prefix[K:] - prefix[:-K]) * powers(n + 1, _BASE_INV)[: n - K + 1])
@@ -159,7 +174,7 @@ def find_anchors(docs: DataFrame, parts: int) -> DataFrame:
             a = a[first]
             yield from _blocks(ANCHORS, a["f"].astype(np.int64) % parts, a)
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_PIECE):
             data, offsets = utf8(batch.column("text"))
             ids = batch.column("doc_id").fill_null(_NO_ID).to_numpy()
             doc, at, first, last, h, context = anchors(data, offsets)

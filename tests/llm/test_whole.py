@@ -216,3 +216,29 @@ def test_empty_tables(spark, tmp_path):
     assert jaccard.keep_one(docs).count() == suffixes.keep_rest(docs).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.write(pages, f"file://{tmp_path}/w")["records"] == 0 and warc.read(spark, f"file://{tmp_path}/w").count() == 0
+
+
+def test_anchors_by_pieces_serve_the_same_windows():
+    """Pieces of any size: every window of every document is served once, by the string with the least hash in it."""
+    import random
+
+    import numpy as np
+
+    from quarrymill.llm import suffixes
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (0, 700, 99, 100, 1500, 0, 101)]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    windows = lambda found: {(int(d), w): int(at) for d, at, a, b in zip(*found[:4]) for w in range(int(a), int(b) + 1)}
+    whole = windows(suffixes.anchors(data, offsets))
+    assert len(whole) == sum(max(len(t) - 99, 0) for t in texts)
+    for piece in (1, 37, 100, 999):
+        assert windows(suffixes.anchors(data, offsets, piece)) == whole
+
+
+def test_short_texts_alone_lose_nothing(spark):
+    """Many texts, none of them as long as a window."""
+    from quarrymill.llm import suffixes
+
+    docs = spark.createDataFrame([(i, "the same forty bytes of text, over again") for i in range(30)], "doc_id long, text string")
+    assert {(r.n_bytes, r.n_removed) for r in suffixes.dedup(docs).collect()} == {(40, 0)}
