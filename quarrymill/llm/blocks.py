@@ -7,6 +7,7 @@ the slice and the longest single text, never the partition.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators.storage import discard, fresh_path, stored  # noqa: F401  used by the operators of this folder
 
 SLICE_BYTES = 2 << 20
-ARROW_ROWS = 512
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 PART_BYTES = 64 << 20
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_CODE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -31,10 +32,13 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def arrow_rows(spark: SparkSession) -> None:
-    """Arrow batches of at most 512 rows in this session: texts are long, workers are small. One value for all operators; a smaller one of the session stays."""
+    """Arrow batches of at most 512 rows and about 4 MB in this session: texts are long, workers are small. One value for all operators; a smaller one of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not re.fullmatch(r"[1-9]\d*b?", held := spark.conf.get(key)) or int(held.rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def parts_for(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> int:

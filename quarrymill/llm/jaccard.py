@@ -362,10 +362,23 @@ def _possible(pairs: DataFrame, mains: DataFrame | None = None) -> DataFrame:
     return total.where((F.col("kind") == _STAR) | (F.col("votes") >= F.expr("(4 * (nx + ny) + 8) div 9") - F.greatest(behind("nx"), behind("ny"))))
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (x, y) of sets that are similar: a, b. Sets are taken from the documents whose signature a filter lets through."""
+def _by_hub(pairs: DataFrame, degrees: DataFrame, parts: int) -> DataFrame:
+    """hub, salt, partner: of each pair the set with more pairs is the hub. A hub with more pairs than an even share of a partition has them under several salts."""
+    fair = max(1.0, pairs.count() / parts * FAIR)
+    table = degrees.select("sig", "n")
+    known = looked_up(looked_up(pairs.select("x", "y"), "x", table.select(F.col("sig").alias("x"), F.col("n").alias("nx")), "nx", fair), "y", table.select(F.col("sig").alias("y"), F.col("n").alias("ny")), "ny", fair)
+    first = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    rows = known.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("hub"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("partner"), F.greatest("nx", "ny").alias("n"))
+    return rows.select("hub", F.pmod(F.xxhash64("partner"), F.ceil(F.col("n") / F.lit(fair))).alias("salt"), "partner")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+    """The pairs (x, y) of sets that are similar: a, b. Sets are taken from the documents whose signature a filter lets through.
+
+    A hub's set goes to a task once for each of its salts, its partners' sets stream past it."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("sig")).distinct()
+    degrees = stored(pairs.select(F.explode(F.array("x", "y")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "degrees")
+    wanted = degrees.select("sig")
     size = wanted.count()
     # One bit for each of 16 slots a wanted signature, 2 ** 27 bits (16 MB) at most. Beyond that more sets pass and are dropped by the join.
     bits = min(1 << 27, max(1 << 13, 1 << int(max(size, 1) * 16 - 1).bit_length()))
@@ -402,22 +415,29 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["sig", "items"])
 
     def compare(batches):
+        now, held = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            for i, (p, q) in enumerate(zip(left, right, strict=True)):
-                u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                at = np.searchsorted(v, u)
-                at[at == len(v)] = 0
-                if 9 * int((v[at] == u).sum()) >= 4 * (len(u) + len(v)):
-                    keep.append(i)
-            out = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([out.column("x"), out.column("y")], names=["a", "b"])
+            a, b = [], []
+            for hub, salt, partner, items in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                own = np.frombuffer(items, np.uint64)
+                if partner is None:  # a hub's set comes before its partners
+                    now, held = (hub, salt), own
+                elif now == (hub, salt):
+                    at = np.searchsorted(held, own)
+                    at[at == len(held)] = 0
+                    if 9 * int((held[at] == own).sum()) >= 4 * (len(held) + len(own)):
+                        a.append(hub), b.append(partner)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     sets = docs.mapInArrow(take, "sig long, items binary")
     sets = sets.groupBy("sig").agg(F.first("items").alias("items"))  # copies in several tasks send equal sets
-    both = pairs.select("x", "y").join(sets.select(F.col("sig").alias("x"), F.col("items").alias("left")), "x").join(sets.select(F.col("sig").alias("y"), F.col("items").alias("right")), "y")
-    return stored(both.mapInArrow(compare, "a long, b long"), "links")
+    rows = stored(_by_hub(pairs, degrees, parts), "hub-pairs")
+    partners = rows.join(sets.withColumnRenamed("sig", "partner"), "partner").select("hub", "salt", "partner", "items")
+    hubs = rows.select("hub", "salt").distinct().join(sets.withColumnRenamed("sig", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("partner"), "items")
+    both = hubs.unionByName(partners).repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("partner"))
+    links = stored(both.mapInArrow(compare, "a long, b long"), "links")
+    discard(degrees, rows)
+    return links
 
 
 def classify(docs: DataFrame) -> DataFrame:
@@ -436,7 +456,7 @@ def classify(docs: DataFrame) -> DataFrame:
     each = pairs.select(F.col("x").alias("v"), "kind", "x", "y", "votes").unionByName(pairs.select(F.col("y").alias("v"), "kind", "x", "y", "votes"))
     best = each.groupBy("v").agg(F.max_by(F.struct("x", "y"), F.struct("kind", "votes", "x", "y")).alias("p")).select("p.x", "p.y").distinct()
     best = stored(best, "best-pairs")
-    links = verify(docs, best)
+    links = verify(docs, best, parts)
     labels = connected_components(links)
     # Round two: what is still apart.
     label_of = lambda c, name: labels.select(F.col("node").alias(c), F.col("label").alias(name))
@@ -452,7 +472,7 @@ def classify(docs: DataFrame) -> DataFrame:
     rest = stored(rest, "remaining-pairs")
     discard(found, pairs, best, mains)
     if not rest.isEmpty():
-        more = verify(docs, rest)
+        more = verify(docs, rest, parts)
         labels = connected_components(links.unionByName(more))
         discard(more)
     discard(rest, links)
