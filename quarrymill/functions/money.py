@@ -15,6 +15,11 @@ def col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c) if isinstance(c, str) else F.lit(c)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def round_half_up(x, places: int = 2) -> Column:
     """Rounding with a nudge of one machine epsilon first, so 1.005 becomes 1.01."""
     scale = float(10**places)

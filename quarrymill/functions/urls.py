@@ -49,6 +49,34 @@ def sale_page(url) -> Column:
     return F.coalesce(known, F.lower(F.regexp_replace(F.regexp_replace(F.trim(col(url)), r"[?#].*$", ""), r"/+$", "")))
 
 
+def absolute(href, page) -> Column:
+    """An http address as a page links it: resolved against the page's, without its fragment; null for other schemes and for relative ones without a page."""
+    h = F.regexp_replace(F.trim(col(href)), r"#.*$", "")
+    origin = F.concat(part(page, "PROTOCOL"), F.lit("://"), F.lower(part(page, "HOST")))
+    folder = F.regexp_replace(F.coalesce(part(page, "PATH"), F.lit("/")), r"[^/]*$", "")
+    known = (
+        F.when(h.rlike(r"(?i)^https?://[^/?]+$"), F.concat(h, F.lit("/")))
+        .when(h.rlike(r"(?i)^https?://"), h)
+        .when(h.startswith("//"), F.concat(part(page, "PROTOCOL"), F.lit(":"), h))
+        .when(h.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None))
+        .when(h.startswith("/"), F.concat(origin, h))
+        .when(h.startswith("?"), F.concat(origin, F.coalesce(part(page, "PATH"), F.lit("/")), h))
+        .when(h != "", F.concat(origin, F.when(folder == "", "/").otherwise(folder), h))
+    )
+    return F.when(F.try_parse_url(known, F.lit("HOST")).isNotNull(), known)
+
+
+# Query parameters that a product's address is freed of.
+VISIT = r"(?i)^(?:utm_.+|ref(?:errer)?|ref_|source|campaign|campaignid|cmpid|tracking|fbclid|gclid|mc_[ce]id)$"
+
+
+def without_tracking(url) -> Column:
+    """An address without the parameters that track a visit, the others in their order."""
+    bare = F.substring_index(col(url), "?", 1)
+    kept = F.array_join(F.filter(F.split(F.coalesce(F.regexp_extract(col(url), r"\?(.*)$", 1), F.lit("")), "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).rlike(VISIT)), "&")
+    return F.when(kept != "", F.concat(bare, F.lit("?"), kept)).otherwise(bare)
+
+
 def same_host(a, b) -> Column:
     return F.coalesce(host(a) == host(b), F.lit(False))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import decisions, listings, money, text, urls
 from ..operators import aggregates, ranking
 from ..operators import listings as tables
-from ..sources import catalogs, html
+from ..sources import catalogs, html, payloads
 from ..sources import tables as files
 from .adapters import AS_OF, SOLD_SQL, round_sql, sold_lines, table
 from .catalogue import query
@@ -380,3 +380,59 @@ def headlines(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), both["artist"].alias("artist"), both["title"].alias("title"), *[c.alias(k) for k, c in numbers.items()])
 
 
+
+
+# ---- page payloads -----------------------------------------------------------------------------------
+
+_MONEY = "({0} // 100)::VARCHAR || '.' || lpad(({0} % 100)::VARCHAR, 2, '0')"
+_PAYLOAD_SQL = f"""p AS (SELECT p_partkey AS k, p_partkey // 50 AS page, p_name AS name, p_size AS size, floor(p_retailprice * 100 + 0.5)::BIGINT AS c FROM part),
+card AS (SELECT page, k, repeat('{{"group":[', length(name) % 4) || '{{"productId":"P' || k || '","productTitle":"' || name || ' Vinyl","currentPrice":{{"displayValue":"$' || {_MONEY.format("c")} || '"}},"regular_price":"$' || {_MONEY.format("(c + 500 + size * 10)")}
+  || '","availability":"' || CASE WHEN size < 10 THEN 'Only 2 left' WHEN size < 20 THEN 'Sold out' ELSE 'In stock' END || '","product_url":"/p/' || k || '?utm_source=mail&v=' || size || '"}}' || repeat(']}}', length(name) % 4) AS j FROM p),
+again AS (SELECT page, k, '{{"name":"' || name || ' {{LP}}","productId":"P' || k || '","price":' || {_MONEY.format("(c + size - 30)")} || ',"sku":"S' || k || '","available":' || CASE WHEN size > 40 THEN 'true' ELSE 'false' END || '}}' AS j FROM p WHERE size > 25),
+text AS (SELECT page, 'application_json' AS kind, '{{"navigation":{{"items":[{{"productId":"N' || page || '","title":"Not a product","price":3}}]}},"shelves":[' || string_agg(j, ',' ORDER BY k) || ']}}' AS body FROM card GROUP BY page
+  UNION ALL SELECT page, 'next_data', '{{"props":[' || string_agg(j, ',' ORDER BY k) || ']}}' FROM again GROUP BY page)"""
+
+
+def _payload_pages(spark, sf_dir):
+    """Shop pages of fifty parts: a JSON script with cards in groups of groups, and an assigned payload that has some of them again."""
+    c = F.col("c")
+    amount = lambda x: F.concat(F.floor(x / 100).cast("long").cast("string"), F.lit("."), F.lpad((x % 100).cast("string"), 2, "0"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 50).cast("long").alias("page"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("size"), F.floor(F.col("p_retailprice") * 100 + 0.5).cast("long").alias("c"))
+    deep = F.length("name") % 4
+    state = F.when(F.col("size") < 10, "Only 2 left").when(F.col("size") < 20, "Sold out").otherwise("In stock")
+    card = F.concat(F.repeat(F.lit('{"group":['), deep), F.lit('{"productId":"P'), "k", F.lit('","productTitle":"'), "name", F.lit(' Vinyl","currentPrice":{"displayValue":"$'), amount(c), F.lit('"},"regular_price":"$'), amount(c + 500 + F.col("size") * 10), F.lit('","availability":"'), state, F.lit('","product_url":"/p/'), "k", F.lit("?utm_source=mail&v="), "size", F.lit('"}'), F.repeat(F.lit("]}"), deep))
+    again = F.when(F.col("size") > 25, F.concat(F.lit('{"name":"'), "name", F.lit(' {LP}","productId":"P'), "k", F.lit('","price":'), amount(c + F.col("size") - 30), F.lit(',"sku":"S'), "k", F.lit('","available":'), F.when(F.col("size") > 40, "true").otherwise("false"), F.lit("}")))
+    joined = lambda field: F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("k", field))), lambda x: x[field].isNotNull()), lambda x: x[field]), ",")
+    pages = p.withColumn("card", card).withColumn("again", again).groupBy("page").agg(joined("card").alias("cards"), joined("again").alias("more"))
+    script = F.concat(F.lit('<script type="application/json">{"navigation":{"items":[{"productId":"N'), "page", F.lit('","title":"Not a product","price":3}]},"shelves":['), "cards", F.lit("]}</script>"))
+    assigned = F.when(F.col("more") != "", F.concat(F.lit('<script>window.__NEXT_DATA__ = {"props":['), "more", F.lit("]}; go('}');</script>"))).otherwise("")
+    return pages.select("page", F.concat(F.lit("https://shop.example/c/"), "page").alias("url"), F.concat(F.lit("<html>"), script, F.lit("<p>text</p>"), assigned, F.lit("</html>")).alias("html"))
+
+
+@query(
+    f"""WITH RECURSIVE {_PAYLOAD_SQL},
+walk AS (SELECT page, kind, 0 AS depth, body::JSON AS v FROM text
+  UNION ALL SELECT page, kind, depth + 1, unnest(CASE WHEN depth = 0 THEN list_filter([json_extract(v, '$.shelves'), json_extract(v, '$.props')], lambda x: x IS NOT NULL) WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') ELSE json_extract(v, '$.*') END) FROM walk WHERE json_type(v) IN ('ARRAY', 'OBJECT')),
+node AS (SELECT page, kind, json_extract_string(v, '$.productId') AS id, coalesce(json_extract_string(v, '$.productTitle'), json_extract_string(v, '$.name')) AS title, json_extract_string(v, '$.sku') AS sku,
+  'https://shop.example' || regexp_replace(json_extract_string(v, '$.product_url'), 'utm_source=mail&', '') AS url, coalesce(ltrim(json_extract_string(v, '$.currentPrice.displayValue'), '$'), json_extract_string(v, '$.price'))::DOUBLE AS price,
+  ltrim(json_extract_string(v, '$.regular_price'), '$')::DOUBLE AS regular, coalesce(json_extract_string(v, '$.availability'), json_extract_string(v, '$.available')) AS s FROM walk WHERE json_type(v) = 'OBJECT' AND json_extract_string(v, '$.productId') IS NOT NULL),
+named AS (SELECT *, CASE s WHEN 'Sold out' THEN 1 WHEN 'false' THEN 1 WHEN 'Only 2 left' THEN 4 ELSE 5 END AS r FROM node)
+SELECT page, 'product:' || lower(id) AS stable_id, arg_max(title, length(title)) AS title, max(url) AS url, max(sku) AS sku, min(price) AS price, CASE WHEN max(regular) > min(price) THEN max(regular) END AS regular,
+  CASE max(r) WHEN 1 THEN 'out_of_stock' WHEN 4 THEN 'limited_stock' ELSE 'in_stock' END AS state, max(r) > 1 AS available, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) AS evidence FROM named GROUP BY page, id"""
+)
+def payload_products(spark, sf_dir):
+    """Products of shop pages from their JSON payloads, at any depth, those a page shows twice as one."""
+    found = payloads.catalogue(_payload_pages(spark, sf_dir), "page")
+    return found.select("page", "stable_id", "title", "url", "sku", "price", "regular", "state", "available", "kinds", "evidence")
+
+
+@query(
+    f"""WITH RECURSIVE {_PAYLOAD_SQL},
+walk AS (SELECT page, kind, 0 AS depth, body::JSON AS v FROM text
+  UNION ALL SELECT page, kind, depth + 1, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') ELSE json_extract(v, '$.*') END) FROM walk WHERE json_type(v) IN ('ARRAY', 'OBJECT'))
+SELECT page, kind, depth, count(*) AS n, coalesce(sum(length(json_extract_string(v, '$'))) FILTER (json_type(v) = 'VARCHAR'), 0)::BIGINT AS letters FROM walk WHERE json_type(v) NOT IN ('ARRAY', 'OBJECT') GROUP BY page, kind, depth"""
+)
+def payload_leaves(spark, sf_dir):
+    """Scalars of page payloads by depth: how many, and how long the strings among them are."""
+    found = payloads.leaves(payloads.payloads(_payload_pages(spark, sf_dir), "page"), "page")
+    return found.groupBy("page", "kind", F.size("path").alias("depth")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(~F.element_at("path", -1).isin("price", "available"), F.length("value"))), F.lit(0)).alias("letters"))

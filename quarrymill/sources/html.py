@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import col
+from ..functions.money import col, let
 from ..functions.urls import host
 
 ANCHOR = r"(?is)<a\s[^>]*href=[\"']([^\"'>]+)[\"'][^>]*>(.{0,500}?)</a>"
@@ -19,10 +19,25 @@ NOT_BEFORE = rf"{_GAP}(?:(?:delivery|shipping|coupon|gift card|off\s+(?:coupon|o
 AMOUNT = rf"(?is)(?:\$|\bUSD\b)(?<!{NOT_AFTER}(?:\$|USD))\s*+(\d[\d,]*+(?:\.\d{{2}})?+)(?!{NOT_BEFORE})"
 
 
+def numeric_entities(text) -> Column:
+    """&#38; and &#x26; as their characters; numbers that name none stay."""
+    t = col(text)
+    pieces = F.regexp_extract_all(t, F.lit(r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});|[^&]++|&"), F.lit(0))
+
+    def shown(x):
+        digits = F.regexp_extract(x, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+        code = F.when(F.lower(F.substring(x, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        known = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        return F.when(known & x.startswith("&#"), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(x)
+
+    return F.when(t.contains("&#"), F.array_join(F.transform(pieces, shown), "")).otherwise(t)
+
+
 def decode_entities(text) -> Column:
-    """Named entities, twice, so that doubly escaped ones come out too."""
+    """Numeric and named entities, twice, so that doubly escaped ones come out too."""
     out = col(text)
     for _ in range(2):
+        out = let(out, numeric_entities)
         for name, char in ENTITIES.items():
             out = F.replace(out, F.lit(name), F.lit(char))
     return out
