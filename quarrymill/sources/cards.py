@@ -33,11 +33,12 @@ LINK = r"(?is)<a\b([^>]*)>(.*?)</a>"
 def attribute(tag, name: str) -> Column:
     """Value of a tag's attribute, entities decoded; empty where it has none."""
     found = F.regexp_extract(col(tag), rf"(?i)(?:^|\s){name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1)
-    return decode_entities(F.regexp_replace(found, r"^([\"'])(.*)\1$", "$2"))
+    # Most values hold no entity; let computes each value once, however often it is named.
+    return let(F.regexp_replace(found, r"^([\"'])(.*)\1$", "$2"), lambda v: F.when(F.contains(v, F.lit("&")), decode_entities(v)).otherwise(v))
 
 
 def _address(href, page) -> Column:
-    return absolute(F.replace(F.trim(col(href)), F.lit(" "), F.lit("%20")), page)
+    return let(F.regexp_replace(F.replace(F.trim(col(href)), F.lit(" "), F.lit("%20")), r"#.*$", ""), lambda h: absolute(h, page))
 
 
 def _path(url) -> Column:
@@ -100,15 +101,15 @@ def product_cards(pages: DataFrame, key: str, url: str = "url", html: str = "htm
     rows = rows.withColumn("_link", F.get(leads, F.lit(0))).where("_link IS NOT NULL")
     rows = rows.select("*", F.regexp_extract("_link", LINK, 1).alias("_tag"), F.regexp_extract("_link", LINK, 2).alias("_inner"))
     rows = rows.withColumn("_url", _address(attribute("_tag", "href"), F.col("_page")))
-    whole = lambda c: F.when(F.length(c).between(1, 160), c)
-    named = [F.nullif(F.trim(attribute(tag, name)), F.lit("")) for tag, name in (("_opening", "data-product-id"), ("_opening", "data-entity-id"), ("_opening", "data-id"), ("_tag", "data-product-id"))]
-    identity = F.coalesce(*named, F.nullif(F.regexp_extract(_path("_url"), r"(?i)/p/(\d+)(?:/|$)", 1), F.lit("")))
+    named = [F.trim(attribute(tag, name)) for tag, name in (("_opening", "data-product-id"), ("_opening", "data-entity-id"), ("_opening", "data-id"), ("_tag", "data-product-id"))]
+    stated_ids = F.filter(F.array(*named, F.regexp_extract(_path("_url"), r"(?i)/p/(\d+)(?:/|$)", 1)), lambda n: n != "")
+    identity = let(F.get(stated_ids, F.lit(0)), lambda n: F.when(F.length(n) <= 160, n))
     of_class = lambda names: F.flatten(F.array(*(F.regexp_extract_all("_block", F.lit(_of_class(n, 300)), F.lit(1)) for n in names)))
     stated = F.array(_number(attribute("_opening", "data-product-price")), _number(attribute("_tag", "data-product-price")))
     marked = F.transform(F.regexp_extract_all("_block", F.lit(r"(?i)<[^>]*itemprop=[\"']price[\"'][^>]*>([\s\S]{0,80}?)</"), F.lit(1)), lambda t: _number(F.regexp_replace(t, r"<[^>]+>", " ")))
     image = F.regexp_extract("_block", r"(?i)<img\b[^>]*(?:data-src|src)=[\"']([^\"']+)[\"']", 1)
     rows = rows.select(
-        "_key", "_place", "_url", whole(identity).alias("_id"), _title("_block", "_opening", "_tag", "_inner").alias("_title"), plain_text("_block").rlike(SOLD_OUT).alias("_sold"),
+        "_key", "_place", "_url", identity.alias("_id"), _title("_block", "_opening", "_tag", "_inner").alias("_title"), plain_text("_block").rlike(SOLD_OUT).alias("_sold"),
         F.concat(_usable(F.concat(stated, marked)), _amounts(of_class(["sale-price"]))).alias("_sale"), _amounts(F.concat(of_class(["price"]), F.array("_block"))).alias("_seen"), _amounts(of_class(WAS)).alias("_was"),
         F.when(F.contains("_block", F.lit("$")), "USD").alias("_currency"), _address(F.when(image.startswith("//"), F.concat(F.lit("https:"), decode_entities(image))).otherwise(F.nullif(decode_entities(image), F.lit(""))), F.col("_page")).alias("_image"),
     )

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quarrymill.plans import catalogue, evaluation, finances, purchases, shown, survey  # noqa: F401  these add their queries to the catalogue
+from quarrymill.plans import catalogue, evaluation, finances, purchases, shelves, shown, survey  # noqa: F401  these add their queries to the catalogue
 
 
 def clean(rows):
