@@ -6,9 +6,12 @@ the slice and the longest single text, never the partition.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,27 @@ def arrow_rows(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, which gives its memory back to the system at its end.
+
+    Workers live on beside the JVM after their task; what their allocators keep would stand against its stages too. Long tables of powers go as well."""
+
+    @functools.wraps(run)
+    def with_release(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for base in [b for b, table in _powers.items() if len(table) > 1 << 18]:
+                del _powers[base]
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other libraries don't
+            if trim is not None:
+                trim(0)
+
+    return with_release
+
+
 def parts_for(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> int:
     """Number of partitions for shuffles of what is derived from texts: the session's, or more where a part would stand for over `part_bytes` of text."""
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .blocks import SPACE, arrow_rows, discard, lower, mix, slices, stored, utf8, window_hash, word_hash, words
+from .blocks import SPACE, arrow_rows, discard, lower, mix, released, slices, stored, utf8, window_hash, word_hash, words
 
 WIDTH = 5
 LARGE = 8
@@ -106,7 +106,7 @@ def describe(docs: DataFrame) -> DataFrame:
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64())] * 3 + [pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], schema=_FIRST)
 
-    return stored(docs.mapInArrow(run, "doc_id long, n long, sig long, row int, counts binary"), "shingle-sets")
+    return stored(docs.mapInArrow(released(run), "doc_id long, n long, sig long, row int, counts binary"), "shingle-sets")
 
 
 def frequencies(described: DataFrame) -> np.ndarray:
@@ -121,7 +121,7 @@ def frequencies(described: DataFrame) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["row", "counts"])
 
-    summed = described.where("row is not null").select("row", "counts").mapInArrow(add, "row int, counts binary").repartition("row").mapInArrow(add, "row int, counts binary")
+    summed = described.where("row is not null").select("row", "counts").mapInArrow(released(add), "row int, counts binary").repartition("row").mapInArrow(released(add), "row int, counts binary")
     counts = np.zeros((_ROWS_OF_COUNTS, (1 << _BUCKET_BITS) // _ROWS_OF_COUNTS), np.int64)
     for r in summed.collect():
         counts[r.row] += np.frombuffer(r.counts, np.int64)
@@ -253,8 +253,8 @@ def meet_prefixes(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
         if held:
             yield from settle(held)
 
-    posted = docs.mapInArrow(post, "part int, block binary").repartition(parts, "part").sortWithinPartitions("part")
-    return stored(posted.mapInArrow(match, _PAIRS_SQL), "candidate-pairs")
+    posted = docs.mapInArrow(released(post), "part int, block binary").repartition(parts, "part").sortWithinPartitions("part")
+    return stored(posted.mapInArrow(released(match), _PAIRS_SQL), "candidate-pairs")
 
 
 def with_hubs(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -348,7 +348,7 @@ def across_components(rows: DataFrame, parts: int) -> DataFrame:
             yield from give()
 
     # Shingles of one hub mostly hold the same rows: in one place for each hub their pairs are added up before they move.
-    return rows.repartition(parts, "hub", "place", "low", "high").sortWithinPartitions("hub", "h", "low", "high", "label").mapInArrow(run, _PAIRS_SQL)
+    return rows.repartition(parts, "hub", "place", "low", "high").sortWithinPartitions("hub", "h", "low", "high", "label").mapInArrow(released(run), _PAIRS_SQL)
 
 
 def _possible(pairs: DataFrame, mains: DataFrame | None = None) -> DataFrame:
@@ -395,7 +395,7 @@ def verify(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([found[1024 * i : 1024 * i + 1024].tobytes() for i in some.tolist()], pa.binary())], names=["row", "bits"])
 
     mask = np.zeros(bits // 8, np.uint8)
-    for r in wanted.coalesce(16).mapInArrow(mark, "row long, bits binary").toLocalIterator():
+    for r in wanted.coalesce(16).mapInArrow(released(mark), "row long, bits binary").toLocalIterator():
         mask[1024 * r.row : 1024 * r.row + 1024] |= np.frombuffer(r.bits, np.uint8)
     shared = spark.sparkContext.broadcast(mask)
 
@@ -429,13 +429,13 @@ def verify(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
                         a.append(hub), b.append(partner)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    sets = docs.mapInArrow(take, "sig long, items binary")
+    sets = docs.mapInArrow(released(take), "sig long, items binary")
     sets = sets.groupBy("sig").agg(F.first("items").alias("items"))  # copies in several tasks send equal sets
     rows = stored(_by_hub(pairs, degrees, parts), "hub-pairs")
     partners = rows.join(sets.withColumnRenamed("sig", "partner"), "partner").select("hub", "salt", "partner", "items")
     hubs = rows.select("hub", "salt").distinct().join(sets.withColumnRenamed("sig", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("partner"), "items")
     both = hubs.unionByName(partners).repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("partner"))
-    links = stored(both.mapInArrow(compare, "a long, b long"), "links")
+    links = stored(both.mapInArrow(released(compare), "a long, b long"), "links")
     discard(degrees, rows)
     return links
 

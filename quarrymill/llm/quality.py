@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SPACE, arrow_rows, slices, utf8, word_hash, words
+from .blocks import SPACE, arrow_rows, released, slices, utf8, word_hash, words
 
 TRAIN_DOCS, TRAIN_BYTES, TRAIN_LINES = 4000, 20_000, 500
 THRESHOLD = 0.7
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, docs_limit: int = TRAIN_DOCS, byte
             x, _, first = line_features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("quality"), pa.array([x[a:b].astype(np.float16).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["id", "quality", "x"])
 
-    rows = source.mapInArrow(run, "id long, quality int, x binary").collect()
+    rows = source.mapInArrow(released(run), "id long, quality int, x binary").collect()
     rows.sort(key=lambda r: r.id)
     parts = [np.frombuffer(r.x, np.float16).reshape(-1, N_FEATURES) for r in rows]
     if not parts:
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
     batch_text = len(docs.columns)
     frame = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").cast("string").alias("_scored_text"))
-    return frame.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return frame.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
