@@ -109,17 +109,28 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _sorted_classes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors by (f, ctx, doc, pos); flags of the first of each class; index of each one's class head."""
-    a = a[np.lexsort((a["pos"], a["doc"], a["ctx"], a["f"]))]
+    """Anchors by (f, ctx, doc, pos, tag); flags of the first of each class; index of each one's class head."""
+    a = a[np.lexsort((a["tag"], a["pos"], a["doc"], a["ctx"], a["f"]))]
     first = np.ones(len(a), bool)
     first[1:] = (a["f"][1:] != a["f"][:-1]) | (a["ctx"][1:] != a["ctx"][:-1])
     return a, first, np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
 
 
+def _after(a: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Flags of the anchors that come strictly after the head of their class."""
+    return (a["doc"] > a["doc"][head]) | (a["pos"] > a["pos"][head])
+
+
+def _earliest(a: np.ndarray, first: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Flags of the anchors that no other of their class precedes: its head, and one for each other text that has its id and place."""
+    fresh = first.copy()
+    fresh[1:] |= a["tag"][1:] != a["tag"][:-1]
+    return fresh & ~_after(a, head)
+
+
 def _later_spans(a: np.ndarray, head: np.ndarray) -> np.ndarray:
     """Spans of the anchors that come strictly after the head of their class."""
-    later = (a["doc"] > a["doc"][head]) | (a["pos"] > a["pos"][head])
-    b = a[later]
+    b = a[_after(a, head)]
     out = np.zeros(len(b), _SPAN)
     out["doc"], out["tag"], out["start"], out["end"] = b["doc"], b["tag"], b["pos"] - b["lo"], b["pos"] - b["hi"].astype(np.int64) + LENGTH
     return merged(out)
@@ -170,8 +181,8 @@ def find_anchors(docs: DataFrame, parts: int) -> DataFrame:
         def flush():
             a, first, head = _sorted_classes(np.concatenate(held))
             yield from _spans_out(_later_spans(a, head), parts)
-            # anchors equal in id and place stand for repeats of one row; one of them is enough
-            a = a[first]
+            # anchors equal in id, text and place stand for repeats of one row; one of them is enough
+            a = a[_earliest(a, first, head)]
             yield from _blocks(ANCHORS, a["f"].astype(np.int64) % parts, a)
 
         for batch in slices(batches, limit=_PIECE):
@@ -206,11 +217,11 @@ def match_anchors(blocks: DataFrame, parts: int) -> DataFrame:
         def settle():
             a, first, head = _sorted_classes(np.concatenate([np.frombuffer(b, _ANCHOR) for b in held]))
             yield from _spans_out(_later_spans(a, head), parts)
-            c = a[first]
+            stay = _earliest(a, first, head)
+            c, first = a[stay], first[stay]
             group = np.cumsum(np.diff(c["f"].astype(np.int64), prepend=-1) != 0) - 1
-            contexts = np.bincount(group)[group]
-            c, contexts = c[contexts > 1], contexts[contexts > 1]
-            hot = contexts > HOT
+            differ = np.bincount(group, first)[group] > 1
+            c, hot = c[differ], (np.bincount(group)[group] > HOT)[differ]
             plain, parted = c[~hot], c[hot]
             # hot leads: a request for each block of offsets an anchor serves
             low, high = parted["hi"] // HOT_OFFSETS, parted["lo"] // HOT_OFFSETS

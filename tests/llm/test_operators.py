@@ -341,6 +341,17 @@ def test_suffix_dedup_random_pastes(spark):
     assert Counter(tuple(r) for r in suffixes.dedup(table(spark, rows)).collect()) == dedup_truth(rows)
 
 
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_suffix_dedup_rows_that_share_an_id(spark, monkeypatch, hot):
+    """Two texts with one id begin alike; an earlier row holds a part of that beginning only."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = random.Random(5)
+    p = prose(rng, 60)
+    for i in (5, None):
+        rows = [(1 if i else None, prose(rng, 20) + p[40:300] + prose(rng, 20)), (i, p + "x" + prose(rng, 30)), (i, p + "y" + prose(rng, 30)), (i, p + "z"), (i, p + "z"), (7, prose(rng, 9) + p[10:])]
+        assert Counter(tuple(r) for r in suffixes.dedup(table(spark, rows)).collect()) == dedup_truth(rows)
+
+
 def test_keep_rest_keeps_columns_and_text(spark, corpus):
     frame = table(spark, corpus)
     out = suffixes.keep_rest(frame)
