@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import decontaminate, jaccard, pieces, quality, suffixes
-from quarrymill.llm.blocks import fresh_path
+from quarrymill.llm.blocks import files_for, fresh_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+FILE_CHARS = 32 << 20  # a file of a stage has texts of about so many characters, or less
 
 
 def _documents(frame: DataFrame) -> DataFrame:
@@ -24,16 +25,23 @@ def _documents(frame: DataFrame) -> DataFrame:
     return frame.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
+def _in_files(frame: DataFrame, docs: DataFrame) -> DataFrame:
+    """frame, made from docs, in as many partitions as its texts want: an executor pays for every file of a stage."""
+    size = docs.agg(F.sum(F.abs(F.col("n_chars").cast("long")))).first()[0] or 0
+    return frame.coalesce(files_for(docs.sparkSession, -(-size // FILE_CHARS)))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents with a score under the threshold go."""
     docs = docs.select(*COLUMNS)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
+    return _in_files(quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of linked documents the one with the least id stays."""
-    return jaccard.keep_one(docs.select(*COLUMNS))
+    docs = docs.select(*COLUMNS)
+    return _in_files(jaccard.keep_one(docs), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,19 +49,19 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     kept = suffixes.keep_rest(docs)
     # A text that was empty before stays; one that has been emptied goes.
-    return _documents(kept.where(F.col("text").isNull() | (F.col("text") != "") | (F.coalesce(F.col("n_chars"), F.lit(0)) == 0)))
+    return _in_files(_documents(kept.where(F.col("text").isNull() | (F.col("text") != "") | (F.coalesce(F.col("n_chars"), F.lit(0)) == 0))), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents with a window of a benchmark item go."""
     docs = docs.select(*COLUMNS)
     hit = decontaminate.report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti").select(*COLUMNS)
+    return _in_files(docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti").select(*COLUMNS), docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece encoding, decoded again as a proof: doc_id, counts, digests, round_trip and the ids."""
-    return pieces.round_trip(docs, with_ids=True)
+    return _in_files(pieces.round_trip(docs, with_ids=True), docs)
 
 
 STAGES = [

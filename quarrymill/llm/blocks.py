@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import discard, fresh_path, stored  # noqa: F401  used by the operators of this folder
+from ..operators.storage import discard, files_for, fresh_path, stored  # noqa: F401  used by the operators of this folder
 
 SLICE_BYTES = 2 << 20
 ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
@@ -67,8 +67,15 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 def parts_for(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> int:
     """Number of partitions for shuffles of what is derived from texts: the session's, or more where a part would stand for over `part_bytes` of text."""
+    return parts_and_files(docs, text, part_bytes)[0]
+
+
+def parts_and_files(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> tuple[int, int]:
+    """parts_for, and the number of files for tables of what is derived."""
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    return max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    least = -(-size // part_bytes)
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), least), files_for(spark, least)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int | str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

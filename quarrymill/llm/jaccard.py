@@ -38,12 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .blocks import SPACE, arrow_rows, discard, lower, mix, released, slices, stored, utf8, window_hash, word_hash, words
+from .blocks import SPACE, arrow_rows, discard, files_for, lower, mix, released, slices, stored, utf8, window_hash, word_hash, words
 
 WIDTH = 5
 LARGE = 8
 FAIR = 1.0  # times an even share of a partition, beyond which a shingle, hub or bucket is split
 SHINGLES = 8 << 20  # a partition stands for at most so many shingles of documents
+IDS = 1 << 20  # a file of kept ids has about so many at most
 _BUCKET_BITS = 20
 _ROWS_OF_COUNTS = 64
 _POSTING = np.dtype([("h", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("at", "<u4"), ("salt", "<u4")])  # salt: 0 for none
@@ -161,7 +162,7 @@ def _near_sizes(a, b):
     return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
 
 
-def meet_prefixes(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
+def meet_prefixes(docs: DataFrame, counts: np.ndarray, parts: int, files: int | None = None) -> DataFrame:
     """Candidate pairs with their shared prefix shingles, pairs with the hub of a large shingle, and the rows of large shingles.
 
     A salted shingle counts as large; its rows (kind _SALTED_ROW) have the hub of their salt."""
@@ -254,7 +255,7 @@ def meet_prefixes(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
             yield from settle(held)
 
     posted = docs.mapInArrow(released(post), "part int, block binary").repartition(parts, "part").sortWithinPartitions("part")
-    return stored(posted.mapInArrow(released(match), _PAIRS_SQL), "candidate-pairs")
+    return stored(posted.mapInArrow(released(match), _PAIRS_SQL), "candidate-pairs", files)
 
 
 def with_hubs(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -372,12 +373,12 @@ def _by_hub(pairs: DataFrame, degrees: DataFrame, parts: int) -> DataFrame:
     return rows.select("hub", F.pmod(F.xxhash64("partner"), F.ceil(F.col("n") / F.lit(fair))).alias("salt"), "partner")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, parts: int, files: int | None = None) -> DataFrame:
     """The pairs (x, y) of sets that are similar: a, b. Sets are taken from the documents whose signature a filter lets through.
 
     A hub's set goes to a task once for each of its salts, its partners' sets stream past it."""
     spark = docs.sparkSession
-    degrees = stored(pairs.select(F.explode(F.array("x", "y")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "degrees")
+    degrees = stored(pairs.select(F.explode(F.array("x", "y")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "degrees", files)
     wanted = degrees.select("sig")
     size = wanted.count()
     # One bit for each of 16 slots a wanted signature, 2 ** 27 bits (16 MB) at most. Beyond that more sets pass and are dropped by the join.
@@ -431,11 +432,11 @@ def verify(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
 
     sets = docs.mapInArrow(released(take), "sig long, items binary")
     sets = sets.groupBy("sig").agg(F.first("items").alias("items"))  # copies in several tasks send equal sets
-    rows = stored(_by_hub(pairs, degrees, parts), "hub-pairs")
+    rows = stored(_by_hub(pairs, degrees, parts), "hub-pairs", files)
     partners = rows.join(sets.withColumnRenamed("sig", "partner"), "partner").select("hub", "salt", "partner", "items")
     hubs = rows.select("hub", "salt").distinct().join(sets.withColumnRenamed("sig", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("partner"), "items")
     both = hubs.unionByName(partners).repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("partner"))
-    links = stored(both.mapInArrow(released(compare), "a long, b long"), "links")
+    links = stored(both.mapInArrow(released(compare), "a long, b long"), "links", files)
     discard(degrees, rows)
     return links
 
@@ -448,38 +449,39 @@ def classify(docs: DataFrame) -> DataFrame:
     described = describe(docs)
     total = described.agg(F.sum("n")).first()[0] or 0
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHINGLES))
-    found = meet_prefixes(docs, frequencies(described), parts)
+    files = files_for(spark, -(-total // SHINGLES))
+    found = meet_prefixes(docs, frequencies(described), parts, files)
     large, stars = with_hubs(found)
     columns = ["kind", "x", "y", "nx", "ny", "votes"]
-    pairs = stored(_possible(found.where(F.col("kind").isin(_PAIR, _STAR)).select(columns).unionByName(stars)), "possible-pairs")
+    pairs = stored(_possible(found.where(F.col("kind").isin(_PAIR, _STAR)).select(columns).unionByName(stars)), "possible-pairs", files)
     # Round one: every row with the hub, or else the partner, that shares most of its prefix.
     each = pairs.select(F.col("x").alias("v"), "kind", "x", "y", "votes").unionByName(pairs.select(F.col("y").alias("v"), "kind", "x", "y", "votes"))
     best = each.groupBy("v").agg(F.max_by(F.struct("x", "y"), F.struct("kind", "votes", "x", "y")).alias("p")).select("p.x", "p.y").distinct()
-    best = stored(best, "best-pairs")
-    links = verify(docs, best, parts)
-    labels = connected_components(links)
+    best = stored(best, "best-pairs", files)
+    links = verify(docs, best, parts, files)
+    labels = connected_components(links, files=files)
     # Round two: what is still apart.
     label_of = lambda c, name: labels.select(F.col("node").alias(c), F.col("label").alias(name))
     under = large.groupBy("sig", "hub").agg(F.count(F.lit(1)).alias("under"))
     mains = under.groupBy("sig").agg(F.max_by(F.struct("hub", "under"), F.struct("under", "hub")).alias("m")).select("sig", F.col("m.hub").alias("main"), F.col("m.under").alias("under"))
-    mains = stored(mains, "main-hubs")
+    mains = stored(mains, "main-hubs", files)
     shared = found.where(F.col("kind") == _SHARED).groupBy(F.col("x").alias("sig")).agg(F.sum("votes").alias("shared"))
     known = large.join(shared, "sig").join(mains, "sig").join(label_of("sig", "label"), "sig", "left")
     placed = places(known.select("h", "sig", "n", "at", F.coalesce("label", "sig").alias("label"), "shared", "hub", "main", "under"), large, parts)
     rest = found.where(F.col("kind") == _PAIR).select(columns).unionByName(across_components(placed, parts).select(columns))
     rest = _possible(rest, mains).join(label_of("x", "lx"), "x", "left").join(label_of("y", "ly"), "y", "left")
     rest = rest.where(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y").join(best, ["x", "y"], "left_anti")
-    rest = stored(rest, "remaining-pairs")
+    rest = stored(rest, "remaining-pairs", files)
     discard(found, pairs, best, mains)
     if not rest.isEmpty():
-        more = verify(docs, rest, parts)
-        labels = connected_components(links.unionByName(more))
+        more = verify(docs, rest, parts, files)
+        labels = connected_components(links.unionByName(more), files=files)
         discard(more)
     discard(rest, links)
     rows = described.where("row is null").select("doc_id", "n", "sig")
     fair = max(1.0, rows.count() / parts * FAIR)
     rows = looked_up(rows, "sig", labels.select(F.col("node").alias("sig"), "label"), "label", fair).select("doc_id", "n", F.coalesce("label", "sig").alias("class"))
-    rows = stored(rows, "classes")
+    rows = stored(rows, "classes", files)
     least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return looked_up(rows, "class", least, "least", fair).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
@@ -504,7 +506,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that share an id are kept or dropped together; of those kept, rows with the same text too are one row."""
     name, times = (_free(docs, n) for n in ("_kept", "_times"))
     kept = classify(docs).where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias(times))
-    kept = stored(kept, "kept-ids")
+    kept = stored(kept, "kept-ids", files_for(docs.sparkSession, -(-docs.count() // IDS)))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     nameless = docs.where(docs["doc_id"].isNull())
     repeated = kept.where(F.col(times) > 1).select(name)

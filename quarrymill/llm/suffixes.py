@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import _BASE_INV, arrow_rows, covered, mix, parts_for, powers, prefix_hash, slices, spread, stored, utf8, word_hash
+from .blocks import _BASE_INV, arrow_rows, covered, mix, parts_and_files, powers, prefix_hash, slices, spread, stored, utf8, word_hash
 
 LENGTH, K = 100, 32
 HOT, HOT_OFFSETS = 1000, 4
@@ -421,16 +421,16 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def removed_spans(docs: DataFrame, parts: int) -> DataFrame:
+def removed_spans(docs: DataFrame, parts: int, files: int | None = None) -> DataFrame:
     """Packed spans of removed bytes (documents: doc_id long, text string)."""
-    found = stored(match_anchors(find_anchors(docs, parts), parts), "suffix-blocks")
-    contexts = stored(fetch_contexts(docs, found.where(F.col("kind") == REQUESTS), parts), "suffix-contexts")
+    found = stored(match_anchors(find_anchors(docs, parts), parts), "suffix-blocks", files)
+    contexts = stored(fetch_contexts(docs, found.where(F.col("kind") == REQUESTS), parts), "suffix-contexts", files)
     return found.where(F.col("kind") == SPANS).unionByName(compare_suffixes(contexts, parts))
 
 
-def _prepared(docs: DataFrame, *extra: str) -> tuple[DataFrame, int]:
+def _prepared(docs: DataFrame, *extra: str) -> tuple[DataFrame, int, int]:
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra), parts_for(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra), *parts_and_files(docs)
 
 
 def _gone(batch: pa.RecordBatch, records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -444,7 +444,7 @@ def _gone(batch: pa.RecordBatch, records: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    docs, parts = _prepared(docs)
+    docs, parts, files = _prepared(docs)
 
     def each(batch, records):
         data, offsets, gone = _gone(batch, records)
@@ -457,7 +457,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         count = lambda x: pa.array(np.diff(x[offsets]).astype(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), count(running), count(heads), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return meet(docs, removed_spans(docs, parts), parts, _SPAN, each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return meet(docs, removed_spans(docs, parts, files), parts, _SPAN, each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def keep_rest(docs: DataFrame) -> DataFrame:
@@ -465,7 +465,7 @@ def keep_rest(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     names = {c: f"_kept{i}" for i, c in enumerate(others)}
     work = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    work, parts = _prepared(work, *names.values())
+    work, parts, files = _prepared(work, *names.values())
 
     def each(batch, records):
         data, offsets, gone = _gone(batch, records)
@@ -476,7 +476,7 @@ def keep_rest(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), *(batch.column(n) for n in names.values())], names=["doc_id", "text", *names.values()])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *[T.StructField(n, docs.schema[c].dataType) for c, n in names.items()]])
-    out = meet(work, removed_spans(work.select("doc_id", "text"), parts), parts, _SPAN, each, schema, tuple(names.values()))
+    out = meet(work, removed_spans(work.select("doc_id", "text"), parts, files), parts, _SPAN, each, schema, tuple(names.values()))
     return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 

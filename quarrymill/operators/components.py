@@ -27,12 +27,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, label (the least node of its component) of all nodes of an edge list (a long, b long)."""
-    now = stored(edges.where("a <> b").select("a", "b").distinct(), "components")
+def connected_components(edges: DataFrame, rounds: int = 50, files: int | None = None) -> DataFrame:
+    """node, label (the least node of its component) of all nodes of an edge list (a long, b long). files: of a stored round, at most."""
+    now = stored(edges.where("a <> b").select("a", "b").distinct(), "components", files)
     seen = None
     for _ in range(rounds):
-        was, now = now, stored(_small_star(_large_star(now)), "components")
+        was, now = now, stored(_small_star(_large_star(now)), "components", files)
         discard(was)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == seen:

@@ -14,11 +14,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet to the shared folder and read it back."""
+def files_for(spark: SparkSession, least: int = 1) -> int:
+    """Number of files of a table that needs `least` by its size: two for each core at least, whatever the number of shuffle partitions.
+
+    Without Hadoop's native library an executor starts a `chmod` for each file and its checksum, and until exec such a child stands for the whole JVM where memory is counted."""
+    return max(2 * spark.sparkContext.defaultParallelism, least)
+
+
+def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write a frame as Parquet to the shared folder, in at most `files` files if given, and read it back."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

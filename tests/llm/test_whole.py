@@ -1,5 +1,6 @@
 """Whole queries against plain Python, and what all operators share: very long texts, clashing columns, empty tables."""
 
+import functools
 import hashlib
 import math
 import random
@@ -242,3 +243,32 @@ def test_short_texts_alone_lose_nothing(spark):
 
     docs = spark.createDataFrame([(i, "the same forty bytes of text, over again") for i in range(30)], "doc_id long, text string")
     assert {(r.n_bytes, r.n_removed) for r in suffixes.dedup(docs).collect()} == {(40, 0)}
+
+
+def test_files_follow_cores_and_data_not_shuffle_partitions(spark, small, monkeypatch):
+    """With 40 shuffle partitions on four cores, no stage and none of its tables after the first shuffle has more than eight files."""
+    import corpus_pipeline as p
+    from quarrymill.llm import jaccard, suffixes
+    from quarrymill.operators import components
+
+    files = {}
+
+    def counted(frame, name, *more, stored):
+        out = stored(frame, name, *more)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    for module in (components, jaccard, suffixes):
+        monkeypatch.setattr(module, "stored", functools.partial(counted, stored=module.stored))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.read.parquet(f"{small[0]}/documents.parquet").repartition(20)
+        for name, stage in p.STAGES:
+            files[name] = stage(spark, docs, small[0]).rdd.getNumPartitions()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    del files["shingle-sets"]  # as many as the table's splits
+    assert {"candidate-pairs", "components", "suffix-blocks", "suffix-contexts", "kept-ids", "links"} < set(files) and max(files.values()) <= 8
