@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .money import col
+from .money import col, let
 
 # Words without meaning in a listing title.
 TITLE_STOP_WORDS = ["the", "a", "an", "lp", "vinyl", "record", "records", "album", "used"]
@@ -108,40 +108,42 @@ def gtin(*values) -> Column:
 
 
 # Words that name an edition, and colours and textures of a pressing.
-EDITION_SIGNALS = {
-    "audiophile": r"\baudiophile\b", "box-set": r"\bbox\s+set\b", "deluxe": r"\bdeluxe\b", "expanded": r"\bexpanded\b",
-    "gatefold": r"\bgatefold\b", "half-speed": r"\bhalf\s+speed\b", "limited": r"\blimited\b", "mono": r"\bmono\b",
-    "numbered": r"\bnumbered\b", "picture-disc": r"\bpicture\s+disc\b", "remastered": r"\bremaster(?:ed)?\b", "reissue": r"\breissue\b",
-    "stereo": r"\bstereo\b",
-}
+EDITION_SIGNALS = ["audiophile", "box set", "deluxe", "expanded", "gatefold", "half speed", "limited", "mono", "numbered", "picture disc", "remaster(?:ed)?", "reissue", "stereo"]
 COLOURS = ["black", "blue", "brown", "clear", "cream", "gold", "gray", "green", "grey", "orange", "pink", "purple", "red", "silver", "transparent", "translucent", "white", "yellow"]
 TEXTURES = ["galaxy", "marble", "marbled", "smoke", "splatter", "swirl"]
 
 
 def edition_signals(text) -> Column:
-    """Sorted set of edition signals of a listing text; empty for a standard edition."""
-    t = identity_text(text)
+    """Sorted set of edition signals of a listing text; empty for a standard edition.
+
+    The text is folded once, and all words of a kind are found in one pass: a match looks ahead and takes nothing, so one may begin inside another."""
+    return let(identity_text(text), _signals_of_words)
+
+
+def _signals_of_words(t: Column) -> Column:
     every = lambda pattern, form: F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), form)
-    dated = every(r"\b(\d{1,3})(?:st|nd|rd|th)? anniversary\b", lambda x: F.concat(F.lit("anniversary-"), x))
+    any_of = lambda words: "(" + "|".join(words) + ")"
     one = lambda condition, label: F.when(condition, F.array(F.lit(label))).otherwise(F.array().cast("array<string>"))
     # Shops with exclusive editions, and patterns of anniversaries, numbers of discs and weights.
     shop = F.regexp_extract(t, r"\b(target|walmart|amazon|indie|urban outfitters|barnes and noble|barnes noble|b and n)\s+exclusive\b", 1)
+    hued = lambda x: F.concat(F.lit("color-"), F.replace(x, F.lit("grey"), F.lit("gray")))
+    dated = let(every(r"\b(\d{1,3})(?:st|nd|rd|th)? anniversary\b", lambda x: F.concat(F.lit("anniversary-"), x)), lambda d: F.when(F.size(d) > 0, d).otherwise(F.array(F.lit("anniversary"))))
+    none = F.array().cast("array<string>")
     parts = [
-        dated,
-        one(t.rlike(r"\banniversary\b") & (F.size(dated) == 0), "anniversary"),
+        F.when(t.rlike(r"\banniversary\b"), dated).otherwise(none),
         every(r"\b([2-9])\s*(?:x\s*)?lp\b", lambda x: F.concat(x, F.lit("lp"))),
         every(r"\b(180|200)\s*g\b", lambda x: F.concat(x, F.lit("g"))),
-        *[one(t.rlike(p), label) for label, p in EDITION_SIGNALS.items()],
-        F.when(shop != "", F.array(F.concat(F.lit("exclusive-"), F.replace(shop, F.lit(" "), F.lit("-"))))).otherwise(one(t.rlike(r"\bexclusive\b"), "exclusive")),
-        *[one(t.rlike(rf"\b{c}\s+(?:colored\s+)?(?:vinyl|lp)\b|\b(?:vinyl|lp)\s+(?:in\s+)?{c}\b"), "color-" + c.replace("grey", "gray")) for c in COLOURS],
-        *[one(t.rlike(rf"\b{x}\b"), "texture-" + x.replace("marbled", "marble")) for x in TEXTURES],
+        every(rf"\b(?={any_of(EDITION_SIGNALS)}\b)", lambda x: F.regexp_replace(F.replace(x, F.lit(" "), F.lit("-")), "^remaster$", "remastered")),
+        F.when(~F.contains(t, F.lit("exclusive")), none).otherwise(F.when(shop != "", F.array(F.concat(F.lit("exclusive-"), F.replace(shop, F.lit(" "), F.lit("-"))))).otherwise(one(t.rlike(r"\bexclusive\b"), "exclusive"))),
+        every(rf"\b(?={any_of(COLOURS)}\s+(?:colored\s+)?(?:vinyl|lp)\b)", hued),
+        every(rf"\b(?=(?:vinyl|lp)\s+(?:in\s+)?{any_of(COLOURS)}\b)", hued),
+        every(rf"\b(?={any_of(TEXTURES)}\b)", lambda x: F.concat(F.lit("texture-"), F.replace(x, F.lit("marbled"), F.lit("marble")))),
     ]
     return F.array_sort(F.array_distinct(F.flatten(F.array(*parts))))
 
 
 def edition_identity(text) -> Column:
-    signals = edition_signals(text)
-    return F.when(F.size(signals) == 0, "standard").otherwise(F.array_join(signals, ","))
+    return let(edition_signals(text), lambda signals: F.when(F.size(signals) == 0, "standard").otherwise(F.array_join(signals, ",")))
 
 
 def condition_identity(condition) -> Column:

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, four parts each, unless their files give as many: for work that costs far more than moving a row. A small file is one or a few tasks however many rows it holds."""
+    parts = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= parts else rows.repartition(parts)
+
+
 def cents(column: str):
     """Whole cents: sums of them don't depend on their order."""
     return F.floor(F.col(column) * 100 + 0.5).cast("long")

@@ -9,7 +9,7 @@ from ..operators import aggregates, ranking
 from ..operators import listings as tables
 from ..sources import catalogs, html, payloads
 from ..sources import tables as files
-from .adapters import AS_OF, SOLD_SQL, round_sql, sold_lines, table
+from .adapters import AS_OF, SOLD_SQL, round_sql, sold_lines, spread, table
 from .catalogue import query
 
 # ---- titles ------------------------------------------------------------------------------------------
@@ -47,7 +47,7 @@ SELECT id, CASE WHEN len(s) = 0 THEN 'standard' ELSE array_to_string(s, ',') END
 )
 def edition_identities(spark, sf_dir):
     """Editions that titles name, as one sorted identity."""
-    return _titles(spark, sf_dir).select("id", text.edition_identity("title").alias("edition"))
+    return spread(_titles(spark, sf_dir)).select("id", text.edition_identity("title").alias("edition"))
 
 
 @query("""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(strip_accents(split_part(text, chr(10), 1))), '&', ' and '), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS words FROM documents""")

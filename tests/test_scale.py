@@ -1,0 +1,27 @@
+"""What keeps queries in time on larger tables: texts are handled once, small files are spread, joins don't multiply."""
+
+from pyspark.sql import functions as F
+
+from quarrymill.functions import text
+from quarrymill.plans import adapters
+
+
+def plan_of(frame) -> str:
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_listing_text_is_folded_once_for_all_editions(spark):
+    cases = {
+        "Red Vinyl Blue, LP in Grey LP black": "color-black,color-blue,color-gray,color-red", "Remaster remastered Box Set marbled marble": "box-set,remastered,texture-marble", "5th anniversary anniversary exclusive": "anniversary-5,exclusive",
+        "redvinyl monos": "standard", "The Anniversary": "anniversary", "": "standard", None: "standard",
+    }
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", text.edition_identity("t").alias("e"))
+    assert {r.t: r.e for r in got.collect()} == cases
+    assert plan_of(spark.range(1).select(text.edition_identity(F.col("id").cast("string")).alias("e"))).count("translate(") == 1
+
+
+def test_a_small_file_is_spread_over_all_cores(spark, tmp_path):
+    spark.range(50).coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = adapters.spread(spark.read.parquet(str(tmp_path / "t")))
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.count() == 50
+    assert adapters.spread(spark.range(0, 50, 1, 99)).rdd.getNumPartitions() == 99
