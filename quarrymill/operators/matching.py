@@ -48,13 +48,21 @@ def attribution_cascade(transactions: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def apply_campaigns(items: DataFrame, campaigns: DataFrame, item_id: str, price: str) -> DataFrame:
-    """The best applicable campaign of each item's source: its own collection before a sitewide one, then the larger discount."""
-    joined = items.join(campaigns, "source", "left")
-    exact = F.coalesce(F.col("scope_value") == F.col("collection"), F.lit(False))
-    good = F.coalesce(exact | (F.col("scope") == "sitewide"), F.lit(False))
-    order = [good.desc(), exact.desc(), F.col("discount").desc_nulls_last(), F.col("campaign_id").asc_nulls_last()]
-    best = best_per_key(joined.withColumn("_good", good), [item_id], order)
-    return best.select(item_id, "source", price, F.when(F.col("_good"), F.col("campaign_id")).alias("campaign_id"), F.when(F.col("_good"), round_half_up(F.col(price) * (1 - F.col("discount") / 100.0))).otherwise(F.col(price)).alias("offer_price"))
+    """The best applicable campaign of each item's source: its own collection before a sitewide one, then the larger discount.
+
+    Campaigns are ranked before they meet items, so an item meets one of its collection and one row of its source, however many campaigns a source has."""
+    order = [F.col("discount").desc_nulls_last(), F.col("campaign_id").asc_nulls_last()]
+    offer = F.struct("campaign_id", "discount")
+    named = campaigns.where("source IS NOT NULL")
+    own = best_per_key(named.where("scope_value IS NOT NULL"), ["source", "scope_value"], order).select("source", F.col("scope_value").alias("collection"), offer.alias("_own"))
+    wide = best_per_key(named.where("scope = 'sitewide'"), ["source"], order).select("source", offer.alias("_wide"))
+    # The best of any scope applies to nothing; it only decides between rows of one item that no campaign applies to.
+    of_source = best_per_key(named, ["source"], order).select("source", offer.alias("_any")).join(wide, "source", "left")
+    joined = items.join(own, ["source", "collection"], "left").join(of_source, "source", "left").withColumn("_offer", F.coalesce("_own", "_wide"))
+    first = F.coalesce("_offer", "_any")
+    rank = [F.col("_offer").isNotNull().desc(), F.col("_own").isNotNull().desc(), first["discount"].desc_nulls_last(), first["campaign_id"].asc_nulls_last()]
+    best = best_per_key(joined, [item_id], rank)
+    return best.select(item_id, "source", price, F.col("_offer.campaign_id").alias("campaign_id"), F.when(F.col("_offer").isNotNull(), round_half_up(F.col(price) * (1 - F.col("_offer.discount") / 100.0))).otherwise(F.col(price)).alias("offer_price"))
 
 
 def exclude_shared(rows: DataFrame, others: DataFrame, keys: list[Column], other_keys: list[Column]) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarrymill.functions import text
+from quarrymill.operators import matching
 from quarrymill.plans import adapters
 
 
@@ -25,3 +26,51 @@ def test_a_small_file_is_spread_over_all_cores(spark, tmp_path):
     rows = adapters.spread(spark.read.parquet(str(tmp_path / "t")))
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.count() == 50
     assert adapters.spread(spark.range(0, 50, 1, 99)).rdd.getNumPartitions() == 99
+
+
+def by_hand(items, campaigns):
+    """Every item against every campaign of its source, one after another."""
+    best = {}
+    for item, source, collection, price in items:
+        met = [c for c in campaigns if source is not None and c[1] == source] or [(None, source, None, None, None)]
+        for number, _, scope, value, discount in met:
+            exact = value is not None and value == collection
+            good = exact or scope == "sitewide"
+            rank = (not good, not exact, discount is None, -(discount or 0), number is None, number or 0)
+            offer = price if not good else None if discount is None else int((price * (1 - discount / 100) + 2.220446049250313e-16) * 100 + 0.5) / 100
+            if item not in best or rank < best[item][0]:
+                best[item] = (rank, (item, source, price, number if good else None, offer))
+    return {row for _, row in best.values()}
+
+
+def test_campaigns_are_ranked_before_they_meet_items(spark):
+    import random
+
+    r = random.Random(4)
+    items = [(i, r.choice([1, 2, 3, 4, None]), r.choice(["a", "b", "c", None]), 100.0 + i) for i in range(80)]
+    items += [(i, 2, r.choice("abc"), 50.0) for i in range(0, 80, 7)] + [(i, 5, "c", 30.0) for i in range(0, 80, 9)]
+    campaigns = [(n, r.choice([1, 2, None]), r.choice(["sitewide", "collection", None]), r.choice(["a", "b", None]), r.choice([10, 20, 30, None])) for n in range(40)]
+    campaigns += [(90, 3, "collection", "a", 70), (91, 3, "sitewide", "b", None), (92, 5, "collection", "a", 40)]
+    i = spark.createDataFrame(items, "id long, source int, collection string, price double")
+    c = spark.createDataFrame(campaigns, "campaign_id long, source int, scope string, scope_value string, discount int")
+    assert {tuple(x) for x in matching.apply_campaigns(i, c, "id", "price").collect()} == by_hand(items, campaigns)
+
+
+def test_an_item_meets_no_more_rows_than_before_however_many_campaigns(spark):
+    items = spark.range(3000).select("id", F.lit(1).alias("source"), F.lit("a").alias("collection"), F.lit(9.0).alias("price"))
+    campaigns = spark.range(3000).select(F.col("id").alias("campaign_id"), F.lit(1).alias("source"), F.lit("sitewide").alias("scope"), F.lit("b").alias("scope_value"), F.lit(5).alias("discount"))
+    got = matching.apply_campaigns(items, campaigns, "id", "price")
+    assert got.where("campaign_id = 0").count() == 3000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = matching.apply_campaigns(items, campaigns, "id", "price")._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    rows, nodes = [], [plan]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+        if "Join" in node.nodeName():
+            rows.append(node.metrics().apply("numOutputRows").value())
+    assert rows and max(rows) <= 3000
