@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPSILON = 2.220446049250313e-16
@@ -20,6 +20,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with columns that later steps read and never compute again: an array of one struct is unfolded, which the optimiser keeps apart from what comes after it."""
+    return rows.select(*[F.col(c) for c in rows.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def round_half_up(x, places: int = 2) -> Column:
     """Rounding with a nudge of one machine epsilon first, so 1.005 becomes 1.01."""
     scale = float(10**places)

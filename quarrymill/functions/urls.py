@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .money import col
+from .money import col, let
 
 # Query parameters that track a visit and name nothing.
 TRACKING = r"^(utm_.*|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|ref|ref_|source|affiliate|aff|cid|irclickid|srsltid|_ga|_pos)$"
@@ -51,10 +51,9 @@ def sale_page(url) -> Column:
 
 def absolute(href, page) -> Column:
     """An http address as a page links it: resolved against the page's, without its fragment; null for other schemes and for relative ones without a page."""
-    h = F.regexp_replace(F.trim(col(href)), r"#.*$", "")
     origin = F.concat(part(page, "PROTOCOL"), F.lit("://"), F.lower(part(page, "HOST")))
     folder = F.regexp_replace(F.coalesce(part(page, "PATH"), F.lit("/")), r"[^/]*$", "")
-    known = (
+    known = lambda h: (
         F.when(h.rlike(r"(?i)^https?://[^/?]+$"), F.concat(h, F.lit("/")))
         .when(h.rlike(r"(?i)^https?://"), h)
         .when(h.startswith("//"), F.concat(part(page, "PROTOCOL"), F.lit(":"), h))
@@ -63,7 +62,7 @@ def absolute(href, page) -> Column:
         .when(h.startswith("?"), F.concat(origin, F.coalesce(part(page, "PATH"), F.lit("/")), h))
         .when(h != "", F.concat(origin, F.when(folder == "", "/").otherwise(folder), h))
     )
-    return F.when(F.try_parse_url(known, F.lit("HOST")).isNotNull(), known)
+    return let(let(F.regexp_replace(F.trim(col(href)), r"#.*$", ""), known), lambda u: F.when(F.try_parse_url(u, F.lit("HOST")).isNotNull(), u))
 
 
 # Query parameters that a product's address is freed of.

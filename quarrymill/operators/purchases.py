@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.candidates import NOT_A_RECORD, folded
 from ..functions.decisions import chosen
-from ..functions.money import EPSILON, col, known_amount, let, positive_amount
+from ..functions.money import EPSILON, col, computed, known_amount, let, positive_amount
 from ..functions.text import fold_latin
 from ..functions.urls import part
 from .storage import stored
@@ -84,11 +84,6 @@ def _object(raw) -> Column:
     return F.coalesce(F.try_parse_json(col(raw)).isNotNull() & F.startswith(F.ltrim(col(raw)), F.lit("{")), F.lit(False))
 
 
-def _computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """rows with columns that later steps read and never compute again: an array of one struct is unfolded, which the optimiser keeps apart from what comes after it."""
-    return rows.select(*[F.col(c) for c in rows.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def _of_lane(lane, lanes: list[dict], name: str, kind: str) -> Column:
     """A setting of a row's lane; lanes are a caller's short list, so it is an expression and no join."""
     known = [(col(lane) == x["id"], F.lit(x[name]).cast(kind)) for x in lanes if x.get(name) is not None]
@@ -101,7 +96,7 @@ def assess_items(rows: DataFrame, raw: str, lane: str, lanes: list[dict], as_of,
     lanes: dicts of id, min_cents and max_cents of the all-in price, and tokens that a title must have; a row of an unknown
     lane has no bounds. as_of: listings that ended by then are unavailable. Null, empty and damaged texts are invalid items.
     Columns of rows with the names of a candidate's are replaced."""
-    r = _computed(rows, {"_i": F.from_json(F.col(raw), _ITEM)})
+    r = computed(rows, {"_i": F.from_json(F.col(raw), _ITEM)})
     f = lambda name: F.col(f"_i.{name}")
     up = lambda c: F.upper(_said(c))
     fixed = F.filter(F.coalesce(f("shippingOptions"), F.array()), lambda o: (up(o["shippingCostType"]) == "FIXED") & (up(o["shippingCost"]["currency"]) == currency))
@@ -113,7 +108,7 @@ def assess_items(rows: DataFrame, raw: str, lane: str, lanes: list[dict], as_of,
     good_link = F.coalesce(F.lower(part(link, "PROTOCOL")).isin("http", "https") & part(link, "HOST").rlike(HOSTS), F.lit(False))
     bounded = known_amount(f("seller.feedbackPercentage").try_cast("double"))
     name = _said(f("title"))
-    r = _computed(
+    r = computed(
         r,
         {
             "listing_title": name, "_words": plain_words(name), "url": F.when(good_link, F.regexp_replace(F.trim(link), "#.*$", "")), "_shipping": shipping, "_other": other, "_price": price, "_gone": (F.coalesce(f("itemEndDate").try_cast("timestamp") <= F.lit(as_of).cast("timestamp"), F.lit(False))) | F.exists(states, lambda s: F.upper(s).rlike(GONE)),
@@ -157,7 +152,7 @@ def assess_items(rows: DataFrame, raw: str, lane: str, lanes: list[dict], as_of,
     )
     parts = F.filter(F.split(F.col("listing_title"), r"\s+(?:-|–|—|\|)\s+"), lambda p: F.trim(p) != "")
     two = (F.size(parts) >= 2) & (F.length(F.get(parts, F.lit(0))) <= 120)
-    r = _computed(r, {"reject": reject, "item_id": F.coalesce(_said(f("itemId")), _said(f("legacyItemId")), F.col("url")), "artist": F.when(two, F.get(parts, F.lit(0))).otherwise("Unknown Artist"), "title": F.when(two, F.array_join(F.slice(parts, 2, 1 << 20), " - ")).otherwise(F.col("listing_title")), "destination_verified": F.lit(bool(postal_code and postal_code.strip()))})
+    r = computed(r, {"reject": reject, "item_id": F.coalesce(_said(f("itemId")), _said(f("legacyItemId")), F.col("url")), "artist": F.when(two, F.get(parts, F.lit(0))).otherwise("Unknown Artist"), "title": F.when(two, F.array_join(F.slice(parts, 2, 1 << 20), " - ")).otherwise(F.col("listing_title")), "destination_verified": F.lit(bool(postal_code and postal_code.strip()))})
     return stored(r.select(*[F.col(c) for c in rows.columns if c not in (*_CANDIDATE, "reject", raw)], "reject", *_CANDIDATE), "assessed-items")
 
 
@@ -186,7 +181,7 @@ def assess_details(rows: DataFrame, raw: str) -> DataFrame:
     """rows with status (verified, rejected or unknown), reason (null where verified) and evidence, the aspects as "name: value".
 
     An aspect's value may be a text or a list of texts. Null, empty and damaged details are unknown."""
-    r = _computed(rows, {"_d": F.from_json(F.col(raw), _DETAIL)})
+    r = computed(rows, {"_d": F.from_json(F.col(raw), _DETAIL)})
 
     def values(aspect):
         parsed = F.coalesce(F.when(F.startswith(F.ltrim(aspect["value"]), F.lit("[")), F.from_json(aspect["value"], "array<string>")), F.array(aspect["value"]))
@@ -194,13 +189,13 @@ def assess_details(rows: DataFrame, raw: str) -> DataFrame:
         return F.when(_said(aspect["name"]).isNotNull(), F.transform(once, lambda x: F.struct(_said(aspect["name"]).alias("name"), x.alias("value")))).otherwise(F.array())
 
     listed = F.flatten(F.transform(F.coalesce(F.col("_d.localizedAspects"), F.array()), values))
-    r = _computed(r, {"_a": F.transform(listed, lambda a: F.struct(a["name"].alias("shown"), F.lower(a["name"]).alias("name"), a["value"].alias("raw"), plain_words(a["value"]).alias("value")))})
+    r = computed(r, {"_a": F.transform(listed, lambda a: F.struct(a["name"].alias("shown"), F.lower(a["name"]).alias("name"), a["value"].alias("raw"), plain_words(a["value"]).alias("value")))})
     any_of = lambda name, test: F.exists("_a", lambda a: a["name"].rlike(name) & test(a["value"]))
     says = lambda name, pattern: any_of(name, lambda v: v.rlike(pattern))
     has = lambda name: any_of(name, lambda v: v != "")
     given = lambda name: any_of(name, lambda v: F.lit(True))
     all_said = F.concat_ws(" ", plain_words("_d.title"), plain_words(F.array_join(F.transform("_a", lambda a: F.concat_ws(" ", a["shown"], a["raw"])), " ")), plain_words(F.concat_ws(" ", "_d.shortDescription", "_d.description")))
-    r = _computed(r, {"_text": F.trim(all_said), "_marks": F.size(F.array_distinct(F.transform(F.filter("_a", lambda a: a["name"].rlike(RECORD_ASPECT) & (a["value"] != "")), lambda a: plain_words(a["name"]))))})
+    r = computed(r, {"_text": F.trim(all_said), "_marks": F.size(F.array_distinct(F.transform(F.filter("_a", lambda a: a["name"].rlike(RECORD_ASPECT) & (a["value"] != "")), lambda a: plain_words(a["name"]))))})
     accessory = F.exists("_a", lambda a: a["name"].rlike(TYPE) & F.lower(a["raw"]).rlike(ACCESSORY_TYPE)) | F.col("_text").rlike(ACCESSORY_DETAIL) | F.col("_text").rlike(NOT_A_RECORD)
     other_type = any_of(TYPE, lambda v: ~v.rlike(RECORD_TYPE))
     other_format = (given(FORMAT) & ~says(FORMAT, RECORD_FORMAT)) | says(FORMAT, OTHER_FORMAT)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import cards
-from .adapters import table
+from .adapters import spread, table
 from .catalogue import query
 
 SITE = r"(?i)^https?://(?:www\.)?drops\.example/deals/(?!type/)"
@@ -32,7 +32,7 @@ def _shop_pages(spark, sf_dir):
     )
     sold = F.concat(F.lit('<article class="big card"><img alt="'), brand, F.lit(" @ "), name, F.lit('" src="/i/'), k, F.lit('.jpg"><a href="/products/'), slug, F.lit("-"), k, F.lit('">'), name, F.lit("</a> Sold out, was "), _dollars(c), F.lit("</article>"))
     body = F.when(F.col("p_size") <= 20, item).when(F.col("p_size") <= 40, link).otherwise(sold)
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("https://shop"), (F.col("p_partkey") % 7).cast("string"), F.lit(".example/sale")).alias("url"), F.concat(menu, body).alias("html"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", F.concat(F.lit("https://shop"), (F.col("p_partkey") % 7).cast("string"), F.lit(".example/sale")).alias("url"), F.concat(menu, body).alias("html"))
 
 
 @query("""WITH a AS (SELECT *, floor(p_retailprice * 100 / 8)::BIGINT AS c FROM part), b AS (SELECT *, CASE WHEN p_size % 2 = 1 THEN floor(c * 95 / 100)::BIGINT ELSE c END AS l, 'https://shop' || p_partkey % 7 || '.example' AS site, replace(p_name, ' ', '-') AS slug FROM a),

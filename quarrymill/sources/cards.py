@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import col, let
+from ..functions.money import col, computed, let
 from ..functions.urls import absolute
 from .html import decode_entities, plain_text
 
@@ -33,8 +33,7 @@ LINK = r"(?is)<a\b([^>]*)>(.*?)</a>"
 def attribute(tag, name: str) -> Column:
     """Value of a tag's attribute, entities decoded; empty where it has none."""
     found = F.regexp_extract(col(tag), rf"(?i)(?:^|\s){name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1)
-    # Most values hold no entity; let computes each value once, however often it is named.
-    return let(F.regexp_replace(found, r"^([\"'])(.*)\1$", "$2"), lambda v: F.when(F.contains(v, F.lit("&")), decode_entities(v)).otherwise(v))
+    return decode_entities(F.regexp_replace(found, r"^([\"'])(.*)\1$", "$2"))
 
 
 def _address(href, page) -> Column:
@@ -64,12 +63,12 @@ def _number(text) -> Column:
     return F.regexp_replace(text, r"[$,\s]", "").try_cast("double")
 
 
-def _title(block: str, opening: str, link: str, inner: str) -> Column:
+def _title(block: str, opening: Column, link: Column, inner: Column) -> Column:
     """A card's title: a name it states, else artist and release, else its heading, its picture's text or the link's, and the format where the title lacks it."""
     first = lambda name: F.regexp_extract(block, _of_class(name, 600), 1)
     parts = F.array(
         attribute(opening, "data-name"), attribute(link, "title"), attribute(link, "aria-label"), first("product-title"), first("product-artist"),
-        first("card-title"), F.regexp_extract(block, r"(?i)<img\b[^>]*\balt=[\"']([^\"']+)[\"']", 1), F.col(inner), first("see-more-format"),
+        first("card-title"), F.regexp_extract(block, r"(?i)<img\b[^>]*\balt=[\"']([^\"']+)[\"']", 1), inner, first("see-more-format"),
     )
 
     def chosen(p):
@@ -78,8 +77,8 @@ def _title(block: str, opening: str, link: str, inner: str) -> Column:
         # A price at the end goes; a slash or an at sign between artist and release is a dash.
         for pattern, to in ((r"\s*,?\s*\$\s*[0-9][0-9,.]*\s*$", ""), (r"^(.{2,100}?)/([^/].+)$", "$1 - $2"), (r"\s*@\s*", " - "), (r"\s+", " ")):
             title = F.regexp_replace(title, pattern, to)
-        lacks = at(8).isNotNull() & ~F.contains(F.lower(title), F.lower(at(8)))
-        return F.when(lacks, F.concat(F.trim(title), F.lit(" ("), at(8), F.lit(")"))).otherwise(F.trim(title))
+        lacks = lambda t: at(8).isNotNull() & ~F.contains(F.lower(t), F.lower(at(8)))
+        return let(title, lambda t: F.when(lacks(t), F.concat(F.trim(t), F.lit(" ("), at(8), F.lit(")"))).otherwise(F.trim(t)))
 
     return let(F.transform(parts, plain_text), chosen)
 
@@ -96,24 +95,29 @@ def product_cards(pages: DataFrame, key: str, url: str = "url", html: str = "htm
     address, are one product: least price, greatest regular price, longest title (the first of equal ones), address and picture of the first that has one,
     sold out if one says so, with the state of the last."""
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_page"), F.posexplode(_blocks(html)).alias("_place", "_block"))
-    rows = rows.withColumn("_opening", F.regexp_extract("_block", r"^<[^>]+>", 0)).withColumn("_links", F.regexp_extract_all("_block", F.lit(LINK), F.lit(0)))
-    leads = F.filter("_links", lambda a: _path(_address(attribute(F.regexp_extract(a, LINK, 1), "href"), F.col("_page"))).rlike(PRODUCT_PATH))
-    rows = rows.withColumn("_link", F.get(leads, F.lit(0))).where("_link IS NOT NULL")
-    rows = rows.select("*", F.regexp_extract("_link", LINK, 1).alias("_tag"), F.regexp_extract("_link", LINK, 2).alias("_inner"))
-    rows = rows.withColumn("_url", _address(attribute("_tag", "href"), F.col("_page")))
-    named = [F.trim(attribute(tag, name)) for tag, name in (("_opening", "data-product-id"), ("_opening", "data-entity-id"), ("_opening", "data-id"), ("_tag", "data-product-id"))]
-    stated_ids = F.filter(F.array(*named, F.regexp_extract(_path("_url"), r"(?i)/p/(\d+)(?:/|$)", 1)), lambda n: n != "")
+    # What follows reads these columns many times, filters included: each step's are computed once and kept.
+    told = lambda a: F.struct(F.regexp_extract(a, LINK, 1).alias("tag"), F.regexp_extract(a, LINK, 2).alias("inner"))
+    link = lambda x: F.struct(x["tag"].alias("tag"), x["inner"].alias("inner"), _address(attribute(x["tag"], "href"), F.col("_page")).alias("url"))
+    links = F.transform(F.transform(F.regexp_extract_all("_block", F.lit(LINK), F.lit(0)), told), link)
+    leads = F.filter(links, lambda x: _path(x["url"]).rlike(PRODUCT_PATH))
+    rows = computed(rows, {"_opening": F.regexp_extract("_block", r"^<[^>]+>", 0), "_link": F.get(leads, F.lit(0))}).where("_link IS NOT NULL")
+    opening, tag, url_of = F.col("_opening"), F.col("_link.tag"), F.col("_link.url")
+    named = [F.trim(attribute(t, name)) for t, name in ((opening, "data-product-id"), (opening, "data-entity-id"), (opening, "data-id"), (tag, "data-product-id"))]
+    stated_ids = F.filter(F.array(*named, F.regexp_extract(_path(url_of), r"(?i)/p/(\d+)(?:/|$)", 1)), lambda n: n != "")
     identity = let(F.get(stated_ids, F.lit(0)), lambda n: F.when(F.length(n) <= 160, n))
     of_class = lambda names: F.flatten(F.array(*(F.regexp_extract_all("_block", F.lit(_of_class(n, 300)), F.lit(1)) for n in names)))
-    stated = F.array(_number(attribute("_opening", "data-product-price")), _number(attribute("_tag", "data-product-price")))
+    stated = F.array(_number(attribute(opening, "data-product-price")), _number(attribute(tag, "data-product-price")))
     marked = F.transform(F.regexp_extract_all("_block", F.lit(r"(?i)<[^>]*itemprop=[\"']price[\"'][^>]*>([\s\S]{0,80}?)</"), F.lit(1)), lambda t: _number(F.regexp_replace(t, r"<[^>]+>", " ")))
-    image = F.regexp_extract("_block", r"(?i)<img\b[^>]*(?:data-src|src)=[\"']([^\"']+)[\"']", 1)
-    rows = rows.select(
-        "_key", "_place", "_url", identity.alias("_id"), _title("_block", "_opening", "_tag", "_inner").alias("_title"), plain_text("_block").rlike(SOLD_OUT).alias("_sold"),
-        F.concat(_usable(F.concat(stated, marked)), _amounts(of_class(["sale-price"]))).alias("_sale"), _amounts(F.concat(of_class(["price"]), F.array("_block"))).alias("_seen"), _amounts(of_class(WAS)).alias("_was"),
-        F.when(F.contains("_block", F.lit("$")), "USD").alias("_currency"), _address(F.when(image.startswith("//"), F.concat(F.lit("https:"), decode_entities(image))).otherwise(F.nullif(decode_entities(image), F.lit(""))), F.col("_page")).alias("_image"),
-    )
-    rows = rows.withColumn("_price", F.array_min(F.concat("_sale", "_seen"))).where("_price IS NOT NULL AND length(_title) BETWEEN 3 AND 300")
+    image = decode_entities(F.regexp_extract("_block", r"(?i)<img\b[^>]*(?:data-src|src)=[\"']([^\"']+)[\"']", 1))
+    picture = let(image, lambda i: F.when(i.startswith("//"), F.concat(F.lit("https:"), i)).otherwise(F.nullif(i, F.lit(""))))
+    rows = computed(
+        rows.select("_key", "_place", "_page", "_block", "_opening", "_link"),
+        {
+            "_url": url_of, "_id": identity, "_title": _title("_block", opening, tag, F.col("_link.inner")), "_sold": plain_text("_block").rlike(SOLD_OUT), "_sale": F.concat(_usable(F.concat(stated, marked)), _amounts(of_class(["sale-price"]))),
+            "_seen": _amounts(F.concat(of_class(["price"]), F.array("_block"))), "_was": _amounts(of_class(WAS)), "_currency": F.when(F.contains("_block", F.lit("$")), "USD"), "_image": _address(picture, F.col("_page")),
+        },
+    ).drop("_page", "_block", "_opening", "_link")
+    rows = computed(rows, {"_price": F.array_min(F.concat("_sale", "_seen"))}).where("_price IS NOT NULL AND length(_title) BETWEEN 3 AND 300")
     rows = rows.withColumn("_regular", F.array_max(F.filter(F.concat("_was", "_seen"), lambda p: p > F.col("_price"))))
     same = F.coalesce(F.concat(F.lit("id:"), "_id"), F.concat(F.lit("url:"), F.lower("_url")))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_place")))

@@ -34,13 +34,16 @@ def numeric_entities(text) -> Column:
 
 
 def decode_entities(text) -> Column:
-    """Numeric and named entities, twice, so that doubly escaped ones come out too."""
-    out = col(text)
-    for _ in range(2):
-        out = let(out, numeric_entities)
-        for name, char in ENTITIES.items():
-            out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """Numeric and named entities, twice, so that doubly escaped ones come out too. Most texts hold none."""
+
+    def decoded(out):
+        for _ in range(2):
+            out = let(out, numeric_entities)
+            for name, char in ENTITIES.items():
+                out = F.replace(out, F.lit(name), F.lit(char))
+        return out
+
+    return let(col(text), lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 
 
 def plain_text(html) -> Column:

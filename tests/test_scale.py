@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import text
 from quarrymill.operators import matching
 from quarrymill.plans import adapters
+from quarrymill.sources import cards
 
 
 def plan_of(frame) -> str:
@@ -74,3 +75,9 @@ def test_an_item_meets_no_more_rows_than_before_however_many_campaigns(spark):
         if "Join" in node.nodeName():
             rows.append(node.metrics().apply("numOutputRows").value())
     assert rows and max(rows) <= 3000
+
+
+def test_each_part_of_a_card_is_computed_once(spark):
+    pages = spark.range(9).select("id", F.lit("https://a.example/").alias("url"), F.col("id").cast("string").alias("html"))
+    plan = plan_of(cards.product_cards(pages, "id"))
+    assert {word: plan.count(word) for word in ("itemprop", "sale-price", "discontinued", "product-artist", "music/vinyl")} == {"itemprop": 1, "sale-price": 1, "discontinued": 1, "product-artist": 1, "music/vinyl": 1}
