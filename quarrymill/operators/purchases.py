@@ -1,7 +1,8 @@
 """Purchase listings of a marketplace: an ordered list of reject rules, one candidate for each item over all lanes, counts by lane and rule, and what an item's detail says it is.
 
-Listings and details are raw JSON texts. What a rule needs and doesn't find is unknown, never zero. Assessed rows are stored in the
-shared folder, so that texts are parsed and rules tried once, however many results are drawn from them; `storage.discard` deletes them. The raw texts are not kept.
+Listings and details are raw JSON texts. What a rule needs and doesn't find is unknown, never zero. Assessed details and what `discover` reads of assessed
+listings are stored in the shared folder, so that texts are parsed and rules tried once, however many results are drawn from them; the raw texts are not kept.
+Assessed listings themselves are not stored: a caller that draws several results from them stores them (`storage.stored`, `storage.discard`).
 """
 
 from __future__ import annotations
@@ -55,19 +56,31 @@ _ITEM = (
     f"estimatedAvailabilities array<struct<estimatedAvailabilityStatus:string>>, price {_MONEY}, shippingOptions array<struct<shippingCostType:string,shippingCost:{_MONEY}>>, itemWebUrl string, itemLocation struct<country:string>, "
     "seller struct<username:string,sellerAccountType:string,feedbackScore:string,feedbackPercentage:string>"
 )
+# What JSON itself doesn't allow is damage, and so are values of another type than asked for; the text is then kept in _damage.
+STRICT = {"columnNameOfCorruptRecord": "_damage", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _DETAIL = "title string, shortDescription string, description string, localizedAspects array<struct<name:string,value:string>>"
 _CANDIDATE = ["item_id", "artist", "title", "listing_title", "price_cents", "item_cents", "shipping_cents", "currency", "country", "seller", "seller_score", "seller_percentage", "url", "destination_verified"]
 
 
 def plain_words(text) -> Column:
     """ASCII words in lower case; apostrophes go, a marked Latin letter ends its word. Null counts as empty."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(col(text), F.lit("")), "[’']", ""), "([À-ž])", "$1 ")
-    return F.trim(F.lower(F.regexp_replace(fold_latin(bare), r"(?i)[^a-z0-9]+", " ")))
+
+    def words(t: Column) -> Column:
+        marked = fold_latin(F.regexp_replace(F.replace(t, F.lit("’"), F.lit("")), "([À-ž])", "$1 "))
+        plain = F.when(F.octet_length(t) == F.length(t), t).otherwise(marked)
+        return F.trim(F.lower(F.regexp_replace(F.replace(plain, F.lit("'"), F.lit("")), r"(?i)[^a-z0-9]+", " ")))
+
+    return let(F.coalesce(col(text), F.lit("")), words)
 
 
 def _said(text) -> Column:
     """White space folded; null for nothing."""
-    return F.nullif(folded(col(text)), F.lit(""))
+    return let(folded(col(text)), lambda t: F.when(t != "", t))
+
+
+def _word(text) -> Column:
+    """A text without white space around it, in upper case, to be compared with a single word: cheaper than folding what stands inside."""
+    return F.upper(F.btrim(col(text), F.lit(" \t\n\x0b\f\r")))
 
 
 def _list(values) -> Column:
@@ -79,9 +92,10 @@ def _cents(amount: Column) -> Column:
     return F.floor((amount + EPSILON) * 100 + 0.5).cast("long")
 
 
-def _object(raw) -> Column:
-    """Whether a text is a JSON object."""
-    return F.coalesce(F.try_parse_json(col(raw)).isNotNull() & F.startswith(F.ltrim(col(raw)), F.lit("{")), F.lit(False))
+def _object(raw, damage=None) -> Column:
+    """Whether a text is a JSON object. damage: null where the text was already parsed without a complaint, which spares another look at it."""
+    sound = F.try_parse_json(col(raw)).isNotNull() if damage is None else damage.isNull() | F.try_parse_json(col(raw)).isNotNull()
+    return F.coalesce(F.startswith(F.ltrim(col(raw)), F.lit("{")) & sound, F.lit(False))
 
 
 def _of_lane(lane, lanes: list[dict], name: str, kind: str) -> Column:
@@ -96,64 +110,64 @@ def assess_items(rows: DataFrame, raw: str, lane: str, lanes: list[dict], as_of,
     lanes: dicts of id, min_cents and max_cents of the all-in price, and tokens that a title must have; a row of an unknown
     lane has no bounds. as_of: listings that ended by then are unavailable. Null, empty and damaged texts are invalid items.
     Columns of rows with the names of a candidate's are replaced."""
-    r = computed(rows, {"_i": F.from_json(F.col(raw), _ITEM)})
+    r = computed(rows, {"_i": F.from_json(F.col(raw), f"{_ITEM}, _damage string", STRICT)})
     f = lambda name: F.col(f"_i.{name}")
     up = lambda c: F.upper(_said(c))
-    fixed = F.filter(F.coalesce(f("shippingOptions"), F.array()), lambda o: (up(o["shippingCostType"]) == "FIXED") & (up(o["shippingCost"]["currency"]) == currency))
+    options = F.coalesce(f("shippingOptions"), F.array())
+    fixed = F.filter(options, lambda o: (_word(o["shippingCostType"]) == "FIXED") & (up(o["shippingCost"]["currency"]) == currency))
     quotes = F.filter(F.transform(fixed, lambda o: known_amount(o["shippingCost"]["value"].try_cast("double"))), lambda v: v.isNotNull())
-    other = F.exists(F.coalesce(f("shippingOptions"), F.array()), lambda o: F.coalesce(up(o["shippingCostType"]) != "FIXED", F.lit(False)))
+    other = F.exists(options, lambda o: F.coalesce((_word(o["shippingCostType"]) != "FIXED") & (_word(o["shippingCostType"]) != ""), F.lit(False)))
     price, shipping = positive_amount(f("price.value").try_cast("double")), F.array_min(F.transform(quotes, _cents))
     states = _list(F.concat(F.array(f("estimatedAvailabilityStatus")), F.coalesce(F.transform(f("estimatedAvailabilities"), lambda e: e["estimatedAvailabilityStatus"]), F.array().cast("array<string>"))))
+    gone = F.coalesce(f("itemEndDate").try_cast("timestamp") <= F.lit(as_of).cast("timestamp"), F.lit(False)) | F.exists(states, lambda s: F.upper(s).rlike(GONE))
     link = f("itemWebUrl")
     good_link = F.coalesce(F.lower(part(link, "PROTOCOL")).isin("http", "https") & part(link, "HOST").rlike(HOSTS), F.lit(False))
     bounded = known_amount(f("seller.feedbackPercentage").try_cast("double"))
-    name = _said(f("title"))
-    r = computed(
-        r,
-        {
-            "listing_title": name, "_words": plain_words(name), "url": F.when(good_link, F.regexp_replace(F.trim(link), "#.*$", "")), "_shipping": shipping, "_other": other, "_price": price, "_gone": (F.coalesce(f("itemEndDate").try_cast("timestamp") <= F.lit(as_of).cast("timestamp"), F.lit(False))) | F.exists(states, lambda s: F.upper(s).rlike(GONE)),
-            "currency": up(f("price.currency")), "country": up(f("itemLocation.country")), "seller": _said(f("seller.username")), "seller_score": F.floor(known_amount(f("seller.feedbackScore").try_cast("double"))).cast("long"), "seller_percentage": F.when(bounded <= 100, bounded),
-            "_leaf": _list(f("leafCategoryIds")), "_categories": _list(F.transform(f("categories"), lambda c: c["categoryId"])), "_fixed_price": F.exists(_list(f("buyingOptions")), lambda o: F.upper(o) == "FIXED_PRICE"), "_lane_low": _of_lane(lane, lanes, "min_cents", "long"), "_lane_high": _of_lane(lane, lanes, "max_cents", "long"),
-        },
-    )
-    r = r.withColumns({"item_cents": _cents(F.col("_price")), "shipping_cents": F.col("_shipping"), "price_cents": _cents(F.col("_price") + F.col("_shipping") / 100.0)})
-    around = F.concat(F.lit(" "), F.col("_words"), F.lit(" "))
-    tokens = [(col(lane) == x["id"]) & ~F.contains(around, F.concat(F.lit(" "), plain_words(F.lit(t)), F.lit(" "))) for x in lanes for t in x.get("tokens") or []]
-    in_category = F.when(F.size("_leaf") > 0, F.array_contains("_leaf", category)).otherwise((F.size("_categories") == 0) | F.array_contains("_categories", category))
-    no_record = F.col("_words").rlike(NOT_A_RECORD)
-    for pattern in NO_RECORD_TITLE:
-        no_record = no_record | F.col("_words").rlike(pattern)
-    missing_token = F.lit(False)
-    for t in tokens:
-        missing_token = missing_token | F.coalesce(t, F.lit(False))
-    reject = chosen(
-        [
-            (~_object(raw), "invalid_item"),
-            (F.col("listing_title").isNull(), "missing_title"),
-            (~in_category, "wrong_category"),
-            (~F.col("_fixed_price"), "not_fixed_price"),
-            (~F.coalesce(_said(f("conditionId")) == NEW, F.lit(False)), "not_new"),
-            (no_record, "non_record_title"),
-            (~F.col("_words").rlike(RECORD_TITLE) & F.lit(title_must_say), "record_signal_missing"),
-            (missing_token, "lane_token_mismatch"),
-            (F.col("_gone"), "unavailable"),
-            (F.col("_price").isNull(), "missing_item_price"),
-            (~F.coalesce(F.col("currency") == currency, F.lit(False)), "currency_mismatch"),
-            (F.col("_shipping").isNull() & F.col("_other"), "shipping_quote_not_fixed"),
-            (F.col("_shipping").isNull(), "shipping_unknown"),
-            (F.coalesce(F.col("price_cents") < F.col("_lane_low"), F.lit(False)), "below_lane_price_floor"),
-            (F.coalesce(F.col("price_cents") > F.col("_lane_high"), F.lit(False)), "above_lane_price_ceiling"),
-            (F.col("url").isNull(), "missing_item_url"),
-            (F.col("country").isNull(), "item_origin_unknown"),
-            (F.col("country") != country, "cross_border_origin"),
-            (F.col("seller_score").isNull() | F.col("seller_percentage").isNull(), "seller_reputation_missing"),
-            ((F.col("seller_score") < seller_score) | (F.col("seller_percentage") < seller_percentage), "seller_reputation_below_threshold"),
-        ]
-    )
-    parts = F.filter(F.split(F.col("listing_title"), r"\s+(?:-|–|—|\|)\s+"), lambda p: F.trim(p) != "")
-    two = (F.size(parts) >= 2) & (F.length(F.get(parts, F.lit(0))) <= 120)
-    r = computed(r, {"reject": reject, "item_id": F.coalesce(_said(f("itemId")), _said(f("legacyItemId")), F.col("url")), "artist": F.when(two, F.get(parts, F.lit(0))).otherwise("Unknown Artist"), "title": F.when(two, F.array_join(F.slice(parts, 2, 1 << 20), " - ")).otherwise(F.col("listing_title")), "destination_verified": F.lit(bool(postal_code and postal_code.strip()))})
-    return stored(r.select(*[F.col(c) for c in rows.columns if c not in (*_CANDIDATE, "reject", raw)], "reject", *_CANDIDATE), "assessed-items")
+    score, percentage = F.floor(known_amount(f("seller.feedbackScore").try_cast("double"))).cast("long"), F.when(bounded <= 100, bounded)
+    name, code, origin = _said(f("title")), up(f("price.currency")), up(f("itemLocation.country"))
+    in_category = let(_list(f("leafCategoryIds")), lambda leaf: F.when(F.size(leaf) > 0, F.array_contains(leaf, category)).otherwise(let(_list(F.transform(f("categories"), lambda c: c["categoryId"])), lambda c: (F.size(c) == 0) | F.array_contains(c, category))))
+
+    def of_title(words: Column) -> Column:
+        no_record = words.rlike(NOT_A_RECORD)
+        for pattern in NO_RECORD_TITLE:
+            no_record = no_record | words.rlike(pattern)
+        around = F.concat(F.lit(" "), words, F.lit(" "))
+        missing_token = F.lit(False)
+        for x in lanes:
+            for t in x.get("tokens") or []:
+                missing_token = missing_token | F.coalesce((col(lane) == x["id"]) & ~F.contains(around, F.concat(F.lit(" "), plain_words(F.lit(t)), F.lit(" "))), F.lit(False))
+        return chosen([(no_record, "non_record_title"), (~words.rlike(RECORD_TITLE) & F.lit(title_must_say), "record_signal_missing"), (missing_token, "lane_token_mismatch")])
+
+    def of_price(sums: Column) -> Column:
+        below = lambda bound: F.coalesce(sums["all_in"] < _of_lane(lane, lanes, bound, "long"), F.lit(False))
+        above = lambda bound: F.coalesce(sums["all_in"] > _of_lane(lane, lanes, bound, "long"), F.lit(False))
+        rules = [
+            (sums["price"].isNull(), "missing_item_price"), (~F.coalesce(code == currency, F.lit(False)), "currency_mismatch"), (sums["shipping"].isNull() & other, "shipping_quote_not_fixed"),
+            (sums["shipping"].isNull(), "shipping_unknown"), (below("min_cents"), "below_lane_price_floor"), (above("max_cents"), "above_lane_price_ceiling"),
+        ]
+        return chosen(rules)
+
+    first = [(~_object(raw, f("_damage")), "invalid_item"), (~F.coalesce(f("title").rlike(r"\S"), F.lit(False)), "missing_title"), (~in_category, "wrong_category"), (~F.exists(F.coalesce(f("buyingOptions"), F.array()), lambda o: F.coalesce(_word(o) == "FIXED_PRICE", F.lit(False))), "not_fixed_price"), (~F.coalesce(_word(f("conditionId")) == NEW, F.lit(False)), "not_new")]
+    last = [
+        (~good_link, "missing_item_url"), (origin.isNull(), "item_origin_unknown"), (origin != country, "cross_border_origin"), (score.isNull() | percentage.isNull(), "seller_reputation_missing"),
+        ((score < seller_score) | (percentage < seller_percentage), "seller_reputation_below_threshold"),
+    ]
+    sums = lambda p: F.struct(p["price"].alias("price"), p["shipping"].alias("shipping"), _cents(p["price"] + p["shipping"] / 100.0).alias("all_in"))
+    paid = let(F.struct(price.alias("price"), shipping.alias("shipping")), sums)
+    # Rules stand in groups, a column each: a group is only tried on what those before it let pass, and its own values are computed then, once.
+    r = r.withColumn("_first", chosen(first)).withColumn("_words", F.when(F.col("_first").isNull(), plain_words(f("title"))))
+    r = r.withColumn("_second", F.coalesce(F.col("_first"), of_title(F.col("_words")), F.when(gone, "unavailable"))).withColumn("_paid", F.when(F.col("_second").isNull(), paid))
+    r = r.withColumn("_verdict", F.coalesce(F.col("_second"), of_price(F.col("_paid")), chosen(last)))
+    r = computed(r, {"reject": F.col("_verdict")})
+    parts = F.filter(F.split(name, r"\s+(?:-|–|—|\|)\s+"), lambda p: F.trim(p) != "")
+    two = lambda p: (F.size(p) >= 2) & (F.length(F.get(p, F.lit(0))) <= 120)
+    url = F.when(good_link, F.regexp_replace(F.trim(link), "#.*$", ""))
+    # Each column is an expression of its own over the parsed item, so that what is read of accepted listings only is computed for these only.
+    candidate = {
+        "item_id": F.coalesce(_said(f("itemId")), _said(f("legacyItemId")), url), "artist": let(parts, lambda p: F.when(two(p), F.get(p, F.lit(0))).otherwise("Unknown Artist")), "title": let(parts, lambda p: F.when(two(p), F.array_join(F.slice(p, 2, 1 << 20), " - ")).otherwise(name)), "listing_title": name,
+        "price_cents": let(paid, lambda p: p["all_in"]), "item_cents": _cents(price), "shipping_cents": shipping, "currency": code, "country": origin, "seller": _said(f("seller.username")), "seller_score": score, "seller_percentage": percentage, "url": url, "destination_verified": F.lit(bool(postal_code and postal_code.strip())),
+    }
+    return r.select(*[F.col(c) for c in rows.columns if c not in (*_CANDIDATE, "reject", raw)], "reject", *[candidate[c].alias(c) for c in _CANDIDATE])
 
 
 def discover(judged: DataFrame, lane: str, lanes: list[dict], ordinal: str) -> tuple[DataFrame, DataFrame]:
@@ -161,8 +175,12 @@ def discover(judged: DataFrame, lane: str, lanes: list[dict], ordinal: str) -> t
 
     An item is one candidate however many lanes and pages show it: its cheapest listing, the first seen of equal ones (lanes in
     their order, then `ordinal`); `lanes` names all that found it. report: lane, outcome, n, where the outcome is accepted (the lane
-    found it first), duplicate or the rule broken. A hot item's listings are combined before they move: an aggregate holds one struct and a count for each lane."""
+    found it first), duplicate or the rule broken. A hot item's listings are combined before they move: an aggregate holds one struct and a count for each lane.
+
+    Both are read from a stored table, so that listings are judged once: of a rejected listing it holds lane and rule, of an accepted one a candidate's columns and `ordinal`."""
     ids = [x["id"] for x in lanes]
+    accepted = lambda name: F.when(F.col("reject").isNull(), F.col(name)).alias(name)
+    judged = stored(judged.select("reject", lane, *[accepted(c) for c in dict.fromkeys((*_CANDIDATE, ordinal)) if c != lane]), "judged-listings")
     at = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col(lane)).cast("int")
     good = judged.where("reject IS NULL").withColumn("_seen", F.struct(at.alias("at"), F.col(ordinal).alias("o")))
     best = F.min_by(F.struct(*_CANDIDATE), F.struct("price_cents", "_seen", *[c for c in _CANDIDATE if c != "price_cents"])).alias("best")

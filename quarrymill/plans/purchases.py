@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import purchases
-from .adapters import AS_OF, table
+from .adapters import AS_OF, spread, table
 from .catalogue import query
 
 LANES = [{"id": "all", "max_cents": 30000}, {"id": "middle", "min_cents": 3000, "max_cents": 25000}, {"id": "rings", "max_cents": 32000, "tokens": ["ring"]}]
@@ -20,7 +20,7 @@ def _listings(spark, sf_dir):
     usd = F.lit("USD")
     what = F.when(size <= 5, "Vinyl LP Wall Clock").when(size <= 10, "Audio CD").when(size <= 15, "New Sealed").when(size <= 20, "12 inch").otherwise("Vinyl LP")
     balance = F.floor("s_acctbal").cast("long")
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = spread(table(spark, sf_dir, "lineitem")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     raw = F.struct(
         F.concat(F.lit("v1|"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"), F.lit("|0")).alias("itemId"), F.concat(F.col("p_brand"), F.lit("  - "), F.col("p_name"), F.lit(" "), what).alias("title"),
         F.when(q >= 45, F.array(F.lit("AUCTION"))).otherwise(F.array(F.lit("best_offer"), F.lit("fixed_price"))).alias("buyingOptions"), F.when(F.col("l_returnflag") == "R", "3000").otherwise("1000").alias("conditionId"),
@@ -67,7 +67,7 @@ def _details(spark, sf_dir):
     ]
     said = F.when((kind == "PROMO") & (size > 45), F.concat(F.lit("Wall clock of "), F.col("p_name"))).otherwise(F.col("p_name"))
     raw = F.to_json(F.struct(F.array(*aspects).alias("localizedAspects"), said.alias("shortDescription")))
-    return purchases.assess_details(table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")), "raw")
+    return purchases.assess_details(spread(table(spark, sf_dir, "part")).select("p_partkey", raw.alias("raw")), "raw")
 
 
 @query(f"WITH {_LISTED_SQL} SELECT lane, CASE WHEN reject IS NOT NULL THEN reject WHEN pos = first_at AND k = 1 THEN 'accepted' ELSE 'duplicate' END AS outcome, count(*) AS n FROM (SELECT j.lane, j.reject, j.pos, first_at, k FROM j LEFT JOIN (SELECT item_id, pos AS a, l_orderkey AS o, l_linenumber AS l, l_extendedprice AS e, first_at, row_number() OVER (PARTITION BY item_id, pos ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS k FROM g) f ON j.item_id = f.item_id AND j.pos = f.a AND j.l_orderkey = f.o AND j.l_linenumber = f.l AND j.l_extendedprice = f.e AND j.reject IS NULL) GROUP BY 1, 2")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarrymill.functions import text
-from quarrymill.operators import matching
+from quarrymill.operators import matching, purchases
 from quarrymill.plans import adapters
 from quarrymill.sources import cards
 
@@ -81,3 +81,29 @@ def test_each_part_of_a_card_is_computed_once(spark):
     pages = spark.range(9).select("id", F.lit("https://a.example/").alias("url"), F.col("id").cast("string").alias("html"))
     plan = plan_of(cards.product_cards(pages, "id"))
     assert {word: plan.count(word) for word in ("itemprop", "sale-price", "discontinued", "product-artist", "music/vinyl")} == {"itemprop": 1, "sale-price": 1, "discontinued": 1, "product-artist": 1, "music/vinyl": 1}
+
+
+LANES = [{"id": "wide", "max_cents": 30000}]
+
+
+def listings(spark):
+    sound = '{"itemId": "%s", "title": "Miles - Blue Vinyl LP", "buyingOptions": [" fixed_price"], "conditionId": "%s", "price": {"value": 9, "currency": "USD"}, "shippingOptions": [{"shippingCostType": "Fixed ", "shippingCost": {"value": "4", "currency": "usd"}}], "itemWebUrl": "https://www.ebay.com/itm/1", "itemLocation": {"country": "US"}, "seller": {"feedbackScore": 99, "feedbackPercentage": "99", "username": "t"}}'
+    texts = [sound % ("A", "1000"), sound % ("B", "3000"), (sound % ("C", "1000"))[:-1], sound.replace('"', "'") % ("D", "1000"), sound.replace(": 9,", ": NaN,") % ("E", "1000"), sound.replace('"4"', "[4") % ("F", "1000"), sound.replace('[" fixed_price"]', '" fixed_price"') % ("G", "1000")]
+    return spark.createDataFrame([(n, raw, "wide") for n, raw in enumerate(texts)], "n long, raw string, lane string")
+
+
+def test_a_listing_is_parsed_once_and_judged_when_it_is_read(spark):
+    judged = purchases.assess_items(listings(spark), "raw", "lane", LANES, "2001-11-04")
+    assert [(r.reject, r.listing_title, r.price_cents) for r in judged.orderBy("n").collect()[:2]] == [(None, "Miles - Blue Vinyl LP", 1300), ("not_new", "Miles - Blue Vinyl LP", 1300)]
+    assert [r.reject for r in judged.orderBy("n").collect()[2:]] == ["invalid_item"] * 4 + ["not_fixed_price"]
+    plan = plan_of(judged.where("reject IS NULL").select("item_id", "price_cents", "seller"))
+    assert (plan.count("from_json"), plan.count("non_record_title"), plan.count("listing_title")) == (1, 1, 0)
+
+
+def test_of_a_rejected_listing_only_lane_and_rule_are_stored(spark):
+    judged = purchases.assess_items(listings(spark), "raw", "lane", LANES, "2001-11-04")
+    candidates, report = purchases.discover(judged, "lane", LANES, "n")
+    assert [(r.item_id, r.price_cents) for r in candidates.collect()] == [("A", 1300)]
+    assert {tuple(r) for r in report.collect()} == {("wide", "accepted", 1), ("wide", "not_new", 1), ("wide", "invalid_item", 4), ("wide", "not_fixed_price", 1)}
+    stored = spark.read.parquet(candidates.inputFiles()[0].rsplit("/", 1)[0])
+    assert stored.count() == 7 and stored.where("reject IS NOT NULL AND (listing_title IS NOT NULL OR n IS NOT NULL OR lane IS NULL)").count() == 0
